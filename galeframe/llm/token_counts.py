@@ -2,9 +2,9 @@
 
 Totals by source, language and tokenizer version are never edited in place: a batch of signed
 changes (insert +, delete -, revision: - the old count and + the new) is summed to one row a group
-and written as the batch's own folder, and totals are the sum over all batches' rows. A batch is
-committed by its folder's _SUCCESS mark; committing the same batch again writes the same folder
-over or leaves it, so replays and lost executors change nothing.
+and written as the batch's own folder, and totals are the sum over all committed batches' rows. A
+batch counts once its mark, written after its folder, is there; a batch without a mark is written
+over, a batch with one is left as it is, so replays and lost executors change nothing.
 
 Edge cases: null texts count 0 tokens; null sources and languages are groups of their own; a group
 whose rows all went shows no more; empty batches leave an empty folder. Other columns are not read.
@@ -55,16 +55,19 @@ class Rollup:
         self.spark, self.path = spark, path.rstrip("/")
 
     def _folder(self, batch: str) -> str:
-        if not batch or not all(c.isalnum() or c in "-_." for c in batch):
+        if not batch or not all(c.isalnum() or c in "-." for c in batch):
             raise ValueError(f"not a batch name: {batch!r}")
-        return f"{self.path}/batch={batch}"
+        return f"{self.path}/deltas/batch={batch}"
 
-    def committed(self, batch: str) -> bool:
-        """Whether the batch's folder is complete."""
+    def _marks(self) -> DataFrame:
         try:
-            return not self.spark.read.format("binaryFile").load(f"{self._folder(batch)}/_SUCCESS").isEmpty()
+            return self.spark.read.schema("batch string").parquet(f"{self.path}/marks")
         except AnalysisException:
-            return False
+            return self.spark.createDataFrame([], "batch string")
+
+    def committed(self, batch: str) -> bool:
+        """Whether the batch has its mark."""
+        return not self._marks().where(F.col("batch") == batch).isEmpty()
 
     def commit(self, batch: str, added: DataFrame | None = None, removed: DataFrame | None = None) -> bool:
         """Commit rows that come and rows that go (both as counted()); False if the batch was committed before.
@@ -79,14 +82,16 @@ class Rollup:
             raise ValueError("a batch has rows to add or to remove")
         both = signed[0] if len(signed) == 1 else signed[0].unionByName(signed[1])
         sums = both.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
-        sums.coalesce(1).write.mode("overwrite").parquet(folder)
+        sums.write.mode("overwrite").parquet(folder)
+        self.spark.range(1).select(F.lit(batch).alias("batch")).write.mode("append").parquet(f"{self.path}/marks")
         return True
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer_version, docs, tokens; groups without documents left are gone."""
         try:
-            rows = self.spark.read.schema(_DELTAS).option("basePath", self.path).parquet(f"{self.path}/batch=*")
+            rows = self.spark.read.schema(_DELTAS).parquet(f"{self.path}/deltas")
         except AnalysisException:
             rows = self.spark.createDataFrame([], _DELTAS)
+        rows = rows.join(self._marks().distinct(), "batch", "left_semi")
         sums = rows.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
         return sums.where("docs <> 0 OR tokens <> 0")
