@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 A_KM = 6378.137
 FLAT = 1 / 298.257223563
@@ -151,14 +152,20 @@ def direct(lat, lon, bearing, km):
     return np.degrees(to), (np.degrees(lon + gone) + 180) % 360 - 180
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def exact_distance_km(lat1: pd.Series, lon1: pd.Series, lat2: pd.Series, lon2: pd.Series) -> pd.Series:
     """Vincenty distance; null where a coordinate is null."""
     out = pd.Series(inverse(lat1, lon1, lat2, lon2)[0], index=lat1.index)
     return out.where(lat1.notna() & lon1.notna() & lat2.notna() & lon2.notna(), None)
 
 
-@pandas_udf("latitude double, longitude double")
+@pandas_udf(DoubleType())
+def exact_bearing_deg(lat1: pd.Series, lon1: pd.Series, lat2: pd.Series, lon2: pd.Series) -> pd.Series:
+    """Vincenty's bearing of the second place from the first, in [0, 360)."""
+    return pd.Series(inverse(lat1, lon1, lat2, lon2)[1], index=lat1.index)
+
+
+@pandas_udf(StructType([StructField("latitude", DoubleType()), StructField("longitude", DoubleType())]))
 def destination(lat: pd.Series, lon: pd.Series, bearing: pd.Series, km: pd.Series) -> pd.DataFrame:
     """Place reached on the ellipsoid."""
     to, at = direct(lat, lon, bearing, km)

@@ -53,7 +53,7 @@ def densify(df: DataFrame, numeric: Sequence[str], nearest: Sequence[str], key:
     exact = geo.exact_distance_km("a_lat", "a_lon", "b_lat", "b_lon")
     # a pair's length and bearing once, then its steps
     each = steps_between(pairs, spacing_km, step_hours, length=exact)
-    at = geo.destination("a_lat", "a_lon", _bearing("a_lat", "a_lon", "b_lat", "b_lon"), F.col("length_km") * F.col("fraction"))
+    at = geo.destination("a_lat", "a_lon", geo.exact_bearing_deg("a_lat", "a_lon", "b_lat", "b_lon"), F.col("length_km") * F.col("fraction"))
     each = each.withColumn("_at", at)
     last = F.col("step") == F.col("steps")
     time_at = F.timestamp_micros((scalar.micros(f"a_{time}") + F.round((scalar.micros(f"b_{time}") - scalar.micros(f"a_{time}")) * F.col("fraction")).cast("long"))).cast("timestamp_ntz")
@@ -65,13 +65,6 @@ def densify(df: DataFrame, numeric: Sequence[str], nearest: Sequence[str], key:
     return end(first, "").unionByName(end(pairs.where("gap"), "b_")).unionByName(dense)
 
 
-@F.pandas_udf("double")
-def _bearing(lat1, lon1, lat2, lon2):
-    import pandas as pd
-
-    return pd.Series(geo.inverse(lat1, lon1, lat2, lon2)[1], index=lat1.index)
-
-
 def flag_hours(df: DataFrame, keys: Sequence[str], time: str, tie: str, flag: str) -> DataFrame:
     """keys, hours: trapezoidal time under a flag; one row gives 0."""
     w = Window.partitionBy(*keys).orderBy(time, tie)

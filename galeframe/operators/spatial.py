@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from galeframe.functions import geo
 
@@ -175,7 +176,7 @@ def exact_segment_distance(lat: Sequence[float], lon: Sequence[float], seg: np.n
     return km[np.arange(len(lat)), best], f[np.arange(len(lat)), best]
 
 
-@F.pandas_udf("distance_km double, fraction double")
+@F.pandas_udf(StructType([StructField("distance_km", DoubleType()), StructField("fraction", DoubleType())]))
 def exact_to_segment(lat: pd.Series, lon: pd.Series, lon_a: pd.Series, lat_a: pd.Series, lon_b: pd.Series, lat_b: pd.Series) -> pd.DataFrame:
     """Exact distance of each point from its segment, for limits of metres."""
     km, f = exact_segment_distance(lat, lon, np.column_stack([lon_a, lat_a, lon_b, lat_b]))
