@@ -24,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from galeframe.llm.common import connected_components, stored, text_slices
@@ -146,23 +146,95 @@ def _overlaps(cfg: MinHashConfig):
                     same = np.flatnonzero((o[1:] == o[:-1]) & (r[1:] == r[:-1]))
                     both = np.bincount(o[same], np.minimum(c[same], c[same + 1]), piece.num_rows)
                     ratio = np.divide(both, total - both, out=np.zeros(piece.num_rows), where=total > 0)
-                    keep = ratio >= cfg.threshold
-                    yield pa.RecordBatch.from_arrays([piece.column("a").filter(pa.array(keep)), piece.column("b").filter(pa.array(keep)), pa.array(ratio[keep])], schema=schema)
+                    yield pa.RecordBatch.from_arrays([piece.column("a"), piece.column("b"), pa.array(ratio)], schema=schema)
 
     return run
 
 
-def verified(pairs: DataFrame, docs: DataFrame, cfg: MinHashConfig = MinHashConfig()) -> DataFrame:
-    """(a, b, similarity) of the pairs (a, b) whose multiset overlap reaches the threshold.
+def _bit(hashed: Column, bits: int) -> Column:
+    """A place in a bitmap of bits bits, from 1."""
+    return F.pmod(hashed, F.lit(bits)) + 1
 
-    Only texts that take part in a pair go on to the two joins.
+
+def bitmap(places: DataFrame) -> DataFrame:
+    """number, bits: the places of a one-column frame as bitmaps of 4 KB."""
+    p = places.toDF("place")
+    return p.groupBy(F.bitmap_bucket_number("place").alias("number")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
+
+
+def texts_of(pairs: DataFrame, docs: DataFrame, bits: int = 1 << 25) -> DataFrame:
+    """doc_id, text of the documents that take part in a pair.
+
+    A bitmap of their hashed ids, 4 MB at most whatever their number, is sent to the scan first, so
+    that texts without a pair are hardly shuffled for the exact semi-join.
     """
     named = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL").join(named, "doc_id", "left_semi")
-    texts = stored(texts)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
+    place = _bit(F.xxhash64("doc_id"), bits)
+    at = F.bitmap_bit_position("place")
+    byte = F.conv(F.hex(F.substring(F.col("bits"), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    near = rows.withColumn("place", place).join(F.broadcast(bitmap(named.select(place))), F.bitmap_bucket_number("place") == F.col("number"))
+    return near.where(F.getbit(byte, (at % 8).cast("int")) == 1).select("doc_id", "text").join(named, "doc_id", "left_semi")
+
+
+def overlaps(pairs: DataFrame, texts: DataFrame, cfg: MinHashConfig = MinHashConfig()) -> DataFrame:
+    """(a, b, similarity) of all pairs: the exact weighted Jaccard similarity of their multisets."""
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(_overlaps(cfg), "a long, b long, similarity double")
+    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(_overlaps(cfg), "a long, b long, similarity double")
+
+
+_PLACES = 1 << 25
+
+
+def _run_places(cfg: MinHashConfig):
+    """How many texts of a slice have a run at each place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_slices(batch, "text"):
+                owner, sh = shingles(words(part.column("text")), cfg.width)
+                o, s, _ = _bags(owner, sh & U(_PLACES - 1))
+                place, many = np.unique(s.astype(np.int64) + 1, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(many)], names=["place", "texts"])
+
+    return run
+
+
+def _supported(cfg: MinHashConfig, shared: np.ndarray):
+    """Ids of texts that have enough runs at shared places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_slices(batch, "text"):
+                owner, sh = shingles(words(part.column("text")), cfg.width)
+                place = (sh & U(_PLACES - 1)).astype(np.int64)
+                on = (shared[place >> 3] >> (place & 7).astype(np.uint8)) & 1
+                n = np.bincount(owner, minlength=part.num_rows)
+                keep = np.bincount(owner, on, part.num_rows) >= cfg.threshold * n - 1e-9
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").filter(pa.array(keep))], names=["doc_id"])
+
+    return run
+
+
+def supported(texts: DataFrame, cfg: MinHashConfig = MinHashConfig(), rounds: int = 2) -> DataFrame:
+    """doc_id of the texts that could be similar to another text of texts.
+
+    A text shares only runs that some other text has too; if these weigh less than threshold of
+    it, no similarity can reach the threshold. Runs are counted by hashed place, which can only
+    overstate; the places that two texts hold travel as one bitmap of 4 MB at most. What is left is
+    counted again, since texts that went no longer support others.
+    """
+    left = texts
+    for _ in range(rounds):
+        places = left.select("text").mapInArrow(_run_places(cfg), "place long, texts long").groupBy("place").agg(F.sum("texts").alias("n")).where("n > 1").select("place")
+        shared = np.zeros(_PLACES // 8, np.uint8)
+        for row in bitmap(places).collect():
+            at = (row["number"] - 1) * 4096
+            shared[at : at + 4096] = np.frombuffer(row["bits"], np.uint8)
+        ids = left.select("doc_id", "text").mapInArrow(_supported(cfg, shared), "doc_id long").distinct()
+        left = stored(left.join(ids, "doc_id", "left_semi"))
+    return left.select("doc_id").distinct()
 
 
 def near_duplicates(docs: DataFrame, cfg: MinHashConfig = MinHashConfig()) -> DataFrame:
@@ -170,8 +242,11 @@ def near_duplicates(docs: DataFrame, cfg: MinHashConfig = MinHashConfig()) -> Da
 
     Copies (equal word sequences) collapse before banding. In each bucket every member is compared
     with the bucket's hub, the member that meets most others over all its bands, so a group of n
-    near copies costs n comparisons and not n * n / 2. What remains, pairs of one bucket that the
-    links so far leave in different groups, is then compared in full, so no bucket is capped.
+    near copies costs n comparisons and not n * n / 2. What remains are pairs of one bucket that the
+    links so far leave in different groups. None is capped; two exact bounds rule most of them out
+    before any pair is made: a member whose runs no other member supports can have no link, and as
+    1 - similarity is a metric, members whose similarities to the hub differ by more than
+    1 - threshold have none with each other. All others are compared in full.
     """
     signed = stored(signatures(docs, cfg))
     reps = stored(signed.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")))
@@ -181,18 +256,24 @@ def near_duplicates(docs: DataFrame, cfg: MinHashConfig = MinHashConfig()) -> Da
     hubs = members.groupBy("rep").agg(F.sum("size").alias("met"))
     members = stored(members.select("bucket", "rep").join(hubs, "rep"))
     lead = members.groupBy("bucket").agg(F.max(F.struct("met", (-F.col("rep")).alias("neg"))).alias("top")).select("bucket", (-F.col("top.neg")).alias("hub"))
-    pairs = members.join(lead, "bucket").where("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
-    pairs = stored(pairs)
-    links = stored(verified(pairs, docs, cfg))
-    groups = connected_components(links.select("a", "b"))
-    placed = stored(members.select("bucket", "rep").join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component")))
+    members = stored(members.select("bucket", "rep").join(lead, "bucket").withColumns({"a": F.least("rep", "hub"), "b": F.greatest("rep", "hub")}))
+    pairs = members.where("a < b").select("a", "b").distinct()
+    texts = stored(texts_of(pairs, docs))
+    known = stored(overlaps(pairs, texts, cfg))
+    links = known.where(F.col("similarity") >= cfg.threshold).select("a", "b")
+    groups = connected_components(links)
+    placed = members.join(known, ["a", "b"], "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
+    placed = stored(placed.select("bucket", "rep", F.coalesce("component", "rep").alias("component"), F.when(F.col("a") == F.col("b"), 1.0).otherwise(F.coalesce("similarity", F.lit(0.0))).alias("near")))
     split = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
     rest = stored(placed.join(split, "bucket"))
-    one, two = rest.select("bucket", F.col("rep").alias("x"), F.col("component").alias("cx")), rest.select("bucket", F.col("rep").alias("y"), F.col("component").alias("cy"))
-    more = one.join(two, "bucket").where("cx < cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    able = supported(texts.join(rest.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), cfg)
+    rest = stored(rest.join(able.withColumnRenamed("doc_id", "rep"), "rep", "left_semi"))
+    one, two = (rest.select("bucket", F.col("rep").alias(x), F.col("component").alias(f"c{x}"), F.col("near").alias(f"n{x}")) for x in "xy")
+    apart = 1 - cfg.threshold + 1e-9
+    more = one.join(two, "bucket").where((F.col("cx") < F.col("cy")) & (F.abs(F.col("nx") - F.col("ny")) <= apart)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     more = stored(more.join(pairs, ["a", "b"], "left_anti"))
-    links = links.select("a", "b").unionByName(verified(more, docs, cfg).select("a", "b"))
-    groups = connected_components(links).select(F.col("node").alias("rep"), "component")
+    found = overlaps(more, texts, cfg).where(F.col("similarity") >= cfg.threshold).select("a", "b")
+    groups = connected_components(links.unionByName(found)).select(F.col("node").alias("rep"), "component")
     classes = reps.select("k1", "k2", "rep").join(groups, "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("class_id"))
     found = signed.select("doc_id", "k1", "k2").join(classes, ["k1", "k2"]).select("doc_id", "class_id")
     alone = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NULL OR text IS NULL").select("doc_id", F.col("doc_id").alias("class_id"))
