@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -39,16 +41,37 @@ def valid_position(lat: Column | str, lon: Column | str) -> Column:
     return F.coalesce(fine(lat, 90.0) & fine(lon, 360.0), F.lit(False))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once.
+
+    Formulas that use a part many times would else grow with every nesting, and Catalyst shares
+    equal parts in projections only, not in filters and join conditions.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _betas(lat1: Column | str | float, lon1: Column | str | float, lat2: Column | str | float, lon2: Column | str | float) -> Column:
+    """Reduced latitudes a and b, half the longitude difference."""
+    beta = lambda x: F.atan(F.lit(1 - FLAT) * F.tan(F.radians(_c(x))))
+    return F.struct(beta(lat1).alias("a"), beta(lat2).alias("b"), (F.radians(_c(lon2) - _c(lon1)) / 2.0).alias("half"))
+
+
+def _haversine(v: Column) -> Column:
+    q = (v["b"] - v["a"]) / 2.0
+    h = F.sin(q) * F.sin(q) + F.cos(v["a"]) * F.cos(v["b"]) * F.sin(v["half"]) * F.sin(v["half"])
+    return F.struct(((v["a"] + v["b"]) / 2.0).alias("p"), q.alias("q"), F.least(F.lit(1.0), h).alias("h"))
+
+
+def _lambert(v: Column) -> Column:
+    s = F.asin(F.sqrt(v["h"])) * 2.0
+    x = (s - F.sin(s)) * F.pow(F.sin(v["p"]) * F.cos(v["q"]), F.lit(2)) / F.greatest(F.lit(1e-12), F.lit(1.0) - v["h"])
+    y = (s + F.sin(s)) * F.pow(F.cos(v["p"]) * F.sin(v["q"]), F.lit(2)) / v["h"]
+    return F.when(v["h"] <= 0.0, 0.0).otherwise(F.lit(A_KM) * (s - F.lit(FLAT / 2) * (x + y)))
+
+
 def distance_km(lat1: Column | str, lon1: Column | str, lat2: Column | str, lon2: Column | str) -> Column:
     """Ellipsoidal distance by Lambert's formula over reduced latitudes, within a metre up to 600 km; built-in functions only."""
-    b1, b2 = (F.atan(F.lit(1 - FLAT) * F.tan(F.radians(_c(x)))) for x in (lat1, lat2))
-    half = F.radians(_c(lon2) - _c(lon1)) / 2.0
-    p, q = (b1 + b2) / 2.0, (b2 - b1) / 2.0
-    h = F.least(F.lit(1.0), F.sin(q) * F.sin(q) + F.cos(b1) * F.cos(b2) * F.sin(half) * F.sin(half))
-    s = F.asin(F.sqrt(h)) * 2.0
-    x = (s - F.sin(s)) * F.pow(F.sin(p) * F.cos(q), F.lit(2)) / F.greatest(F.lit(1e-12), F.lit(1.0) - h)
-    y = (s + F.sin(s)) * F.pow(F.cos(p) * F.sin(q), F.lit(2)) / h
-    return F.when(h <= 0.0, 0.0).otherwise(F.lit(A_KM) * (s - F.lit(FLAT / 2) * (x + y)))
+    return let(let(_betas(lat1, lon1, lat2, lon2), _haversine), _lambert)
 
 
 def unit_xyz(lat: Column | str, lon: Column | str) -> Column:
@@ -57,17 +80,21 @@ def unit_xyz(lat: Column | str, lon: Column | str) -> Column:
     return F.struct((F.cos(p) * F.cos(l)).alias("x"), (F.cos(p) * F.sin(l)).alias("y"), F.sin(p).alias("z"))
 
 
+def _bearing(v: Column) -> Column:
+    d = v["half"] * 2.0
+    return F.pmod(F.degrees(F.atan2(F.cos(v["b"]) * F.sin(d), F.cos(v["a"]) * F.sin(v["b"]) - F.sin(v["a"]) * F.cos(v["b"]) * F.cos(d))), F.lit(360.0))
+
+
 def bearing_deg(lat1: Column | str, lon1: Column | str, lat2: Column | str, lon2: Column | str) -> Column:
     """Bearing of the second place from the first over reduced latitudes, in [0, 360)."""
-    b1, b2 = (F.atan(F.lit(1 - FLAT) * F.tan(F.radians(_c(x)))) for x in (lat1, lat2))
-    d = F.radians(_c(lon2) - _c(lon1))
-    return F.pmod(F.degrees(F.atan2(F.cos(b2) * F.sin(d), F.cos(b1) * F.sin(b2) - F.sin(b1) * F.cos(b2) * F.cos(d))), F.lit(360.0))
+    return let(_betas(lat1, lon1, lat2, lon2), _bearing)
 
 
 def local_xy(lat: Column | str, lon: Column | str, lat0: Column | str, lon0: Column | str) -> Column:
     """Azimuthal coordinates around (lat0, lon0) in km: east x and north y with the distance kept."""
-    d, b = distance_km(lat0, lon0, lat, lon), F.radians(bearing_deg(lat0, lon0, lat, lon))
-    return F.struct((d * F.sin(b)).alias("x"), (d * F.cos(b)).alias("y"))
+    both = lambda v: F.struct(let(_haversine(v), _lambert).alias("d"), F.radians(_bearing(v)).alias("b"))
+    polar = let(_betas(lat0, lon0, lat, lon), both)
+    return let(polar, lambda v: F.struct((v["d"] * F.sin(v["b"])).alias("x"), (v["d"] * F.cos(v["b"])).alias("y")))
 
 
 def quadrant(bearing: Column | str) -> Column:

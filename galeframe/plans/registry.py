@@ -2,5 +2,31 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, uses: tuple[str, ...] = ()) -> Callable:
+    """Register a query under its function's name; uses: views that its SQL reads, in the order of their definition."""
+
+    def keep(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            from galeframe.plans.views import with_views
+
+            ORACLE_SQL[f.__name__] = with_views(uses, sql)
+        return f
+
+    return keep
+
+
+def load() -> None:
+    """Import all modules that register queries."""
+    from galeframe.plans import q_aggregates, q_ensemble, q_grid, q_integrity, q_joins, q_scalar, q_sequences, q_sources, q_spatial, q_streaming  # noqa: F401
+
+
+load()

@@ -1,0 +1 @@
+"""Streaming twins of the batch operators; results equal the batch forms once all input has come."""
