@@ -34,11 +34,12 @@ class ImpactIndex:
 
     def __init__(self, ids: np.ndarray, values: np.ndarray, step: int = 16):
         self.ids, self.values = ids, values
-        self.order = np.argsort(values, axis=0, kind="stable").astype(np.int32)
+        self.order = np.ascontiguousarray(np.argsort(values, axis=0, kind="stable").T)  # row d: the postings of dimension d
+        self.sorted = np.take_along_axis(np.ascontiguousarray(values.T), self.order, axis=1)
         self.segments: list[tuple[int, int, int]] = []
         low, high = [], []
         for d in range(values.shape[1]):
-            ranked = values[self.order[:, d], d]
+            ranked = self.sorted[d]
             cuts = np.flatnonzero(np.diff(ranked // step)) + 1
             for s, e in zip([0, *cuts], [*cuts, len(ranked)], strict=True):
                 self.segments.append((d, int(s), int(e)))
@@ -46,7 +47,6 @@ class ImpactIndex:
                 high.append(ranked[e - 1])
         self.dim = np.array([d for d, _, _ in self.segments])
         self.low, self.high = np.array(low, np.int64), np.array(high, np.int64)
-        self.sorted = np.take_along_axis(values, self.order.astype(np.int64), axis=0)
 
     def search(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(rows, scores) of the best k, ties to smaller ids."""
@@ -60,7 +60,7 @@ class ImpactIndex:
         # what is left of each dimension after a number of segments: the impact of its next one
         gained = np.zeros(n, np.int64)
         own = self.ids == query_id
-        goal = max(32, 8 * k)
+        goal = max(8 * k, n // 16)  # so few are cheaper to score than to narrow down further
         rest_at = np.zeros(dims, np.int64)
         np.maximum.at(rest_at, self.dim, impact)
         rest = int(rest_at.sum())
@@ -68,16 +68,16 @@ class ImpactIndex:
         for t in turn:
             by_dim.setdefault(int(self.dim[t]), []).append(int(t))
         nth = dict.fromkeys(by_dim, 0)
-        every = max(1, len(turn) // 24)
+        every = max(1, len(turn) // 32)
         possible = np.flatnonzero(~own)
         for done, t in enumerate(turn, 1):
             d, s, e = self.segments[t]
-            gained[self.order[s:e, d]] += query[d] * self.sorted[s:e, d] - least[d]
+            gained[self.order[d, s:e]] += query[d] * self.sorted[d, s:e] - least[d]
             nth[d] += 1
             now = int(impact[by_dim[d][nth[d]]]) if nth[d] < len(by_dim[d]) else 0
             rest += now - int(rest_at[d])
             rest_at[d] = now
-            if done % every == 0 and 3 * done > len(turn):
+            if done % every == 0:
                 held = gained[possible]
                 if len(held) <= k:
                     break
@@ -114,7 +114,7 @@ def _pack(batches):
         yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("dim"), pa.array(codes, pa.binary())], names=["id", "dim", "code"])
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, step: int = 16, block_rows: int = 65_536, query_rows: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, step: int = 16, block_rows: int = 16_384, query_rows: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: each query's k largest integer inner products over all other rows.
 
     Candidates are dealt to blocks of about block_rows, queries to blocks of about query_rows; each
