@@ -6,8 +6,8 @@ slots have no gaps, and any row's shard and slot follow from its number, n and t
 
 The permutation is an alternating Feistel network over the grid a x b, a = ceil(sqrt(n)),
 b = ceil(n / a), the smallest such grid; places n and above (fewer than a) walk on through the
-network until they fall below n. The longest walk is found exactly, by walking all places above
-n - 1, so the expression that permutes has the steps that every row needs.
+network until they fall below n. The longest walk is found exactly, by walking on from all places
+above n - 1 that a row can come to, so the expression that permutes has the steps every row needs.
 
 Edge cases: equal rows share one entry and its range of numbers, so hot rows need no task of their
 own; null values take part like others; an empty table gives an empty result.
@@ -45,9 +45,14 @@ def _permuted(place: Column, rows: int, seed: int) -> Column:
 
 
 def walk_steps(spark: SparkSession, rows: int, seed: int) -> int:
-    """Passes of the network that the longest walk needs: one, and one for each place above in a chain."""
+    """Passes of the network that the longest walk from a row's number needs.
+
+    Walks enter the places above at those that no other place above leads to, and from there they
+    come back below; cycles that lie wholly above are never entered.
+    """
     a, b = _sides(rows)
-    steps, now = 1, spark.range(rows, a * b).select(F.col("id").alias("p"))
+    above = spark.range(rows, a * b).select(F.col("id").alias("p"))
+    steps, now = 1, above.join(above.select(_permuted(F.col("p"), rows, seed).alias("p")), "p", "left_anti")
     while now.limit(1).count():
         now = stored(now.select(_permuted(F.col("p"), rows, seed).alias("p")).where(F.col("p") >= rows))
         steps += 1
