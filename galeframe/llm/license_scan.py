@@ -28,16 +28,16 @@ from pyspark.sql import functions as F
 from galeframe.llm.common import text_slices
 from galeframe.llm.textkit import words
 
-# fixed values: statements and opening notices of common licenses, and words too common to start a window
+# fixed values: statements (without their version numbers) and opening notices of common licenses, and words too common to start a window
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction"),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
+    ("Apache-2.0", "Licensed under the Apache License, Version"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
-    ("GPL", "This work is licensed under the GNU General Public License, version 3."),
+    ("GPL", "This work is licensed under the GNU General Public License, version"),
     ("GPL", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
-    ("CC-BY-NC", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-SA", "Licensed under CC BY-SA 4.0."),
+    ("CC-BY-NC", "Licensed under CC BY-NC"),
+    ("CC-BY-SA", "Licensed under CC BY-SA"),
     ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
 )
 COMMON = frozenset("a and any are as at be by can for free in is it may not of or terms that the this to under use with without work you your version license licensed released 0 1 2 3 4 5".split())
