@@ -22,11 +22,3 @@ def query(sql: str | None = None, uses: tuple[str, ...] = ()) -> Callable:
         return f
 
     return keep
-
-
-def load() -> None:
-    """Import all modules that register queries."""
-    from galeframe.plans import q_aggregates, q_ensemble, q_grid, q_integrity, q_joins, q_scalar, q_sequences, q_sources, q_spatial, q_streaming  # noqa: F401
-
-
-load()

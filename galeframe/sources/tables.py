@@ -64,9 +64,12 @@ def discover_runs(spark: SparkSession, root: str) -> DataFrame:
 
 
 def inventory(spark: SparkSession, root: str) -> DataFrame:
-    """path, length, modified, partial, empty of every file under root; contents are not read."""
+    """path, length, modified, partial of every file under root; contents are not read.
+
+    Spark's file source leaves out files without a byte: these show as missing in size_differences().
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length", F.col("modificationTime").alias("modified"))
-    return files.withColumns({"partial": F.col("path").rlike(r"\.(part|tmp)$"), "empty": F.col("length") == 0})
+    return files.withColumn("partial", F.col("path").rlike(r"\.(part|tmp)$"))
 
 
 def digests(spark: SparkSession, root: str) -> DataFrame:
