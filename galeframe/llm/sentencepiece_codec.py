@@ -278,7 +278,7 @@ def codec(path: str | None = None) -> Codec:
     return _codecs[path or ""]
 
 
-_SLICE = 1 << 22
+_SLICE = 1 << 20  # bytes of text indexed at once; the index takes about a hundred times as much
 
 
 def _with_ids(path: str | None):
