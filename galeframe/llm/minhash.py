@@ -88,7 +88,7 @@ def bag_signatures(owner: np.ndarray, run: np.ndarray, count: np.ndarray, texts:
     return name.reshape(texts, registers)
 
 
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("bands", pa.list_(pa.int64()))])
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("runs", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
 
 def _signed(cfg: MinHashConfig):
@@ -116,15 +116,15 @@ def _signed(cfg: MinHashConfig):
                 k2 = np.where(none, raw2, twin[found.first[1:]] - twin[found.first[:-1]])
                 ends = np.concatenate([[0], np.cumsum(np.where(none, 0, cfg.bands))]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(key[~none].reshape(-1).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), lists], schema=_SIGNED)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(np.bincount(owner, minlength=n)), lists], schema=_SIGNED)
 
     return run
 
 
 def signatures(docs: DataFrame, cfg: MinHashConfig = MinHashConfig()) -> DataFrame:
-    """doc_id, k1, k2 (128-bit key of the word sequence) and bands (one key a band; none without words)."""
+    """doc_id, k1, k2 (128-bit key of the word sequence), runs (their number) and bands (one key a band; none without words)."""
     return (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(_signed(cfg), "doc_id long, k1 long, k2 long, bands array<long>")
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(_signed(cfg), "doc_id long, k1 long, k2 long, runs long, bands array<long>")
     )
 
 
@@ -162,19 +162,21 @@ def bitmap(places: DataFrame) -> DataFrame:
     return p.groupBy(F.bitmap_bucket_number("place").alias("number")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
 
 
-def texts_of(pairs: DataFrame, docs: DataFrame, bits: int = 1 << 25) -> DataFrame:
-    """doc_id, text of the documents that take part in a pair.
+def maybe_among(rows: DataFrame, ids: DataFrame, bits: int = 1 << 25) -> DataFrame:
+    """rows with _maybe: false where doc_id is surely not among ids, by a bitmap of their hashes of 4 MB at most, sent to the rows."""
+    place = _bit(F.xxhash64("doc_id"), bits)
+    maps = bitmap(ids.select(place)).withColumnsRenamed({"number": "_number", "bits": "_bits"})
+    at = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    met = rows.join(F.broadcast(maps), F.bitmap_bucket_number(place) == F.col("_number"), "left")
+    return met.withColumn("_maybe", F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))).drop("_number", "_bits")
 
-    A bitmap of their hashed ids, 4 MB at most whatever their number, is sent to the scan first, so
-    that texts without a pair are hardly shuffled for the exact semi-join.
-    """
+
+def texts_of(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """doc_id, text of the documents that take part in a pair; texts without one are hardly shuffled for the exact semi-join."""
     named = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    place = _bit(F.xxhash64("doc_id"), bits)
-    at = F.bitmap_bit_position("place")
-    byte = F.conv(F.hex(F.substring(F.col("bits"), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
-    near = rows.withColumn("place", place).join(F.broadcast(bitmap(named.select(place))), F.bitmap_bucket_number("place") == F.col("number"))
-    return near.where(F.getbit(byte, (at % 8).cast("int")) == 1).select("doc_id", "text").join(named, "doc_id", "left_semi")
+    return maybe_among(rows, named).where("_maybe").select("doc_id", "text").join(named, "doc_id", "left_semi")
 
 
 def overlaps(pairs: DataFrame, texts: DataFrame, cfg: MinHashConfig = MinHashConfig()) -> DataFrame:
@@ -237,40 +239,48 @@ def supported(texts: DataFrame, cfg: MinHashConfig = MinHashConfig(), rounds: in
     return left.select("doc_id").distinct()
 
 
+def _comparable(a: str, b: str, cfg: MinHashConfig) -> Column:
+    """Whether multisets of these sizes could reach the threshold: similarity is at most the smaller size by the larger."""
+    return F.least(a, b) >= F.greatest(a, b) * (cfg.threshold - 1e-9)
+
+
 def near_duplicates(docs: DataFrame, cfg: MinHashConfig = MinHashConfig()) -> DataFrame:
     """One row for each row of docs: doc_id, class_id (smallest doc_id of its group), kept.
 
     Copies (equal word sequences) collapse before banding. In each bucket every member is compared
     with the bucket's hub, the member that meets most others over all its bands, so a group of n
     near copies costs n comparisons and not n * n / 2. What remains are pairs of one bucket that the
-    links so far leave in different groups. None is capped; two exact bounds rule most of them out
-    before any pair is made: a member whose runs no other member supports can have no link, and as
-    1 - similarity is a metric, members whose similarities to the hub differ by more than
-    1 - threshold have none with each other. All others are compared in full.
+    links so far leave in different groups. None is capped; three exact bounds rule most of them out
+    before any pair is made: sizes that differ too much cannot be similar, a member whose runs no
+    other member supports can have no link, and as 1 - similarity is a metric, members whose
+    similarities to the hub differ by more than 1 - threshold have none with each other. All others
+    are compared in full.
     """
     signed = stored(signatures(docs, cfg))
-    reps = stored(signed.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")))
-    members = reps.select("rep", F.explode("bands").alias("bucket"))
+    reps = stored(signed.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("runs").alias("runs"), F.first("bands").alias("bands")))
+    members = reps.select("rep", "runs", F.explode("bands").alias("bucket"))
     size = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     members = stored(members.join(size, "bucket"))
     hubs = members.groupBy("rep").agg(F.sum("size").alias("met"))
-    members = stored(members.select("bucket", "rep").join(hubs, "rep"))
-    lead = members.groupBy("bucket").agg(F.max(F.struct("met", (-F.col("rep")).alias("neg"))).alias("top")).select("bucket", (-F.col("top.neg")).alias("hub"))
-    members = stored(members.select("bucket", "rep").join(lead, "bucket").withColumns({"a": F.least("rep", "hub"), "b": F.greatest("rep", "hub")}))
-    pairs = members.where("a < b").select("a", "b").distinct()
-    texts = stored(texts_of(pairs, docs))
+    members = stored(members.select("bucket", "rep", "runs").join(hubs, "rep"))
+    lead = members.groupBy("bucket").agg(F.max(F.struct("met", (-F.col("rep")).alias("neg"), "runs")).alias("top")).select("bucket", (-F.col("top.neg")).alias("hub"), F.col("top.runs").alias("hub_runs"))
+    members = members.select("bucket", "rep", "runs").join(lead, "bucket")
+    members = stored(members.withColumns({"a": F.least("rep", "hub"), "b": F.greatest("rep", "hub"), "near_size": _comparable("runs", "hub_runs", cfg)}))
+    pairs = members.where("a < b AND near_size").select("a", "b").distinct()
+    texts = stored(texts_of(members.select("a", "b"), docs))
     known = stored(overlaps(pairs, texts, cfg))
     links = known.where(F.col("similarity") >= cfg.threshold).select("a", "b")
     groups = connected_components(links)
     placed = members.join(known, ["a", "b"], "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
-    placed = stored(placed.select("bucket", "rep", F.coalesce("component", "rep").alias("component"), F.when(F.col("a") == F.col("b"), 1.0).otherwise(F.coalesce("similarity", F.lit(0.0))).alias("near")))
+    placed = stored(placed.select("bucket", "rep", F.coalesce("component", "rep").alias("component"), "runs", F.when(F.col("a") == F.col("b"), 1.0).otherwise(F.col("similarity")).alias("near")))
     split = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
     rest = stored(placed.join(split, "bucket"))
     able = supported(texts.join(rest.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), cfg)
     rest = stored(rest.join(able.withColumnRenamed("doc_id", "rep"), "rep", "left_semi"))
-    one, two = (rest.select("bucket", F.col("rep").alias(x), F.col("component").alias(f"c{x}"), F.col("near").alias(f"n{x}")) for x in "xy")
+    one, two = (rest.select("bucket", F.col("rep").alias(x), F.col("component").alias(f"c{x}"), F.col("near").alias(f"n{x}"), F.col("runs").alias(f"r{x}")) for x in "xy")
     apart = 1 - cfg.threshold + 1e-9
-    more = one.join(two, "bucket").where((F.col("cx") < F.col("cy")) & (F.abs(F.col("nx") - F.col("ny")) <= apart)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    possible = (F.col("cx") < F.col("cy")) & _comparable("rx", "ry", cfg) & F.coalesce(F.abs(F.col("nx") - F.col("ny")) <= apart, F.lit(True))
+    more = one.join(two, "bucket").where(possible).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     more = stored(more.join(pairs, ["a", "b"], "left_anti"))
     found = overlaps(more, texts, cfg).where(F.col("similarity") >= cfg.threshold).select("a", "b")
     groups = connected_components(links.unionByName(found)).select(F.col("node").alias("rep"), "component")
@@ -281,7 +291,13 @@ def near_duplicates(docs: DataFrame, cfg: MinHashConfig = MinHashConfig()) -> Da
 
 
 def drop_near_duplicates(docs: DataFrame, cfg: MinHashConfig = MinHashConfig()) -> DataFrame:
-    """docs with one document of each group; rows with a null doc_id all stay, of repeated rows one stays."""
-    kept = near_duplicates(docs, cfg).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    """docs with one document of each group; rows with a null doc_id all stay, of repeated rows one stays.
+
+    Only documents that go or whose id repeats, and few others, are shuffled; the rest pass where they lie.
+    """
+    classes = stored(near_duplicates(docs, cfg).where("doc_id IS NOT NULL"))
+    odd = stored(classes.groupBy("doc_id").agg(F.count("*").alias("_n"), F.bool_or("kept").alias("_keep")).where("_n > 1 OR NOT _keep").select("doc_id", "_keep"))
+    marked = maybe_among(docs, odd)
+    clear = marked.where("doc_id IS NULL OR NOT _maybe").select(*docs.columns)
+    doubtful = marked.where("doc_id IS NOT NULL AND _maybe").join(odd, "doc_id", "left").where(F.coalesce("_keep", F.lit(True)))
+    return clear.unionByName(doubtful.dropDuplicates(["doc_id"]).select(*docs.columns))
