@@ -6,10 +6,10 @@ from galeframe.llm.queries import ORACLE_SQL, QUERIES
 
 
 def test_stages(spark, tmp_path):
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     columns = docs.columns
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
-        stage(spark, docs, "/root/testdata/sf0.001").write.parquet(str(tmp_path / name))
+        stage(spark, docs, "/root/testdata/sf0.01").write.parquet(str(tmp_path / name))
         before, docs = docs, spark.read.parquet(str(tmp_path / name))
         if k < len(corpus_pipeline.STAGES) - 1:
             assert docs.columns == columns
