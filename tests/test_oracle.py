@@ -14,7 +14,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def cell(v):
-    if v is None or v is pd.NaT or (isinstance(v, float) and np.isnan(v)):
+    if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and np.isnan(v)):
         return "NULL"
     if isinstance(v, (int, float, np.integer, np.floating)) and not isinstance(v, bool):
         return repr(float(v))
