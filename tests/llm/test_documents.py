@@ -181,6 +181,35 @@ def test_license_scan(spark):
     assert license_scan.scan(documents(spark, [])).collect() == []
 
 
+PARAPHRASED = {
+    "Licensed under the GNU General Public License, version 3": "GPL", "Distributed under the terms of the GNU GPL": "GPL", "Released under the Apache License 2.0": "Apache-2.0", "SPDX-License-Identifier: Apache-2.0": "Apache-2.0",
+    "Released with the MIT License.": "MIT", "Released under the MIT licence": "MIT", "Released under the ISC License.": "ISC", "Licensed under the Mozilla Public License, v. 2.0": "MPL", "Licensed under the 3-clause BSD license": "BSD",
+    "Dedicated to all under CC0 1.0": "CC0", "This work is licensed under a Creative Commons Attribution 4.0 International License": "CC-BY",
+}
+NEIGHBOURS = {
+    "Licensed under CC BY 4.0": "CC-BY", "Licensed under CC BY-NC 4.0": "CC-BY-NC", "Licensed under CC BY-SA 4.0": "CC-BY-SA", "Licensed under CC BY-ND 4.0": "CC-BY-ND", "Licensed under CC BY-NC-SA 4.0": "CC-BY-NC-SA", "Licensed under CC BY-NC-ND 4.0": "CC-BY-NC-ND",
+    "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 License": "CC-BY-NC", "This work is licensed under a Creative Commons Attribution Share-Alike License": "CC-BY-SA",
+    "This work is licensed under the GNU Lesser General Public License, version 3": "LGPL", "This work is licensed under the GNU Affero General Public License, version 3": "AGPL", "Licensed under the GNU Library General Public License": "LGPL",
+    "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation": "LGPL",
+    "Licensed under the Apache License, Version 1.1": "Apache-1", "The MIT dean spoke. Released under the ISC License": "ISC",
+}
+
+
+def test_paraphrased_notices_and_neighbouring_licenses(spark):
+    cases = PARAPHRASED | NEIGHBOURS
+    mentions = ["we discussed the GNU General Public License in class", "the MIT dean and the BSD dean met under a tree", "creative commons"]
+    df = documents(spark, list(enumerate([*cases, *(f"so it goes {t} and so on" for t in cases), *mentions])))
+    got = {r.doc_id: [f["license"] for f in r.findings] for r in license_scan.scan(df).collect()}
+    want = [[name] for name in cases.values()]
+    assert [got[i] for i in sorted(got)] == [*want, *want, *([[]] * len(mentions))]
+
+
+def test_license_templates_can_be_given(spark):
+    df = documents(spark, [(1, "House rules: this text stays in the house."), (2, "Released under the MIT License.")])
+    got = {r.doc_id: [f["license"] for f in r.findings] for r in license_scan.scan(df, given=[("House", "this text stays in the house"), ("None", "")]).collect()}
+    assert got == {1: ["House"], 2: []}
+
+
 # -- toxicity ------------------------------------------------------------------------------
 
 
