@@ -277,3 +277,16 @@ def test_event_rules_pass_good_episodes(spark):
 
     got = qc.event_checks(episode_table(spark, "/root/testdata/sf0.001"))
     assert got.where("NOT passed").count() == 0 and got.count() > 0
+
+
+def test_every_pair_of_fields_is_tracked(spark, tmp_path):
+    from galeframe.plans.all_queries import QUERIES
+
+    rng = np.random.default_rng(7)
+    ids = [0, 1, 198, 199, 200, 201, 1002, 1003]
+    spark.createDataFrame([(i, rng.normal(size=64).tolist(), 0) for i in ids], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    cases = {f"F{i // 2}" for i in ids}
+    points = QUERIES["e05_j01_tracker"](spark, str(tmp_path)).collect()
+    assert sorted((r.forecast_case_id, r.lead_hours) for r in points) == sorted((c, h) for c in cases for h in (6, 12))
+    assert {r.forecast_case_id for r in points if r.status == "no_seed"} == {"F0"}
+    assert {r.forecast_case_id: r.planned_points for r in QUERIES["e08_d12_outcomes"](spark, str(tmp_path)).collect()} == dict.fromkeys(cases, 2)
