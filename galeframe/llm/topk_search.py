@@ -8,8 +8,13 @@ accumulators. What the dimensions' next segments could still add bounds every ca
 from above, so the search may stop only when the bound proves that few candidates can still be
 among the best k; these possible members are then scored exactly from their vectors.
 
-Edge cases: vectors that are null, empty, or hold null or non-finite components, or components of
-2**28 or more after scaling, take no part, nor do rows with a null id; a query is never matched
+Codes are int64 where a component stays below 2**28. A row beyond that is wide: its code is text of
+whole numbers of any length, made exactly from the doubles, and its products are added as Python
+ints. Blocks whose bound on all sums of products could pass a long are scored in the same way, so
+no score wraps; a query with a score in its best k that does not fit a long raises an error.
+
+Edge cases: vectors that are null, empty, or hold null or non-finite components take no part, nor do
+rows with a null id; a query is never matched
 with rows of its own id; queries see candidates of their own length only; repeated rows count as
 candidates each, as queries once; fewer than k candidates give fewer rows. Other columns are not
 read.
@@ -27,6 +32,8 @@ from pyspark.sql import functions as F
 from galeframe.llm.common import stored
 
 _HITS = "query_id long, vec_id long, score long"
+WIDE = 2**28
+_UNFIT = "a score among a query's best does not fit a long"
 
 
 class ImpactIndex:
@@ -90,28 +97,82 @@ class ImpactIndex:
         return possible[best], score[best]
 
 
+def _ints(code: bytes) -> list[int]:
+    """The components of a code, wide or not."""
+    return [int(x) for x in code[1:].split(b",")] if code[:1] == b"w" else np.frombuffer(code, np.int64, offset=1).tolist()
+
+
+class Block:
+    """A block of candidates: the narrow ones in an index, all or the wide ones as Python ints where longs do not hold."""
+
+    def __init__(self, ids: np.ndarray, codes: list[bytes], step: int):
+        self.ids, self.codes = ids, codes
+        narrow = np.array([c[:1] != b"w" for c in codes], bool)
+        self.rows = {"all": np.arange(len(ids)), "wide": np.flatnonzero(~narrow)}
+        self.ints: dict[str, np.ndarray] = {}
+        self.index, self.limit = None, 0
+        if narrow.any():
+            values = np.frombuffer(b"".join(c[1:] for c in codes if c[:1] != b"w"), np.int64).reshape(int(narrow.sum()), -1)
+            self.index, self.limit = ImpactIndex(ids[narrow], values, step), int(np.abs(values).max())
+
+    def exact(self, which: str, query_id: int, query: list[int], k: int) -> list[tuple[int, int]]:
+        """(score, id) of the best k of all or the wide rows by Python ints, ties to smaller ids."""
+        rows = self.rows[which]
+        if not len(rows):
+            return []
+        if which not in self.ints:
+            self.ints[which] = np.array([_ints(self.codes[r]) for r in rows], object)
+        scored = zip((self.ints[which] @ np.array(query, object)).tolist(), self.ids[rows].tolist(), strict=True)
+        return sorted((x for x in scored if x[1] != query_id), key=lambda x: (-x[0], x[1]))[:k]
+
+    def search(self, query_id: int, code: bytes, k: int) -> list[tuple[int, int]]:
+        """(score, id) of the best k; the index is asked only where longs are proved to hold."""
+        query = _ints(code)
+        # sums of products, of their spreads and of what is left stay below 2**63 then
+        if self.index is None or code[:1] == b"w" or sum(map(abs, query)) * self.limit >= 2**61:
+            return self.exact("all", query_id, query, k)
+        at, score = self.index.search(query_id, np.array(query, np.int64), k)
+        found = [*zip(score.tolist(), self.index.ids[at].tolist(), strict=True), *self.exact("wide", query_id, query, k)]
+        return sorted(found, key=lambda x: (-x[0], x[1]))[:k]
+
+
+def _long(score: int) -> int | None:
+    """The score, or null below the longs: such a row may still be outdone in other blocks, one above may not."""
+    if score >= 2**63:
+        raise OverflowError(_UNFIT)
+    return score if score >= -(2**63) else None
+
+
 def _tile(k: int, step: int):
     def run(table: pa.Table) -> pa.Table:
         ids = table.column("id").to_numpy()
         is_query = table.column("is_query").to_numpy(zero_copy_only=False).astype(bool)
-        values = np.frombuffer(b"".join(table.column("code").to_pylist()), np.int64).reshape(len(ids), -1)
-        out: list[list[np.ndarray]] = [[], [], []]
+        codes = table.column("code").to_pylist()
+        out: list[tuple[int, int, int | None]] = []
         if is_query.any() and not is_query.all():
-            index = ImpactIndex(ids[~is_query], values[~is_query], step)
+            block = Block(ids[~is_query], [codes[r] for r in np.flatnonzero(~is_query)], step)
             for i in np.flatnonzero(is_query):
-                at, score = index.search(int(ids[i]), values[i], k)
-                for held, x in zip(out, (np.full(len(at), ids[i]), index.ids[at], score), strict=True):
-                    held.append(x)
-        joined = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in out]
-        return pa.table({"query_id": joined[0], "vec_id": joined[1], "score": joined[2]})
+                out += [(int(ids[i]), j, _long(score)) for score, j in block.search(int(ids[i]), codes[i], k)]
+        return pa.table({n: pa.array([x[c] for x in out], pa.int64()) for c, n in enumerate(("query_id", "vec_id", "score"))})
 
     return run
 
 
-def _pack(batches):
-    for batch in batches:
-        codes = [v.values.to_numpy(zero_copy_only=False).astype(np.int64).tobytes() for v in batch.column("code")]
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("dim"), pa.array(codes, pa.binary())], names=["id", "dim", "code"])
+def _pack(scale: int):
+    def run(batches):
+        for batch in batches:
+            codes = []
+            for v in batch.column("v"):
+                x = v.values.to_numpy(zero_copy_only=False).astype(np.float64)
+                with np.errstate(over="ignore"):
+                    scaled = np.floor(x * float(scale))
+                if (np.abs(scaled) < WIDE).all():
+                    codes.append(b"n" + scaled.astype(np.int64).tobytes())
+                else:  # a product beyond the doubles is whole already
+                    codes.append(b"w" + b",".join(b"%d" % (int(y) if np.isfinite(y) else int(a) * scale) for y, a in zip(scaled.tolist(), x.tolist(), strict=True)))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("dim"), pa.array(codes, pa.binary())], names=["id", "dim", "code"])
+
+    return run
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, step: int = 16, block_rows: int = 16_384, query_rows: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -122,10 +183,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, st
     k rows for each query and candidate block.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asked"))
-    fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double") * scale) < 2.0**28))
+    fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
     rows = rows.where(F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0)).where(F.coalesce(fine, F.lit(False)))
-    coded = rows.withColumn("code", F.transform("v", lambda x: F.floor(x.cast("double") * F.lit(float(scale))).cast("long")))
-    packed = stored(coded.select("id", F.size("v").alias("dim"), "code").mapInArrow(_pack, "id long, dim int, code binary"))
+    coded = rows.select("id", F.size("v").alias("dim"), F.col("v").cast("array<double>").alias("v"))
+    packed = stored(coded.mapInArrow(_pack(scale), "id long, dim int, code binary"))
     asked = rows.where("asked").select("id").distinct()
     queries = stored(packed.join(asked, "id", "left_semi").distinct())
     n, m = packed.count(), queries.count()
@@ -136,5 +197,5 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, st
     theirs = spread(queries.withColumn("q", F.pmod(F.xxhash64("id", "code"), F.lit(mb)).cast("int")), "q", "c", nb).withColumn("is_query", F.lit(True))
     hits = ours.select("dim", "c", "q", "id", "code", "is_query").unionByName(theirs.select("dim", "c", "q", "id", "code", "is_query"))
     hits = hits.groupBy("dim", "c", "q").applyInArrow(_tile(k, step), _HITS)
-    ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc_nulls_last("score"), "vec_id")))
+    return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", F.coalesce("score", F.raise_error(F.lit(_UNFIT)).cast("long")).alias("score"))

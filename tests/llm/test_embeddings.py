@@ -98,3 +98,27 @@ def test_top_k_ties_few_rows_and_bad_vectors(spark):
     rows = [(0, [1.0, 0.0], 0), (3, [1.0, 0.0], 0), (2, [1.0, 0.0], 0), (5, None, 0), (6, [None, 1.0], 0), (7, [float("nan"), 1.0], 0), (8, [1.0], 0), (None, [1.0, 1.0], 0), (9, [0.0, 0.0], 0)]
     got = [tuple(r) for r in top_k(vectors(spark, rows), F.col("vec_id") == 0).orderBy("rank").collect()]
     assert got == [(0, 1, 2, 65536), (0, 2, 3, 65536), (0, 3, 9, 0)]
+
+
+@pytest.mark.parametrize("block_rows", [16_384, 3])
+def test_top_k_keeps_large_finite_vectors(spark, block_rows):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(120, 4))
+    x[:, 0] = np.abs(x[:, 0])
+    x[[0, 7, 40]] *= 2e6  # beyond 2**28 after scaling
+    x[51] = [-1e13, 0.0, 0.0, 0.0]  # below the longs with 0 and 40, but never among the best
+    q = [[int(np.floor(256 * v)) for v in row] for row in x]
+    got = [tuple(r) for r in top_k(vectors(spark, [(i, v.tolist(), 0) for i, v in enumerate(x)], "double"), F.col("vec_id") % 10 == 0, block_rows=block_rows).collect()]
+    want = []
+    for i in range(0, 120, 10):
+        s = [sum(a * b for a, b in zip(q[i], c, strict=True)) for c in q]
+        order = [j for j in sorted(range(120), key=lambda j: (-s[j], j)) if j != i][:5]
+        want += [(i, r, j, s[j]) for r, j in enumerate(order, 1)]
+    assert {0, 7, 40} <= {j for _, _, j, _ in want}
+    assert sorted(got) == want
+
+
+def test_top_k_raises_where_a_score_does_not_fit(spark):
+    for a, b in ((1e12, 1e12), (1e12, -1e12)):
+        with pytest.raises(Exception, match="does not fit a long"):
+            top_k(vectors(spark, [(0, [a], 0), (1, [b], 0)], "double"), F.col("vec_id") == 0).collect()
