@@ -101,25 +101,27 @@ def maximal_segments(start: np.ndarray, gain: np.ndarray, other: float) -> list[
     """All maximal scoring segments (first word, word after the last, score) of a text.
 
     start: the words with a gain, in order; every other word scores other (negative). Segments are
-    kept as (sum before, sum after) on a stack; each is pushed and popped once.
+    kept as (sum before, sum after) on a stack, each with the place of the nearest one to its left
+    that begins lower. A search for such a place follows these links: what a link passes over begins
+    no lower than the segment it belongs to. So each segment is passed, joined or pushed once.
     """
-    held: list[tuple[int, int, float, float]] = []
+    held: list[tuple[int, int, float, float, int]] = []
     total, last = 0.0, -1
     for w, g in zip(start.tolist(), gain.tolist(), strict=True):
         total += other * (w - last - 1)
         a, before, after = w, total, total + g
-        while held:
-            # the nearest segment to the left that begins lower
-            j = len(held) - 1
-            while j >= 0 and held[j][2] >= before:
-                j -= 1
-            if j < 0 or held[j][3] >= after:
+        lower = len(held) - 1
+        while True:
+            while lower >= 0 and held[lower][2] >= before:
+                lower = held[lower][4]
+            if lower < 0 or held[lower][3] >= after:
                 break
-            a, before = held[j][0], held[j][2]
-            del held[j:]
-        held.append((a, w + 1, before, after))
+            a, _, before, _, joined = held[lower]
+            del held[lower:]
+            lower = joined
+        held.append((a, w + 1, before, after, lower))
         total, last = after, w
-    return [(a, b, after - before) for a, b, before, after in held]
+    return [(a, b, after - before) for a, b, before, after, _ in held]
 
 
 def _features(model: ToxicityModel, n: int, segments: list[tuple[int, int, float]]) -> tuple[float, float, list]:

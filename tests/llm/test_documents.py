@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -231,13 +232,26 @@ def test_maximal_segments_equal_brute_force():
 
     rng = random.Random(3)
     for _ in range(200):
-        n = rng.randrange(1, 25)
-        scores = [rng.choice([-0.37, -0.37, -0.37, 0.9, 1.31]) for _ in range(n)]
+        n = rng.randrange(1, 40)
+        scores = [rng.choice([-0.37] * rng.choice([1, 3, 6]) + [0.9, 1.31, 0.2]) for _ in range(n)]
         at = [i for i, s in enumerate(scores) if s > 0]
         got = toxicity.maximal_segments(np.array(at, int), np.array([scores[i] for i in at]), -0.37)
         assert [(a, b, round(s, 6)) for a, b, s in got] == [(a, b, round(s, 6)) for a, b, s in brute(scores)]
 
 
+def test_maximal_segments_take_linear_time():
+    """Many hits that are held one by one: twice the hits take about twice the time, and a hundred thousand about a second."""
+    rng = random.Random(8)
+    took = []
+    for n in (100_000, 200_000):
+        at = np.cumsum([rng.randrange(20, 60) for _ in range(n)])
+        gain = np.array([rng.choice([0.3, 0.5, 0.9]) for _ in range(n)])
+        began = time.process_time()
+        assert len(toxicity.maximal_segments(at, gain, -0.05)) > 0.9 * n
+        took.append(time.process_time() - began)
+    assert took[0] < 2 and took[1] < 4 * took[0] + 0.5
+
+
 @pytest.fixture(scope="module")
 def toxic_corpus(spark):
     rng = random.Random(11)
