@@ -72,14 +72,16 @@ def local_minima(grid: DataFrame, keys: Sequence[str], value: str = "msl") -> Da
 
 
 def disk_stats(centers: DataFrame, grid: DataFrame, keys: Sequence[str], radius_km: float, zeta: str = "zeta") -> DataFrame:
-    """centers (keys, center_id, c_lat, c_lon, hemisphere) with the disk's largest wind and cyclonic vorticity, and missing if any value in it is.
+    """centers (keys, center_id, c_lat, c_lon, hemisphere) with the disk's largest wind, its largest and least vorticity by hemisphere, and missing if any value in it is.
 
-    The join is on the grid's keys and then by distance: a center meets its own field's cells only.
+    The join is on the grid's keys, then by a band of latitudes, which is cheap, then by distance: a
+    center meets its own field's cells only.
     """
     g = grid.select(*keys, "latitude", "longitude", "u10", "v10", zeta)
-    near = centers.join(g, list(keys)).where(geo.distance_km("c_lat", "c_lon", "latitude", "longitude") <= radius_km)
+    band = F.abs(F.col("latitude") - F.col("c_lat")) <= math.degrees(radius_km / geo.LEAST_RADIUS_KM)
+    near = centers.join(g, list(keys)).where(band & (geo.distance_km("c_lat", "c_lon", "latitude", "longitude") <= radius_km))
     wind, turn = scalar.finite(scalar.wind_speed("u10", "v10")), scalar.finite(F.col(zeta))
-    return near.groupBy(*keys, "center_id").agg(F.max(wind).alias("vmax10_ms"), F.max(F.col("hemisphere") * turn).alias("cyclonic_vorticity_s"), F.bool_or(wind.isNull() | turn.isNull()).alias("missing"))
+    return near.groupBy(*keys, "center_id").agg(F.max(wind).alias("vmax10_ms"), F.max(F.col("hemisphere") * turn).alias("cyclonic_vorticity_s"), F.min(F.col("hemisphere") * turn).alias("least_vorticity_s"), F.bool_or(wind.isNull() | turn.isNull()).alias("missing"))
 
 
 def first_qualifying(candidates: DataFrame, keys: Sequence[str], threshold: float, order: Sequence[str] = ("msl", "distance_km", "latitude", "longitude")) -> DataFrame:

@@ -1,25 +1,30 @@
-"""The seeded cyclone tracker: a fold over a forecast's leads, whose every search begins where the last one ended.
+"""The seeded cyclone tracker.
 
-No join order can express this, so one forecast (model, case) is one group of a bounded number of
-grid cells, folded in numpy; forecasts are spread over the cluster.
+What a track can reach is known before it is followed: by lead h it lies within h / 6 search radii of
+its seed. So the cells outside are left out before any shuffle, the pressure minima, vorticities and
+disks of what is left are relational work over all forecasts and leads at once (operators.grid), and
+only the choice among a case's minima runs in order: a small state per case, place or reason, carried
+over its leads.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from galeframe.functions import geo
-from galeframe.operators.grid import EARTH_M
+from galeframe.operators import grid as g
 
 POINT = "lead_hours int, latitude double, longitude double, msl_hpa double, vmax10_ms double, cyclonic_vorticity_s double, status string, reason string"
-EMPTY = (None,) * 5
+KEYS = ("model", "forecast_case_id")
+FIELD = (*KEYS, "lead_hours")
+STEP_HOURS = 6
+HALO_CELLS = 2
 
 
 @dataclass(frozen=True)
@@ -35,143 +40,124 @@ class TrackerConfig:
             raise ValueError("radii must be positive and the threshold not negative")
 
 
-@dataclass
-class Field:
-    """One lead's window: coordinates ascending in longitude, fields by (latitude, longitude)."""
-
-    latitude: np.ndarray
-    longitude: np.ndarray
-    msl: np.ndarray
-    u850: np.ndarray
-    v850: np.ndarray
-    u10: np.ndarray
-    v10: np.ndarray
-
-
-def curl(field: Field) -> np.ndarray:
-    """Relative vorticity with the curvature term; not a number at poles."""
-    phi, lam = np.radians(field.latitude), np.radians(field.longitude)
-    edge = lambda n: 2 if n > 2 else 1
-    with np.errstate(divide="ignore", invalid="ignore"):
-        dv = np.gradient(field.v850, lam, axis=1, edge_order=edge(len(lam))) / (EARTH_M * np.cos(phi))[:, None]
-        du = np.gradient(field.u850, phi, axis=0, edge_order=edge(len(phi))) / EARTH_M
-        out = dv - du + field.u850 * np.tan(phi)[:, None] / EARTH_M
-    out[np.abs(np.abs(field.latitude) - 90) < 1e-9] = np.nan
-    return out
-
-
-def lows(msl: np.ndarray) -> np.ndarray:
-    """Cells that are least of a complete, finite and not flat 3 x 3 neighbourhood."""
-    out = np.zeros(msl.shape, bool)
-    if min(msl.shape) < 3:
-        return out
-    around = np.lib.stride_tricks.sliding_window_view(msl, (3, 3))
-    inner = msl[1:-1, 1:-1]
-    lo, hi = around.min(axis=(2, 3)), around.max(axis=(2, 3))  # not a number if any cell is
-    out[1:-1, 1:-1] = np.isfinite(around).all(axis=(2, 3)) & (inner == lo) & (lo < hi)
-    return out
-
-
-def find_center(field: Field, lat: float, lon: float, cfg: TrackerConfig) -> tuple[tuple | None, str]:
-    """((latitude, longitude, hPa, wind, vorticity), "") of the first low that qualifies, or (None, reason)."""
-    yy, xx = np.meshgrid(field.latitude, field.longitude, indexing="ij")
-    near = geo.inverse(lat, lon, yy, xx)[0]
-    at = np.argwhere(lows(field.msl) & (near <= cfg.search_radius_km))
-    if not len(at):
-        return None, "no_pressure_minimum"
-    zeta, wind = curl(field), np.hypot(field.u10, field.v10)
-    reason = "vorticity_below_threshold"
-    for iy, ix in sorted(map(tuple, at), key=lambda c: (field.msl[c], near[c], field.latitude[c[0]], field.longitude[c[1]])):
-        y, x = float(field.latitude[iy]), float(field.longitude[ix])
-        disk = geo.inverse(y, x, yy, xx)[0] <= cfg.diagnostic_radius_km
-        if not (np.isfinite(zeta[disk]).all() and np.isfinite(wind[disk]).all()):
-            reason = "missing_diagnostic_data"
-            continue
-        turn = float(np.max(math.copysign(1.0, (y or lat) if (y or lat) else 1.0) * zeta[disk]))
-        if turn > cfg.vorticity_threshold_s:
-            return (y, (x + 180) % 360 - 180, float(field.msl[iy, ix]) / 100, float(wind[disk].max()), turn), ""
-    return None, reason
-
-
-def fold(leads: Sequence[int], read: Callable[[int, float, float], Field], lat: float | None, lon: float | None, cfg: TrackerConfig) -> list[tuple]:
-    """A point for every lead: ok, track_lost, input_error, no_seed or terminated; a lost track is never found again."""
-    if not leads or list(leads) != list(range(6, leads[-1] + 1, 6)):
-        raise ValueError("leads must be every six hours from 6")
-    if lat is None or lon is None or pd.isna(lat) or pd.isna(lon):
-        return [(h, *EMPTY, "no_seed", "no_exact_main_best_track_at_initialization") for h in leads]
-    if not (-90 < lat < 90 and math.isfinite(lon)):
-        raise ValueError("the seed lies outside the globe")
-    out, stopped = [], ""
-    for h in leads:
-        if stopped:
-            out.append((h, *EMPTY, "terminated", stopped))
-            continue
-        try:
-            center, reason = find_center(read(h, lat, lon), lat, lon, cfg)
-        except Exception as e:  # a broken field ends this track, not the job
-            stopped = f"input_error_at_{h}h: {type(e).__name__}: {e}"
-            out.append((h, *EMPTY, "input_error", stopped))
-            continue
-        if center is None:
-            stopped = f"tracking_stopped_at_{h}h: {reason}"
-            out.append((h, *EMPTY, "track_lost", reason))
+def planned(cases: DataFrame) -> DataFrame:
+    """A row for each lead 6, 12 .. forecast_hours of a case, with its seed; a horizon that is not in whole steps, or a seed off the globe, raises at run time."""
+    hours = F.col("forecast_hours").cast("int")
+    leads = F.when((hours >= STEP_HOURS) & (hours % STEP_HOURS == 0), F.sequence(F.lit(STEP_HOURS), F.greatest(hours, F.lit(STEP_HOURS)), F.lit(STEP_HOURS))).otherwise(F.raise_error(F.lit("leads must be every six hours from 6")).cast("array<int>"))
+    there = F.col("seed_lat").isNotNull() & F.col("seed_lon").isNotNull() & ~F.isnan("seed_lat") & ~F.isnan("seed_lon")
+    on_globe = (F.abs("seed_lat") < 90) & (F.abs("seed_lon") < float("inf"))
+    lat = F.when(there & ~on_globe, F.raise_error(F.lit("the seed lies outside the globe")).cast("double")).when(there, F.col("seed_lat"))
+    return cases.select(*KEYS, F.explode(leads).alias("lead_hours"), lat.alias("seed_lat"), F.when(there, F.col("seed_lon")).alias("seed_lon"))
+
+
+def fields(cells: DataFrame) -> DataFrame:
+    """One row a field: its latitudes and (unwrapped) longitudes in order, whether each pair of them has a cell, and the steps between them."""
+    step = lambda a, pick: F.coalesce(pick(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(a) - 1)), lambda k: F.get(a, k) - F.get(a, k - 1))), F.lit(0.0))
+    held = cells.groupBy(*FIELD).agg(F.count("*").alias("n"), F.array_sort(F.collect_set("latitude")).alias("ys"), F.array_sort(F.collect_set("longitude")).alias("xs"))
+    ring = F.abs(F.size("xs") * step(F.col("xs"), F.array_min) - 360.0) < 1e-6
+    return held.select(*FIELD, "ys", "xs", (F.col("n") == F.size("ys") * F.size("xs")).alias("whole"), step(F.col("ys"), F.array_max).alias("dy"), step(F.col("xs"), F.array_max).alias("dx"), ring.alias("ring"))
+
+
+def _reachable(cfg: TrackerConfig) -> Column:
+    """Whether a cell can take part in a search at its lead, the disks around what is found there and two cells more included."""
+    angle = (F.col("lead_hours") / STEP_HOURS * cfg.search_radius_km + cfg.diagnostic_radius_km) / geo.LEAST_RADIUS_KM
+    tall = F.degrees(angle) + F.col("dy") * HALO_CELLS
+    wide = F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.least(F.lit(math.pi / 2), angle)) / F.cos(F.radians("seed_lat"))))) + F.col("dx") * HALO_CELLS
+    polar = F.abs("seed_lat") + F.degrees(angle) >= 89.0
+    return (F.abs(F.col("latitude") - F.col("seed_lat")) <= tall) & (polar | (F.abs(F.col("longitude") - F.col("seed_lon")) <= wide))
+
+
+def numbered_cells(cells: DataFrame, shapes: DataFrame, cfg: TrackerConfig) -> DataFrame:
+    """The reachable cells of whole fields with iy and ix; a field around the globe goes on for two columns past its seam at either side."""
+    near = cells.join(shapes.where("whole"), list(FIELD)).where(_reachable(cfg) | F.col("ring") & _reachable_over_seam(cfg))
+    place = lambda a, v: (F.array_position(a, F.col(v)) - 1).cast("int")
+    near = near.withColumns({"iy": place(F.col("ys"), "latitude"), "ix": place(F.col("xs"), "longitude"), "nx": F.size("xs")})
+    turns = F.concat(F.array(F.lit(0)), F.when(F.col("ring") & (F.col("ix") < HALO_CELLS), F.array(F.lit(1))).otherwise(F.array().cast("array<int>")), F.when(F.col("ring") & (F.col("ix") >= F.col("nx") - HALO_CELLS), F.array(F.lit(-1))).otherwise(F.array().cast("array<int>")))
+    near = near.withColumn("turn", F.explode(turns))
+    return near.select(*FIELD, "iy", (F.col("ix") + F.col("turn") * F.col("nx")).alias("ix"), "latitude", (F.col("longitude") + F.col("turn") * 360.0).alias("longitude"), (F.col("turn") == 0).alias("own"), "msl", "u850", "v850", "u10", "v10")
+
+
+def _reachable_over_seam(cfg: TrackerConfig) -> Column:
+    """Whether a cell lies by the seam, half the globe from the seed, at a lead that may come near it."""
+    angle = (F.col("lead_hours") / STEP_HOURS * cfg.search_radius_km + cfg.diagnostic_radius_km) / geo.LEAST_RADIUS_KM
+    return (F.abs(F.col("longitude") - F.col("seed_lon")) >= 180.0 - F.col("dx") * (HALO_CELLS + 1)) & (angle >= math.pi - 0.2)
+
+
+def candidates(cells: DataFrame, cfg: TrackerConfig) -> DataFrame:
+    """Every pressure minimum of the numbered cells with its disk: largest wind, largest and least vorticity, and whether a value is missing."""
+    spun = g.vorticity(cells, FIELD)
+    low = g.local_minima(cells, FIELD).join(cells.where("own").select(*FIELD, "iy", "ix"), [*FIELD, "iy", "ix"], "left_semi")
+    low = low.withColumn("center_id", F.struct("iy", "ix"))
+    disks = g.disk_stats(low.select(*FIELD, "center_id", F.col("latitude").alias("c_lat"), F.col("longitude").alias("c_lon"), F.lit(1.0).alias("hemisphere")), spun, FIELD, cfg.diagnostic_radius_km)
+    return low.select(*FIELD, "center_id", F.col("latitude").alias("low_lat"), F.col("longitude").alias("low_lon"), "msl").join(disks, [*FIELD, "center_id"]).drop("center_id")
+
+
+def chosen(lows: pd.DataFrame, lat: float, lon: float, cfg: TrackerConfig) -> tuple[int | None, float, str]:
+    """(row of the low where the track goes on, its cyclonic vorticity, why there is none) from a place."""
+    y, x = lows["low_lat"].to_numpy(float), lows["low_lon"].to_numpy(float)
+    km = geo.inverse(lat, lon, y, x)[0]
+    inside = km <= cfg.search_radius_km
+    if not inside.any():
+        return None, math.nan, "no_pressure_minimum"
+    north = np.where(y != 0, y, lat) >= 0
+    turn = np.where(north, lows["cyclonic_vorticity_s"].to_numpy(float), -lows["least_vorticity_s"].to_numpy(float))
+    missing = lows["missing"].to_numpy(bool)
+    fit = np.flatnonzero(inside & ~missing & (turn > cfg.vorticity_threshold_s))
+    if not len(fit):
+        return None, math.nan, "missing_diagnostic_data" if (inside & missing).any() else "vorticity_below_threshold"
+    first = fit[np.lexsort((x[fit], y[fit], km[fit], lows["msl"].to_numpy(float)[fit]))[0]]
+    return int(first), float(turn[first]), ""
+
+
+def followed(rows: pd.DataFrame, cfg: TrackerConfig) -> pd.DataFrame:
+    """The points of one case from its leads' lows (one row each; a lead without any has one row of nulls)."""
+    place = (rows["seed_lat"].iloc[0], rows["seed_lon"].iloc[0])
+    over, points = "", []
+    for lead, lows in rows.groupby("lead_hours", sort=True):
+        h, at = int(lead), None
+        whole = lows["whole"].iloc[0]
+        if over:
+            status, reason = "terminated", over
+        elif pd.isna(whole) or not whole:
+            status, reason = "input_error", f"input_error_at_{h}h: " + ("no field" if pd.isna(whole) else "the grid has missing or repeated cells")
+            over = reason
+        else:
+            lows = lows[lows["msl"].notna()]
+            at, turn, reason = chosen(lows, *place, cfg)
+            status = "ok" if at is not None else "track_lost"
+            over = "" if at is not None else f"tracking_stopped_at_{h}h: {reason}"
+        if at is None:
+            points.append((h, None, None, None, None, None, status, reason))
         else:
-            lat, lon = center[0], center[1]
-            out.append((h, *center, "ok", ""))
+            low = lows.iloc[at]
+            place = (float(low["low_lat"]), float(low["low_lon"]))
+            points.append((h, place[0], (place[1] + 180) % 360 - 180, float(low["msl"]) / 100, float(low["vmax10_ms"]), turn, status, reason))
+    out = pd.DataFrame(points, columns=[c.split()[0] for c in POINT.split(", ")])
+    for k, name in enumerate(KEYS):
+        out.insert(k, name, rows[name].iloc[0])
     return out
 
 
-def field_of(cells: pd.DataFrame, lat: float, lon: float, reach_km: float) -> Field:
-    """The window around a place from a lead's cells, with a halo of two cells and longitudes around the place."""
-    x = lon + (cells["longitude"].to_numpy(float) - lon + 180) % 360 - 180
-    y = cells["latitude"].to_numpy(float)
-    ys, xs = np.unique(y), np.unique(x)
-    if len(ys) * len(xs) != len(cells):
-        raise ValueError("the grid has missing or repeated cells")
-    step_y = np.diff(ys).max() if len(ys) > 1 else 0.0
-    step_x = np.diff(xs).min() if len(xs) > 1 else 0.0
-    dy = math.degrees(reach_km / geo.LEAST_RADIUS_KM)
-    ok_y = np.abs(ys - lat) <= dy + 2 * step_y
-    if abs(lat) + dy < 89:
-        dx = math.degrees(math.asin(min(1.0, math.sin(min(math.pi / 2, reach_km / geo.LEAST_RADIUS_KM)) / math.cos(math.radians(abs(lat))))))
-        ok_x = np.abs(xs - lon) <= dx + 2 * step_x
-    else:
-        ok_x = np.ones(len(xs), bool)
-    order = np.lexsort((x, y))
-    shaped = lambda c: cells[c].to_numpy(float)[order].reshape(len(ys), len(xs))[np.ix_(ok_y, ok_x)]
-    return Field(ys[ok_y], xs[ok_x], *(shaped(c) for c in ("msl", "u850", "v850", "u10", "v10")))
-
-
 def track(cases: DataFrame, grid: DataFrame, cfg: TrackerConfig = TrackerConfig()) -> DataFrame:
     """model, forecast_case_id and a point for each lead of 6 .. forecast_hours.
 
     cases: model, forecast_case_id, forecast_hours, seed_lat, seed_lon; grid: the cells of all
-    forecasts. Cases without a seed never meet the grid.
+    forecasts (model, forecast_case_id, lead_hours, latitude, longitude and the fields). A track
+    starts at its seed, moves to the first low in order of pressure, distance, latitude and longitude
+    that lies within the search radius and turns fast enough, and is never found again once lost; a
+    lead whose field is absent or incomplete ends it too. Cases without a seed never meet the grid.
     """
-    keys = ["model", "forecast_case_id"]
-    sown = cases.where("seed_lat IS NOT NULL AND seed_lon IS NOT NULL")
-    bare = cases.where("seed_lat IS NULL OR seed_lon IS NULL")
-    hours = F.explode(F.sequence(F.lit(6), F.col("forecast_hours").cast("int"), F.lit(6)))
-    none = bare.select(*keys, hours.alias("lead_hours")).select(*keys, "lead_hours", *[F.lit(None).cast("double").alias(c) for c in ("latitude", "longitude", "msl_hpa", "vmax10_ms", "cyclonic_vorticity_s")], F.lit("no_seed").alias("status"), F.lit("no_exact_main_best_track_at_initialization").alias("reason"))
-    shape = f"model string, forecast_case_id string, {POINT}"
-    reach = cfg.search_radius_km + cfg.diagnostic_radius_km
-
-    def run(case: pd.DataFrame, cells: pd.DataFrame) -> pd.DataFrame:
-        if case.empty:
-            return pd.DataFrame(columns=[x.split()[0] for x in shape.split(", ")])
-        c = case.iloc[0]
-        by_lead = dict(tuple(cells.groupby("lead_hours")))
-
-        def read(h: int, lat: float, lon: float) -> Field:
-            if h not in by_lead:
-                raise FileNotFoundError(f"no field at {h} h")
-            return field_of(by_lead[h], lat, lon, reach)
-
-        points = fold(list(range(6, int(c["forecast_hours"]) + 1, 6)), read, c["seed_lat"], c["seed_lon"], cfg)
-        return pd.DataFrame([(c["model"], c["forecast_case_id"], *p) for p in points], columns=[x.split()[0] for x in shape.split(", ")])
-
-    cells = grid.select(*keys, "lead_hours", "latitude", "longitude", "msl", "u850", "v850", "u10", "v10")
-    return sown.groupBy(*keys).cogroup(cells.groupBy(*keys)).applyInPandas(run, shape).unionByName(none)
+    plan = planned(cases)
+    sown = plan.where("seed_lat IS NOT NULL")
+    empty = [F.lit(None).cast("double").alias(c) for c in ("latitude", "longitude", "msl_hpa", "vmax10_ms", "cyclonic_vorticity_s")]
+    bare = plan.where("seed_lat IS NULL").select(*FIELD, *empty, F.lit("no_seed").alias("status"), F.lit("no_exact_main_best_track_at_initialization").alias("reason"))
+    cells = grid.select(*FIELD, "latitude", "longitude", "msl", "u850", "v850", "u10", "v10").join(sown, list(FIELD))
+    cells = cells.withColumn("longitude", geo.unwrap_longitude("longitude", "seed_lon"))
+    shapes = fields(cells)
+    lows = candidates(numbered_cells(cells, shapes, cfg), cfg)
+    rows = sown.join(shapes.select(*FIELD, "whole"), list(FIELD), "left").join(lows, list(FIELD), "left")
+    followed_rows = rows.groupBy(*KEYS).applyInPandas(lambda case: followed(case, cfg), f"model string, forecast_case_id string, {POINT}")
+    return followed_rows.unionByName(bare)
 
 
 def outcomes(points: DataFrame) -> DataFrame:

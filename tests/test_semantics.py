@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pytest
@@ -158,69 +159,156 @@ def test_exact_distance_to_a_segment():
 # -- grids and tracking --------------------------------------------------------------------
 
 
-def vortex(lat=0.0, lon=0.0, least=99_000.0, spin=8e-5, step=0.25, about=15.0):
-    ys, xs = np.arange(about - 9, about + 9.01, step), np.arange(130 - 10, 130 + 10.01, step)
-    yy, xx = np.meshgrid(ys, xs, indexing="ij")
-    dy, dx = np.radians(yy - (about + lat)) * 6.371e6, np.radians(xx - (130 + lon)) * 6.371e6 * np.cos(np.radians(yy))
-    msl = least + 300 * ((yy - about - lat) ** 2 + (xx - 130 - lon) ** 2)
-    return tracking.Field(ys, xs, msl, -spin * dy, spin * dx, np.full(yy.shape, 3.0), np.full(yy.shape, 4.0))
-
-
-def test_vorticity_of_known_flows():
-    f = vortex()
-    zonal = tracking.Field(f.latitude, f.longitude, f.msl, np.full(f.msl.shape, 10.0), np.zeros(f.msl.shape), f.u10, f.v10)
-    assert np.allclose(tracking.curl(zonal), 10 * np.tan(np.radians(f.latitude))[:, None] / 6.371e6, atol=1e-12)
-    solid = tracking.Field(f.latitude, f.longitude, f.msl, 1e-5 * 6.371e6 * np.cos(np.radians(f.latitude))[:, None] * np.ones(f.msl.shape), np.zeros(f.msl.shape), f.u10, f.v10)
-    assert np.allclose(tracking.curl(solid)[2:-2], 2e-5 * np.sin(np.radians(f.latitude))[2:-2, None], rtol=1e-3)
-
-
-def test_center_and_its_order():
-    cfg = tracking.TrackerConfig()
-    center, reason = tracking.find_center(vortex(0.5, 0.25), 15.0, 130.0, cfg)
-    assert reason == "" and center[:2] == (15.5, 130.25) and center[3] == 5.0
-    f = vortex()
-    f.msl[:] = 100_000
-    for y, x in ((30, 36), (36, 30), (36, 50)):
-        f.msl[y, x] = 99_000
-    assert tracking.find_center(f, 15.0, 130.0, cfg)[1] in ("", "vorticity_below_threshold")
-    assert tracking.find_center(vortex(spin=0.0), 15.0, 130.0, cfg)[1] == "vorticity_below_threshold"
-    flat = vortex()
-    flat.msl[:] = 1e5
-    assert tracking.find_center(flat, 15.0, 130.0, cfg)[1] == "no_pressure_minimum"
-    missing = vortex()
-    missing.u10[40, 40] = np.nan
-    assert tracking.find_center(missing, 15.0, 130.0, cfg)[1] == "missing_diagnostic_data"
+@dataclass
+class Field:
+    """One lead's window: coordinates in rising order, fields by (latitude, longitude)."""
 
+    latitude: np.ndarray
+    longitude: np.ndarray
+    msl: np.ndarray
+    u850: np.ndarray
+    v850: np.ndarray
+    u10: np.ndarray
+    v10: np.ndarray
 
-def test_fold_never_finds_a_lost_track_again():
-    reads = []
 
-    def read(h, lat, lon):
-        reads.append(h)
-        return vortex(spin=8e-5 if h == 6 else 0.0)
+def curl(f):
+    """Relative vorticity with the curvature term by numpy's own gradients."""
+    phi, lam = np.radians(f.latitude), np.radians(f.longitude)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        dv = np.gradient(f.v850, lam, axis=1, edge_order=2) / (6.371e6 * np.cos(phi))[:, None]
+        du = np.gradient(f.u850, phi, axis=0, edge_order=2) / 6.371e6
+        return dv - du + f.u850 * np.tan(phi)[:, None] / 6.371e6
 
-    got = tracking.fold([6, 12, 18], read, 15.0, 130.0, tracking.TrackerConfig())
-    assert [p[6] for p in got] == ["ok", "track_lost", "terminated"] and reads == [6, 12]
-    assert [p[6] for p in tracking.fold([6, 12], read, None, None, tracking.TrackerConfig())] == ["no_seed"] * 2
 
-    def broken(h, lat, lon):
-        raise OSError("gone")
+def lows(msl):
+    """Cells that are least of a complete, finite and not flat 3 x 3 neighbourhood."""
+    out = np.zeros(msl.shape, bool)
+    around = np.lib.stride_tricks.sliding_window_view(msl, (3, 3))
+    lo, hi = around.min(axis=(2, 3)), around.max(axis=(2, 3))
+    out[1:-1, 1:-1] = np.isfinite(around).all(axis=(2, 3)) & (msl[1:-1, 1:-1] == lo) & (lo < hi)
+    return out
 
-    assert [p[6] for p in tracking.fold([6, 12], broken, 15.0, 130.0, tracking.TrackerConfig())] == ["input_error", "terminated"]
-    for leads in ([], [6, 18], [12]):
-        with pytest.raises(ValueError):
-            tracking.fold(leads, read, 0.0, 0.0, tracking.TrackerConfig())
 
+def vortex(lat=0.0, lon=0.0, least=99_000.0, spin=8e-5, step=0.25, about=15.0, around=130.0):
+    ys, xs = np.arange(about - 9, about + 9.01, step), np.arange(around - 10, around + 10.01, step)
+    yy, xx = np.meshgrid(ys, xs, indexing="ij")
+    dy, dx = np.radians(yy - (about + lat)) * 6.371e6, np.radians(xx - (around + lon)) * 6.371e6 * np.cos(np.radians(yy))
+    msl = least + 300 * ((yy - about - lat) ** 2 + (xx - around - lon) ** 2)
+    return Field(ys, xs, msl, -spin * dy, spin * dx, np.full(yy.shape, 3.0), np.full(yy.shape, 4.0))
 
-def test_tracks_over_spark_do_not_depend_on_partitions(spark):
-    cells = []
-    for h, (dy, dx) in ((6, (0.0, 0.0)), (12, (0.5, -0.75))):
-        f = vortex(dy, dx, step=0.5)
+
+CELLS = "model string, forecast_case_id string, lead_hours int, latitude double, longitude double, msl double, u850 double, v850 double, u10 double, v10 double"
+CASES = "model string, forecast_case_id string, forecast_hours int, seed_lat double, seed_lon double"
+
+
+def cells_of(spark, found):
+    """found: (case, lead, field)."""
+    rows = []
+    for case, h, f in found:
         for iy, y in enumerate(f.latitude):
             for ix, x in enumerate(f.longitude):
-                cells.append(("m", "c1-L024", h, float(y), float(x), *(float(a[iy, ix]) for a in (f.msl, f.u850, f.v850, f.u10, f.v10))))
-    g = spark.createDataFrame(cells, "model string, forecast_case_id string, lead_hours int, latitude double, longitude double, msl double, u850 double, v850 double, u10 double, v10 double")
-    cases = spark.createDataFrame([("m", "c1-L024", 18, 15.0, 130.0), ("m", "c2-L024", 6, None, None)], "model string, forecast_case_id string, forecast_hours int, seed_lat double, seed_lon double")
+                rows.append(("m", case, h, float(y), float((x + 180) % 360 - 180), *(None if np.isnan(a[iy, ix]) else float(a[iy, ix]) for a in (f.msl, f.u850, f.v850, f.u10, f.v10))))
+    return spark.createDataFrame(rows, CELLS)
+
+
+def tracked(spark, found, cases, cfg=None):
+    """(case, lead) -> (latitude, longitude, wind, status, reason)."""
+    df = spark.createDataFrame([("m", *c) for c in cases], CASES)
+    return {(r.forecast_case_id, r.lead_hours): (r.latitude, r.longitude, r.vmax10_ms, r.status, r.reason) for r in tracking.track(df, cells_of(spark, found), cfg or tracking.TrackerConfig()).collect()}
+
+
+def brute_track(fields, lat, lon, cfg):
+    """Points of a seeded case by plain loops over {lead: Field}."""
+    out, lost = [], False
+    for h in sorted(fields):
+        f = fields[h]
+        yy, xx = np.meshgrid(f.latitude, f.longitude, indexing="ij")
+        zeta, wind, best, bare = curl(f), np.hypot(f.u10, f.v10), None, False
+        if not lost:
+            for iy, ix in np.argwhere(lows(f.msl)):
+                y, x = f.latitude[iy], f.longitude[ix]
+                km = float(geo.inverse(lat, lon, y, x)[0])
+                disk = geo.inverse(y, x, yy, xx)[0] <= cfg.diagnostic_radius_km
+                if km > cfg.search_radius_km:
+                    continue
+                if not (np.isfinite(zeta[disk]).all() and np.isfinite(wind[disk]).all()):
+                    bare = True
+                    continue
+                turn = (zeta if (y or lat) >= 0 else -zeta)[disk].max()
+                if turn > cfg.vorticity_threshold_s:
+                    best = min(best or (np.inf,), (f.msl[iy, ix], km, y, x, wind[disk].max(), turn))
+        if best is None:
+            out.append((h, None, None, "terminated" if lost else "track_lost"))
+            lost = True
+        else:
+            lat, lon = best[2], best[3]
+            out.append((h, round(float(lat), 6), round(float((lon + 180) % 360 - 180), 6), "ok"))
+    return out
+
+
+def test_center_and_its_order(spark):
+    flat, missing, three = vortex(step=0.5), vortex(step=0.5), vortex(step=0.5)
+    flat.msl[:] = 1e5
+    missing.u10[20, 20] = np.nan
+    three.msl[:] = 100_000
+    for y, x in ((15, 25), (18, 15), (18, 25)):
+        three.msl[y, x] = 99_000
+    south = vortex(0.5, 0.5, spin=-8e-5, step=0.5, about=-15.0)
+    found = [("found", 6, vortex(0.5, 0.5, step=0.5)), ("slow", 6, vortex(spin=0.0, step=0.5)), ("wrong", 6, vortex(spin=-8e-5, step=0.5)), ("flat", 6, flat), ("missing", 6, missing), ("tie", 6, three), ("south", 6, south)]
+    got = tracked(spark, found, [(c, 6, -15.0 if c == "south" else 15.0, 130.0) for c, *_ in found])
+    assert got["found", 6] == (15.5, 130.5, 5.0, "ok", "") and got["south", 6] == (-14.5, 130.5, 5.0, "ok", "")
+    assert {c: got[c, 6][3:] for c in ("slow", "wrong", "flat", "missing")} == {c: ("track_lost", r) for c, r in {"slow": "vorticity_below_threshold", "wrong": "vorticity_below_threshold", "flat": "no_pressure_minimum", "missing": "missing_diagnostic_data"}.items()}
+    assert got["tie", 6][:2] == (15.0, 127.5)  # of the two nearest lows the western one; the third is farther
+
+
+def test_a_lost_track_is_never_found_again(spark):
+    good, still = vortex(step=0.5), vortex(spin=0.0, step=0.5)
+    holed = cells_of(spark, [("broken", 6, good)]).where("NOT (latitude = 14.0 AND longitude = 131.0)")
+    cells = cells_of(spark, [("lost", 6, good), ("lost", 12, still), ("lost", 18, good), ("gap", 6, good), ("gap", 18, good), ("broken", 12, good)]).unionByName(holed)
+    cases = spark.createDataFrame([("m", "lost", 18, 15.0, 130.0), ("m", "gap", 18, 15.0, 130.0), ("m", "broken", 12, 15.0, 130.0), ("m", "bare", 12, None, None), ("m", "bare2", 6, float("nan"), 1.0)], CASES)
+    got = {}
+    for r in tracking.track(cases, cells).orderBy("lead_hours").collect():
+        got.setdefault(r.forecast_case_id, []).append(r.status)
+    assert got == {"lost": ["ok", "track_lost", "terminated"], "gap": ["ok", "input_error", "terminated"], "broken": ["input_error", "terminated"], "bare": ["no_seed"] * 2, "bare2": ["no_seed"]}
+    for bad in (("m", "x", 9, 15.0, 130.0), ("m", "x", 0, 15.0, 130.0), ("m", "x", 6, 95.0, 130.0)):
+        with pytest.raises(Exception, match="leads must be|outside the globe"):
+            tracking.track(spark.createDataFrame([bad], CASES), cells).collect()
+
+
+def test_tracks_equal_brute_force(spark):
+    """Moving vortices among random dents, north, south and over the date line."""
+    rng = np.random.default_rng(3)
+    cfg, cases, found, want = tracking.TrackerConfig(), [], [], {}
+    for k, (about, around) in enumerate([(15.0, 130.0), (-20.0, 60.0), (12.0, 179.5), (2.0, -179.0)]):
+        by = {}
+        for h in (6, 12, 18):
+            f = vortex(0.5 * h / 6, -1.0 * h / 6, spin=8e-5 * (-1 if about < 0 else 1), step=0.5, about=about, around=around)
+            f.msl += rng.normal(0, 60, f.msl.shape)
+            f.u10 += rng.normal(0, 2, f.u10.shape)
+            if k == 1 and h == 18:
+                f.v850[:] = 0
+                f.u850[:] = 0
+            by[h] = f
+            found.append((f"c{k}", h, f))
+        cases.append((f"c{k}", 18, about, around))
+        want[f"c{k}"] = brute_track(by, about, around, cfg)
+    got = tracked(spark, found, cases, cfg)
+    shown = {c: [(h, *(None if v is None else round(v, 6) for v in got[c, h][:2]), got[c, h][3]) for h in (6, 12, 18)] for c, *_ in cases}
+    assert shown == want and want["c0"][2][3] == "ok"
+
+
+def test_a_field_around_the_globe_has_no_seam(spark):
+    ys, xs = np.arange(0.0, 31.0, 1.0), np.arange(-180.0, 180.0, 1.0)
+    yy, xx = np.meshgrid(ys, xs, indexing="ij")
+    off = (xx - 179.0 + 180) % 360 - 180
+    f = Field(ys, xs, 99_000 + 300 * ((yy - 15) ** 2 + off**2), -8e-5 * np.radians(yy - 15) * 6.371e6, 8e-5 * np.radians(off) * 6.371e6 * np.cos(np.radians(yy)), np.full(yy.shape, 3.0), np.full(yy.shape, 4.0))
+    assert tracked(spark, [("c", 6, f)], [("c", 6, 15.0, -179.5)])["c", 6] == (15.0, 179.0, 5.0, "ok", "")
+
+
+def test_tracks_over_spark_do_not_depend_on_partitions(spark):
+    g = cells_of(spark, [("c1-L024", h, vortex(dy, dx, step=0.5)) for h, (dy, dx) in ((6, (0.0, 0.0)), (12, (0.5, -0.75)))])
+    cases = spark.createDataFrame([("m", "c1-L024", 18, 15.0, 130.0), ("m", "c2-L024", 6, None, None)], CASES)
     got = sorted(map(tuple, tracking.track(cases, g).collect()))
     assert got == sorted(map(tuple, tracking.track(cases, g.repartition(7)).collect()))
     assert [(r[1][:2], r[2], r[8]) for r in got] == [("c1", 6, "ok"), ("c1", 12, "ok"), ("c1", 18, "input_error"), ("c2", 6, "no_seed")]
@@ -233,12 +321,12 @@ def test_grid_forms_agree(spark):
     f = vortex(0.5, 0.25, step=0.5)
     rows = [(1, iy, ix, float(y), float(x), float(f.msl[iy, ix]), float(f.u850[iy, ix]), float(f.v850[iy, ix])) for iy, y in enumerate(f.latitude) for ix, x in enumerate(f.longitude)]
     df = spark.createDataFrame(rows, "k int, iy int, ix int, latitude double, longitude double, msl double, u850 double, v850 double")
-    want = tracking.curl(f)
+    want = curl(f)
     got = np.zeros(want.shape)
     for r in grid.vorticity(df, ["k"]).collect():
         got[r.iy, r.ix] = r.zeta
     assert np.allclose(got, want, rtol=1e-9, atol=1e-12)
-    assert {(r.iy, r.ix) for r in grid.local_minima(df, ["k"]).collect()} == set(map(tuple, np.argwhere(tracking.lows(f.msl)).tolist()))
+    assert {(r.iy, r.ix) for r in grid.local_minima(df, ["k"]).collect()} == set(map(tuple, np.argwhere(lows(f.msl)).tolist()))
 
 
 # -- ensembles and rules -------------------------------------------------------------------
