@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -12,20 +12,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+Store = Callable[[DataFrame], DataFrame]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir as the cluster sets it.
 
-    Where it is unset (tests on one machine) a temporary folder is made and set as the session's
+    Where it is unset, a folder in the warehouse, which they share too, is made the session's
     checkpoint folder.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(named)
-        return named.rstrip("/")
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
+        spark.sparkContext.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints")
+    return (named or spark.sparkContext.getCheckpointDir()).rstrip("/")
+
+
+def _put(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -35,9 +39,18 @@ def stored(df: DataFrame) -> DataFrame:
     folder stays until the cluster cleans its checkpoint folder.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/galeframe/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return _put(df, f"{shared_dir(spark)}/galeframe/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}")
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Store]:
+    """Gives a function like stored() whose tables are deleted at the end of the block."""
+    folder = f"{shared_dir(spark)}/galeframe/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    try:
+        yield lambda df: _put(df, f"{folder}/{uuid.uuid4().hex}")
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -60,6 +73,15 @@ def text_slices(batch: pa.RecordBatch, column: str, max_bytes: int = 1 << 20) ->
     yield batch.slice(start)
 
 
+def repeated(rows: DataFrame, times: str, chunk: int = 1024) -> DataFrame:
+    """rows, each as often as its column times says, without that column; a row's repeats are made in chunks, so no long array is ever held."""
+    columns = [F.col(f"`{c}`") for c in rows.columns if c != times]
+    held = rows.where(F.col(times) > 0).select(F.struct(*columns).alias("row"), F.col(times).cast("long").alias("n"))
+    held = held.select("row", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / chunk))).alias("c"))
+    held = held.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(chunk), F.col("n") - F.col("c") * chunk))))
+    return held.select("row.*")
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of an undirected graph; component is the smallest node reachable.
 

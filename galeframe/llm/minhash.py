@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from galeframe.llm.common import connected_components, stored, text_slices
+from galeframe.llm.common import Store, connected_components, scratch, stored, text_slices
 from galeframe.llm.textkit import U, mix, shingles, text_keys, words
 
 
@@ -151,9 +151,9 @@ def _overlaps(cfg: MinHashConfig):
     return run
 
 
-def _bit(hashed: Column, bits: int) -> Column:
-    """A place in a bitmap of bits bits, from 1."""
-    return F.pmod(hashed, F.lit(bits)) + 1
+def bits_for(n: int) -> int:
+    """Bits of a bitmap that holds n keys: sixteen a key, 4 KB to 32 MB. Beyond 16 million keys it lets ever more through, never too little."""
+    return 1 << min(28, max(15, (16 * n).bit_length()))
 
 
 def bitmap(places: DataFrame) -> DataFrame:
@@ -162,21 +162,26 @@ def bitmap(places: DataFrame) -> DataFrame:
     return p.groupBy(F.bitmap_bucket_number("place").alias("number")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
 
 
-def maybe_among(rows: DataFrame, ids: DataFrame, bits: int = 1 << 25) -> DataFrame:
-    """rows with _maybe: false where doc_id is surely not among ids, by a bitmap of their hashes of 4 MB at most, sent to the rows."""
-    place = _bit(F.xxhash64("doc_id"), bits)
-    maps = bitmap(ids.select(place)).withColumnsRenamed({"number": "_number", "bits": "_bits"})
-    at = F.bitmap_bit_position(place)
-    byte = F.conv(F.hex(F.substring(F.col("_bits"), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
-    met = rows.join(F.broadcast(maps), F.bitmap_bucket_number(place) == F.col("_number"), "left")
-    return met.withColumn("_maybe", F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))).drop("_number", "_bits")
+def maybe_among(rows: DataFrame, keys: DataFrame, key: str, name: str, bits: int) -> DataFrame:
+    """rows with name: false where key is surely not in the one column of keys, by a bitmap of hashes (bits_for) sent to the rows.
+
+    It only spares a shuffle: an exact join follows everywhere.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits)) + 1
+    number, held = f"{name}_number", f"{name}_bits"
+    maps = bitmap(keys.select(place(keys.columns[0]))).withColumnsRenamed({"number": number, "bits": held})
+    at = F.bitmap_bit_position(place(key))
+    byte = F.conv(F.hex(F.substring(F.col(held), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    met = rows.join(F.broadcast(maps), F.bitmap_bucket_number(place(key)) == F.col(number), "left")
+    return met.withColumn(name, F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))).drop(number, held)
 
 
-def texts_of(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """doc_id, text of the documents that take part in a pair; texts without one are hardly shuffled for the exact semi-join."""
-    named = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+def texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """doc_id, text of the documents named by the stored one-column frame ids, each different text of an id once; few other texts are shuffled."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    return maybe_among(rows, named).where("_maybe").select("doc_id", "text").join(named, "doc_id", "left_semi")
+    some = maybe_among(rows, ids, "doc_id", "maybe", bits_for(ids.count())).where("maybe").select("doc_id", "text")
+    named = some.join(ids.toDF("doc_id"), "doc_id", "left_semi")
+    return named.groupBy("doc_id", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text")).select("doc_id", "text")
 
 
 def overlaps(pairs: DataFrame, texts: DataFrame, cfg: MinHashConfig = MinHashConfig()) -> DataFrame:
@@ -186,62 +191,125 @@ def overlaps(pairs: DataFrame, texts: DataFrame, cfg: MinHashConfig = MinHashCon
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(_overlaps(cfg), "a long, b long, similarity double")
 
 
-_PLACES = 1 << 25
+def _comparable(a: str, b: str, cfg: MinHashConfig) -> Column:
+    """Whether multisets of these sizes could reach the threshold: similarity is at most the smaller size by the larger."""
+    return F.least(a, b) >= F.greatest(a, b) * (cfg.threshold - 1e-9)
 
 
-def _run_places(cfg: MinHashConfig):
-    """How many texts of a slice have a run at each place."""
+def _elements(cfg: MinHashConfig):
+    """doc_id and the bag of each text as a set: a run that occurs c times gives c elements, named by the run and its turn."""
+    schema = pa.schema([("rep", pa.int64()), ("bag", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch, "text"):
-                owner, sh = shingles(words(part.column("text")), cfg.width)
-                o, s, _ = _bags(owner, sh & U(_PLACES - 1))
-                place, many = np.unique(s.astype(np.int64) + 1, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(many)], names=["place", "texts"])
+                o, s, c = _bags(*shingles(words(part.column("text")), cfg.width))
+                turn = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+                sets = mix(np.repeat(s, c) + mix(turn.astype(U)))
+                ends = np.concatenate([[0], np.cumsum(np.bincount(o, c, part.num_rows))]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(sets.view(np.int64)))], schema=schema)
 
     return run
 
 
-def _supported(cfg: MinHashConfig, shared: np.ndarray):
-    """Ids of texts that have enough runs at shared places."""
+def shared_counts(left: np.ndarray, owner: np.ndarray, element: np.ndarray, texts: int) -> np.ndarray:
+    """len(left) x texts matrix: how many elements two sets share. owner and element list the sets' elements, left the rows asked for.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in text_slices(batch, "text"):
-                owner, sh = shingles(words(part.column("text")), cfg.width)
-                place = (sh & U(_PLACES - 1)).astype(np.int64)
-                on = (shared[place >> 3] >> (place & 7).astype(np.uint8)) & 1
-                n = np.bincount(owner, minlength=part.num_rows)
-                keep = np.bincount(owner, on, part.num_rows) >= cfg.threshold * n - 1e-9
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").filter(pa.array(keep))], names=["doc_id"])
+    Elements of few sets add their pairs one by one; the others are multiplied as columns of 0 and 1, some thousand at a time.
+    """
+    row = np.full(texts, -1)
+    row[left] = np.arange(len(left))
+    out = np.zeros((len(left), texts), np.int64)
+    order = np.argsort(element, kind="stable")
+    owner, element = owner[order], element[order]
+    first = np.flatnonzero(np.concatenate([[True], element[1:] != element[:-1]])) if len(element) else np.zeros(0, np.int64)
+    many = np.diff(np.append(first, len(element)))
+    few = np.repeat((many >= 2) & (many <= 8), many)
+    o, e = owner[few], element[few]
+    for k in range(1, 8):
+        same = np.flatnonzero(e[k:] == e[:-k])
+        for x, y in ((o[same], o[same + k]), (o[same + k], o[same])):
+            on = row[x] >= 0
+            out += np.bincount(row[x[on]] * texts + y[on], minlength=out.size).reshape(out.shape) if on.any() else 0
+    column = np.repeat(np.cumsum(many > 8) - 1, many)
+    often = np.repeat(many > 8, many)
+    o, column = owner[often], column[often]
+    wide = max(256, (1 << 22) // max(1, texts))
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, wide):
+        lo, hi = np.searchsorted(column, [at, at + wide])
+        held = np.zeros((texts, wide), np.float32)  # sums below 2 ** 24 are exact
+        held[o[lo:hi], column[lo:hi] - at] = 1
+        out += np.rint(held[left] @ held.T).astype(np.int64)
+    return out
+
+
+def _tile_links(cfg: MinHashConfig):
+    """Links that join the components of a tile's members: at most one less than there are components."""
+
+    def linked(rep: np.ndarray, component: np.ndarray, other: np.ndarray, first: np.ndarray, bag: np.ndarray) -> Iterator[tuple[int, int]]:
+        size = np.diff(first)
+        left = np.flatnonzero(other)
+        both = shared_counts(left, np.repeat(np.arange(len(rep)), size), bag, len(rep))
+        total = size[left][:, None] + size[None, :] - both
+        near = (both >= cfg.threshold * total) & (component[left][:, None] != component[None, :])
+        parent: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while parent.get(c, c) != c:
+                c = parent[c]
+            return c
+
+        for i in np.flatnonzero(near.any(axis=1)):
+            to = np.flatnonzero(near[i])
+            to = to[np.unique(component[to], return_index=True)[1]]
+            for j in to.tolist():
+                a, b = root(int(component[left[i]])), root(int(component[j]))
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+                    yield int(rep[left[i]]), int(rep[j])
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("bucket").combine_chunks()
+        bucket, rep, component = (table[c].to_numpy() for c in ("bucket", "rep", "component"))
+        other = table["other"].to_numpy(zero_copy_only=False)
+        bags = table["bag"].combine_chunks()
+        bags = bags.chunk(0) if isinstance(bags, pa.ChunkedArray) else bags
+        ends, bag = bags.offsets.to_numpy(), bags.values.to_numpy()
+        cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
+        found = [x for lo, hi in zip(cut[:-1], cut[1:], strict=True) for x in linked(rep[lo:hi], component[lo:hi], other[lo:hi], ends[lo : hi + 1] - ends[lo], bag[ends[lo] : ends[hi]])]
+        return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
 
     return run
 
 
-def supported(texts: DataFrame, cfg: MinHashConfig = MinHashConfig(), rounds: int = 2) -> DataFrame:
-    """doc_id of the texts that could be similar to another text of texts.
+def bucket_links(rest: DataFrame, texts: DataFrame, store: Store, cfg: MinHashConfig, most: int = 512, most_runs: int = 1 << 20) -> DataFrame:
+    """(a, b): links that join the components of each bucket as all links between its members would.
 
-    A text shares only runs that some other text has too; if these weigh less than threshold of
-    it, no similarity can reach the threshold. Runs are counted by hashed place, which can only
-    overstate; the places that two texts hold travel as one bitmap of 4 MB at most. What is left is
-    counted again, since texts that went no longer support others.
+    rest: bucket, rep, component, runs. A bucket's largest component is its main one; what lies in it
+    is joined already, so only the others are compared, with each other and with the main one. Both
+    are cut into blocks of about most members and most_runs runs by a hash, and a tile holds a block
+    of others with one more block; small buckets are one tile, several of them a group. A tile
+    returns links between different components only, fewer than it has members, and no pair of
+    members is ever a row.
     """
-    left = texts
-    for _ in range(rounds):
-        places = left.select("text").mapInArrow(_run_places(cfg), "place long, texts long").groupBy("place").agg(F.sum("texts").alias("n")).where("n > 1").select("place")
-        shared = np.zeros(_PLACES // 8, np.uint8)
-        for row in bitmap(places).collect():
-            at = (row["number"] - 1) * 4096
-            shared[at : at + 4096] = np.frombuffer(row["bits"], np.uint8)
-        ids = left.select("doc_id", "text").mapInArrow(_supported(cfg, shared), "doc_id long").distinct()
-        left = stored(left.join(ids, "doc_id", "left_semi"))
-    return left.select("doc_id").distinct()
-
-
-def _comparable(a: str, b: str, cfg: MinHashConfig) -> Column:
-    """Whether multisets of these sizes could reach the threshold: similarity is at most the smaller size by the larger."""
-    return F.least(a, b) >= F.greatest(a, b) * (cfg.threshold - 1e-9)
+    held = rest.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.sum("runs").alias("r"))
+    held = held.groupBy("bucket").agg(F.max(F.struct("n", "r", "component")).alias("m"), F.sum("n").alias("n"), F.sum("r").alias("r"))
+    blocks = lambda n, r: F.greatest(F.lit(1), F.ceil(n / most), F.ceil(r / most_runs)).cast("int")
+    shape = held.select("bucket", F.col("m.component").alias("main"), blocks(F.col("m.n"), F.col("m.r")).alias("mains"), blocks(F.col("n") - F.col("m.n"), F.col("r") - F.col("m.r")).alias("others"), "r", ((F.col("n") <= most) & (F.col("r") <= most_runs)).alias("small"))
+    shape = store(shape)
+    packs = max(1, -(-(shape.where("small").agg(F.sum("r")).first()[0] or 0) // most_runs))
+    each = rest.select("bucket", "rep", "component").join(shape.drop("r"), "bucket").withColumn("other", F.col("component") != F.col("main"))
+    block = F.pmod(F.xxhash64("rep"), F.when(F.col("other"), F.col("others")).otherwise(F.col("mains"))).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    pair = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
+    of_other = F.concat(F.transform(upto("others"), lambda t: pair(F.least("block", t), F.col("mains") + F.greatest("block", t))), F.transform(upto("mains"), lambda t: pair(F.col("block"), t)))
+    tiles = F.when(F.col("small"), F.array(pair(F.lit(0), F.lit(0)))).when(F.col("other"), of_other).otherwise(F.transform(upto("others"), lambda t: pair(t, F.col("block"))))
+    each = each.withColumn("block", block).withColumn("tile", F.explode(tiles))
+    part = F.when(F.col("small"), F.pmod(F.xxhash64("bucket"), F.lit(packs))).otherwise(F.col("bucket"))
+    each = each.select("bucket", "rep", "component", "other", "small", part.alias("part"), "tile.i", "tile.j")
+    own = texts.join(rest.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    bags = own.mapInArrow(_elements(cfg), "rep long, bag array<long>")
+    return each.join(bags, "rep").groupBy("small", "part", "i", "j").applyInArrow(_tile_links(cfg), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, cfg: MinHashConfig = MinHashConfig()) -> DataFrame:
@@ -249,55 +317,59 @@ def near_duplicates(docs: DataFrame, cfg: MinHashConfig = MinHashConfig()) -> Da
 
     Copies (equal word sequences) collapse before banding. In each bucket every member is compared
     with the bucket's hub, the member that meets most others over all its bands, so a group of n
-    near copies costs n comparisons and not n * n / 2. What remains are pairs of one bucket that the
-    links so far leave in different groups. None is capped; three exact bounds rule most of them out
-    before any pair is made: sizes that differ too much cannot be similar, a member whose runs no
-    other member supports can have no link, and as 1 - similarity is a metric, members whose
-    similarities to the hub differ by more than 1 - threshold have none with each other. All others
-    are compared in full.
+    near copies costs n comparisons and not n * n / 2. Members of one bucket that these links leave
+    in different groups are compared in tiles (bucket_links), all of them. Different texts under one
+    doc_id are one node: it has the links of each of them.
     """
-    signed = stored(signatures(docs, cfg))
-    reps = stored(signed.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("runs").alias("runs"), F.first("bands").alias("bands")))
-    members = reps.select("rep", "runs", F.explode("bands").alias("bucket"))
-    size = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    members = stored(members.join(size, "bucket"))
-    hubs = members.groupBy("rep").agg(F.sum("size").alias("met"))
-    members = stored(members.select("bucket", "rep", "runs").join(hubs, "rep"))
-    lead = members.groupBy("bucket").agg(F.max(F.struct("met", (-F.col("rep")).alias("neg"), "runs")).alias("top")).select("bucket", (-F.col("top.neg")).alias("hub"), F.col("top.runs").alias("hub_runs"))
-    members = members.select("bucket", "rep", "runs").join(lead, "bucket")
-    members = stored(members.withColumns({"a": F.least("rep", "hub"), "b": F.greatest("rep", "hub"), "near_size": _comparable("runs", "hub_runs", cfg)}))
-    pairs = members.where("a < b AND near_size").select("a", "b").distinct()
-    texts = stored(texts_of(members.select("a", "b"), docs))
-    known = stored(overlaps(pairs, texts, cfg))
-    links = known.where(F.col("similarity") >= cfg.threshold).select("a", "b")
-    groups = connected_components(links)
-    placed = members.join(known, ["a", "b"], "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
-    placed = stored(placed.select("bucket", "rep", F.coalesce("component", "rep").alias("component"), "runs", F.when(F.col("a") == F.col("b"), 1.0).otherwise(F.col("similarity")).alias("near")))
-    split = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-    rest = stored(placed.join(split, "bucket"))
-    able = supported(texts.join(rest.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), cfg)
-    rest = stored(rest.join(able.withColumnRenamed("doc_id", "rep"), "rep", "left_semi"))
-    one, two = (rest.select("bucket", F.col("rep").alias(x), F.col("component").alias(f"c{x}"), F.col("near").alias(f"n{x}"), F.col("runs").alias(f"r{x}")) for x in "xy")
-    apart = 1 - cfg.threshold + 1e-9
-    possible = (F.col("cx") < F.col("cy")) & _comparable("rx", "ry", cfg) & F.coalesce(F.abs(F.col("nx") - F.col("ny")) <= apart, F.lit(True))
-    more = one.join(two, "bucket").where(possible).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = stored(more.join(pairs, ["a", "b"], "left_anti"))
-    found = overlaps(more, texts, cfg).where(F.col("similarity") >= cfg.threshold).select("a", "b")
-    groups = connected_components(links.unionByName(found)).select(F.col("node").alias("rep"), "component")
-    classes = reps.select("k1", "k2", "rep").join(groups, "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("class_id"))
-    found = signed.select("doc_id", "k1", "k2").join(classes, ["k1", "k2"]).select("doc_id", "class_id")
-    alone = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NULL OR text IS NULL").select("doc_id", F.col("doc_id").alias("class_id"))
-    return found.unionByName(alone).select("doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"))
+    with scratch(docs.sparkSession) as store:
+        signed = store(signatures(docs, cfg))
+        reps = store(signed.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("runs").alias("runs"), F.first("bands").alias("bands")))
+        links = _links(reps, docs, store, cfg)
+        groups = connected_components(links).select(F.col("node").alias("rep"), "component")
+        classes = reps.select("k1", "k2", "rep").join(groups, "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("class_id"))
+        found = signed.select("doc_id", "k1", "k2").join(classes, ["k1", "k2"]).select("doc_id", "class_id")
+        alone = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NULL OR text IS NULL").select("doc_id", F.col("doc_id").alias("class_id"))
+        return stored(found.unionByName(alone).select("doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept")))
+
+
+def _links(reps: DataFrame, docs: DataFrame, keep: Store, cfg: MinHashConfig) -> DataFrame:
+    """(a, b) between reps: links whose connected components are those of all links of a common bucket."""
+    with scratch(docs.sparkSession) as store:
+        members = reps.select("rep", "runs", F.explode("bands").alias("bucket"))
+        size = store(members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"))
+        members = maybe_among(members, size.select("bucket"), "bucket", "maybe", bits_for(size.count())).where("maybe").drop("maybe")
+        members = store(members.join(size, "bucket"))
+        hubs = members.groupBy("rep").agg(F.sum("size").alias("met"))
+        members = store(members.select("bucket", "rep", "runs").join(hubs, "rep"))
+        lead = members.groupBy("bucket").agg(F.max(F.struct("met", (-F.col("rep")).alias("neg"), "runs")).alias("top")).select("bucket", (-F.col("top.neg")).alias("hub"), F.col("top.runs").alias("hub_runs"))
+        members = members.select("bucket", "rep", "runs").join(lead, "bucket")
+        members = store(members.withColumns({"a": F.least("rep", "hub"), "b": F.greatest("rep", "hub"), "near_size": _comparable("runs", "hub_runs", cfg)}))
+        pairs = members.where("a < b AND near_size").select("a", "b").distinct()
+        ids = store(members.select(F.col("rep").alias("doc_id")).distinct())
+        texts = store(texts_of(ids, docs))
+        links = store(overlaps(pairs, texts, cfg).where(F.col("similarity") >= cfg.threshold).select("a", "b").distinct())
+        groups = connected_components(links).withColumnRenamed("node", "rep")
+        placed = store(members.join(groups, "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"), "runs"))
+        split = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
+        rest = store(placed.join(split, "bucket"))
+        return keep(links.unionByName(bucket_links(rest, texts, store, cfg)))
 
 
 def drop_near_duplicates(docs: DataFrame, cfg: MinHashConfig = MinHashConfig()) -> DataFrame:
-    """docs with one document of each group; rows with a null doc_id all stay, of repeated rows one stays.
+    """docs with one document of each group; rows with a null doc_id all stay.
 
-    Only documents that go or whose id repeats, and few others, are shuffled; the rest pass where they lie.
+    Of several rows with one doc_id the one with the smallest text stays, and of equal texts the row
+    whose other columns come first as JSON. Only documents that go or whose id repeats, and few
+    others, are shuffled; the rest pass where they lie.
     """
-    classes = stored(near_duplicates(docs, cfg).where("doc_id IS NOT NULL"))
-    odd = stored(classes.groupBy("doc_id").agg(F.count("*").alias("_n"), F.bool_or("kept").alias("_keep")).where("_n > 1 OR NOT _keep").select("doc_id", "_keep"))
-    marked = maybe_among(docs, odd)
-    clear = marked.where("doc_id IS NULL OR NOT _maybe").select(*docs.columns)
-    doubtful = marked.where("doc_id IS NOT NULL AND _maybe").join(odd, "doc_id", "left").where(F.coalesce("_keep", F.lit(True)))
-    return clear.unionByName(doubtful.dropDuplicates(["doc_id"]).select(*docs.columns))
+    columns = docs.columns
+    row = F.struct(*[F.col(f"`{c}`") for c in columns])
+    held = docs.select(F.col("doc_id").cast("long").alias("id"), row.alias("row"))
+    classes = near_duplicates(docs, cfg).where("doc_id IS NOT NULL")
+    odd = classes.groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("n"), F.bool_or("kept").alias("keep")).where("n > 1 OR NOT keep")
+    odd = stored(odd.select("id", "keep"))
+    marked = maybe_among(held, odd.select("id"), "id", "maybe", bits_for(odd.count()))
+    clear = marked.where("id IS NULL OR NOT maybe").select("row")
+    doubtful = marked.where("id IS NOT NULL AND maybe").join(odd, "id", "left").where(F.coalesce("keep", F.lit(True)))
+    one = doubtful.groupBy("id").agg(F.min_by("row", F.struct(F.col("row.text"), F.to_json("row"))).alias("row")).select("row")
+    return clear.unionByName(one).select("row.*")
