@@ -97,3 +97,19 @@ def fill_both_ways(df: DataFrame, key: str, order: Sequence[str], value: str, na
     line = F.col("_b.v") + (F.col("_f.v") - F.col("_b.v")) * (F.col("_at") - F.col("_b.at")) / (F.col("_f.at") - F.col("_b.at"))
     both = F.col("_b").isNotNull() & F.col("_f").isNotNull() & (F.col("_f.at") > F.col("_b.at"))
     return rows.withColumn(name, F.when(F.col(value).isNotNull(), F.col(value)).when(both, line).otherwise(F.coalesce("_b.v", "_f.v"))).drop("_at", "_known", "_b", "_f")
+
+
+def hold_or_lose(df: DataFrame, key: str, order: Sequence[str], value: str, most: float) -> DataFrame:
+    """key, step, held, status: a value is kept while it lies within most of the last one kept; from the first that does not, the track is lost.
+
+    Until the loss the last one kept is the one before, so the fold is the first jump and a running
+    maximum: windows, in time and memory of the sort, however long a sequence is. A missing value
+    is a jump.
+    """
+    w = Window.partitionBy(key).orderBy(*order)
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    step = F.row_number().over(w)
+    jump = (step > 1) & ~F.coalesce(F.abs(F.col(value) - F.lag(value).over(w)) <= most, F.lit(False))
+    rows = df.select(key, *order, F.col(value).alias("_v"), step.alias("step"), jump.alias("_jump")).withColumn("_lost", F.max("_jump").over(so_far))
+    held = F.last(F.when(~F.col("_lost"), F.col("_v")), ignorenulls=True).over(so_far)
+    return rows.select(key, "step", held.alias("held"), F.when(F.col("_lost"), "lost").otherwise("ok").alias("status"))

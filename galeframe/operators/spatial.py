@@ -6,7 +6,9 @@ each join is an equi-join; what a search radius cannot decide is widened, never
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -31,20 +33,21 @@ def samples(segments: DataFrame, spacing_km: float = 5.0) -> DataFrame:
 
 def _cells(cell_deg: float, reach: int, lat: str, lon: str) -> Column:
     """Cells around a place; columns of cells wrap at the date line."""
-    wide = int(round(360 / cell_deg))
+    wide = _wide(cell_deg)
     steps = F.sequence(F.lit(-reach), F.lit(reach))
     y, x = F.floor(F.col(lat) / cell_deg).cast("int"), F.floor(F.pmod(F.col(lon) + 180.0, F.lit(360.0)) / cell_deg).cast("int")
     return F.array_distinct(F.flatten(F.transform(steps, lambda a: F.transform(steps, lambda b: F.struct((y + a).alias("cy"), F.pmod(x + b, F.lit(wide)).cast("int").alias("cx"))))))
 
 
-def nearest_segments(points: DataFrame, coast: DataFrame, k: int, point_id: str = "point_id", lat: str = "lat", lon: str = "lon", cell_deg: float = 4.0) -> DataFrame:
+def nearest_segments(points: DataFrame, coast: DataFrame, k: int, point_id: str = "point_id", lat: str = "lat", lon: str = "lon", cell_degs: Sequence[float] = (4.0, 15.0, 60.0)) -> DataFrame:
     """point_id, rank, segment_id, chord2: the k segments whose samples are nearest on the unit sphere, ties to the smaller segment.
 
-    A first join looks in the cells around each point. Its answer is final where the k-th chord is
-    shorter than the way out of those cells; other points (far from any coast) meet the samples of
-    all segments in one more pass, in which every partition of samples keeps k per point.
+    Each round looks in the nine cells around a point. Its answer is final where the k-th chord is
+    shorter than the way out of those cells; the other points, far from any coast, go on to coarser
+    cells, and those that no round decides meet all eighths of the globe. Every round is an equi-join
+    on cells.
     """
-    p = points.select(point_id, F.col(lat).alias("_lat"), F.col(lon).alias("_lon"), geo.unit_xyz(lat, lon).alias("_p"))
+    rest = points.select(point_id, F.col(lat).alias("_lat"), F.col(lon).alias("_lon"), geo.unit_xyz(lat, lon).alias("_p"))
     s = coast.select("segment_id", "s_lat", "s_lon", geo.unit_xyz("s_lat", "s_lon").alias("_s"))
 
     def best(pairs: DataFrame) -> DataFrame:
@@ -52,17 +55,20 @@ def nearest_segments(points: DataFrame, coast: DataFrame, k: int, point_id: str
         w = Window.partitionBy(point_id).orderBy("chord2", "segment_id")
         return each.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
-    near_p = p.withColumn("_c", F.explode(_cells(cell_deg, 1, "_lat", "_lon")))
-    near_s = s.withColumn("_c", F.explode(_cells(cell_deg, 0, "s_lat", "s_lon")))
-    first = best(near_p.join(near_s, "_c"))
-    # a sample outside the nine cells is at least one cell away: in longitude a cell shrinks with the cosine
-    narrow = F.cos(F.radians(F.least(F.lit(90.0), F.abs("_lat") + cell_deg)))
-    way_out = F.pow(F.sin(F.radians(F.lit(cell_deg)) / 2.0) * 2.0 * F.greatest(F.lit(0.0), narrow), F.lit(2))
-    held = first.groupBy(point_id).agg(F.count("*").alias("_n"), F.max("chord2").alias("_far"))
-    sure = p.join(held, point_id).where((F.col("_n") == k) & (F.col("_far") < way_out)).select(point_id)
-    rest = p.join(sure, point_id, "left_anti")
-    far = best(rest.select(point_id, "_p").crossJoin(s.select("segment_id", "_s")))
-    return first.join(sure, point_id, "left_semi").unionByName(far).select(point_id, "rank", "segment_id", "chord2")
+    found = []
+    for cell in cell_degs:
+        first = best(rest.withColumn("_c", F.explode(_cells(cell, 1, "_lat", "_lon"))).join(s.withColumn("_c", F.explode(_cells(cell, 0, "s_lat", "s_lon"))), "_c"))
+        # a sample outside the nine cells is a cell away in latitude, or beyond a meridian a cell away
+        side = F.asin(F.cos(F.radians("_lat")) * F.sin(F.radians(F.lit(cell))))
+        way_out = F.pow(F.sin(F.least(side, F.radians(F.lit(cell))) / 2.0) * 2.0, F.lit(2))
+        held = first.groupBy(point_id).agg(F.count("*").alias("_n"), F.max("chord2").alias("_far"))
+        sure = rest.join(held, point_id).where((F.col("_n") == k) & (F.col("_far") < way_out)).select(point_id)
+        found.append(first.join(sure, point_id, "left_semi"))
+        rest = rest.join(sure, point_id, "left_anti")
+    eighths = F.array(*[F.struct(F.lit(y).alias("cy"), F.lit(x).alias("cx")) for y in (-1, 0) for x in range(4)])
+    own = F.struct(F.least(F.lit(0), F.floor(F.col("s_lat") / 90.0).cast("int")).alias("cy"), F.least(F.lit(3), F.floor(F.pmod(F.col("s_lon") + 180.0, F.lit(360.0)) / 90.0).cast("int")).alias("cx"))
+    found.append(best(rest.withColumn("_c", F.explode(eighths)).join(s.withColumn("_c", own), "_c")))
+    return reduce(DataFrame.unionByName, found).select(point_id, "rank", "segment_id", "chord2")
 
 
 def distance_to_segments(candidates: DataFrame, segments: DataFrame, point_id: str = "point_id", lat: str = "lat", lon: str = "lon") -> DataFrame:
@@ -76,38 +82,65 @@ def distance_to_segments(candidates: DataFrame, segments: DataFrame, point_id: s
     return best.select(point_id, "_m.segment_id", "_m.distance_km", "_m.fraction")
 
 
+def _wide(cell_deg: float) -> int:
+    return int(round(360 / cell_deg))
+
+
 def covered_by(points: DataFrame, edges: DataFrame, point_id: str = "point_id", lat: str = "lat", lon: str = "lon", cell_deg: float = 4.0) -> DataFrame:
-    """point_id, is_land for all points: inside or on a ring by the even-odd rule.
+    """point_id, is_land for all points: inside or on a ring by the even-odd rule, in plain longitudes and latitudes.
 
-    edges: ring_id, lon_a, lat_a, lon_b, lat_b; an edge is sent to the latitude bands it spans, so a
-    point meets the edges of its own band only.
+    edges: ring_id, lon_a, lat_a, lon_b, lat_b, rings that are cut at the date line. A point first
+    meets the rings whose box reaches its cell, then those rings' edges of its own latitude band: two
+    equi-joins.
     """
-    p = points.select(point_id, F.col(lat).alias("_y"), F.col(lon).alias("_x"), F.floor(F.col(lat) / cell_deg).cast("int").alias("_band"))
+    band = lambda y: F.floor(y / cell_deg).cast("int")
+    x = geo.wrap_longitude(lon)
+    p = points.select(point_id, F.col(lat).alias("_y"), x.alias("_x"), band(F.col(lat)).alias("_band"), band(x).alias("_cx"))
+    box = edges.groupBy("ring_id").agg(*[f(pick(f"{c}_a", f"{c}_b")).alias(f"_{n}{c}") for c in ("lat", "lon") for n, f, pick in (("lo", F.min, F.least), ("hi", F.max, F.greatest))])
+    box = box.withColumn("_band", F.explode(F.sequence(band(F.col("_lolat")), band(F.col("_hilat"))))).withColumn("_cx", F.explode(F.sequence(band(F.col("_lolon")), band(F.col("_hilon")))))
+    # a ring that ends at 180 degrees also holds points on the date line, which are at -180
+    seam = box.where(F.col("_hilon") >= 180.0).select("ring_id", "_lolat", "_hilat", "_band", F.lit(band_of(-180.0, cell_deg)).alias("_cx"), F.lit(360.0).alias("_shift")).distinct()
+    box = box.withColumn("_shift", F.lit(0.0)).select("ring_id", "_lolat", "_hilat", "_lolon", "_hilon", "_band", "_cx", "_shift")
+    seam = seam.withColumns({"_lolon": F.lit(180.0), "_hilon": F.lit(180.0)}).select(*box.columns)
+    near = p.join(box.unionByName(seam), ["_band", "_cx"]).withColumn("_x", F.col("_x") + F.col("_shift"))
+    near = near.where(F.col("_y").between(F.col("_lolat"), F.col("_hilat")) & F.col("_x").between(F.col("_lolon"), F.col("_hilon"))).select(point_id, "_x", "_y", "_band", "ring_id").distinct()
     lo, hi = F.least("lat_a", "lat_b"), F.greatest("lat_a", "lat_b")
-    e = edges.withColumn("_band", F.explode(F.sequence(F.floor(lo / cell_deg).cast("int"), F.floor(hi / cell_deg).cast("int"))))
-    both = p.join(e, "_band")
+    e = edges.select("ring_id", "lon_a", "lat_a", "lon_b", "lat_b", F.explode(F.sequence(band(lo), band(hi))).alias("_band"))
+    both = near.join(e, ["ring_id", "_band"])
     x, y, ax, ay, bx, by = (F.col(c) for c in ("_x", "_y", "lon_a", "lat_a", "lon_b", "lat_b"))
     at = ax + (y - ay) * (bx - ax) / F.when(by != ay, by - ay)
     crosses = ((ay > y) != (by > y)) & (at > x)
     turn = (bx - ax) * (y - ay) - (by - ay) * (x - ax)
     on = (F.abs(turn) < 1e-12) & x.between(F.least(ax, bx), F.greatest(ax, bx)) & y.between(F.least(ay, by), F.greatest(ay, by))
-    ring = both.groupBy(point_id, "ring_id").agg(F.count_if(crosses).alias("_n"), F.bool_or(on).alias("_on"))
+    ring = both.groupBy(point_id, "ring_id", "_x").agg(F.count_if(crosses).alias("_n"), F.bool_or(on).alias("_on"))
     land = ring.groupBy(point_id).agg(F.bool_or((F.col("_n") % 2 == 1) | F.col("_on")).alias("is_land"))
     return p.select(point_id).join(land, point_id, "left").select(point_id, F.coalesce("is_land", F.lit(False)).alias("is_land"))
 
 
+def band_of(x: float, cell_deg: float) -> int:
+    return math.floor(x / cell_deg)
+
+
 def crossings(pairs: DataFrame, segments: DataFrame, cell_deg: float = 4.0) -> DataFrame:
-    """Where track pairs (pair_id, a_lat, a_lon, b_lat, b_lon) cross coast segments: pair_id, segment_id, fraction along the pair.
+    """Where track pairs (pair_id, a_lat, a_lon, b_lat, b_lon) cross coast segments: pair_id, segment_id, fraction along the pair, lat, lon.
 
-    Both are clipped to cells of the grid by their bounding boxes for an equi-join, and the crossing
-    is found in the plane around the pair's middle; stretches that lie on each other do not count.
+    Both go to the cells of their boxes, a tenth and a tenth of a degree wider, for an equi-join;
+    longitudes run on over the date line, and columns of cells wrap there. The crossing is found in
+    the plane around the pair's middle; stretches that lie on each other do not count.
     """
+    wide = _wide(cell_deg)
 
     def boxed(df: DataFrame, y1: str, x1: str, y2: str, x2: str) -> DataFrame:
-        span = lambda a, b: F.sequence(F.floor(F.least(a, b) / cell_deg).cast("int"), F.floor(F.greatest(a, b) / cell_deg).cast("int"))
-        return df.withColumn("_cy", F.explode(span(y1, y2))).withColumn("_cx", F.explode(span(x1, x2)))
+        def span(a: Column, b: Column) -> Column:
+            pad = F.abs(a - b) * 0.1 + 0.1
+            return F.sequence(F.floor((F.least(a, b) - pad) / cell_deg).cast("int"), F.floor((F.greatest(a, b) + pad) / cell_deg).cast("int"))
+
+        far = df.withColumn(x2, geo.unwrap_longitude(x2, x1))
+        columns = F.array_distinct(F.transform(span(F.col(x1), F.col(x2)), lambda c: F.pmod(c, F.lit(wide))))
+        return far.withColumn("_cy", F.explode(span(F.col(y1), F.col(y2)))).withColumn("_cx", F.explode(columns))
 
-    both = boxed(pairs, "a_lat", "a_lon", "b_lat", "b_lon").join(boxed(segments, "lat_a", "lon_a", "lat_b", "lon_b"), ["_cy", "_cx"])
+    s = boxed(segments.select("segment_id", "lat_a", "lon_a", "lat_b", "lon_b"), "lat_a", "lon_a", "lat_b", "lon_b")
+    both = boxed(pairs, "a_lat", "a_lon", "b_lat", "b_lon").join(s, ["_cy", "_cx"])
     both = both.dropDuplicates(["pair_id", "segment_id"])
     y0, x0 = (F.col("a_lat") + F.col("b_lat")) / 2.0, (F.col("a_lon") + F.col("b_lon")) / 2.0
     for name, la, lo in (("_p", "a_lat", "a_lon"), ("_q", "b_lat", "b_lon"), ("_s", "lat_a", "lon_a"), ("_t", "lat_b", "lon_b")):
@@ -119,7 +152,7 @@ def crossings(pairs: DataFrame, segments: DataFrame, cell_deg: float = 4.0) -> D
     across = rx * sy - ry * sx
     t, u = (wx * sy - wy * sx) / F.when(across != 0, across), (wx * ry - wy * rx) / F.when(across != 0, across)
     hit = both.withColumn("fraction", t).where(t.between(0.0, 1.0) & u.between(0.0, 1.0))
-    return hit.select("pair_id", "segment_id", "fraction", (F.col("a_lat") + t * (F.col("b_lat") - F.col("a_lat"))).alias("lat"), (F.col("a_lon") + t * (F.col("b_lon") - F.col("a_lon"))).alias("lon"))
+    return hit.select("pair_id", "segment_id", "fraction", (F.col("a_lat") + t * (F.col("b_lat") - F.col("a_lat"))).alias("lat"), geo.wrap_longitude(F.col("a_lon") + t * (F.col("b_lon") - F.col("a_lon"))).alias("lon"))
 
 
 def merge_close(found: DataFrame, limit_km: float = 1.0) -> DataFrame:
@@ -145,7 +178,7 @@ def classify(found: DataFrame, pairs: DataFrame, edges: DataFrame) -> DataFrame:
     """found with crossing_type: landfall (sea before, land after), exit (land before, sea after), else tangent; the ground is looked up midway to the neighbouring crossings."""
     w = Window.partitionBy("pair_id").orderBy("fraction", "segment_id")
     f = found.withColumns({"_b": (F.coalesce(F.lag("fraction").over(w), F.lit(0.0)) + F.col("fraction")) / 2.0, "_a": (F.coalesce(F.lead("fraction").over(w), F.lit(1.0)) + F.col("fraction")) / 2.0, "_n": F.row_number().over(w)})
-    f = f.join(pairs.select("pair_id", "a_lat", "a_lon", "b_lat", "b_lon"), "pair_id")
+    f = f.join(pairs.select("pair_id", "a_lat", "a_lon", "b_lat", geo.unwrap_longitude("b_lon", "a_lon").alias("b_lon")), "pair_id")
     probe = f.select("pair_id", "_n", F.explode(F.array(F.struct(F.lit("before").alias("side"), F.col("_b").alias("t")), F.struct(F.lit("after").alias("side"), F.col("_a").alias("t")))).alias("s"), "a_lat", "a_lon", "b_lat", "b_lon")
     probe = probe.select(F.struct("pair_id", "_n", F.col("s.side").alias("side")).alias("point_id"), (F.col("a_lat") + F.col("s.t") * (F.col("b_lat") - F.col("a_lat"))).alias("lat"), (F.col("a_lon") + F.col("s.t") * (F.col("b_lon") - F.col("a_lon"))).alias("lon"))
     ground = covered_by(probe, edges)

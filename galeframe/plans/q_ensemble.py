@@ -18,11 +18,11 @@ def d15_crps(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _placed(spark: SparkSession, d: str) -> DataFrame:
-    m = views.members(spark, d).where("forecast_id % 10 = 0")
+    m = views.members(spark, d)
     return m.select("forecast_id", "member", (F.lit(15.0) + F.col("value") / 20.0).alias("lat"), (F.lit(130.0) + F.col("value") / 15.0 + F.col("member") / 50.0).alias("lon"), F.lit(15.0).alias("truth_lat"), F.lit(130.0).alias("truth_lon"))
 
 
-@query(f"""WITH p AS (SELECT forecast_id, member, 15e0 + value / 20e0 AS lat, 130e0 + value / 15e0 + member / 50e0 AS lon FROM members WHERE forecast_id % 10 = 0),
+@query(f"""WITH p AS (SELECT forecast_id, member, 15e0 + value / 20e0 AS lat, 130e0 + value / 15e0 + member / 50e0 AS lon FROM members),
 a AS (SELECT forecast_id, avg({lambert("lat", "lon", "15e0", "130e0")}) AS own, count(*) AS m FROM p GROUP BY 1),
 b AS (SELECT x.forecast_id, sum({lambert("x.lat", "x.lon", "y.lat", "y.lon")}) AS pairs FROM p x JOIN p y ON x.forecast_id = y.forecast_id AND x.member < y.member GROUP BY 1)
 SELECT forecast_id, round(own - pairs / (m * m), 6) AS energy FROM a JOIN b USING (forecast_id)""", ("members",))

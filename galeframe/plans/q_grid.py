@@ -26,12 +26,16 @@ def h10_local_minima(spark: SparkSession, d: str) -> DataFrame:
     return g.local_minima(views.grid(spark, d), ["field_id"]).select("field_id", "iy", "ix", "msl")
 
 
-@query("""SELECT a.field_id, a.iy, a.ix, round((((e.v850 - w.v850) / 1e0 / radians(1e0) / (6371000e0 * cos(radians(a.latitude)))) - ((n.u850 - s.u850) / 1e0 / radians(1e0) / 6371000e0) + a.u850 * tan(radians(a.latitude)) / 6371000e0) * 1e5, 5) AS zeta
- FROM grid a JOIN grid e ON e.field_id = a.field_id AND e.iy = a.iy AND e.ix = a.ix + 1 JOIN grid w ON w.field_id = a.field_id AND w.iy = a.iy AND w.ix = a.ix - 1
- JOIN grid n ON n.field_id = a.field_id AND n.ix = a.ix AND n.iy = a.iy + 1 JOIN grid s ON s.field_id = a.field_id AND s.ix = a.ix AND s.iy = a.iy - 1""", ("grid",))
+SLOPE = """CASE WHEN {i} = 0 THEN -1.5e0 * {c} + 2e0 * lead({c}, 1) OVER {w} - 0.5e0 * lead({c}, 2) OVER {w} WHEN {i} = 7 THEN 1.5e0 * {c} - 2e0 * lag({c}, 1) OVER {w} + 0.5e0 * lag({c}, 2) OVER {w}
+   ELSE (lead({c}, 1) OVER {w} - lag({c}, 1) OVER {w}) / 2e0 END / 0.5e0 / radians(1e0)"""
+
+
+@query(f"""SELECT field_id, iy, ix, round((dv / (6371000e0 * cos(radians(latitude))) - du / 6371000e0 + u850 * tan(radians(latitude)) / 6371000e0) * 1e5, 5) AS zeta FROM (
+ SELECT *, {SLOPE.format(i="ix", c="v850", w="east")} AS dv, {SLOPE.format(i="iy", c="u850", w="north")} AS du
+ FROM grid WINDOW east AS (PARTITION BY field_id, iy ORDER BY ix), north AS (PARTITION BY field_id, ix ORDER BY iy))""", ("grid",))
 def h09_vorticity(spark: SparkSession, d: str) -> DataFrame:
     z = g.vorticity(views.grid(spark, d), ["field_id"])
-    return z.where("iy BETWEEN 1 AND 6 AND ix BETWEEN 1 AND 6").select("field_id", "iy", "ix", F.round(F.col("zeta") * 1e5, 5).alias("zeta"))
+    return z.select("field_id", "iy", "ix", F.round(F.col("zeta") * 1e5, 5).alias("zeta"))
 
 
 @query("SELECT field_id, iy, ix, round(sqrt(u10 * u10 + v10 * v10), 6) AS wind FROM grid", ("grid",))

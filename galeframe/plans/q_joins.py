@@ -13,11 +13,11 @@ from galeframe.plans.views import lambert
 
 
 def _cases(spark: SparkSession, d: str) -> DataFrame:
-    f = views.fixes(spark, d).where("fix_id % 3 = 0")
+    f = views.fixes(spark, d)
     return f.select(F.concat(F.lit("C"), F.col("fix_id").cast("string")).alias("forecast_case_id"), "storm_id", F.col("iso_time").alias("init_time"))
 
 
-@query("""SELECT 'C' || a.fix_id::VARCHAR AS forecast_case_id, b.lat AS seed_lat, b.fix_id IS NOT NULL AS has_seed FROM fixes a LEFT JOIN fixes b ON b.storm_id = a.storm_id AND b.iso_time = a.iso_time AND b.track_type = 'main' WHERE a.fix_id % 3 = 0""", ("fixes",))
+@query("""SELECT 'C' || a.fix_id::VARCHAR AS forecast_case_id, b.lat AS seed_lat, b.fix_id IS NOT NULL AS has_seed FROM fixes a LEFT JOIN fixes b ON b.storm_id = a.storm_id AND b.iso_time = a.iso_time AND b.track_type = 'main'""", ("fixes",))
 def c01_seed_lookup(spark: SparkSession, d: str) -> DataFrame:
     return joins.with_seed(_cases(spark, d), views.fixes(spark, d)).select("forecast_case_id", "seed_lat", "has_seed")
 

@@ -95,25 +95,12 @@ WITH RECURSIVE x AS (
   SELECT storm_id, n, wind_kt AS held, true AS ok FROM x WHERE n = 1
   UNION ALL
   SELECT x.storm_id, x.n, CASE WHEN f.ok AND abs(x.wind_kt - f.held) <= 120 THEN x.wind_kt ELSE f.held END, f.ok AND abs(x.wind_kt - f.held) <= 120
-  FROM f JOIN x ON x.storm_id = f.storm_id AND x.n = f.n + 1 WHERE f.n < 30
+  FROM f JOIN x ON x.storm_id = f.storm_id AND x.n = f.n + 1
 )
 SELECT storm_id, n::INTEGER AS step, held, CASE WHEN ok THEN 'ok' ELSE 'lost' END AS status FROM f""", ("fixes",))
 def e05_fold_1d(spark: SparkSession, d: str) -> DataFrame:
     """The tracker's fold in one dimension: each step is judged against the last one kept, and a loss is final."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("storm_id").orderBy("iso_time", "fix_id")
-    x = views.fixes(spark, d).withColumn("n", F.row_number().over(w)).where("n <= 30")
-    rows = x.groupBy("storm_id").agg(F.array_sort(F.collect_list(F.struct("n", "wind_kt"))).alias("xs"))
-    start = F.array(F.struct(F.get("xs", F.lit(0))["n"].alias("step"), F.get("xs", F.lit(0))["wind_kt"].alias("held"), F.lit(True).alias("ok")))
-
-    def step(out, row):
-        last = F.element_at(out, -1)
-        ok = last["ok"] & (F.abs(row["wind_kt"] - last["held"]) <= 120)
-        return F.concat(out, F.array(F.struct(row["n"].alias("step"), F.when(ok, row["wind_kt"]).otherwise(last["held"]).alias("held"), ok.alias("ok"))))
-
-    folded = rows.select("storm_id", F.explode(F.aggregate(F.slice("xs", F.lit(2), F.size("xs")), start, step)).alias("r"))
-    return folded.select("storm_id", F.col("r.step").alias("step"), F.col("r.held").alias("held"), F.when(F.col("r.ok"), "ok").otherwise("lost").alias("status"))
+    return sequences.hold_or_lose(views.fixes(spark, d), "storm_id", ["iso_time", "fix_id"], "wind_kt", 120.0)
 
 
 @query("""SELECT storm_id, max(CASE WHEN ok THEN n END)::INTEGER AS last_ok, min(CASE WHEN NOT ok THEN n END)::INTEGER AS first_bad,

@@ -17,13 +17,13 @@ def _coast_samples(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _points(spark: SparkSession, d: str) -> DataFrame:
-    return views.fixes(spark, d).where("fix_id % 10 = 0").select(F.col("fix_id").alias("point_id"), "lat", "lon")
+    return views.fixes(spark, d).select(F.col("fix_id").alias("point_id"), "lat", "lon")
 
 
 @query("""
 WITH s AS (SELECT n_nationkey::BIGINT AS segment_id, -180e0 + 14.4e0 * n_nationkey AS s_lon, y::DOUBLE AS s_lat FROM nation, (SELECT unnest(range(-60, 61, 2)) AS y)),
 u AS (SELECT segment_id, cos(radians(s_lat)) * cos(radians(s_lon)) AS x, cos(radians(s_lat)) * sin(radians(s_lon)) AS y, sin(radians(s_lat)) AS z FROM s),
-p AS (SELECT fix_id AS point_id, cos(radians(lat)) * cos(radians(lon)) AS x, cos(radians(lat)) * sin(radians(lon)) AS y, sin(radians(lat)) AS z FROM fixes WHERE fix_id % 10 = 0),
+p AS (SELECT fix_id AS point_id, cos(radians(lat)) * cos(radians(lon)) AS x, cos(radians(lat)) * sin(radians(lon)) AS y, sin(radians(lat)) AS z FROM fixes),
 c AS (SELECT point_id, segment_id, round(min((p.x - u.x) * (p.x - u.x) + (p.y - u.y) * (p.y - u.y) + (p.z - u.z) * (p.z - u.z)), 9) AS chord2 FROM p, u GROUP BY 1, 2)
 SELECT point_id, rank::INTEGER AS rank, segment_id, chord2 FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY chord2, segment_id) AS rank FROM c) WHERE rank <= 3""", ("fixes",))
 def c05_nearest_segments(spark: SparkSession, d: str) -> DataFrame:
@@ -54,14 +54,14 @@ def land_edges(spark: SparkSession, d: str) -> DataFrame:
 
 @query("WITH " + EDGES + """ SELECT fix_id AS point_id, EXISTS (SELECT 1 FROM (SELECT ring_id, sum(((lat_a > lat) <> (lat_b > lat) AND lon_a + (lat - lat_a) * (lon_b - lon_a) / (lat_b - lat_a) > lon)::INTEGER) AS n,
   bool_or(abs((lon_b - lon_a) * (lat - lat_a) - (lat_b - lat_a) * (lon - lon_a)) < 1e-12 AND lon BETWEEN least(lon_a, lon_b) AND greatest(lon_a, lon_b) AND lat BETWEEN least(lat_a, lat_b) AND greatest(lat_a, lat_b)) AS on_edge
-  FROM edges GROUP BY ring_id) WHERE n % 2 = 1 OR on_edge) AS is_land FROM fixes WHERE fix_id % 10 = 0""", ("fixes",))
+  FROM edges GROUP BY ring_id) WHERE n % 2 = 1 OR on_edge) AS is_land FROM fixes""", ("fixes",))
 def c06_point_in_polygon(spark: SparkSession, d: str) -> DataFrame:
     return spatial.covered_by(_points(spark, d), land_edges(spark, d))
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
     p = sequences.consecutive_pairs(views.fixes(spark, d), "storm_id", "iso_time", "fix_id", ["lat", "lon"]).where("NOT gap")
-    return p.select(F.col("a_fix_id").alias("pair_id"), "a_lat", "a_lon", "b_lat", "b_lon").where(F.abs(F.col("a_lon") - F.col("b_lon")) < 30)
+    return p.select(F.col("a_fix_id").alias("pair_id"), "a_lat", "a_lon", "b_lat", "b_lon")
 
 
 @query()
