@@ -86,13 +86,13 @@ def identifier_agrees(identifier: Column | str, atcf: Column | str) -> Column:
 
 
 def case_id(storm: Column | str, ordinal: Column | str) -> Column:
-    """storm-CE##."""
-    return F.concat(_c(storm).cast("string"), F.lit("-CE"), F.lpad(_c(ordinal).cast("string"), 2, "0"))
+    """storm-CE##; longer numbers keep all their digits."""
+    return F.concat(_c(storm).cast("string"), F.lit("-CE"), F.format_string("%02d", _c(ordinal).cast("long")))
 
 
 def forecast_case_id(case: Column | str, lead: Column | str) -> Column:
-    """case-L###."""
-    return F.concat(_c(case), F.lit("-L"), F.lpad(_c(lead).cast("string"), 3, "0"))
+    """case-L###; longer leads keep all their digits."""
+    return F.concat(_c(case), F.lit("-L"), F.format_string("%03d", _c(lead).cast("long")))
 
 
 def split_case_id(forecast_case: Column | str) -> Column:

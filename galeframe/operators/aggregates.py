@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from galeframe.functions import scalar
+from galeframe.operators.joins import in_interval
 
 
 def lifetime_peak(fixes: DataFrame, at_least: float, key: str = "storm_id", wind: str = "wind_kt") -> DataFrame:
@@ -45,11 +46,9 @@ def episodes(contacts: DataFrame, dense: DataFrame, padding_hours: float = 6.0,
         F.min(F.struct("distance_km", "iso_time", "fix_id", "wind_kt")).alias("closest"),
         flag("r34").alias("r34_contact"), flag("r50").alias("r50_contact"), flag("r64").alias("r64_contact"), flag("proxy").alias("proxy_contact"), flag("landfall").alias("landfall_contact"),
     )
-    pad = int(padding_hours * scalar.HOUR_US)
-    lo, hi = scalar.micros("episode_start") - pad, scalar.micros("episode_end") + pad
     key = ["storm_id", "episode_group"]
-    near = spans.select(*key, lo.alias("lo"), hi.alias("hi"))
-    inside = near.join(dense.select("storm_id", "iso_time", "wind_kt", "r34_any"), "storm_id").where(scalar.micros("iso_time").between(F.col("lo"), F.col("hi")))
+    near = spans.select(*key, "episode_start", "episode_end")
+    inside = in_interval(dense.select("storm_id", "iso_time", "wind_kt", "r34_any"), near, "storm_id", "iso_time", "episode_start", "episode_end", padding_hours)
     window = inside.groupBy(*key).agg(
         F.max("wind_kt").alias("episode_vmax_kt"), coverage_fraction(["wind_kt"]).alias("wind_coverage"), F.avg(F.coalesce("r34_any", F.lit(False)).cast("double")).alias("r34_coverage"),
     )
@@ -57,7 +56,7 @@ def episodes(contacts: DataFrame, dense: DataFrame, padding_hours: float = 6.0,
     if crossings is None:
         out = out.withColumns({"landfall_time": F.lit(None).cast("timestamp_ntz"), "landfall_count": F.lit(0).cast("long"), "landfall_vmax_kt": F.lit(None).cast("double")})
     else:
-        hit = near.join(crossings.where("crossing_type = 'landfall'"), "storm_id").where(scalar.micros("crossing_time").between(F.col("lo"), F.col("hi")))
+        hit = in_interval(crossings.where("crossing_type = 'landfall'").select("storm_id", "crossing_time", "wind_kt"), near, "storm_id", "crossing_time", "episode_start", "episode_end", padding_hours)
         hit = hit.groupBy(*key).agg(F.min("crossing_time").alias("landfall_time"), F.count("*").cast("long").alias("landfall_count"), F.max("wind_kt").alias("landfall_vmax_kt"))
         out = out.join(hit, key, "left").withColumn("landfall_count", F.coalesce("landfall_count", F.lit(0).cast("long")))
     w = Window.partitionBy("storm_id").orderBy("episode_start", "episode_group")

@@ -92,7 +92,9 @@ def fill_both_ways(df: DataFrame, key: str, order: Sequence[str], value: str, na
     at = F.row_number().over(w)
     rows = df.withColumn("_at", at).withColumn("_known", F.when(F.col(value).isNotNull(), F.struct(F.col("_at").alias("at"), F.col(value).alias("v"))))
     back = F.last("_known", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.first("_known", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    # backwards too the frame ends at the row: one that looks ahead would be read anew for each row
+    down = Window.partitionBy(key).orderBy(F.col("_at").desc())
+    ahead = F.last("_known", ignorenulls=True).over(down.rowsBetween(Window.unboundedPreceding, 0))
     rows = rows.withColumn("_b", back).withColumn("_f", ahead)
     line = F.col("_b.v") + (F.col("_f.v") - F.col("_b.v")) * (F.col("_at") - F.col("_b.at")) / (F.col("_f.at") - F.col("_b.at"))
     both = F.col("_b").isNotNull() & F.col("_f").isNotNull() & (F.col("_f.at") > F.col("_b.at"))

@@ -76,7 +76,7 @@ COVER = "init_time timestamp_ntz, storm_id string, iso_time timestamp_ntz, w dou
 def covered(spark, points, reference="2022-01-01 03:00:00"):
     e = spark.createDataFrame([("c", "s", t(reference))], "case_id string, storm_id string, reference_time timestamp_ntz")
     p = spark.createDataFrame([("s", t(x), w, q) for x, w, q in points], "storm_id string, iso_time timestamp_ntz, w double, p double")
-    return joins.coverage_flags(joins.bracket(e, p, "storm_id", "reference_time", "iso_time", ["w", "p"], "case_id"), "w", "p").first()
+    return joins.coverage_flags(joins.bracket(e, p, "storm_id", "reference_time", "iso_time", ["w", "p"]), "w", "p").first()
 
 
 def test_brackets(spark):
