@@ -92,20 +92,48 @@ def test_mix_meets_targets(spark):
         assert abs(sum(r.size * r.times for r in rs) - want[s]) <= 1
         assert all(r.times == 0 for r in rs if r.size == 0)
     key = lambda rs: sorted((str(r.doc_id), str(r.source), r.size, r.times) for r in rs)
-    assert key(got) == key(mixing.allotment(sizes.repartition(3), seed=1, part_bits=1).collect())
+    assert key(got) == key(mixing.allotment(sizes.repartition(3), seed=1, range_docs=3).collect())
     mix = mixing.mixed(df, seed=1)
     assert mix.columns == df.columns and mix.count() == sum(r.times for r in got)
+    taken = {}
+    for r in mix.collect():
+        taken[r.doc_id, r.source, r.text] = taken.get((r.doc_id, r.source, r.text), 0) + 1
+    assert 0 < taken[2000, "b", "same words here"] <= 90 and (1000, "b", None) not in taken
+    odd = df.withColumns({c: F.lit(7) for c in ("mix_size", "mix_k", "mix_times", "mix_id", "s", "n", "row", "times", "tied", "docs", "extra", "cut_h", "json", "target", "size")})
+    assert sorted(map(str, mixing.mixed(odd, seed=1).select(*df.columns).collect())) == sorted(map(str, mix.collect()))
+    assert mixing.mixed(odd, seed=1).where("mix_size <> 7 OR n <> 7 OR row <> 7").isEmpty() and mixing.mixed(odd).columns == odd.columns
     assert mixing.allotment(sizes.limit(0)).collect() == [] and mixing.mixed(df.limit(0)).collect() == []
 
 
+def nearest(lengths, counts, budget):
+    """Distance of the nearest sum from budget, by the set of all sums."""
+    reach = 1
+    for n, c in zip(lengths, counts, strict=True):
+        for _ in range(c):
+            reach |= reach << n
+    below = (reach & (2 << budget) - 1).bit_length() - 1
+    above = reach >> budget + 1
+    return min(budget - below, (above & -above).bit_length() or 1 << 62)
+
+
+def check_fit(lengths, counts, budget):
+    got = mixing.fit_counts(lengths, counts, budget)
+    assert all(0 <= t <= c for t, c in zip(got, counts, strict=True))
+    assert abs(sum(n * t for n, t in zip(lengths, got, strict=True)) - budget) == nearest(lengths, counts, budget)
+
+
 def test_budget_fit_equals_brute_force():
     rng = random.Random(6)
-    for _ in range(200):
+    for _ in range(400):
         lengths = rng.sample(range(1, 30), 4)
         counts = [rng.randrange(1, 4) for _ in lengths]
-        budget = rng.randrange(0, sum(n * c for n, c in zip(lengths, counts, strict=True)) + 5)
-        got = mixing.fit_counts(lengths, counts, budget)
-        total = sum(n * t for n, t in zip(lengths, got, strict=True))
-        reach = {sum(n * t for n, t in zip(lengths, c, strict=True)) for c in itertools.product(*(range(c + 1) for c in counts))}
-        assert all(0 <= t <= c for t, c in zip(got, counts, strict=True))
-        assert total == max(r for r in reach if r <= budget)
+        check_fit(lengths, counts, rng.randrange(0, sum(n * c for n, c in zip(lengths, counts, strict=True)) + 5))
+    for _ in range(60):
+        lengths = rng.sample(range(1, 20_000), rng.randrange(1, 6))
+        counts = [rng.choice([1, 2, 9, 40]) for _ in lengths]
+        check_fit(lengths, counts, rng.randrange(0, sum(n * c for n, c in zip(lengths, counts, strict=True))))
+    for budget in (100_003, 180_007, 299_999):
+        check_fit([9000, 9001, 20_011], [50] * 3, budget)
+    many = list(range(1, 20_000, 7))
+    got = mixing.fit_counts(many, [1000] * len(many), 12_345_678_901)
+    assert sum(n * t for n, t in zip(many, got, strict=True)) == 12_345_678_901
