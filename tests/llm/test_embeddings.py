@@ -52,6 +52,21 @@ def test_near_threshold_pairs_are_settled_exactly(spark):
     assert got == {0: 1, 1: 1, 2: 0}
 
 
+def test_long_vectors_and_many_pairs_at_the_threshold(spark):
+    """Over 1024 components, and a crowd of pairs that the codes cannot settle."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(60, 2500))
+    x[30:] = x[:30] + rng.normal(size=(30, 2500)) * np.linspace(0.3, 0.7, 30)[:, None]
+    want_links, want = brute(x, 0.9)
+    got = {r.vec_id: r for r in near_duplicate_vectors(vectors(spark, [(i, v.tolist(), 0) for i, v in enumerate(x)], "double"), 0.9).collect()}
+    assert 0 < want_links.sum() < 60 and [got[i].n_links for i in range(60)] == want_links.tolist() and [got[i].component_id for i in range(60)] == want.tolist()
+    angle = np.arccos(0.9)
+    y = np.array([[np.cos(k * angle + e), np.sin(k * angle + e)] for k in range(4) for e in rng.normal(size=40) * 1e-6])
+    want_links, want = brute(y, 0.9)
+    got = {r.vec_id: r for r in near_duplicate_vectors(vectors(spark, [(i, v.tolist(), 0) for i, v in enumerate(y)], "double"), 0.9).collect()}
+    assert [got[i].n_links for i in range(160)] == want_links.tolist() and [got[i].component_id for i in range(160)] == want.tolist()
+
+
 def test_unusable_vectors_link_with_nothing(spark):
     rows = [(1, [1.0, 0.0], 1), (2, [1.0, 0.0], 2), (3, None, 1), (4, [0.0, 0.0], 1), (5, [float("nan"), 1.0], 1), (6, [None, 1.0], 1), (7, [float("inf"), 1.0], 1), (8, [1.0], 1), (9, [2.0, 0.0], 1), (10, [], 1), (None, [1.0, 0.0], 1)]
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in near_duplicate_vectors(vectors(spark, rows), 0.9).collect()}
