@@ -44,17 +44,32 @@ def _plan(a: argparse.Namespace) -> int:
 
 
 def _track(a: argparse.Namespace) -> int:
-    """Cases with seeds and grids (Parquet) to tracks; resumes where results of the same parameters lie. 1 if any input was broken."""
+    """Cases with seeds and grids (Parquet) to tracks. 1 if any input is broken.
+
+    With --resume, results of the same run are kept: one whose case or grid files changed raises
+    before anything is written, and cases with broken inputs are run again.
+    """
     spark = _spark()
     cfg = tracking.TrackerConfig(a.search_km, a.disk_km, a.vorticity)
-    mark = checkpoint.fingerprint(grid=a.grid, config=vars(cfg))
-    cases = spark.read.parquet(a.cases).withColumn("fingerprint", F.lit(mark))
-    shape = f"model string, forecast_case_id string, {tracking.POINT}, fingerprint string, case_status string"
+    keys = ["model", "forecast_case_id"]
+    cases, grid = spark.read.parquet(a.cases).select(*keys, "forecast_hours", "seed_lat", "seed_lon"), spark.read.parquet(a.grid)
+    chosen = cases.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*cases.columns).cast("decimal(38,0)")).cast("string").alias("h")).first()
+    run = checkpoint.fingerprint(config=vars(cfg), cases=[chosen["n"], chosen["h"]], form=1)
+    shape = f"model string, forecast_case_id string, {tracking.POINT}, run string, fingerprint string, case_status string, written timestamp"
     done = checkpoint.stored_results(spark, a.out, shape)
-    points = tracking.track(checkpoint.pending(cases, done, ["model", "forecast_case_id"]), spark.read.parquet(a.grid), cfg)
-    status = tracking.outcomes(points).select("model", "forecast_case_id", "case_status")
-    checkpoint.store(points.join(status, ["model", "forecast_case_id"]).withColumn("fingerprint", F.lit(mark)), a.out)
-    return int(not checkpoint.stored_results(spark, a.out, shape).where("case_status = 'input_error'").isEmpty())
+    if not a.resume and not done.isEmpty():
+        raise IntegrityError(f"{a.out} holds results; take another folder or --resume")
+    for row in done.select("run").distinct().limit(2).collect():
+        checkpoint.require_same_run(row["run"], run)
+    marked = checkpoint.case_fingerprints(cases, grid, keys, run)
+    now = checkpoint.latest(done, [*keys, "lead_hours"], "written")
+    checkpoint.require_same_inputs(marked, now, keys)
+    due = checkpoint.pending(marked, now, keys)
+    points = tracking.track(due, grid, cfg)
+    status = tracking.outcomes(points).select(*keys, "case_status")
+    checkpoint.store(points.join(status, keys).join(due.select(*keys, "fingerprint"), keys).withColumns({"run": F.lit(run), "written": F.current_timestamp()}), a.out)
+    held = checkpoint.latest(checkpoint.stored_results(spark, a.out, shape), [*keys, "lead_hours"], "written")
+    return int(not held.where("case_status = 'input_error'").isEmpty())
 
 
 def parser() -> argparse.ArgumentParser:
@@ -79,6 +94,7 @@ def parser() -> argparse.ArgumentParser:
         t.add_argument(name, required=True)
     for name, value in (("--search-km", 445.0), ("--disk-km", 278.0), ("--vorticity", 5e-5)):
         t.add_argument(name, type=float, default=value)
+    t.add_argument("--resume", action="store_true")
     t.set_defaults(run=_track)
     return p
 

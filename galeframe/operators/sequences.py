@@ -115,3 +115,20 @@ def hold_or_lose(df: DataFrame, key: str, order: Sequence[str], value: str, most
     rows = df.select(key, *order, F.col(value).alias("_v"), step.alias("step"), jump.alias("_jump")).withColumn("_lost", F.max("_jump").over(so_far))
     held = F.last(F.when(~F.col("_lost"), F.col("_v")), ignorenulls=True).over(so_far)
     return rows.select(key, "step", held.alias("held"), F.when(F.col("_lost"), "lost").otherwise("ok").alias("status"))
+
+
+def line_segments(df: DataFrame, key: str, order: Sequence[str], tie: str, value: str, lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """Track pieces to draw: key, tie of both ends, start and end with the end's longitude moved by 360 where the piece crosses the date line, and the mean value of the ends.
+
+    Missing values are first filled along the track; a piece without a position at either end, or
+    without any value, is left out.
+    """
+    filled = fill_both_ways(df.withColumn("_v", scalar.finite(value)), key, order, "_v", "_filled")
+    w = Window.partitionBy(key).orderBy(*order)
+    ahead = lambda c: F.lead(c).over(w)
+    p = filled.select(key, F.col(tie).alias("from_id"), ahead(tie).alias("to_id"), F.col(lat).alias("start_lat"), F.col(lon).alias("start_lon"), ahead(lat).alias("end_lat"), ahead(lon).alias("_lon"), F.col("_filled").alias("_a"), ahead("_filled").alias("_b"))
+    there = geo.valid_position("start_lat", "start_lon") & geo.valid_position("end_lat", "_lon")
+    jump = F.col("_lon") - F.col("start_lon")
+    end = F.when(jump > 180, F.col("_lon") - 360.0).when(jump < -180, F.col("_lon") + 360.0).otherwise(F.col("_lon"))
+    mean = (F.coalesce("_a", "_b") + F.coalesce("_b", "_a")) / 2.0
+    return p.where(F.col("to_id").isNotNull() & there).withColumns({"end_lon": end, "value": mean}).where(F.col("value").isNotNull()).drop("_lon", "_a", "_b")

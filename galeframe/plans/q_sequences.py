@@ -143,11 +143,16 @@ def e11_first_message(spark: SparkSession, d: str) -> DataFrame:
     return views.messages(spark, d).groupBy("storm_id", "init_time").agg(F.min("message_id").alias("message_id"))
 
 
-@query("""SELECT fix_id, next_fix, abs(b_lon - a_lon) > 180 AS splits, round(a_lat, 6) AS lat_from, round(b_lat, 6) AS lat_to FROM (SELECT fix_id, lat AS a_lat, lon AS a_lon, lead(fix_id) OVER w AS next_fix, lead(lat) OVER w AS b_lat, lead(lon) OVER w AS b_lon
- FROM fixes WINDOW w AS (PARTITION BY storm_id ORDER BY iso_time, fix_id)) WHERE next_fix IS NOT NULL""", ("fixes",))
+@query("""
+WITH a AS (SELECT *, row_number() OVER (PARTITION BY storm_id ORDER BY iso_time, fix_id) AS n, CASE WHEN nature <> 'click' THEN wind_kt END AS v FROM fixes),
+b AS (SELECT *, last(CASE WHEN v IS NOT NULL THEN n END IGNORE NULLS) OVER (PARTITION BY storm_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS bn,
+  first(CASE WHEN v IS NOT NULL THEN n END IGNORE NULLS) OVER (PARTITION BY storm_id ORDER BY n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS fn FROM a),
+f AS (SELECT b.*, CASE WHEN b.v IS NOT NULL THEN b.v WHEN l.v IS NOT NULL AND r.v IS NOT NULL THEN l.v + (r.v - l.v) * (b.n - b.bn) / (b.fn - b.bn) ELSE coalesce(l.v, r.v) END AS filled
+  FROM b LEFT JOIN a l ON l.storm_id = b.storm_id AND l.n = b.bn LEFT JOIN a r ON r.storm_id = b.storm_id AND r.n = b.fn)
+SELECT x.fix_id, y.fix_id AS next_fix, round(x.lat, 6) AS start_lat, round(x.lon, 6) AS start_lon, round(y.lat, 6) AS end_lat,
+  round(CASE WHEN y.lon - x.lon > 180 THEN y.lon - 360e0 WHEN y.lon - x.lon < -180 THEN y.lon + 360e0 ELSE y.lon END, 6) AS end_lon, round((coalesce(x.filled, y.filled) + coalesce(y.filled, x.filled)) / 2e0, 6) AS value
+FROM f x JOIN f y ON y.storm_id = x.storm_id AND y.n = x.n + 1 WHERE coalesce(x.filled, y.filled) IS NOT NULL""", ("fixes",))
 def a27_h19_line_segments(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("storm_id").orderBy("iso_time", "fix_id")
-    f = views.fixes(spark, d).select("fix_id", "lat", "lon", F.lead("fix_id").over(w).alias("next_fix"), F.lead("lat").over(w).alias("b_lat"), F.lead("lon").over(w).alias("b_lon"))
-    return f.where("next_fix IS NOT NULL").select("fix_id", "next_fix", (F.abs(F.col("b_lon") - F.col("lon")) > 180).alias("splits"), F.round("lat", 6).alias("lat_from"), F.round("b_lat", 6).alias("lat_to"))
+    f = views.fixes(spark, d).withColumn("v", F.when(F.col("nature") != "click", F.col("wind_kt")))
+    r = lambda c: F.round(c, 6).alias(c)
+    return sequences.line_segments(f, "storm_id", ["iso_time", "fix_id"], "fix_id", "v").select(F.col("from_id").alias("fix_id"), F.col("to_id").alias("next_fix"), r("start_lat"), r("start_lon"), r("end_lat"), r("end_lon"), r("value"))

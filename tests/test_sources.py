@@ -31,6 +31,19 @@ def test_best_track(spark, tmp_path):
     truth = best_track.read_truth(spark, p, "2022-01-01 00:00:00", "2022-01-02 00:00:00").collect()
     assert [r.USA_ATCF_ID for r in truth] == ["AL012022"] * 2
     assert best_track.read_catalog(spark, p).where("BASIN = 'NA'").count() == 2 and best_track.read_plan(spark, p).where("USA_PRES = ''").count() >= 1
+    bare = track_file(tmp_path, ",N,NA,TS,main,TS,2022-01-01 06:00:00,1,2,5,9,AL012022")
+    assert [r.SID for r in best_track.read_truth(spark, bare, "2022-01-01 00:00:00", "2022-01-02 00:00:00").collect()] == [None]
+
+
+def test_rows_are_numbered_over_blocks_of_a_file(spark, tmp_path):
+    p = track_file(tmp_path, *[f"S{k:04d},N,NA,TS,main,TS,2022-01-01 00:00:00,1,{k / 100},70,990,A" for k in range(3000)])
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        got = best_track.read(spark, p)
+        assert spark.read.csv(p).rdd.getNumPartitions() > 1 and [r.SOURCE_ROW for r in got.orderBy("SID").collect()] == list(range(3000))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
 
 
 @pytest.mark.parametrize("line", ["S1,N,NA,TS,main,TS,2022-01-01 03:00:00,1,2,5,9,A", ",N,NA,TS,main,TS,2022-01-01 00:00:00,1,2,5,9,A", "S2,N,NA,TS,main,TS,never,1,2,5,9,A", "S2,N,NA,TS,main,TS,2022-01-01 00:00:00,,2,5,9,A"])
@@ -206,3 +219,43 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["catalog", "plan", "--config", str(p), "--events", str(tmp_path / "e.csv"), "--out", str(tmp_path / "plan")]) == 0
     assert spark.read.option("header", True).csv(str(tmp_path / "plan")).count() == 2
     assert cli.main(["catalog", "plan", "--config", str(p), "--events", str(tmp_path / "none.csv"), "--out", str(tmp_path / "x")]) == 2
+
+
+def test_tracking_resumes_strictly(spark, tmp_path):
+    """Broken inputs are run again once repaired, other changes raise, the newest results count."""
+    import numpy as np
+
+    from galeframe import cli
+
+    def grid(path, holed):
+        ys, xs = np.arange(10.0, 20.1, 0.5), np.arange(125.0, 135.1, 0.5)
+        rows = [("m", f"c{k}-L024", 6, float(y), float(x), float(99_000 + 300 * ((y - 15) ** 2 + (x - 130) ** 2)), float(-8e-5 * np.radians(y - 15) * 6.371e6), float(8e-5 * np.radians(x - 130) * 6.371e6 * np.cos(np.radians(y))), 3.0, 4.0) for k in (1, 2) for y in ys for x in xs if not (holed and k == 2 and y == 15 and x == 131)]
+        df = spark.createDataFrame(rows, "model string, forecast_case_id string, lead_hours int, latitude double, longitude double, msl double, u850 double, v850 double, u10 double, v10 double")
+        df.repartition("forecast_case_id").write.mode("overwrite").partitionBy("forecast_case_id").parquet(path)
+
+    def cases(path, hours):
+        spark.createDataFrame([("m", f"c{k}-L024", hours, 15.0, 130.0) for k in (1, 2)], "model string, forecast_case_id string, forecast_hours int, seed_lat double, seed_lon double").write.mode("overwrite").parquet(path)
+
+    g, c, out = (str(tmp_path / n) for n in ("grid", "cases", "out"))
+    grid(g, True)
+    cases(c, 6)
+    run = lambda *more: cli.main(["track", "--grid", g, "--cases", c, "--out", out, *more])
+    assert run() == 1 and run() == 2 and run("--resume") == 1
+    whole = str(tmp_path / "whole")
+    grid(whole, False)
+    import glob
+    import os
+    import shutil
+
+    for f in glob.glob(f"{g}/forecast_case_id=c2-L024/*.parquet"):  # only the broken case's file is repaired
+        os.remove(f)
+    shutil.copy(glob.glob(f"{whole}/forecast_case_id=c2-L024/*.parquet")[0], f"{g}/forecast_case_id=c2-L024/part-new.parquet")
+    assert run("--resume") == 0
+    rows = spark.read.parquet(out)
+    assert rows.where("forecast_case_id = 'c1-L024'").count() == 1 and rows.where("forecast_case_id = 'c2-L024' AND status = 'ok'").count() == 1
+    assert run("--resume", "--search-km", "300") == 2
+    cases(c, 12)
+    assert run("--resume") == 2
+    cases(c, 6)
+    shutil.copy(f"{g}/forecast_case_id=c2-L024/part-new.parquet", f"{g}/forecast_case_id=c1-L024/part-more.parquet")
+    assert run("--resume") == 2 and spark.read.parquet(out).count() == rows.count()
