@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from galeframe.llm.common import text_slices
+
 CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]", "<|turn|>", "<|text|>", "<|end|>")
 BOS, EOS, USER, USER_END, TURN, TEXT, END = range(len(CONTROLS))
 RESERVED = 50_257  # the vocabulary's ids are all below
@@ -78,15 +80,16 @@ def _encode(path: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path).encode_ordinary
         for batch in batches:
-            ids, masks = [], []
-            for role, text in zip(batch.column("role").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                own, steps = _segment(role or "", text or "", encode)
-                ids.append(own)
-                masks.append(np.cumsum(steps)[: len(own)].astype(np.int8))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("conv_id"), batch.column("turn"), batch.column("role"), batch.column("text"), pa.array(ids, pa.list_(pa.int32())), pa.array(masks, pa.list_(pa.int8()))],
-                names=["conv_id", "turn", "role", "text", "ids", "loss"],
-            )
+            for part in text_slices(batch, "text"):
+                ids, masks = [], []
+                for role, text in zip(part.column("role").to_pylist(), part.column("text").to_pylist(), strict=True):
+                    own, steps = _segment(role or "", text or "", encode)
+                    ids.append(np.array(own, np.int32))
+                    masks.append(np.cumsum(steps)[: len(own)].astype(np.int8))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("conv_id"), part.column("turn"), part.column("role"), part.column("text"), pa.array(ids, pa.list_(pa.int32())), pa.array(masks, pa.list_(pa.int8()))],
+                    names=["conv_id", "turn", "role", "text", "ids", "loss"],
+                )
 
     return run
 

@@ -82,6 +82,14 @@ def repeated(rows: DataFrame, times: str, chunk: int = 1024) -> DataFrame:
     return held.select("row.*")
 
 
+def counted_up(rows: DataFrame, first: str, count: str, name: str, chunk: int = 1024) -> DataFrame:
+    """rows once for each number first, first + 1 .. first + count - 1, as column name; the numbers are made in chunks, so no long array is ever held."""
+    at = f"{name}_chunk"
+    held = rows.withColumn(at, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(count) - 1) / chunk))))
+    start = F.col(first) + F.col(at) * chunk
+    return held.withColumn(name, F.explode(F.sequence(start, F.least(F.col(first) + F.col(count), start + chunk) - 1))).drop(at)
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of an undirected graph; component is the smallest node reachable.
 

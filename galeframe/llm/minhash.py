@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from galeframe.llm.common import Store, connected_components, scratch, stored, text_slices
-from galeframe.llm.textkit import U, mix, shingles, text_keys, words
+from galeframe.llm.textkit import U, mix, shingles, text_keys, word_hashes
 
 
 @dataclass(frozen=True)
@@ -95,7 +95,7 @@ def _signed(cfg: MinHashConfig):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch, "text"):
-                found = words(part.column("text"))
+                found = word_hashes(part.column("text"))
                 n = part.num_rows
                 owner, sh = shingles(found, cfg.width)
                 counts = np.diff(found.first)
@@ -107,7 +107,7 @@ def _signed(cfg: MinHashConfig):
                     key = mix(key) + sig[:, i :: cfg.rows]
                 key = mix(key + np.arange(1, cfg.bands + 1, dtype=U)[None, :] * U(0x9E3779B97F4A7C15))
                 # the words in order, so that texts that differ in case and punctuation only are copies
-                place = np.arange(len(found.starts)) - np.repeat(found.first[:-1], counts)
+                place = np.arange(len(found.values)) - np.repeat(found.first[:-1], counts)
                 turn = mix(found.hashes() ^ mix(place.astype(U)))
                 sums = np.concatenate([[U(0)], np.cumsum(turn, dtype=U)])
                 twin = np.concatenate([[U(0)], np.cumsum(mix(turn), dtype=U)])
@@ -130,7 +130,7 @@ def signatures(docs: DataFrame, cfg: MinHashConfig = MinHashConfig()) -> DataFra
 
 def _overlaps(cfg: MinHashConfig):
     def bag(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return _bags(*shingles(words(texts), cfg.width))
+        return _bags(*shingles(word_hashes(texts), cfg.width))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64())])
@@ -203,7 +203,7 @@ def _elements(cfg: MinHashConfig):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch, "text"):
-                o, s, c = _bags(*shingles(words(part.column("text")), cfg.width))
+                o, s, c = _bags(*shingles(word_hashes(part.column("text")), cfg.width))
                 turn = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
                 sets = mix(np.repeat(s, c) + mix(turn.astype(U)))
                 ends = np.concatenate([[0], np.cumsum(np.bincount(o, c, part.num_rows))]).astype(np.int32)
@@ -358,7 +358,7 @@ def _links(reps: DataFrame, docs: DataFrame, keep: Store, cfg: MinHashConfig) ->
 def drop_near_duplicates(docs: DataFrame, cfg: MinHashConfig = MinHashConfig()) -> DataFrame:
     """docs with one document of each group; rows with a null doc_id all stay.
 
-    Of several rows with one doc_id the one with the smallest text stays, and of equal texts the row
+    Of several rows with one doc_id the one with the smallest text stays (a null last), and of equal texts the row
     whose other columns come first as JSON. Only documents that go or whose id repeats, and few
     others, are shuffled; the rest pass where they lie.
     """
@@ -371,5 +371,5 @@ def drop_near_duplicates(docs: DataFrame, cfg: MinHashConfig = MinHashConfig())
     marked = maybe_among(held, odd.select("id"), "id", "maybe", bits_for(odd.count()))
     clear = marked.where("id IS NULL OR NOT maybe").select("row")
     doubtful = marked.where("id IS NOT NULL AND maybe").join(odd, "id", "left").where(F.coalesce("keep", F.lit(True)))
-    one = doubtful.groupBy("id").agg(F.min_by("row", F.struct(F.col("row.text"), F.to_json("row"))).alias("row")).select("row")
+    one = doubtful.groupBy("id").agg(F.min_by("row", F.struct(F.col("row.text").isNull().alias("none"), F.col("row.text").alias("text"), F.to_json("row").alias("json"))).alias("row")).select("row")
     return clear.unionByName(one).select("row.*")

@@ -69,7 +69,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Insert all documents with provisional counts, revise all to exact ones, replay the revision, read the totals."""
+    """Insert all documents with provisional counts, revise all to exact ones, replay the revision, delete those without text, read the totals."""
     docs = _table(spark, sf_dir, "documents")
     rollup = token_counts.Rollup(spark, f"{shared_dir(spark)}/galeframe/rollups/{uuid.uuid4().hex}")
     version = "byte_bpe_50k-1"
@@ -78,6 +78,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     exact = token_counts.counted(docs, version)
     rollup.commit("revise", added=exact, removed=first)
     rollup.commit("revise", added=exact, removed=first)
+    rollup.commit("delete", removed=token_counts.estimated(docs.where("text IS NULL OR text = ''"), version))  # no text, no tokens, in either count
     return rollup.totals()
 
 

@@ -11,7 +11,8 @@ without a piece become their UTF-8 bytes' pieces. Only the vocabulary is read fr
 
 Edge cases: null and empty texts have no ids; space marks in a text come back as spaces, as with
 the library; very long cuts (no space for thousands of characters) use a heap over the same edges.
-Other columns pass through encode() unless they are named ids.
+A text of any length is indexed a megabyte
+of cuts at a time. Other columns pass through encode(); one named ids is replaced.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ from galeframe.llm.textkit import U, mix
 SPACE = 0x2581
 _NONE = np.iinfo(np.int32).max
 _LONG = 48
+_SLICE = 1 << 20  # characters of text indexed at once; the index takes about a hundred times as much
 _codecs: dict[str, "Codec"] = {}
 
 
@@ -221,11 +223,19 @@ class Codec:
         fresh[bounds] = True
         first = np.flatnonzero(fresh[:-1])
         size = np.diff(np.append(first, len(points)))
-        ids_of, at_of, which = self._distinct(points, symbols, first, size)
-        count = np.diff(at_of)[which]
-        ids = ids_of[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(at_of[which], count)]
-        ends = np.concatenate([[0], np.cumsum(count)])
-        return ids, ends[np.searchsorted(first, bounds)]
+        counts, ids = [], []
+        reach = np.cumsum(size)
+        at = 0
+        while at < len(first):  # a text of any length: no piece spans two cuts, so they are indexed some megabyte at a time
+            to = max(at + 1, int(np.searchsorted(reach, (reach[at - 1] if at else 0) + _SLICE, "right")))
+            lo, hi = int(first[at]), int(first[to - 1] + size[to - 1])
+            ids_of, at_of, which = self._distinct(points[lo:hi], symbols[lo:hi], first[at:to] - lo, size[at:to])
+            count = np.diff(at_of)[which]
+            ids.append(ids_of[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(at_of[which], count)])
+            counts.append(count)
+            at = to
+        ends = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
+        return np.concatenate(ids), ends[np.searchsorted(first, bounds)]
 
     def _distinct(self, points: np.ndarray, symbols: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of the distinct cuts on end, their first positions, and each cut's number."""
@@ -278,9 +288,6 @@ def codec(path: str | None = None) -> Codec:
     return _codecs[path or ""]
 
 
-_SLICE = 1 << 20  # bytes of text indexed at once; the index takes about a hundred times as much
-
-
 def _with_ids(path: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
@@ -288,16 +295,15 @@ def _with_ids(path: str | None):
             for part in text_slices(batch, "text", _SLICE):
                 ids, at = own.encode([t or "" for t in part.column("text").to_pylist()])
                 lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*part.schema.names, "ids"])
+                kept = [k for k, c in enumerate(part.schema.names) if c != "ids"]
+                yield pa.RecordBatch.from_arrays([*(part.columns[k] for k in kept), lists], names=[*(part.schema.names[k] for k in kept), "ids"])
 
     return run
 
 
 def encode(docs: DataFrame, model: str | None = None) -> DataFrame:
-    """docs with ids array<int>, the pieces of the whole text."""
-    if "ids" in docs.columns:
-        raise ValueError("docs has a column named ids")
-    schema = docs.limit(0).withColumn("ids", F.lit(None).cast("array<int>")).schema
+    """docs with ids array<int>, the pieces of the whole text; a column of docs by this name is replaced."""
+    schema = docs.drop("ids").limit(0).withColumn("ids", F.lit(None).cast("array<int>")).schema
     return docs.mapInArrow(_with_ids(model), schema)
 
 
@@ -308,14 +314,15 @@ def _with_text(path: str | None):
             lists = batch.column("ids").to_pylist()
             at = np.concatenate([[0], np.cumsum([len(x or ()) for x in lists])]).astype(np.int64)
             ids = np.array([i for x in lists for i in x or ()], np.int32)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.decode(ids, at), pa.string())], names=[*batch.schema.names, "decoded"])
+            kept = [k for k, c in enumerate(batch.schema.names) if c != "decoded"]
+            yield pa.RecordBatch.from_arrays([*(batch.columns[k] for k in kept), pa.array(own.decode(ids, at), pa.string())], names=[*(batch.schema.names[k] for k in kept), "decoded"])
 
     return run
 
 
 def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
-    """encoded with decoded, the text of its ids; null ids give an empty text."""
-    schema = encoded.limit(0).withColumn("decoded", F.lit(None).cast("string")).schema
+    """encoded with decoded, the text of its ids, in place of a column by this name; null ids give an empty text."""
+    schema = encoded.drop("decoded").limit(0).withColumn("decoded", F.lit(None).cast("string")).schema
     return encoded.mapInArrow(_with_text(model), schema)
 
 

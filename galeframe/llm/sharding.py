@@ -9,8 +9,9 @@ b = ceil(n / a), the smallest such grid; places n and above (fewer than a) walk
 network until they fall below n. The longest walk is found exactly, by walking on from all places
 above n - 1 that a row can come to, so the expression that permutes has the steps every row needs.
 
-Edge cases: equal rows share one entry and its range of numbers, so hot rows need no task of their
-own; null values take part like others; an empty table gives an empty result.
+Edge cases: equal rows share one entry and its range of numbers, which is spelled out in chunks, so
+hot rows need no task or long array of their own; null values take part like others; an empty table
+gives an empty result; columns of the rows may have any names.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from galeframe.llm.common import stored
+from galeframe.llm.common import counted_up, stored
 
 ROUNDS = 6
 
@@ -83,17 +84,19 @@ def numbered(df: DataFrame, bucket_rows: int = 100_000) -> DataFrame:
 
 
 def shard_rows(df: DataFrame, shards: int, seed: int = 0) -> DataFrame:
-    """df with `shard` and `slot`; columns of df by these names, or named copies or first, must be renamed before."""
-    clash = {"shard", "slot", "copies", "first", "bucket", "before", "within", "number", "place"} & {c.lower() for c in df.columns}
-    if shards < 1 or clash:
-        raise ValueError(f"shards must be 1 or more and columns not be named {sorted(clash)}")
+    """df with `shard` and `slot`; these win over columns of df by the same names, which are dropped."""
+    if shards < 1:
+        raise ValueError("shards must be 1 or more")
+    kept = [c for c in df.columns if c.lower() not in ("shard", "slot")]
     rows = df.count()
     if not rows:
-        return df.withColumns({"shard": F.lit(0), "slot": F.lit(0).cast("long")})
+        return df.select(*[F.col(f"`{c}`") for c in kept], F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
     steps = walk_steps(df.sparkSession, rows, seed)
-    many = numbered(df).withColumn("number", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("copies") - 1)))
+    plain = [f"c{k}" for k in range(len(df.columns))]
+    many = counted_up(numbered(df.toDF(*plain)), "first", "copies", "number")
     placed = many.withColumn("place", place_of(F.col("number"), rows, seed, steps))
-    return placed.select(*df.columns, F.pmod("place", F.lit(shards)).cast("int").alias("shard"), F.floor(F.col("place") / F.lit(shards)).cast("long").alias("slot"))
+    own = [F.col(p).alias(c) for p, c in zip(plain, df.columns, strict=True) if c in kept]
+    return placed.select(*own, F.pmod("place", F.lit(shards)).cast("int").alias("shard"), F.floor(F.col("place") / F.lit(shards)).cast("long").alias("slot"))
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:

@@ -6,6 +6,7 @@ lower case. Hashes are 64 bits wide, equal in every process and on every run.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -79,7 +80,49 @@ def raw_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def words(column: pa.Array) -> Words:
     """The words of each text."""
+    return words_of(*raw_bytes(pc.utf8_lower(pc.fill_null(column, ""))))
+
+
+def windows(column: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, Words]]:
+    """(position of its first byte, words) of stretches of about most bytes, parted between words, so that a very long text never has all its arrays at once.
+
+    Texts are numbered as in the column in every stretch.
+    """
     data, offsets = raw_bytes(pc.utf8_lower(pc.fill_null(column, "")))
+    at = 0
+    while True:
+        to = min(at + most, len(data))
+        while to < len(data) and _WORD[data[to - 1]]:  # on to the end of a word, a stretch at a time
+            ends = np.flatnonzero(~_WORD[data[to : to + (1 << 16)]])
+            to = to + int(ends[0]) + 1 if len(ends) else min(to + (1 << 16), len(data))
+        yield at, words_of(data[at:to], np.clip(offsets - at, 0, to - at))
+        at = to
+        if at >= len(data):
+            return
+
+
+@dataclass
+class WordHashes:
+    """The word hashes of some texts, without the texts."""
+
+    first: np.ndarray
+    values: np.ndarray
+
+    def hashes(self) -> np.ndarray:
+        return self.values
+
+
+def word_hashes(column: pa.Array) -> WordHashes:
+    """Word hashes of each text, made stretch by stretch."""
+    first, values = np.zeros(len(column) + 1, np.int64), []
+    for _, found in windows(column):
+        first += found.first
+        values.append(found.hashes())
+    return WordHashes(first, np.concatenate(values))
+
+
+def words_of(data: np.ndarray, offsets: np.ndarray) -> Words:
+    """The words of texts that lie end to end."""
     inside = _WORD[data]
     fresh = np.zeros(len(data) + 1, bool)
     fresh[offsets] = True
@@ -106,7 +149,7 @@ def text_keys(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def shingles(found: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
+def shingles(found: Words | WordHashes, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(text number, hash) of every run of width words; a text of fewer words has one run of all its words."""
     h = found.hashes()
     n = np.diff(found.first)

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from galeframe.llm.chat_format import encoder
+from galeframe.llm.common import text_slices
 
 KEYS = ["source", "lang", "tokenizer_version"]
 _DELTAS = "source string, lang string, tokenizer_version string, docs long, tokens long, batch string"
@@ -29,9 +30,10 @@ def _count(path: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path).encode_ordinary
         for batch in batches:
-            n = [len(encode(t.as_py() or "")) for t in batch.column("text")]
-            kept = [batch.column(i) for i, c in enumerate(batch.schema.names) if c != "text"]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(n, pa.int64())], names=[*(c for c in batch.schema.names if c != "text"), "tokens"])
+            for part in text_slices(batch, "text"):
+                n = [len(encode(t.as_py() or "")) for t in part.column("text")]
+                kept = [part.column(i) for i, c in enumerate(part.schema.names) if c != "text"]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(n, pa.int64())], names=[*(c for c in part.schema.names if c != "text"), "tokens"])
 
     return run
 

@@ -27,11 +27,12 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from galeframe.llm.common import stored, text_slices
-from galeframe.llm.textkit import U, Words, mix, words
+from galeframe.llm.textkit import U, Words, mix, raw_bytes, windows, words
 
 PREFIXES = (4, 5, 6, 7, 8, 9, 10, 12)
 _SALT = U(0x51ED270B4D2C6E3D)
@@ -133,14 +134,36 @@ def _features(model: ToxicityModel, n: int, segments: list[tuple[int, int, float
     return min(max(top, -15.0), 40.0), math.log1p(sum(x[0] for x in far)), far
 
 
-def _texts(model: ToxicityModel, column: pa.Array) -> Iterator[tuple[int, float, float, list, np.ndarray, Words]]:
-    found = words(column)
-    best = model.best(found)
-    hit = np.flatnonzero(best >= 0)
-    cut = np.searchsorted(hit, found.first)
+@dataclass
+class _Scan:
+    """Of a slice of texts: words that have a unit (number in the slice, best unit, bytes of beginning and end), and each text's first word."""
+
+    word: np.ndarray
+    unit: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    first: np.ndarray
+
+
+def _scan(model: ToxicityModel, column: pa.Array) -> _Scan:
+    """Stretch by stretch, so that a very long text is held as its hits only."""
+    parts, first, seen = [], np.zeros(len(column) + 1, np.int64), 0
+    for at, found in windows(column):
+        best = model.best(found)
+        hit = np.flatnonzero(best >= 0)
+        parts.append((hit + seen, best[hit], found.starts[hit] + at, found.ends[hit] + at))
+        first += found.first
+        seen += len(best)
+    return _Scan(*(np.concatenate(x) for x in zip(*parts, strict=True)), first)
+
+
+def _texts(model: ToxicityModel, column: pa.Array) -> Iterator[tuple[int, float, float, list, slice, _Scan]]:
+    """(words, features, significant segments, the text's hits) of each text."""
+    found = _scan(model, column)
+    cut = np.searchsorted(found.word, found.first)
     for i in range(len(column)):
-        own = hit[cut[i] : cut[i + 1]]
-        segments = maximal_segments(own - found.first[i], model.delta[best[own]], model.other)
+        own = slice(cut[i], cut[i + 1])
+        segments = maximal_segments(found.word[own] - found.first[i], model.delta[found.unit[own]], model.other)
         n = int(found.first[i + 1] - found.first[i])
         yield n, *_features(model, n, segments), own, found
 
@@ -157,15 +180,16 @@ def _scored(model: ToxicityModel):
         for batch in batches:
             for part in text_slices(batch, "text"):
                 score, count, passages = [], [], []
-                for i, (n, top, sum_, far, _, found) in enumerate(_texts(model, part.column("text"))):
+                data, offsets = raw_bytes(pc.utf8_lower(pc.fill_null(part.column("text"), "")))
+                for i, (n, top, sum_, far, hits, found) in enumerate(_texts(model, part.column("text"))):
                     score.append(_probability(model, top, sum_))
                     count.append(n)
                     own = []
                     if far:
-                        data = found.data[found.offsets[i] : found.offsets[i + 1]]
-                        chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-                        f, o = found.first[i], found.offsets[i]
-                        own = [{"first_char": int(chars[found.starts[f + a] - o]), "end_char": int(chars[found.ends[f + b - 1] - o]), "log_odds": s, "log_e": -x} for x, a, b, s in sorted(far, key=lambda x: x[1])]
+                        chars = np.concatenate([[0], np.cumsum((data[offsets[i] : offsets[i + 1]] & 0xC0) != 0x80)])
+                        word, start, end = found.word[hits] - found.first[i], found.start[hits] - offsets[i], found.end[hits] - offsets[i]
+                        for x, a, b, s in sorted(far, key=lambda x: x[1]):  # a segment begins and ends with a hit
+                            own.append({"first_char": int(chars[start[np.searchsorted(word, a)]]), "end_char": int(chars[end[np.searchsorted(word, b - 1)]]), "log_odds": s, "log_e": -x})
                     passages.append(own)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(score, pa.float64()), pa.array(count, pa.int64()), pa.array(passages, schema.field("passages").type)], schema=schema)
 
