@@ -64,34 +64,32 @@ class ImpactIndex:
         np.minimum.at(least, self.dim, np.minimum(q * self.low, q * self.high))
         impact = top - least[self.dim]
         turn = np.argsort(-impact, kind="stable")
-        # what is left of each dimension after a number of segments: the impact of its next one
+        # what the dimensions can still add after a number of segments: a dimension's next one in place of the one done
+        ahead = np.zeros(len(turn), np.int64)
+        by_dim = np.lexsort((np.arange(len(turn)), self.dim[turn]))
+        same = self.dim[turn][by_dim[1:]] == self.dim[turn][by_dim[:-1]]
+        ahead[by_dim[:-1][same]] = impact[turn][by_dim[1:][same]]
+        first = np.zeros(dims, np.int64)
+        np.maximum.at(first, self.dim, impact)
+        rest = int(first.sum()) + np.cumsum(ahead - impact[turn])
         gained = np.zeros(n, np.int64)
-        own = self.ids == query_id
         goal = max(8 * k, n // 16)  # so few are cheaper to score than to narrow down further
-        rest_at = np.zeros(dims, np.int64)
-        np.maximum.at(rest_at, self.dim, impact)
-        rest = int(rest_at.sum())
-        by_dim: dict[int, list[int]] = {}
-        for t in turn:
-            by_dim.setdefault(int(self.dim[t]), []).append(int(t))
-        nth = dict.fromkeys(by_dim, 0)
         every = max(1, len(turn) // 32)
-        possible = np.flatnonzero(~own)
-        for done, t in enumerate(turn, 1):
-            d, s, e = self.segments[t]
-            gained[self.order[d, s:e]] += query[d] * self.sorted[d, s:e] - least[d]
-            nth[d] += 1
-            now = int(impact[by_dim[d][nth[d]]]) if nth[d] < len(by_dim[d]) else 0
-            rest += now - int(rest_at[d])
-            rest_at[d] = now
-            if done % every == 0:
-                held = gained[possible]
-                if len(held) <= k:
-                    break
-                kth = np.partition(held, len(held) - k)[len(held) - k]
-                possible = possible[held + rest >= kth]  # proof: all others end below the kth
-                if len(possible) <= goal:
-                    break
+        possible = np.flatnonzero(self.ids != query_id)
+        for at in range(0, len(turn), every):
+            for t in turn[at : at + every].tolist():
+                d, s, e = self.segments[t]
+                gained[self.order[d, s:e]] += query[d] * self.sorted[d, s:e] - least[d]
+            if len(possible) <= k:
+                break
+            left = int(rest[min(at + every, len(turn)) - 1])
+            held = gained[possible]
+            if left >= held.max() - held.min():
+                continue  # nothing can be ruled out yet
+            kth = np.partition(held, len(held) - k)[len(held) - k]
+            possible = possible[held + left >= kth]  # proof: all others end below the kth
+            if len(possible) <= goal:
+                break
         score = self.values[possible] @ query
         best = np.lexsort((self.ids[possible], -score))[:k]
         return possible[best], score[best]
