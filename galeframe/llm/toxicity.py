@@ -2,7 +2,8 @@
 
 Units are words and the beginnings of words. Their log-odds between toxic and clean labelled texts
 take an informative Dirichlet prior, the units' rates over all labelled texts; a unit is kept when
-its log-odds are at least min_delta and min_z standard deviations. A word scores the largest
+its log-odds are at least min_delta and min_z standard deviations, and those of the texts that have it at
+least min_delta too. A word scores the largest
 log-odds of its kept units, any other word a small loss that makes the scores log-odds of the two
 classes' words. One linear scan finds every maximal scoring segment of a text. Under clean texts
 the best segment of n words exceeds s with probability about 1 - exp(-K n exp(-lambda s)); lambda
@@ -223,24 +224,29 @@ def _unit_counts(cfg: ToxicityConfig):
 
 
 def _known_counts(model: ToxicityModel, won: bool):
-    """Per class: occurrences of the model's units (won: of each word's best unit only); unit -1 counts all words."""
+    """Per class: occurrences of the model's units (won: of each word's best unit only) and the texts that have them; unit -1 counts all words and texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((2, len(model.units) + 1), np.int64)
+        many = len(model.units)
+        times, docs = np.zeros((2, many + 1), np.int64), np.zeros((2, many + 1), np.int64)
         for batch in batches:
             for part in text_slices(batch, "text"):
                 found = words(part.column("text"))
-                toxic = part.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)[found.texts] if len(found.starts) else np.zeros(0, np.int64)
-                np.add.at(sums[:, -1], toxic, 1)
+                toxic = part.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)
+                text = found.texts
+                times[:, -1] += np.bincount(toxic[text], minlength=2)
+                docs[:, -1] += np.bincount(toxic, minlength=2)
                 if won:
                     best = model.best(found)
-                    np.add.at(sums, (toxic[best >= 0], best[best >= 0]), 1)
+                    hits = [(text[best >= 0], best[best >= 0])]
                 else:
-                    for at, h in unit_hashes(found):
-                        i, unit = model.find(h)
-                        np.add.at(sums, (toxic[at[i]], unit), 1)
-        c, u = np.nonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(np.where(u == len(model.units), -1, u)), pa.array(sums[c, u])], names=["toxic", "unit", "times"])
+                    hits = [(text[at[i]], unit) for at, h in unit_hashes(found) for i, unit in [model.find(h)]]
+                owner, unit = (np.concatenate(x) for x in zip(*hits, strict=True))
+                np.add.at(times, (toxic[owner], unit), 1)
+                pair = np.unique(owner * np.int64(many + 1) + unit)
+                np.add.at(docs, (toxic[pair // (many + 1)], pair % (many + 1)), 1)
+        c, u = np.nonzero(times + docs)
+        yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(np.where(u == many, -1, u)), pa.array(times[c, u]), pa.array(docs[c, u])], names=["toxic", "unit", "times", "docs"])
 
     return run
 
@@ -293,20 +299,30 @@ def fit(docs: DataFrame, labels: DataFrame, cfg: ToxicityConfig = ToxicityConfig
     often = counts.where(F.col("docs") >= cfg.min_docs).orderBy(F.desc("docs"), "unit").limit(cfg.max_units).select("unit").toPandas()
     units = np.sort(often["unit"].to_numpy(np.int64).view(U))
 
-    def sums(model: ToxicityModel, won: bool) -> tuple[np.ndarray, np.ndarray]:
-        rows = sample.select("text", "toxic").mapInArrow(_known_counts(model, won), "toxic long, unit long, times long").groupBy("toxic", "unit").agg(F.sum("times").alias("times")).toPandas()
-        out = np.zeros((2, len(model.units) + 1))
-        np.add.at(out, (rows["toxic"].to_numpy(), rows["unit"].to_numpy()), rows["times"].to_numpy(float))  # unit -1 is the last
-        return out[:, :-1], out[:, -1]
-
-    (clean, toxic), (all_clean, all_toxic) = sums(ToxicityModel(units, np.ones(len(units))), False)
-    prior = cfg.prior * (clean + toxic + 0.5) / (all_clean + all_toxic + 1)
-    odds = lambda y, total: np.log((y + prior) / np.maximum(total + cfg.prior - y - prior, 1e-9))
-    delta = odds(toxic, all_toxic) - odds(clean, all_clean)
-    z = delta / np.sqrt(1 / (toxic + prior) + 1 / (clean + prior))
-    good = (delta >= cfg.min_delta) & (z >= cfg.min_z)
+    def sums(model: ToxicityModel, won: bool) -> list[tuple[np.ndarray, np.ndarray, float, float]]:
+        """(clean, toxic, all clean, all toxic) of occurrences, then of texts."""
+        rows = sample.select("text", "toxic").mapInArrow(_known_counts(model, won), "toxic long, unit long, times long, docs long").groupBy("toxic", "unit").agg(F.sum("times").alias("times"), F.sum("docs").alias("docs")).toPandas()
+        out = []
+        for c in ("times", "docs"):
+            n = np.zeros((2, len(model.units) + 1))
+            np.add.at(n, (rows["toxic"].to_numpy(), rows["unit"].to_numpy()), rows[c].to_numpy(float))  # unit -1 is the last
+            out.append((n[0, :-1], n[1, :-1], n[0, -1], n[1, -1]))
+        return out
+
+    def log_odds(clean: np.ndarray, toxic: np.ndarray, all_clean: float, all_toxic: float, weight: float) -> tuple[np.ndarray, np.ndarray]:
+        """Log-odds between the classes under the Dirichlet prior, and in standard deviations."""
+        prior = weight * (clean + toxic + 0.5) / (all_clean + all_toxic + 1)
+        odds = lambda y, total: np.log((y + prior) / np.maximum(total + weight - y - prior, 1e-9))
+        delta = odds(toxic, all_toxic) - odds(clean, all_clean)
+        return delta, delta / np.sqrt(1 / (toxic + prior) + 1 / (clean + prior))
+
+    in_words, in_texts = sums(ToxicityModel(units, np.ones(len(units))), False)
+    delta, z = log_odds(*in_words, cfg.prior)
+    by_text, _ = log_odds(*in_texts, cfg.prior * (in_texts[2] + in_texts[3]) / max(1.0, in_words[2] + in_words[3]))
+    # words crowd in texts and languages: a unit must tell the classes apart by its texts too
+    good = (delta >= cfg.min_delta) & (z >= cfg.min_z) & (by_text >= cfg.min_delta)
     model = ToxicityModel(units[good], np.minimum(delta[good], cfg.max_delta), max_e=cfg.max_e)
-    (clean, toxic), (all_clean, all_toxic) = sums(model, True)
+    clean, toxic, all_clean, all_toxic = sums(model, True)[0]
     share = lambda hits, total: min(0.999, (hits.sum() + 0.5) / (total + 1))
     other = min(-1e-4, math.log((1 - share(toxic, all_toxic)) / (1 - share(clean, all_clean))))
     # lambda: the mean of exp(lambda * score) over clean words is 1
