@@ -30,7 +30,7 @@ def coverage_fraction(columns: Sequence[str]) -> Column:
     return F.avg(F.coalesce(*[F.col(c) for c in columns]).isNotNull().cast("double"))
 
 
-def episodes(contacts: DataFrame, dense: DataFrame, padding_hours: float = 6.0, strong_kt: float = 64.0, crossings: DataFrame | None = None) -> DataFrame:
+def episodes(contacts: DataFrame, dense: DataFrame, padding_hours: float = 6.0, strong_kt: float = 64.0, crossings: DataFrame | None = None, period: tuple[Column, Column] | None = None) -> DataFrame:
     """Coastal-contact episodes, one row each.
 
     contacts: storm_id, iso_time, fix_id, episode_group, distance_km, wind_kt and the flags r34, r50,
@@ -38,7 +38,8 @@ def episodes(contacts: DataFrame, dense: DataFrame, padding_hours: float = 6.0,
     r34_any. Times, closest approach and flags come from contact rows, peak wind and coverage from
     the span padded by padding_hours; only episodes whose padded peak reaches strong_kt stay, and
     these are numbered in time order. crossings (storm_id, crossing_time, crossing_type, wind_kt) add
-    landfalls within the padded span, of which the first is the reference time.
+    landfalls within the padded span, of which the first is the reference time. With a period only
+    episodes whose reference time lies in it are kept, and numbered.
     """
     flag = lambda c: F.bool_or(F.coalesce(F.col(c), F.lit(False)))
     spans = contacts.groupBy("storm_id", "episode_group").agg(
@@ -59,13 +60,16 @@ def episodes(contacts: DataFrame, dense: DataFrame, padding_hours: float = 6.0,
         hit = in_interval(crossings.where("crossing_type = 'landfall'").select("storm_id", "crossing_time", "wind_kt"), near, "storm_id", "crossing_time", "episode_start", "episode_end", padding_hours)
         hit = hit.groupBy(*key).agg(F.min("crossing_time").alias("landfall_time"), F.count("*").cast("long").alias("landfall_count"), F.max("wind_kt").alias("landfall_vmax_kt"))
         out = out.join(hit, key, "left").withColumn("landfall_count", F.coalesce("landfall_count", F.lit(0).cast("long")))
+    out = out.withColumn("reference_time", F.coalesce("landfall_time", "closest.iso_time"))
+    if period:
+        out = out.where(F.col("reference_time").between(*period))
     w = Window.partitionBy("storm_id").orderBy("episode_start", "episode_group")
     ordinal = F.row_number().over(w)
     methods = F.concat_ws("+", F.when(F.col("landfall_contact"), "landfall_crossing"), F.when(F.col("r34_contact"), "wind_radius"), F.when(F.col("proxy_contact"), "distance_proxy"))
     return out.select(
         "storm_id", scalar.case_id("storm_id", ordinal).alias("case_id"), ordinal.alias("episode_index"), "episode_start", "episode_end", "contact_rows",
         F.col("closest.iso_time").alias("closest_time"), F.col("closest.distance_km").alias("closest_km"), F.col("closest.wind_kt").alias("closest_wind_kt"),
-        F.coalesce("landfall_time", "closest.iso_time").alias("reference_time"), F.when(F.col("landfall_count") > 0, "landfall").otherwise("coastal_approach").alias("reference_event"),
+        "reference_time", F.col("closest.fix_id").alias("closest_id"), F.when(F.col("landfall_count") > 0, "landfall").otherwise("coastal_approach").alias("reference_event"),
         "landfall_count", "landfall_vmax_kt", "episode_vmax_kt", "wind_coverage", "r34_coverage", "r34_contact", "r50_contact", "r64_contact",
         scalar.hours_between("episode_start", "episode_end").alias("span_hours"), methods.alias("selection_method"),
         scalar.tier(F.col("r64_contact"), F.col("r50_contact"), F.col("r34_contact"), F.col("landfall_contact"), F.col("landfall_vmax_kt"), strong_kt).alias("tier"),

@@ -5,11 +5,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galeframe.pipelines import matching, verification
+from galeframe.operators import schedule
+from galeframe.pipelines import catalog, matching, quality, verification
 from galeframe.plans import views
 from galeframe.plans.registry import query
 
 
+PERIOD = catalog.CatalogConfig("2024-01-02 00:00:00", "2024-01-28 00:00:00", spacing_km=100.0, sample_km=100.0, candidates=8)
+
+
+def catalog_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Fixes with all radii and names, and the sides of one square of land for each nation."""
+    from galeframe.plans.q_spatial import land_edges
+
+    inner = {f"r{kt}_{q}": F.col(f"r34_{q}") * k for kt, k in ((50, 0.5), (64, 0.25)) for q in catalog.QUADRANTS}
+    f = views.fixes(spark, d).withColumns(inner).withColumn("name", F.concat(F.lit("N"), F.col("storm_id").cast("string")))
+    return f, land_edges(spark, d).withColumn("segment_id", F.xxhash64("ring_id", "lon_a", "lat_a"))
+
+
+@query()
+def p1_catalog(spark: SparkSession, d: str) -> DataFrame:
+    """Episodes of coastal contact from tracks and land."""
+    cases = catalog.build(*catalog_inputs(spark, d), PERIOD)["cases"]
+    r = lambda c: F.round(c, 4).alias(c)
+    return cases.select("case_id", "storm_id", "name", "basin", "episode_start", "episode_end", "reference_time", "reference_event", r("latitude"), r("longitude"), r("minimum_coast_distance_km"), r("episode_vmax_kt"), "landfall_count", "tier", "selection_method", "provisional_track")
+
+
+@query()
+def p3_event_qc(spark: SparkSession, d: str) -> DataFrame:
+    """All named checks of the catalog's primary cases on main tracks."""
+    fixes, edges = catalog_inputs(spark, d)
+    made = catalog.build(fixes, edges, PERIOD)
+    cases = made["cases"].where("primary_sample AND NOT provisional_track")
+    plan = schedule.schedule(cases.select("case_id", "storm_id", "reference_time"))
+    checks = quality.event_qc(cases, fixes, made["points"], plan, edges, PERIOD)
+    return checks.select("case_id", F.round("coast_distance_km_at_anchor", 4).alias("coast_distance_km_at_anchor"), "qc_status", "failures", "review_notes")
+
+
 def matching_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, ...]:
     """messages, points, truth, events, cases: two of three storms are observed, every storm has an event nine hours behind its first message and two cases."""
     m = views.messages(spark, d)

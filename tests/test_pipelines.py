@@ -109,3 +109,53 @@ def test_verification_equals_plain_loops(spark):
             assert abs(r.track_energy_score_km - (np.mean([km(*a) for a in places]) - between / 2)) < 0.01
     one = {r.lead_hours: r for r in verification.summary(got).collect()}
     assert (one[24].eligible, one[24].matched, one[24].full_ensemble_n, one[42].eligible) == (15, 6, 4, 6) and one[42].track_mae_low <= one[42].track_mae_km <= one[42].track_mae_high
+
+
+def test_catalog_and_its_checks(spark):
+    """A landfall and an approach on a square of land; good cases pass, and each change to a case is named."""
+    from pyspark.sql import functions as F
+
+    from galeframe.operators import schedule
+    from galeframe.pipelines import catalog, quality
+
+    corners = [(0.0, y, 0.0, y - 1.0) for y in range(10, -10, -1)] + [(float(x), -10.0, x + 1.0, -10.0) for x in range(10)] + [(10.0, float(y), 10.0, y + 1.0) for y in range(-10, 10)] + [(x + 1.0, 10.0, float(x), 10.0) for x in range(9, -1, -1)]
+    edges = spark.createDataFrame([(1, i, *map(float, s)) for i, s in enumerate(corners)], "ring_id int, segment_id long, lon_a double, lat_a double, lon_b double, lat_b double")
+    rows = []
+    for storm, places, wind in (("IN", [(0.1, -1.0), (0.1, 1.0)], 70.0), ("BY", [(3.0, -2.5), (3.0, -1.2), (3.5, -2.5)], 80.0), ("WEAK", [(5.0, -1.0), (5.0, 1.0)], 60.0), ("FAR", [(40.0, -60.0), (40.0, -59.0)], 90.0)):
+        rows += [(storm, i, hours(3 * i), y, x, wind, storm, "NA", "TS", "main") for i, (y, x) in enumerate(places)]
+    fixes = spark.createDataFrame(rows, "storm_id string, fix_id int, iso_time timestamp_ntz, lat double, lon double, wind_kt double, name string, basin string, nature string, track_type string")
+    fixes = fixes.withColumns({f"r{kt}_{q}": F.lit(200.0 * 34 / kt) for kt in (34, 50, 64) for q in catalog.QUADRANTS})
+    cfg = catalog.CatalogConfig("2024-07-31", "2024-08-31", spacing_km=25.0, sample_km=10.0, candidates=8)
+    made = catalog.build(fixes, edges, cfg)
+    cases = made["cases"]
+    got = {r.case_id: r for r in cases.collect()}
+    assert set(got) == {"IN-CE01", "BY-CE01"}
+    land, by = got["IN-CE01"], got["BY-CE01"]
+    assert (land.reference_event, land.landfall_count, land.tier, land.name, land.basin) == ("landfall", 1, "A", "IN", "NA") and abs(land.longitude) < 1e-3 and abs((land.reference_time - hours(1.5)).total_seconds()) < 60
+    assert by.reference_event == "coastal_approach" and by.reference_time == hours(3) and abs(by.minimum_coast_distance_km - float(geo.inverse(3.0, -1.2, 3.0, 0.0)[0])) < 0.5
+    plan = schedule.schedule(cases.select("case_id", "storm_id", "reference_time"))
+    pick = lambda c, v: F.when(F.col("case_id") == c, v)
+    wrong = {
+        "tier_a_unsupported;tier_b_should_be_a": None, "reversed_episode": ("BY-CE01", "episode_start", F.timestamp_add("HOUR", F.lit(5), "episode_end")), "invalid_basin": ("BY-CE01", "basin", F.lit("XX")), "landfall_not_on_source_segment": ("IN-CE01", "latitude", F.col("latitude") + 0.2),
+        "approach_distance_mismatch": ("BY-CE01", "minimum_coast_distance_km", F.lit(10.0)), "below_intensity_threshold": ("BY-CE01", "episode_vmax_kt", F.lit(50.0)), "reference_outside_period": ("BY-CE01", "reference_time", F.timestamp_add("DAY", F.lit(90), "reference_time")),
+        "sample_definition": ("IN-CE01", "tier", F.lit("C")), "forecast_lead_coverage": "plan", "landfall_flag_mismatch": ("IN-CE01", "landfall_count", F.lit(0).cast("long")), "invalid_reference_event": ("BY-CE01", "reference_event", F.lit("other")),
+    }
+    many, plans = cases.withColumn("set", F.lit("good")), plan.withColumn("set", F.lit("good"))
+    for name, change in wrong.items():
+        if change is None:
+            continue
+        changed = cases if change == "plan" else cases.withColumn(change[1], F.coalesce(pick(change[0], change[2]), F.col(change[1])))
+        many, plans = many.unionByName(changed.withColumn("set", F.lit(name))), plans.unionByName((plan.where("nominal_lead_hours <> 48") if change == "plan" else plan).withColumn("set", F.lit(name)))
+    own = F.concat("set", F.lit("/"), "case_id")
+    checks = quality.event_qc(many.withColumn("case_id", own).drop("set"), fixes, made["points"], plans.withColumn("case_id", own).drop("set"), edges, cfg, candidates=16)
+    found = {}
+    for r in checks.collect():
+        name, case = r.case_id.split("/")
+        found.setdefault(name, {})[case] = set(r.failures.split(";")) - {""}
+    assert found["good"] == {"IN-CE01": set(), "BY-CE01": set()}
+    for name, change in wrong.items():
+        if change is not None:
+            hit = found[name]["IN-CE01" if change == "plan" else change[0]]
+            assert name in hit
+    good = checks.where("case_id LIKE 'good/%'")
+    assert quality.approved(cases.withColumn("case_id", F.concat(F.lit("good/"), "case_id")), good).where("qc_status = 'passed'").count() == 2
