@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galeframe.operators import qc, validation
+from galeframe.operators import inventory, qc, validation
 from galeframe.plans import views
 from galeframe.plans.registry import query
 from galeframe.sources import checkpoint
@@ -59,3 +59,34 @@ def a25_k05_resume(spark: SparkSession, d: str) -> DataFrame:
 def k06_inventory_checks(spark: SparkSession, d: str) -> DataFrame:
     p = views.table(spark, d, "part")
     return p.select("p_partkey", F.when(F.col("p_size") > 40, "partial_file").when(F.col("p_retailprice") < 950, "size_mismatch").otherwise("ok").alias("state"))
+
+
+@query("""
+WITH e AS (SELECT o_orderkey::VARCHAR AS id, 6 * (1 + o_orderkey % 4) AS h FROM orders),
+l AS (SELECT o_orderkey::VARCHAR AS id, CASE WHEN o_orderkey % 10 = 0 THEN 6 ELSE 6 * (1 + o_orderkey % 4) END AS h FROM orders WHERE o_orderkey % 7 <> 0 UNION ALL SELECT o_orderkey::VARCHAR, 6 * (1 + o_orderkey % 4) FROM orders WHERE o_orderkey % 11 = 0 UNION ALL SELECT 'X' || n_nationkey::VARCHAR, 6 FROM nation),
+r AS (SELECT o_orderkey::VARCHAR AS id, CASE WHEN o_orderstatus = 'P' THEN 'failed' ELSE 'complete' END AS status FROM orders),
+t AS (SELECT l_orderkey::VARCHAR AS id, 6 * l_linenumber AS lead, l_discount - 0.01 AS s FROM lineitem),
+d AS (SELECT id, h, list_transform(range(1, h // 6 + 1), lambda k: (6 * k)::INTEGER) AS due FROM e),
+g AS (SELECT id, list_sort(list(lead::INTEGER)) AS leads, count(*) FILTER (WHERE NOT (s > 0)) AS bad FROM t GROUP BY id)
+SELECT 'cases:missing' AS rule, id AS key, '' AS detail FROM e WHERE id NOT IN (SELECT id FROM l)
+UNION ALL SELECT DISTINCT 'cases:extra', id, '' FROM l WHERE id NOT IN (SELECT id FROM e)
+UNION ALL SELECT 'cases:duplicate', id, '' FROM l GROUP BY id HAVING count(*) > 1
+UNION ALL SELECT 'cases:forecast_hours', l.id, 'is ' || l.h::VARCHAR || ' not ' || e.h::VARCHAR FROM l JOIN e USING (id) WHERE l.h <> e.h
+UNION ALL SELECT 'unfinished', id, 'failed' FROM r WHERE status = 'failed'
+UNION ALL SELECT 'leads_differ', d.id, '' FROM d LEFT JOIN g USING (id) WHERE g.leads IS DISTINCT FROM d.due
+UNION ALL SELECT 'bad_seconds', d.id, '' FROM d JOIN g USING (id) WHERE g.bad > 0
+UNION ALL SELECT 'size_differs', p_partkey::VARCHAR, CASE WHEN p_partkey % 5 = 0 THEN 'absent' ELSE (p_size + 1)::VARCHAR END FROM part WHERE p_partkey % 5 = 0 OR p_partkey % 7 = 0
+UNION ALL SELECT 'partial_file', p_partkey::VARCHAR, '' FROM part WHERE p_partkey % 5 <> 0 AND p_size > 45""")
+def k06_run_problems(spark: SparkSession, d: str) -> DataFrame:
+    """All findings over a made-up run: orders as cases, lineitem as timings, part as files."""
+    o, k = views.table(spark, d, "orders"), F.col("o_orderkey")
+    hours = ((k % 4 + 1) * 6).cast("int")
+    e = o.select(k.cast("string").alias("case_id"), hours.alias("forecast_hours"))
+    extra = views.table(spark, d, "nation").select(F.concat(F.lit("X"), F.col("n_nationkey").cast("string")).alias("case_id"), F.lit(6).alias("forecast_hours"))
+    listed = o.where("o_orderkey % 7 <> 0").select(k.cast("string").alias("case_id"), F.when(k % 10 == 0, 6).otherwise(hours).alias("forecast_hours")).unionByName(o.where("o_orderkey % 11 = 0").select(k.cast("string").alias("case_id"), hours.alias("forecast_hours"))).unionByName(extra)
+    results = o.select(k.cast("string").alias("case_id"), F.when(F.col("o_orderstatus") == "P", "failed").otherwise("complete").alias("status"), F.lit(None).cast("string").alias("error"))
+    timings = views.table(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("case_id"), (F.col("l_linenumber") * 6).cast("int").alias("lead_hours"), (F.col("l_discount") - 0.01).alias("seconds"))
+    p = F.col("p_partkey")
+    due = views.table(spark, d, "part").select(p.cast("string").alias("path"), F.col("p_size").cast("long").alias("length"))
+    files = views.table(spark, d, "part").where("p_partkey % 5 <> 0").select(p.cast("string").alias("path"), (F.col("p_size") + F.when(p % 7 == 0, 1).otherwise(0)).cast("long").alias("length"), (F.col("p_size") > 45).alias("partial"))
+    return inventory.run_problems(e, {"cases": listed}, results, timings, due, files)

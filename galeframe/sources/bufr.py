@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from galeframe.functions import geo, scalar
+from galeframe.operators import validation
 
 #: Thresholds of decoded wind radii in m/s and the order of their quarters.
 THRESHOLDS = (18, 26, 33)
@@ -76,6 +77,35 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     return found.withColumn("message_id", F.concat("member", F.lit("#"), F.col("message_index").cast("string")))
 
 
+def member_inventory(spark: SparkSession, path: str) -> DataFrame:
+    """archive, member, size_bytes, sha256, declared_init (the fourteen digits in the member's name) of every archive member."""
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for archive, content in zip(frame["path"], frame["content"], strict=True):
+                for name, data in members(content):
+                    yield pd.DataFrame([(archive, name, data)], columns=["archive", "member", "content"])
+
+    found = files.mapInPandas(run, "archive string, member string, content binary")
+    stamp = F.nullif(F.regexp_extract("member", r"_(\d{14})_[^/]*$", 1), F.lit(""))
+    return found.select("archive", "member", F.octet_length("content").cast("long").alias("size_bytes"), F.sha2("content", 256).alias("sha256"), F.try_to_timestamp(stamp, F.lit("yyyyMMddHHmmss")).cast("timestamp_ntz").alias("declared_init"))
+
+
+def changed_members(inventory: DataFrame, existing: DataFrame) -> DataFrame:
+    """Findings (rule, key, detail) of members that exist (member, sha256) with other content."""
+    both = inventory.join(existing.select("member", F.col("sha256").alias("_was")), "member")
+    return validation.check(both, F.col("sha256") == F.col("_was"), ["member"], "content_differs", F.col("sha256"))
+
+
+def wrong_times(inventory: DataFrame, decoded: DataFrame) -> DataFrame:
+    """Findings of members whose name holds no time, or another than one of their decoded messages (message_id, init_time)."""
+    nameless = validation.check(inventory, F.col("declared_init").isNotNull(), ["member"], "time_missing_in_name")
+    times = decoded.select(F.substring_index("message_id", "#", 1).alias("member"), "message_id", "init_time")
+    both = times.join(inventory.where("declared_init IS NOT NULL").select("member", "declared_init"), "member")
+    return validation.violations(nameless, validation.check(both, F.col("init_time") == F.col("declared_init"), ["message_id"], "time_differs", F.col("init_time")))
+
+
 def decode(found: DataFrame, decoder: Callable[[bytes], list[dict]], schema: str) -> DataFrame:
     """Rows that decoder makes of each message's bytes, with its message_id."""
 

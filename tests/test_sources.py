@@ -259,3 +259,56 @@ def test_tracking_resumes_strictly(spark, tmp_path):
     cases(c, 6)
     shutil.copy(f"{g}/forecast_case_id=c2-L024/part-new.parquet", f"{g}/forecast_case_id=c1-L024/part-more.parquet")
     assert run("--resume") == 2 and spark.read.parquet(out).count() == rows.count()
+
+
+def test_archives_are_compared_with_what_is_there(spark, tmp_path):
+    import io
+    import tarfile
+
+    with tarfile.open(tmp_path / "a.tar.gz", "w:gz") as tar:
+        for name in ("top/2024/x_ECMP_20240801000000_b.bin", "top/2024/plain.bin"):
+            info = tarfile.TarInfo(name)
+            info.size = 3
+            tar.addfile(info, io.BytesIO(b"abc"))
+    inv = bufr.member_inventory(spark, str(tmp_path / "a.tar.gz"))
+    rows = {r.member: r for r in inv.collect()}
+    first = rows["top/2024/x_ECMP_20240801000000_b.bin"]
+    import datetime as dt
+    import hashlib
+
+    assert (first.size_bytes, first.sha256, first.declared_init) == (3, hashlib.sha256(b"abc").hexdigest(), dt.datetime(2024, 8, 1)) and rows["top/2024/plain.bin"].declared_init is None
+    there = spark.createDataFrame([(first.member, first.sha256), ("top/2024/plain.bin", "0")], "member string, sha256 string")
+    assert [r.key for r in bufr.changed_members(inv, there).collect()] == ["top/2024/plain.bin"]
+    decoded = spark.createDataFrame([(f"{first.member}#0", dt.datetime(2024, 8, 1)), (f"{first.member}#1", dt.datetime(2024, 8, 2))], "message_id string, init_time timestamp_ntz")
+    assert sorted((r.rule, r.key) for r in bufr.wrong_times(inv, decoded).collect()) == [("time_differs", f"{first.member}#1"), ("time_missing_in_name", "top/2024/plain.bin")]
+
+
+def test_frozen_sources_are_restored(tmp_path):
+    import gzip
+    import hashlib
+    import zipfile
+
+    from galeframe.sources import frozen
+
+    good = hashlib.sha256(b"fixes").hexdigest()
+    with gzip.open(tmp_path / "f.gz", "wb") as f:
+        f.write(b"fixes")
+    target = tmp_path / "raw" / "f.csv"
+    with pytest.raises(IntegrityError):
+        frozen.restore_gzip(str(tmp_path / "f.gz"), str(target), "0")
+    assert not target.exists()
+    frozen.restore_gzip(str(tmp_path / "f.gz"), str(target), good)
+    frozen.restore_gzip(str(tmp_path / "f.gz"), str(target), good)
+    assert target.read_bytes() == b"fixes"
+    target.write_bytes(b"other")
+    with pytest.raises(IntegrityError):
+        frozen.restore_gzip(str(tmp_path / "f.gz"), str(target), good)
+    with zipfile.ZipFile(tmp_path / "c.zip", "w") as z:
+        z.writestr("shp/l1.shp", b"rings")
+    digest = frozen.sha256(str(tmp_path / "c.zip"))
+    frozen.restore_members(str(tmp_path / "c.zip"), str(tmp_path / "coast"), ["shp/l1.shp"], digest)
+    assert (tmp_path / "coast" / "shp" / "l1.shp").read_bytes() == b"rings"
+    (tmp_path / "coast" / "shp" / "l1.shp").write_bytes(b"sea")
+    for d in (digest, "0"):
+        with pytest.raises(IntegrityError):
+            frozen.restore_members(str(tmp_path / "c.zip"), str(tmp_path / "coast"), ["shp/l1.shp"], d)
