@@ -156,7 +156,9 @@ def track(cases: DataFrame, grid: DataFrame, cfg: TrackerConfig = TrackerConfig(
     shapes = fields(cells)
     lows = candidates(numbered_cells(cells, shapes, cfg), cfg)
     rows = sown.join(shapes.select(*FIELD, "whole"), list(FIELD), "left").join(lows, list(FIELD), "left")
-    followed_rows = rows.groupBy(*KEYS).applyInPandas(lambda case: followed(case, cfg), f"model string, forecast_case_id string, {POINT}")
+    # lows are few bytes but cost Python time: adaptive execution must not put them together in one task
+    dealt = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *KEYS)
+    followed_rows = dealt.groupBy(*KEYS).applyInPandas(lambda case: followed(case, cfg), f"model string, forecast_case_id string, {POINT}")
     return followed_rows.unionByName(bare)
 
 
