@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galeframe.llm import chat_format, license_scan, mixing, sentencepiece_codec, sharding, token_counts, topk_search, toxicity
+from galeframe.llm import bpe_automaton, chat_format, license_scan, mixing, sentencepiece_codec, sharding, token_counts, topk_search, toxicity
 from galeframe.llm.common import shared_dir, stored
 from galeframe.llm.embedding_dedup import near_duplicate_vectors
 from galeframe.llm.minhash import near_duplicates
@@ -82,8 +82,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.totals()
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_automaton.digests(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_embedding_dedup, op2_license_scan, op3_chat_format, op4_minhash, op5_sharding, op6_topk, op7_toxicity, op8_sentencepiece, op9_mixing, op10_token_counts)
+    f.__name__: f for f in (op1_embedding_dedup, op2_license_scan, op3_chat_format, op4_minhash, op5_sharding, op6_topk, op7_toxicity, op8_sentencepiece, op9_mixing, op10_token_counts, op11_bpe)
 }
 
 ORACLE_SQL: dict[str, str] = {
