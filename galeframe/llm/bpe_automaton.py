@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from galeframe.llm.common import text_slices
+from galeframe.llm.common import text_slices, with_made
 
 _WORDS = 1 << 16  # words of a long text taken at once
 _WHOLE = 1 << 20  # characters of a text whose words are taken together
@@ -220,22 +220,6 @@ def encoder(path: str | None = None) -> Encoder:
     return _encoders[path or ""]
 
 
-def _column(df: DataFrame, name: str) -> int:
-    """Position of the column by this name, its spelling first, else in any case of letters."""
-    names = df.columns
-    return names.index(name) if name in names else [c.lower() for c in names].index(name.lower())
-
-
-def _with(df: DataFrame, read: str, made: str, kind: str, run) -> DataFrame:
-    """df with a column made of read's by an Arrow function, in place of any by that name; other columns go through under stand-in names."""
-    at, names = _column(df, read), df.columns
-    kept = [k for k, c in enumerate(names) if c.lower() != made.lower()]
-    plain = df.toDF(*(f"c{k}" for k in range(len(names))))
-    rows = plain.select(*(f"c{k}" for k in kept), F.col(f"c{at}").alias("read"))
-    schema = rows.limit(0).withColumn("read", F.lit(None).cast(kind)).schema
-    return rows.mapInArrow(run, schema).toDF(*(names[k] for k in kept), made)
-
-
 def _replaced(part: pa.RecordBatch, last: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*part.columns[:-1], last], names=part.schema.names)
 
@@ -254,7 +238,7 @@ def _ids(path: str | None):
 
 def encode(docs: DataFrame, tokenizer: str | None = None, text: str = "text") -> DataFrame:
     """docs with ids array<int>, the tokens of the whole text by the file at tokenizer."""
-    return _with(docs, text, "ids", "array<int>", _ids(tokenizer))
+    return with_made(docs, text, "ids", "array<int>", _ids(tokenizer))
 
 
 def _texts(path: str | None):
@@ -269,7 +253,7 @@ def _texts(path: str | None):
 
 def decode(encoded: DataFrame, tokenizer: str | None = None, ids: str = "ids") -> DataFrame:
     """encoded with decoded, the text of its ids; null ids give an empty text."""
-    return _with(encoded, ids, "decoded", "string", _texts(tokenizer))
+    return with_made(encoded, ids, "decoded", "string", _texts(tokenizer))
 
 
 def _digests(path: str | None):

@@ -73,6 +73,26 @@ def text_slices(batch: pa.RecordBatch, column: str, max_bytes: int = 1 << 20) ->
     yield batch.slice(start)
 
 
+def column_at(df: DataFrame, name: str) -> int:
+    """Position of the column by this name, its spelling first, else in any case of letters."""
+    names = df.columns
+    return names.index(name) if name in names else [c.lower() for c in names].index(name.lower())
+
+
+def with_made(df: DataFrame, read: str, made: str, kind: str, run: Callable) -> DataFrame:
+    """df with a column `made` of type kind in place of any by that name in any case of letters.
+
+    run is a function for mapInArrow that gets read's values as the last column, named read, and
+    puts the made ones there. All other columns go through it under stand-in names, so they may
+    have any name and occur twice.
+    """
+    at, names = column_at(df, read), df.columns
+    kept = [k for k, c in enumerate(names) if c.lower() != made.lower()]
+    rows = df.toDF(*(f"c{k}" for k in range(len(names)))).select(*(f"c{k}" for k in kept), F.col(f"c{at}").alias("read"))
+    schema = rows.drop("read").limit(0).withColumn("read", F.lit(None).cast(kind)).schema
+    return rows.mapInArrow(run, schema).toDF(*(names[k] for k in kept), made)
+
+
 def repeated(rows: DataFrame, times: str, chunk: int = 1024) -> DataFrame:
     """rows, each as often as its column times says, without that column; a row's repeats are made in chunks, so no long array is ever held."""
     columns = [F.col(f"`{c}`") for c in rows.columns if c != times]
