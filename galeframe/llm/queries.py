@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galeframe.llm import bpe_automaton, chat_format, license_scan, mixing, sentencepiece_codec, sharding, token_counts, topk_search, toxicity, whitening
+from galeframe.llm import bpe_automaton, chat_format, license_scan, mixing, sentencepiece_codec, sharding, spelling, token_counts, topk_search, toxicity, whitening
 from galeframe.llm.common import shared_dir, stored
 from galeframe.llm.embedding_dedup import near_duplicate_vectors
 from galeframe.llm.minhash import near_duplicates
@@ -86,13 +86,17 @@ def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_automaton.digests(_table(spark, sf_dir, "documents"))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"), min_length=5, min_count=3, times=2)
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings")
     return whitening.coordinates(vectors, whitening.fit(vectors, scale=64, shift=1_000_000, components=16))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_embedding_dedup, op2_license_scan, op3_chat_format, op4_minhash, op5_sharding, op6_topk, op7_toxicity, op8_sentencepiece, op9_mixing, op10_token_counts, op11_bpe, op13_whitening)
+    f.__name__: f for f in (op1_embedding_dedup, op2_license_scan, op3_chat_format, op4_minhash, op5_sharding, op6_topk, op7_toxicity, op8_sentencepiece, op9_mixing, op10_token_counts, op11_bpe, op12_spelling, op13_whitening)
 }
 
 ORACLE_SQL: dict[str, str] = {
