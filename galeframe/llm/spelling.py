@@ -39,10 +39,10 @@ _LETTERS = "etaoinshrdlucmfpgwybvkxqjz" + "".join(map(chr, range(0xC0, 0x100)))
 _EVERY = 97
 
 _LONG = 1 << 20  # characters of a text whose words are listed at once
-_HELD = 1 << 18
+_HELD = 1 << 17
 _BLOCK = 4096  # words of a block
 _BLOCK_CHARS = 1 << 18  # and characters, about
-_PAIRS = 1 << 22  # pairs of masks compared at once
+_PAIRS = 1 << 18  # pairs of masks compared at once
 _KEY = ["kind", "band", "v1", "v2", "length"]
 
 
@@ -82,6 +82,7 @@ def _counted(least: int):
                 if len(held) > _HELD:
                     yield emptied()
         yield emptied()
+        pa.default_memory_pool().release_unused()  # an idle worker keeps what it holds
 
     return run
 
@@ -233,6 +234,8 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             begin = at
     if open_ and (out := _tile(pa.concat_tables(open_))) is not None:
         yield out
+    open_ = []
+    pa.default_memory_pool().release_unused()
 
 
 def near_words(words: DataFrame, store: Store) -> DataFrame:
