@@ -121,9 +121,9 @@ def segment_distance(px: Column, py: Column, ax: Column, ay: Column, bx: Column,
 # -- exact forms, for limits of a metre and less ------------------------------------------------
 
 
-def inverse(lat1, lon1, lat2, lon2):
-    """(km, bearing in degrees) on WGS84 by Vincenty's iteration, element by element; near antipodes the last iterate."""
-    f, lat1, lon1, lat2, lon2 = FLAT, *(np.radians(np.asarray(x, float)) for x in (lat1, lon1, lat2, lon2))
+def inverse(lat1, lon1, lat2, lon2, flat=FLAT):
+    """(km, bearing in degrees) on WGS84 by Vincenty's iteration, element by element; near antipodes the last iterate. flat=0 gives a sphere of the same equator."""
+    f, b, lat1, lon1, lat2, lon2 = flat, A_KM * (1 - flat), *(np.radians(np.asarray(x, float)) for x in (lat1, lon1, lat2, lon2))
     u1, u2 = np.arctan((1 - f) * np.tan(lat1)), np.arctan((1 - f) * np.tan(lat2))
     span = (lon2 - lon1 + np.pi) % (2 * np.pi) - np.pi
     lam = span.copy()
@@ -143,25 +143,25 @@ def inverse(lat1, lon1, lat2, lon2):
             lam = new
             if done:
                 break
-    k = cos2_a * (A_KM**2 - B_KM**2) / B_KM**2
+    k = cos2_a * (A_KM**2 - b**2) / b**2
     big = 1 + k / 16384 * (4096 + k * (-768 + k * (320 - 175 * k)))
     small = k / 1024 * (256 + k * (-128 + k * (74 - 47 * k)))
     ds = small * sin_s * (mid + small / 4 * (cos_s * (2 * mid**2 - 1) - small / 6 * mid * (4 * sin_s**2 - 3) * (4 * mid**2 - 3)))
-    return np.where(sin_s > 0, B_KM * big * (s - ds), 0.0), np.degrees(np.arctan2(east, north)) % 360
+    return np.where(sin_s > 0, b * big * (s - ds), 0.0), np.degrees(np.arctan2(east, north)) % 360
 
 
-def direct(lat, lon, bearing, km):
-    """(lat, lon) reached from a place on a bearing after km, on WGS84 by Vincenty's iteration."""
-    f, lat, lon, alpha = FLAT, *(np.radians(np.asarray(x, float)) for x in (lat, lon, bearing))
+def direct(lat, lon, bearing, km, flat=FLAT, final=False):
+    """(lat, lon) reached from a place on a bearing after km, on WGS84 by Vincenty's iteration; final: and the bearing there."""
+    f, b, lat, lon, alpha = flat, A_KM * (1 - flat), *(np.radians(np.asarray(x, float)) for x in (lat, lon, bearing))
     km = np.asarray(km, float)
     u1 = np.arctan((1 - f) * np.tan(lat))
     s1 = np.arctan2(np.tan(u1), np.cos(alpha))
     sin_a = np.cos(u1) * np.sin(alpha)
     cos2_a = 1 - sin_a**2
-    k = cos2_a * (A_KM**2 - B_KM**2) / B_KM**2
+    k = cos2_a * (A_KM**2 - b**2) / b**2
     big = 1 + k / 16384 * (4096 + k * (-768 + k * (320 - 175 * k)))
     small = k / 1024 * (256 + k * (-128 + k * (74 - 47 * k)))
-    s = first = km / (B_KM * big)
+    s = first = km / (b * big)
     for _ in range(40):
         mid = np.cos(2 * s1 + s)
         ds = small * np.sin(s) * (mid + small / 4 * (np.cos(s) * (2 * mid**2 - 1) - small / 6 * mid * (4 * np.sin(s) ** 2 - 3) * (4 * mid**2 - 3)))
@@ -176,7 +176,8 @@ def direct(lat, lon, bearing, km):
     lam = np.arctan2(np.sin(s) * np.sin(alpha), np.cos(u1) * np.cos(s) - np.sin(u1) * np.sin(s) * np.cos(alpha))
     c = f / 16 * cos2_a * (4 + f * (4 - 3 * cos2_a))
     gone = lam - (1 - c) * f * sin_a * (s + c * np.sin(s) * (mid + c * np.cos(s) * (2 * mid**2 - 1)))
-    return np.degrees(to), (np.degrees(lon + gone) + 180) % 360 - 180
+    place = np.degrees(to), (np.degrees(lon + gone) + 180) % 360 - 180
+    return (*place, np.degrees(np.arctan2(sin_a, -turn)) % 360) if final else place
 
 
 @pandas_udf(DoubleType())

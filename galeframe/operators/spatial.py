@@ -1,4 +1,4 @@
-"""Coasts: nearest segments, points in polygons, crossings and their kinds.
+"""Coasts: nearest segments, points in polygons, exact distances.
 
 Coast tables may be long. Points and coast samples meet over cells of a longitude-latitude grid, so
 each join is an equi-join; what a search radius cannot decide is widened, never cut off.
@@ -121,72 +121,6 @@ def band_of(x: float, cell_deg: float) -> int:
     return math.floor(x / cell_deg)
 
 
-def crossings(pairs: DataFrame, segments: DataFrame, cell_deg: float = 4.0) -> DataFrame:
-    """Where track pairs (pair_id, a_lat, a_lon, b_lat, b_lon) cross coast segments: pair_id, segment_id, fraction along the pair, lat, lon.
-
-    Both go to the cells of their boxes, a tenth and a tenth of a degree wider, for an equi-join;
-    longitudes run on over the date line, and columns of cells wrap there. The crossing is found in
-    the plane around the pair's middle; stretches that lie on each other do not count.
-    """
-    wide = _wide(cell_deg)
-
-    def boxed(df: DataFrame, y1: str, x1: str, y2: str, x2: str) -> DataFrame:
-        def span(a: Column, b: Column) -> Column:
-            pad = F.abs(a - b) * 0.1 + 0.1
-            return F.sequence(F.floor((F.least(a, b) - pad) / cell_deg).cast("int"), F.floor((F.greatest(a, b) + pad) / cell_deg).cast("int"))
-
-        far = df.withColumn(x2, geo.unwrap_longitude(x2, x1))
-        columns = F.array_distinct(F.transform(span(F.col(x1), F.col(x2)), lambda c: F.pmod(c, F.lit(wide))))
-        return far.withColumn("_cy", F.explode(span(F.col(y1), F.col(y2)))).withColumn("_cx", F.explode(columns))
-
-    s = boxed(segments.select("segment_id", "lat_a", "lon_a", "lat_b", "lon_b"), "lat_a", "lon_a", "lat_b", "lon_b")
-    both = boxed(pairs, "a_lat", "a_lon", "b_lat", "b_lon").join(s, ["_cy", "_cx"])
-    both = both.dropDuplicates(["pair_id", "segment_id"])
-    y0, x0 = (F.col("a_lat") + F.col("b_lat")) / 2.0, (F.col("a_lon") + F.col("b_lon")) / 2.0
-    for name, la, lo in (("_p", "a_lat", "a_lon"), ("_q", "b_lat", "b_lon"), ("_s", "lat_a", "lon_a"), ("_t", "lat_b", "lon_b")):
-        both = both.withColumn(name, geo.local_xy(la, lo, y0, x0))
-    c = lambda n, k: F.col(f"{n}.{k}")
-    rx, ry = c("_q", "x") - c("_p", "x"), c("_q", "y") - c("_p", "y")
-    sx, sy = c("_t", "x") - c("_s", "x"), c("_t", "y") - c("_s", "y")
-    wx, wy = c("_s", "x") - c("_p", "x"), c("_s", "y") - c("_p", "y")
-    across = rx * sy - ry * sx
-    t, u = (wx * sy - wy * sx) / F.when(across != 0, across), (wx * ry - wy * rx) / F.when(across != 0, across)
-    hit = both.withColumn("fraction", t).where(t.between(0.0, 1.0) & u.between(0.0, 1.0))
-    return hit.select("pair_id", "segment_id", "fraction", (F.col("a_lat") + t * (F.col("b_lat") - F.col("a_lat"))).alias("lat"), geo.wrap_longitude(F.col("a_lon") + t * (F.col("b_lon") - F.col("a_lon"))).alias("lon"))
-
-
-def merge_close(found: DataFrame, limit_km: float = 1.0) -> DataFrame:
-    """Crossings of one pair with neighbours less than limit_km apart merged into their middle, one after another along the pair.
-
-    Each merge compares with the merged place, so this is a fold over a pair's few crossings.
-    """
-    cells = F.array_sort(F.collect_list(F.struct("fraction", "segment_id", "lat", "lon")))
-
-    def step(held: Column, c: Column) -> Column:
-        last = F.element_at(held, -1)
-        near = (F.size(held) > 0) & (geo.distance_km(F.get(held, F.size(held) - 1)["lat"], F.get(held, F.size(held) - 1)["lon"], c["lat"], c["lon"]) < limit_km)
-        last = F.get(held, F.size(held) - 1)
-        mean = F.struct(((last["fraction"] + c["fraction"]) / 2.0).alias("fraction"), last["segment_id"].alias("segment_id"), ((last["lat"] + c["lat"]) / 2.0).alias("lat"), ((last["lon"] + c["lon"]) / 2.0).alias("lon"))
-        return F.when(near, F.concat(F.slice(held, F.lit(1), F.greatest(F.lit(0), F.size(held) - 1)), F.array(mean))).otherwise(F.concat(held, F.array(c)))
-
-    empty = F.slice(F.col("_all"), 1, 0)
-    folded = found.groupBy("pair_id").agg(cells.alias("_all")).withColumn("_m", F.explode(F.aggregate("_all", empty, step)))
-    return folded.select("pair_id", "_m.segment_id", "_m.fraction", "_m.lat", "_m.lon")
-
-
-def classify(found: DataFrame, pairs: DataFrame, edges: DataFrame) -> DataFrame:
-    """found with crossing_type: landfall (sea before, land after), exit (land before, sea after), else tangent; the ground is looked up midway to the neighbouring crossings."""
-    w = Window.partitionBy("pair_id").orderBy("fraction", "segment_id")
-    f = found.withColumns({"_b": (F.coalesce(F.lag("fraction").over(w), F.lit(0.0)) + F.col("fraction")) / 2.0, "_a": (F.coalesce(F.lead("fraction").over(w), F.lit(1.0)) + F.col("fraction")) / 2.0, "_n": F.row_number().over(w)})
-    f = f.join(pairs.select("pair_id", "a_lat", "a_lon", "b_lat", geo.unwrap_longitude("b_lon", "a_lon").alias("b_lon")), "pair_id")
-    probe = f.select("pair_id", "_n", F.explode(F.array(F.struct(F.lit("before").alias("side"), F.col("_b").alias("t")), F.struct(F.lit("after").alias("side"), F.col("_a").alias("t")))).alias("s"), "a_lat", "a_lon", "b_lat", "b_lon")
-    probe = probe.select(F.struct("pair_id", "_n", F.col("s.side").alias("side")).alias("point_id"), (F.col("a_lat") + F.col("s.t") * (F.col("b_lat") - F.col("a_lat"))).alias("lat"), (F.col("a_lon") + F.col("s.t") * (F.col("b_lon") - F.col("a_lon"))).alias("lon"))
-    ground = covered_by(probe, edges)
-    sides = ground.groupBy(F.col("point_id.pair_id").alias("pair_id"), F.col("point_id._n").alias("_n")).agg(F.max(F.when(F.col("point_id.side") == "before", F.col("is_land"))).alias("_lb"), F.max(F.when(F.col("point_id.side") == "after", F.col("is_land"))).alias("_la"))
-    kind = F.when(~F.col("_lb") & F.col("_la"), "landfall").when(F.col("_lb") & ~F.col("_la"), "exit").otherwise("tangent")
-    return f.join(sides, ["pair_id", "_n"]).withColumn("crossing_type", kind).drop("_b", "_a", "_n", "_lb", "_la", "a_lat", "a_lon", "b_lat", "b_lon")
-
-
 def exact_segment_distance(lat: Sequence[float], lon: Sequence[float], seg: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
     """(km, fraction) of points from geodesic segments by golden-section search on the ellipsoid, both ends included."""
     lat, lon = np.asarray(lat, float), np.asarray(lon, float)

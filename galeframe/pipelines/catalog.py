@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from galeframe.functions import geo, scalar
 from galeframe.operators import aggregates, joins, sequences, spatial
+from galeframe.operators import crossings as crossing
 from galeframe.operators.lineage import kept
 
 QUADRANTS = ("ne", "se", "sw", "nw")
@@ -55,7 +56,7 @@ def crossings(fixes: DataFrame, edges: DataFrame, cfg: CatalogConfig) -> DataFra
     p = sequences.consecutive_pairs(fixes, "storm_id", "iso_time", "fix_id", ["lat", "lon"], cfg.track_gap_hours).where("NOT gap")
     p = p.withColumn("pair_id", F.struct("storm_id", "segment"))
     pairs = p.select("pair_id", "a_lat", "a_lon", "b_lat", "b_lon")
-    kinds = spatial.classify(spatial.merge_close(spatial.crossings(pairs, edges)), pairs, edges)
+    kinds = crossing.classify(crossing.merge_close(crossing.crossings(pairs, edges)), pairs, edges)
     when = scalar.micros("a_iso_time") + F.round((scalar.micros("b_iso_time") - scalar.micros("a_iso_time")) * F.col("fraction")).cast("long")
     timed = kinds.join(p.select("pair_id", "a_iso_time", "b_iso_time"), "pair_id")
     return timed.select("pair_id.storm_id", F.timestamp_micros(when).cast("timestamp_ntz").alias("crossing_time"), "crossing_type", "lat", "lon")

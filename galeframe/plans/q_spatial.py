@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galeframe.operators import sequences, spatial
+from galeframe.operators import crossings, sequences, spatial
 from galeframe.plans import views
 from galeframe.plans.registry import query
 
@@ -69,8 +69,8 @@ def c07_e06_e07_crossings(spark: SparkSession, d: str) -> DataFrame:
     """Track pairs that cross a square's sides, near ones merged, as landfall, exit or tangent."""
     edges = land_edges(spark, d).withColumn("segment_id", F.xxhash64("ring_id", "lon_a", "lat_a"))
     pairs = _pairs(spark, d)
-    found = spatial.merge_close(spatial.crossings(pairs, edges))
-    kinds = spatial.classify(found, pairs, edges)
+    found = crossings.merge_close(crossings.crossings(pairs, edges))
+    kinds = crossings.classify(found, pairs, edges)
     return kinds.select("pair_id", F.round("fraction", 6).alias("fraction"), F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "crossing_type")
 
 

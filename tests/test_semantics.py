@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from galeframe.functions import geo
-from galeframe.operators import duplicates, ensemble, grid, joins, qc, schedule, sequences, spatial, tracking, validation
+from galeframe.operators import crossings, duplicates, ensemble, grid, joins, qc, schedule, sequences, spatial, tracking, validation
 
 
 def t(text):
@@ -135,8 +135,8 @@ def square(spark):
 def test_landfall_and_exit(spark):
     pairs = spark.createDataFrame([(1, 0.0, -1.0, 0.0, 1.0), (2, 0.0, 1.0, 0.0, -1.0), (3, 0.5, 2.0, 0.5, 3.0)], "pair_id int, a_lat double, a_lon double, b_lat double, b_lon double")
     edges = square(spark)
-    found = spatial.merge_close(spatial.crossings(pairs, edges))
-    got = {r.pair_id: (round(r.fraction, 6), r.crossing_type) for r in spatial.classify(found, pairs, edges).collect()}
+    found = crossings.merge_close(crossings.crossings(pairs, edges))
+    got = {r.pair_id: (round(r.fraction, 6), r.crossing_type) for r in crossings.classify(found, pairs, edges).collect()}
     assert got == {1: (0.5, "landfall"), 2: (0.5, "exit")}
 
 
@@ -147,7 +147,7 @@ def test_boundary_is_land(spark):
 
 def test_close_crossings_merge_one_after_another(spark):
     rows = [(1, 1, 0.1, 0.0, 0.0), (1, 1, 0.2, 0.0, 0.005), (1, 1, 0.3, 0.0, 0.0105), (1, 1, 0.9, 0.0, 1.0)]
-    got = spatial.merge_close(spark.createDataFrame(rows, "pair_id int, segment_id int, fraction double, lat double, lon double")).orderBy("fraction").collect()
+    got = crossings.merge_close(spark.createDataFrame(rows, "pair_id int, segment_id int, fraction double, lat double, lon double")).orderBy("fraction").collect()
     assert [round(r.fraction, 6) for r in got] == [0.225, 0.9]
 
 
