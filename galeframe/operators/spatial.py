@@ -1,22 +1,22 @@
 """Coasts: nearest segments, points in polygons, exact distances.
 
-Coast tables may be long. Points and coast samples meet over cells of a longitude-latitude grid, so
-each join is an equi-join; what a search radius cannot decide is widened, never cut off.
+Coast tables may be long. Points and coasts meet over cells, so each join is an equi-join.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
-from functools import reduce
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from galeframe.functions import geo
+from galeframe.operators.lineage import kept
 
 
 def chord2(a: Column, b: Column) -> Column:
@@ -31,44 +31,130 @@ def samples(segments: DataFrame, spacing_km: float = 5.0) -> DataFrame:
     return each.select("segment_id", (F.col("lat_a") + F.col("_f") * (F.col("lat_b") - F.col("lat_a"))).alias("s_lat"), (F.col("lon_a") + F.col("_f") * (F.col("lon_b") - F.col("lon_a"))).alias("s_lon"))
 
 
-def _cells(cell_deg: float, reach: int, lat: str, lon: str) -> Column:
-    """Cells around a place; columns of cells wrap at the date line."""
-    wide = _wide(cell_deg)
-    steps = F.sequence(F.lit(-reach), F.lit(reach))
-    y, x = F.floor(F.col(lat) / cell_deg).cast("int"), F.floor(F.pmod(F.col(lon) + 180.0, F.lit(360.0)) / cell_deg).cast("int")
-    return F.array_distinct(F.flatten(F.transform(steps, lambda a: F.transform(steps, lambda b: F.struct((y + a).alias("cy"), F.pmod(x + b, F.lit(wide)).cast("int").alias("cx"))))))
+_AXES = ("x", "y", "z")
+_SMALL = 6  # levels up to this go to every task
+_PER_CELL = 8  # samples of a cell, on average, at which no finer cells are made
 
 
-def nearest_segments(points: DataFrame, coast: DataFrame, k: int, point_id: str = "point_id", lat: str = "lat", lon: str = "lon", cell_degs: Sequence[float] = (4.0, 15.0, 60.0)) -> DataFrame:
-    """point_id, rank, segment_id, chord2: the k segments whose samples are nearest on the unit sphere, ties to the smaller segment.
+def _cube(v: Column, level: int) -> Column:
+    """Number of the cube, 2**level along each axis of [-1, 1], that a coordinate of a unit vector lies in."""
+    n = 1 << level
+    return F.least(F.lit(n - 1), F.floor((v + 1.0) * (n / 2)).cast("int"))
 
-    Each round looks in the nine cells around a point. Its answer is final where the k-th chord is
-    shorter than the way out of those cells; the other points, far from any coast, go on to coarser
-    cells, and those that no round decides meet all eighths of the globe. Every round is an equi-join
-    on cells.
+
+def _to_box(far: bool) -> Column:
+    """Squared distance of a point p from the nearest (far: the farthest) place of a box lo, hi."""
+    out = F.lit(0.0)
+    for a in _AXES:
+        p, lo, hi = F.col(f"_p.{a}"), F.col(f"lo_{a}"), F.col(f"hi_{a}")
+        d = F.greatest(F.abs(p - lo), F.abs(p - hi)) if far else F.greatest(lo - p, p - hi, F.lit(0.0))
+        out = out + d * d
+    return out
+
+
+def _narrowed(near: DataFrame, point_id: str, k: int) -> DataFrame:
+    """The boxes near a point that may hold one of its k nearest segments.
+
+    A box holds a sample of each of its n own segments, so the boxes nearest by their far sides that
+    have k segments together bound the k-th distance; boxes whose near side lies beyond are left out.
+    """
+    near = near.withColumns({"_near": _to_box(False), "_far": _to_box(True)})
+    w = Window.partitionBy(point_id).orderBy("_far").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    bound = F.min(F.when(F.col("_held") >= k, F.col("_far"))).over(Window.partitionBy(point_id))
+    near = near.withColumn("_held", F.sum("n").over(w)).withColumn("_bound", F.least("_bound", bound))
+    return near.where(F.col("_near") <= F.col("_bound") * (1 + 1e-9) + 1e-15).drop("_near", "_far", "_held", "n", *(f"{e}_{a}" for e in ("lo", "hi") for a in _AXES))
+
+
+def _descended(tables: list[pd.DataFrame], k: int):
+    """For mapInArrow: points id, x, y, z with the boxes of the last table that may hold one of their k nearest segments, found as by _narrowed from table to table."""
+    levels = []
+    for t, after in zip(tables, [*tables[1:], None], strict=True):
+        own = t.reset_index(drop=True)
+        if levels:  # in the order of their parents, so that a box's children follow one another
+            own = own.assign(_up=pd.MultiIndex.from_frame(own[["up_x", "up_y", "up_z"]]).map(levels[-1][4])).sort_values("_up", kind="stable").reset_index(drop=True)
+            levels[-1] = (*levels[-1][:5], np.searchsorted(own["_up"].to_numpy(int), np.arange(len(levels[-1][2]) + 1)))
+        place = {key: j for j, key in enumerate(zip(own["ix"], own["iy"], own["iz"], strict=True))}
+        levels.append((own[["lo_x", "lo_y", "lo_z"]].to_numpy(float), own[["hi_x", "hi_y", "hi_z"]].to_numpy(float), own["n"].to_numpy(int), own[["ix", "iy", "iz"]].to_numpy(np.int32), place, None))
+    levels = [(*e[:4], e[5]) for e in levels]
+
+    def found(p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        row, box = np.repeat(np.arange(len(p)), len(levels[0][2]) if levels else 0), np.tile(np.arange(len(levels[0][2]) if levels else 0), len(p))
+        bound = np.full(len(p), np.inf)
+        for lo, hi, n, _, children in levels:
+            at = p[row]
+            near, far = np.maximum(np.maximum(lo[box] - at, at - hi[box]), 0.0), np.maximum(np.abs(at - lo[box]), np.abs(at - hi[box]))
+            near, far = (near * near).sum(axis=1), (far * far).sum(axis=1)
+            order = np.lexsort((far, row))
+            held = np.cumsum(n[box[order]])
+            starts = np.searchsorted(row[order], np.arange(len(p)))
+            held -= np.concatenate([[0], held])[starts][row[order]]
+            enough = order[held >= k]
+            np.minimum.at(bound, row[enough], far[enough])
+            keep = near <= bound[row] * (1 + 1e-9) + 1e-15
+            row, box = row[keep], box[keep]
+            if children is not None:
+                many = children[box + 1] - children[box]
+                nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                row, box = np.repeat(row, many), np.repeat(children[box], many) + nth
+        return row, box, bound
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                p = np.column_stack([part.column(c).to_numpy() for c in _AXES])
+                row, box, bound = found(p)
+                which = pa.array(row)
+                cube = levels[-1][3][box] if levels else np.zeros((0, 3), np.int32)
+                yield pa.RecordBatch.from_arrays([*(c.take(which) for c in part.columns), pa.array(bound[row]), *(pa.array(cube[:, j]) for j in range(3))], names=["id", *_AXES, "_bound", "ix", "iy", "iz"])
+
+    return run
+
+
+def nearest_segments(points: DataFrame, coast: DataFrame, k: int, point_id: str = "point_id", lat: str = "lat", lon: str = "lon", levels: Sequence[int] = (2, 4, 6, 8, 10, 12)) -> DataFrame:
+    """point_id, rank, segment_id, chord2: the k segments whose samples are nearest on the unit sphere, ties to the smaller segment; all segments if there are fewer.
+
+    Samples lie in cubes around the unit sphere, the smaller the denser they are. A point
+    starts with the 64 largest and goes on, level by level, with the cubes inside those that may hold
+    one of its k nearest, which bounds prove: large cubes are few and go to every task, each level
+    of smaller ones is an equi-join on cubes and a window over a point's few boxes; only the samples of the last cubes are compared. No round meets all samples,
+    and sparse coasts and points far from any are like others. Points without coordinates, and all
+    points of a coast without samples, have no rows. Two small aggregates over the coast are run at
+    once; its smallest boxes are checkpointed.
     """
-    rest = points.select(point_id, F.col(lat).alias("_lat"), F.col(lon).alias("_lon"), geo.unit_xyz(lat, lon).alias("_p"))
-    s = coast.select("segment_id", "s_lat", "s_lon", geo.unit_xyz("s_lat", "s_lon").alias("_s"))
-
-    def best(pairs: DataFrame) -> DataFrame:
-        each = pairs.groupBy(point_id, "segment_id").agg(F.min(chord2(F.col("_p"), F.col("_s"))).alias("chord2"))
-        w = Window.partitionBy(point_id).orderBy("chord2", "segment_id")
-        return each.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-    found = []
-    for cell in cell_degs:
-        first = best(rest.withColumn("_c", F.explode(_cells(cell, 1, "_lat", "_lon"))).join(s.withColumn("_c", F.explode(_cells(cell, 0, "s_lat", "s_lon"))), "_c"))
-        # a sample outside the nine cells is a cell away in latitude, or beyond a meridian a cell away
-        side = F.asin(F.cos(F.radians("_lat")) * F.sin(F.radians(F.lit(cell))))
-        way_out = F.pow(F.sin(F.least(side, F.radians(F.lit(cell))) / 2.0) * 2.0, F.lit(2))
-        held = first.groupBy(point_id).agg(F.count("*").alias("_n"), F.max("chord2").alias("_far"))
-        sure = rest.join(held, point_id).where((F.col("_n") == k) & (F.col("_far") < way_out)).select(point_id)
-        found.append(first.join(sure, point_id, "left_semi"))
-        rest = rest.join(sure, point_id, "left_anti")
-    eighths = F.array(*[F.struct(F.lit(y).alias("cy"), F.lit(x).alias("cx")) for y in (-1, 0) for x in range(4)])
-    own = F.struct(F.least(F.lit(0), F.floor(F.col("s_lat") / 90.0).cast("int")).alias("cy"), F.least(F.lit(3), F.floor(F.pmod(F.col("s_lon") + 180.0, F.lit(360.0)) / 90.0).cast("int")).alias("cx"))
-    found.append(best(rest.withColumn("_c", F.explode(eighths)).join(s.withColumn("_c", own), "_c")))
-    return reduce(DataFrame.unionByName, found).select(point_id, "rank", "segment_id", "chord2")
+    s = coast.select("segment_id", geo.unit_xyz("s_lat", "s_lon").alias("_s")).where("_s.x IS NOT NULL AND _s.y IS NOT NULL AND NOT isnan(_s.x + _s.y + _s.z)")
+    counted = s.agg(F.count("*").alias("n"), F.approx_count_distinct("segment_id").alias("some"), *[F.approx_count_distinct(F.struct(*[_cube(F.col(f"_s.{a}"), e) for a in _AXES])).alias(f"c{e}") for e in levels]).first()
+    used = list(levels[: 1 + next((i for i, e in enumerate(levels) if counted["n"] <= _PER_CELL * max(1, counted[f"c{e}"])), len(levels) - 1)])
+    last = used[-1]
+    if counted["some"] < 2 * k + 100:  # few segments: count them exactly
+        k = max(1, min(k, s.select("segment_id").distinct().count()))
+    p = points.select(point_id, geo.unit_xyz(lat, lon).alias("_p")).where("_p.x IS NOT NULL AND _p.y IS NOT NULL")
+    at = lambda e, v="_s": [_cube(F.col(f"{v}.{a}"), e).alias(f"i{a}") for a in _AXES]
+    owned = s.groupBy("segment_id").agg(F.min("_s").alias("_s"))
+    marked = s.select("_s", F.lit(0).alias("n")).unionByName(owned.select("_s", F.lit(1).alias("n")))
+    ends = lambda lo, hi: [f(c(a)).alias(f"{e}_{a}") for a in _AXES for e, f, c in (("lo", F.min, lo), ("hi", F.max, hi))]
+    leaves = kept(marked.groupBy(*at(last)).agg(F.sum("n").alias("n"), *ends(lambda a: F.col(f"_s.{a}"), lambda a: F.col(f"_s.{a}"))))
+
+    def boxes(level: int, above: int | None) -> DataFrame:
+        """The boxes of a level by the cubes they lie in; up_*: those of the level above."""
+        own = leaves.withColumns({f"i{a}": F.shiftright(f"i{a}", last - level) for a in _AXES})
+        own = own.groupBy(*(f"i{a}" for a in _AXES)).agg(F.sum("n").alias("n"), *ends(lambda a: f"lo_{a}", lambda a: f"hi_{a}"))
+        return own if above is None else own.withColumns({f"up_{a}": F.shiftright(f"i{a}", level - above) for a in _AXES})
+
+    # the cubes of the first levels are few whatever the coast, 2**18 at the very most, and go with the task
+    first = [e for e in used if e <= _SMALL]
+    tables = [boxes(e, above).toPandas() for above, e in zip([None, *first[:-1]], first, strict=True)]
+    near = p.select(F.col(point_id).alias("id"), *[F.col(f"_p.{a}").alias(a) for a in _AXES])
+    kind = p.schema[point_id].dataType.simpleString()
+    front = near.mapInArrow(_descended(tables, k), f"id {kind}, x double, y double, z double, _bound double, ix int, iy int, iz int")
+    front = front.select(F.col("id").alias(point_id), F.struct(*_AXES).alias("_p"), "_bound", "ix", "iy", "iz")
+    for above, level in zip(used[len(first) - 1 : -1], used[len(first) :], strict=True):
+        up = front.select(point_id, "_p", "_bound", *[F.col(f"i{a}").alias(f"up_{a}") for a in _AXES])
+        front = _narrowed(up.join(boxes(level, above), [f"up_{a}" for a in _AXES]).drop(*(f"up_{a}" for a in _AXES)), point_id, k)
+    met = front.join(s.select("segment_id", "_s", *at(last)), [f"i{a}" for a in _AXES])
+    each = met.groupBy(point_id, "segment_id").agg(F.min(chord2(F.col("_p"), F.col("_s"))).alias("chord2"))
+    w = Window.partitionBy(point_id).orderBy("chord2", "segment_id")
+    return each.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(point_id, "rank", "segment_id", "chord2")
 
 
 def distance_to_segments(candidates: DataFrame, segments: DataFrame, point_id: str = "point_id", lat: str = "lat", lon: str = "lon") -> DataFrame:

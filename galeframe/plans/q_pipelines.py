@@ -15,12 +15,13 @@ PERIOD = catalog.CatalogConfig("2024-01-02 00:00:00", "2024-01-28 00:00:00", spa
 
 
 def catalog_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Fixes with all radii and names, and the sides of one square of land for each nation."""
+    """Fixes with all radii and names, and one square of land for each nation, its sides cut short."""
+    from galeframe.operators.crossings import plane_edges
     from galeframe.plans.q_spatial import land_edges
 
     inner = {f"r{kt}_{q}": F.col(f"r34_{q}") * k for kt, k in ((50, 0.5), (64, 0.25)) for q in catalog.QUADRANTS}
     f = views.fixes(spark, d).withColumns(inner).withColumn("name", F.concat(F.lit("N"), F.col("storm_id").cast("string")))
-    return f, land_edges(spark, d).withColumn("segment_id", F.xxhash64("ring_id", "lon_a", "lat_a"))
+    return f, plane_edges(land_edges(spark, d).withColumn("segment_id", F.xxhash64("ring_id", "lon_a", "lat_a")))
 
 
 @query()

@@ -74,6 +74,43 @@ def c07_e06_e07_crossings(spark: SparkSession, d: str) -> DataFrame:
     return kinds.select("pair_id", F.round("fraction", 6).alias("fraction"), F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "crossing_type")
 
 
+def _unit_sql(lat: str, lon: str) -> str:
+    return f"{{'x': cos(radians({lat})) * cos(radians({lon})), 'y': cos(radians({lat})) * sin(radians({lon})), 'z': sin(radians({lat}))}}"
+
+
+def _cross_sql(a: str, b: str) -> str:
+    return "{" + ", ".join(f"'{k}': {a}.{i} * {b}.{j} - {a}.{j} * {b}.{i}" for k, i, j in (("x", "y", "z"), ("y", "z", "x"), ("z", "x", "y"))) + "}"
+
+
+def _dot_sql(a: str, b: str) -> str:
+    return f"({a}.x * {b}.x + {a}.y * {b}.y + {a}.z * {b}.z)"
+
+
+INSIDE = 1e-9  # both sides leave out crossings at a pair's very ends, which rounding decides
+
+
+@query(f"""WITH sides AS (SELECT n_nationkey * 4 + k AS segment_id, x0, y0, x1, y1 FROM (SELECT n_nationkey, -180e0 + 14.4e0 * n_nationkey AS a, -30e0 + n_nationkey AS b FROM nation),
+ LATERAL (SELECT unnest([0, 1, 2, 3]) AS k, unnest([a, a + 6e0, a + 6e0, a]) AS x0, unnest([b, b, b + 25e0, b + 25e0]) AS y0, unnest([a + 6e0, a + 6e0, a, a]) AS x1, unnest([b, b + 25e0, b + 25e0, b]) AS y1)),
+e AS (SELECT *, {_cross_sql("c", "d")} AS m FROM (SELECT segment_id, {_unit_sql("y0", "x0")} AS c, {_unit_sql("y1", "x1")} AS d FROM sides)),
+p AS (SELECT *, {_cross_sql("a", "b")} AS n FROM (SELECT pair_id, {_unit_sql("a_lat", "a_lon")} AS a, {_unit_sql("b_lat", "b_lon")} AS b FROM (
+ SELECT fix_id AS pair_id, lat AS a_lat, lon AS a_lon, lead(lat) OVER w AS b_lat, lead(lon) OVER w AS b_lon, (lead(epoch_us(iso_time)) OVER w - epoch_us(iso_time)) / 3600000000e0 AS hours
+ FROM fixes WINDOW w AS (PARTITION BY storm_id ORDER BY iso_time, fix_id)) WHERE hours > 0 AND hours <= 6)),
+q AS (SELECT *, {_cross_sql("n", "m")} AS v FROM p, e),
+g AS (SELECT *, sign({_dot_sql("v", "a")} + {_dot_sql("v", "b")}) / sqrt({_dot_sql("v", "v")}) AS s FROM q WHERE {_dot_sql("v", "v")} > 0),
+r AS (SELECT *, {{'x': v.x * s, 'y': v.y * s, 'z': v.z * s}} AS u FROM g),
+t AS (SELECT *, {_cross_sql("a", "u")} AS au, {_cross_sql("c", "u")} AS cu, {_cross_sql("u", "d")} AS ud FROM r),
+f AS (SELECT *, atan2({_dot_sql("au", "n")} / sqrt({_dot_sql("n", "n")}), {_dot_sql("a", "u")}) / atan2(sqrt({_dot_sql("n", "n")}), {_dot_sql("a", "b")}) AS fraction FROM t WHERE {_dot_sql("cu", "m")} >= 0 AND {_dot_sql("ud", "m")} >= 0)
+SELECT pair_id, segment_id::BIGINT AS segment_id, round(fraction, 6) AS fraction, round(degrees(asin(u.z)), 6) AS lat, round(degrees(atan2(u.y, u.x)), 6) AS lon FROM f WHERE fraction BETWEEN {INSIDE} AND 1 - {INSIDE}""", ("fixes",))
+def c07_sphere_crossings(spark: SparkSession, d: str) -> DataFrame:
+    """The crossings of track pairs and the sides of all squares, on a sphere."""
+    a, b = F.col("_a"), F.col("_b")
+    n = views.table(spark, d, "nation").select("n_nationkey", (F.lit(-180.0) + F.lit(14.4) * F.col("n_nationkey")).alias("_a"), (F.lit(-30.0) + F.col("n_nationkey")).alias("_b"))
+    side = lambda k, x0, y0, x1, y1: F.struct((F.col("n_nationkey") * 4 + k).cast("long").alias("segment_id"), x0.alias("lon_a"), y0.alias("lat_a"), x1.alias("lon_b"), y1.alias("lat_b"))
+    sides = n.select(F.inline(F.array(side(0, a, b, a + 6.0, b), side(1, a + 6.0, b, a + 6.0, b + 25.0), side(2, a + 6.0, b + 25.0, a, b + 25.0), side(3, a, b + 25.0, a, b))))
+    found = crossings.crossings(_pairs(spark, d), sides, flattening=0.0).where(F.col("fraction").between(INSIDE, 1 - INSIDE))
+    return found.select("pair_id", "segment_id", F.round("fraction", 6).alias("fraction"), F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
+
+
 @query("SELECT segment_id, lon_a, lat_a, lon_b, lat_b FROM coast", ("coast",))
 def a08_segment_source(spark: SparkSession, d: str) -> DataFrame:
     return views.coast(spark, d).select("segment_id", "lon_a", "lat_a", "lon_b", "lat_b")
