@@ -47,14 +47,13 @@ def _slope(value: str, at: str, w: Window) -> Column:
 
 
 def vorticity(grid: DataFrame, keys: Sequence[str], u: str = "u850", v: str = "v850", name: str = "zeta") -> DataFrame:
-    """grid with the relative vorticity on the sphere, dv/dx - du/dy + u tan(lat) / a, second order to the edges; null at poles."""
+    """grid with the relative vorticity on the sphere, (dv/dlon - d(u cos lat)/dlat) / (a cos lat), second order to the edges; null at poles."""
     east = Window.partitionBy(*keys, "iy").orderBy("longitude")
     north = Window.partitionBy(*keys, "ix").orderBy("latitude")
     cosine = F.cos(F.radians("latitude"))
-    dv = _slope(v, "longitude", east) / F.radians(F.lit(1.0)) / (F.lit(EARTH_M) * cosine)
-    du = _slope(u, "latitude", north) / F.radians(F.lit(1.0)) / F.lit(EARTH_M)
-    turn = F.col(u) * F.tan(F.radians("latitude")) / F.lit(EARTH_M)
-    return grid.withColumn(name, F.when(F.abs("latitude") < 90.0, dv - du + turn))
+    rows = grid.withColumn("_u", F.col(u) * cosine)
+    turn = _slope(v, "longitude", east) - _slope("_u", "latitude", north)
+    return rows.withColumn(name, F.when(F.abs(cosine) > 1e-10, turn / F.radians(F.lit(1.0)) / (F.lit(EARTH_M) * cosine))).drop("_u")
 
 
 def local_minima(grid: DataFrame, keys: Sequence[str], value: str = "msl") -> DataFrame:
@@ -71,15 +70,44 @@ def local_minima(grid: DataFrame, keys: Sequence[str], value: str = "msl") -> Da
     return around.where("n = 9 AND c._v = lo AND lo < hi").select(*keys, "iy", "ix", F.col("c.latitude").alias("latitude"), F.col("c.longitude").alias("longitude"), F.col("c._v").alias(value))
 
 
+def _longitude_reach(lat: Column, angle: float) -> Column:
+    """Degrees of longitude that a disk of an angle (radians) around a latitude reaches; all of them where it holds a pole."""
+    side = F.degrees(F.asin(F.least(F.lit(1.0), F.lit(math.sin(min(math.pi / 2, angle))) / F.cos(F.radians(lat)))))
+    return F.when(F.abs(lat) + math.degrees(angle) >= 90.0, 180.0).otherwise(side)
+
+
+def windows(centers: DataFrame, grid: DataFrame, keys: Sequence[str], radius_km: float, halo_lat: Column | float = 0.0, halo_lon: Column | float = 0.0) -> DataFrame:
+    """centers (keys, c_lat, c_lon, ...) with the cells of their own field in the box around their disk and a halo, longitudes unwrapped around the center.
+
+    A center goes to the tiles its box touches and meets the cells there by an equi-join on keys and
+    tile, so the rows made are linear in what the boxes hold, however many centers a field has. The
+    halo (degrees; two steps of the field's axes, say) may be columns of centers. Boxes wrap at the date line and take all longitudes at a pole.
+    """
+    angle = min(radius_km / geo.LEAST_RADIUS_KM, math.pi)
+    reach = math.degrees(angle)
+    tile = max(reach / 2, 0.05)
+    wide = max(1, math.ceil(360 / tile))
+    across = 360 / wide
+    c = centers.withColumns({"_dy": F.lit(reach + 1e-8) + halo_lat, "_dx": F.least(F.lit(180.0), _longitude_reach(F.col("c_lat"), angle) + halo_lon + 1e-8)})
+    row = lambda y: F.floor(y / tile).cast("int")
+    column = lambda x: F.floor((x + 180.0) / across).cast("int")
+    west, east = column(F.col("c_lon") - F.col("_dx")), column(F.col("c_lon") + F.col("_dx"))
+    over = F.array_distinct(F.transform(F.sequence(west, F.least(east, west + wide)), lambda t: F.pmod(t, F.lit(wide))))
+    c = c.where("c_lat IS NOT NULL AND c_lon IS NOT NULL AND NOT isnan(c_lat + c_lon)").withColumn("_ty", F.explode(F.sequence(row(F.col("c_lat") - F.col("_dy")), row(F.col("c_lat") + F.col("_dy"))))).withColumn("_tx", F.explode(over))
+    cell = grid.withColumns({"_ty": row(F.col("latitude")), "_tx": F.pmod(column(F.col("longitude")), F.lit(wide))})
+    near = c.join(cell, [*keys, "_ty", "_tx"]).withColumn("longitude", geo.unwrap_longitude("longitude", "c_lon"))
+    inside = (F.abs(F.col("latitude") - F.col("c_lat")) <= F.col("_dy")) & (F.abs(F.col("longitude") - F.col("c_lon")) <= F.col("_dx"))
+    return near.where(inside).drop("_ty", "_tx", "_dy", "_dx")
+
+
 def disk_stats(centers: DataFrame, grid: DataFrame, keys: Sequence[str], radius_km: float, zeta: str = "zeta") -> DataFrame:
     """centers (keys, center_id, c_lat, c_lon, hemisphere) with the disk's largest wind, its largest and least vorticity by hemisphere, and missing if any value in it is.
 
-    The join is on the grid's keys, then by a band of latitudes, which is cheap, then by distance: a
-    center meets its own field's cells only.
+    A center meets the cells of its own field in the tiles its disk touches, then those within the
+    distance.
     """
     g = grid.select(*keys, "latitude", "longitude", "u10", "v10", zeta)
-    band = F.abs(F.col("latitude") - F.col("c_lat")) <= math.degrees(radius_km / geo.LEAST_RADIUS_KM)
-    near = centers.join(g, list(keys)).where(band & (geo.distance_km("c_lat", "c_lon", "latitude", "longitude") <= radius_km))
+    near = windows(centers, g, keys, radius_km).where(geo.distance_km("c_lat", "c_lon", "latitude", "longitude") <= radius_km)
     wind, turn = scalar.finite(scalar.wind_speed("u10", "v10")), scalar.finite(F.col(zeta))
     return near.groupBy(*keys, "center_id").agg(F.max(wind).alias("vmax10_ms"), F.max(F.col("hemisphere") * turn).alias("cyclonic_vorticity_s"), F.min(F.col("hemisphere") * turn).alias("least_vorticity_s"), F.bool_or(wind.isNull() | turn.isNull()).alias("missing"))
 

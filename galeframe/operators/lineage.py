@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df by a reliable checkpoint in the folder of spark.checkpoint.dir, or in the warehouse where that is unset; its files go when it is no longer used."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: that of spark.checkpoint.dir, or one in the warehouse where that is unset, which is then made the session's checkpoint folder."""
     if spark.sparkContext.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
         spark.sparkContext.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints")
+    folder = spark.sparkContext.getCheckpointDir().rstrip("/")
+    return folder if "://" in folder else folder.replace("file:", "", 1)
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df by a reliable checkpoint in the shared folder. Its files go with it only where spark.cleaner.referenceTracking.cleanCheckpoints is set, else with the folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from galeframe.functions import geo, scalar
 from galeframe.operators import grid as g
-from galeframe.operators import tracking
+from galeframe.operators import lineage, tracking
 from galeframe.plans import views
 from galeframe.plans.registry import query
 from galeframe.plans.views import lambert
+from galeframe.sources import forecast_files, netcdf
 
 MINIMA = """SELECT a.field_id, a.iy, a.ix, any_value(a.msl) AS msl FROM grid a JOIN grid b ON a.field_id = b.field_id AND abs(a.iy - b.iy) <= 1 AND abs(a.ix - b.ix) <= 1
  GROUP BY 1, 2, 3 HAVING count(*) = 9 AND any_value(a.msl) = min(b.msl) AND min(b.msl) < max(b.msl)"""
@@ -30,9 +33,9 @@ SLOPE = """CASE WHEN {i} = 0 THEN -1.5e0 * {c} + 2e0 * lead({c}, 1) OVER {w} - 0
    ELSE (lead({c}, 1) OVER {w} - lag({c}, 1) OVER {w}) / 2e0 END / 0.5e0 / radians(1e0)"""
 
 
-@query(f"""SELECT field_id, iy, ix, round((dv / (6371000e0 * cos(radians(latitude))) - du / 6371000e0 + u850 * tan(radians(latitude)) / 6371000e0) * 1e5, 5) AS zeta FROM (
- SELECT *, {SLOPE.format(i="ix", c="v850", w="east")} AS dv, {SLOPE.format(i="iy", c="u850", w="north")} AS du
- FROM grid WINDOW east AS (PARTITION BY field_id, iy ORDER BY ix), north AS (PARTITION BY field_id, ix ORDER BY iy))""", ("grid",))
+@query(f"""SELECT field_id, iy, ix, round((dv - du) / (6371000e0 * cos(radians(latitude))) * 1e5, 5) AS zeta FROM (
+ SELECT *, {SLOPE.format(i="ix", c="v850", w="east")} AS dv, {SLOPE.format(i="iy", c="uc", w="north")} AS du
+ FROM (SELECT *, u850 * cos(radians(latitude)) AS uc FROM grid) WINDOW east AS (PARTITION BY field_id, iy ORDER BY ix), north AS (PARTITION BY field_id, ix ORDER BY iy))""", ("grid",))
 def h09_vorticity(spark: SparkSession, d: str) -> DataFrame:
     z = g.vorticity(views.grid(spark, d), ["field_id"])
     return z.select("field_id", "iy", "ix", F.round(F.col("zeta") * 1e5, 5).alias("zeta"))
@@ -80,6 +83,50 @@ def tracking_grid(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return cases.select("model", "forecast_case_id", F.lit(12).alias("forecast_hours"), F.when(F.col("k") % 7 != 0, F.lit(11.5)).alias("seed_lat"), F.when(F.col("k") % 7 != 0, F.lit(131.5)).alias("seed_lon")), cells
 
 
+def _round_trip_folder(spark: SparkSession) -> str:
+    """A folder that driver and executors share."""
+    return f"{lineage.shared_folder(spark)}/netcdf/{uuid.uuid4().hex}"
+
+
+FIELDS_OF_CASES = """SELECT 'pangu' AS model, 'F' || (field_id // 2)::VARCHAR AS forecast_case_id, (field_id % 2 + 1)::DOUBLE * 6 AS lead_time, latitude, longitude, msl, u10, v10 FROM grid"""
+
+
+@query(FIELDS_OF_CASES, ("grid",))
+def a09_netcdf_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """All fields as a NetCDF file a case, and the cells read back from the files."""
+    _, cells = tracking_grid(spark, d)
+    cells = cells.withColumn("model", F.lit("pangu"))
+    inits = cells.select("model", "forecast_case_id").distinct().withColumn("init_time", F.to_timestamp_ntz(F.lit("2024-01-01 00:00:00")))
+    files = lineage.kept(forecast_files.write_cases(cells, inits, _round_trip_folder(spark)))
+    read = netcdf.cells(files.select("model", "forecast_case_id", F.concat("path", F.lit("/surface.nc")).alias("path")), ["msl", "u10", "v10"], ["lead_time", "latitude", "longitude", "msl", "u10", "v10"])
+    case = F.element_at(F.split("path", "/"), -2)
+    return read.select(F.lit("pangu").alias("model"), case.alias("forecast_case_id"), "lead_time", "latitude", "longitude", "msl", "u10", "v10")
+
+
+@query("SELECT model, forecast_case_id, count(*)::BIGINT AS problems FROM (SELECT DISTINCT 'pangu' AS model, 'F' || (field_id // 2)::VARCHAR AS forecast_case_id FROM grid) GROUP BY ALL", ("grid",))
+def k07_file_contract(spark: SparkSession, d: str) -> DataFrame:
+    """All cases' files against a plan whose horizon is a step too long: a finding about lead_time and about valid_time in each of a case's two files, so four, over four."""
+    _, cells = tracking_grid(spark, d)
+    cells = cells.withColumn("model", F.lit("pangu"))
+    inits = cells.groupBy("model", "forecast_case_id").agg(F.to_timestamp_ntz(F.lit("2024-01-01 00:00:00")).alias("init_time"), F.max("lead_hours").alias("hours"))
+    files = lineage.kept(forecast_files.write_cases(cells, inits.drop("hours"), _round_trip_folder(spark)))
+    plan = files.join(inits, ["model", "forecast_case_id"]).withColumn("forecast_hours", F.col("hours") + 6)
+    found = forecast_files.violations(plan)
+    return found.groupBy(F.split("key", "[|]")[0].alias("model"), F.split("key", "[|]")[1].alias("forecast_case_id")).agg((F.count("*") / 4).cast("long").alias("problems"))
+
+
+@query()
+def e05_tracks_from_files(spark: SparkSession, d: str) -> DataFrame:
+    """The points of e05_j01_tracker, followed over NetCDF files of the same fields."""
+    cases, cells = tracking_grid(spark, d)
+    cases, cells = cases.withColumn("model", F.lit("pangu")), cells.withColumn("model", F.lit("pangu"))
+    start = cells.select("model", "forecast_case_id").distinct().withColumn("init_time", F.to_timestamp_ntz(F.lit("2024-01-01 00:00:00")))
+    files = lineage.kept(forecast_files.write_cases(cells, start, _round_trip_folder(spark)))
+    plan = files.join(cases, ["model", "forecast_case_id"]).join(start, ["model", "forecast_case_id"])
+    points = forecast_files.track_files(plan, tracking.TrackerConfig(300.0, 100.0, 1e-5))
+    return points.select("forecast_case_id", "lead_hours", F.round("latitude", 6).alias("latitude"), F.round("longitude", 6).alias("longitude"), F.round("vmax10_ms", 6).alias("vmax10_ms"), "status", "reason")
+
+
 @query()
 def e05_j01_tracker(spark: SparkSession, d: str) -> DataFrame:
     points = tracking.track(*tracking_grid(spark, d), tracking.TrackerConfig(300.0, 100.0, 1e-5))

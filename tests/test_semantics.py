@@ -173,12 +173,10 @@ class Field:
 
 
 def curl(f):
-    """Relative vorticity with the curvature term by numpy's own gradients."""
+    """Relative vorticity by numpy's own gradients."""
     phi, lam = np.radians(f.latitude), np.radians(f.longitude)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        dv = np.gradient(f.v850, lam, axis=1, edge_order=2) / (6.371e6 * np.cos(phi))[:, None]
-        du = np.gradient(f.u850, phi, axis=0, edge_order=2) / 6.371e6
-        return dv - du + f.u850 * np.tan(phi)[:, None] / 6.371e6
+    cosine = np.cos(phi)[:, None]
+    return (np.gradient(f.v850, lam, axis=1, edge_order=2) - np.gradient(f.u850 * cosine, phi, axis=0, edge_order=2)) / (6.371e6 * cosine)
 
 
 def lows(msl):
