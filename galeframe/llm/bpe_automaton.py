@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from galeframe.llm.common import text_slices, with_made
+from galeframe.llm.common import added, text_slices, with_made
 
 _WORDS = 1 << 16  # words of a long text taken at once
 _WHOLE = 1 << 20  # characters of a text whose words are taken together
@@ -220,10 +220,6 @@ def encoder(path: str | None = None) -> Encoder:
     return _encoders[path or ""]
 
 
-def _replaced(part: pa.RecordBatch, last: pa.Array) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([*part.columns[:-1], last], names=part.schema.names)
-
-
 def _ids(path: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
@@ -231,7 +227,7 @@ def _ids(path: str | None):
             for part in text_slices(batch, "read"):
                 held = [np.frombuffer(own.encode(t or ""), "<u4") for t in part.column("read").to_pylist()]
                 at = np.concatenate([[0], np.cumsum([len(x) for x in held])]).astype(np.int32)
-                yield _replaced(part, pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(held).astype(np.int32))))
+                yield added(part, pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(held).astype(np.int32))))
 
     return run
 
@@ -246,7 +242,7 @@ def _texts(path: str | None):
         own = encoder(path)
         for batch in batches:
             texts = [own.decode(np.array(x or (), np.int64)) for x in batch.column("read").to_pylist()]
-            yield _replaced(batch, pa.array(texts, pa.string()))
+            yield added(batch, pa.array(texts, pa.string()))
 
     return run
 

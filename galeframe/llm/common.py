@@ -8,7 +8,7 @@ from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -73,6 +73,11 @@ def text_slices(batch: pa.RecordBatch, column: str, max_bytes: int = 1 << 20) ->
     yield batch.slice(start)
 
 
+def named(column: str) -> Column:
+    """The column by exactly this name, whatever signs are in it."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def column_at(df: DataFrame, name: str) -> int:
     """Position of the column by this name, its spelling first, else in any case of letters."""
     names = df.columns
@@ -82,20 +87,26 @@ def column_at(df: DataFrame, name: str) -> int:
 def with_made(df: DataFrame, read: str, made: str, kind: str, run: Callable) -> DataFrame:
     """df with a column `made` of type kind in place of any by that name in any case of letters.
 
-    run is a function for mapInArrow that gets read's values as the last column, named read, and
-    puts the made ones there. All other columns go through it under stand-in names, so they may
-    have any name and occur twice.
+    run is a function for mapInArrow whose batches hold read's values as column read; it adds a last
+    column, made (see added()). All columns go through it under stand-in names, so they may have any
+    name and occur twice.
     """
     at, names = column_at(df, read), df.columns
     kept = [k for k, c in enumerate(names) if c.lower() != made.lower()]
-    rows = df.toDF(*(f"c{k}" for k in range(len(names)))).select(*(f"c{k}" for k in kept), F.col(f"c{at}").alias("read"))
-    schema = rows.drop("read").limit(0).withColumn("read", F.lit(None).cast(kind)).schema
-    return rows.mapInArrow(run, schema).toDF(*(names[k] for k in kept), made)
+    plain = df.toDF(*("read" if k == at else f"c{k}" for k in range(len(names))))
+    rows = plain.select(*(plain.columns[k] for k in range(len(names)) if k in kept or k == at))
+    schema = rows.limit(0).withColumn("made", F.lit(None).cast(kind)).schema
+    return rows.mapInArrow(run, schema).select(*(plain.columns[k] for k in kept), "made").toDF(*(names[k] for k in kept), made)
+
+
+def added(part: pa.RecordBatch, made: pa.Array) -> pa.RecordBatch:
+    """A batch with the column that a function of with_made() makes."""
+    return pa.RecordBatch.from_arrays([*part.columns, made], names=[*part.schema.names, "made"])
 
 
 def repeated(rows: DataFrame, times: str, chunk: int = 1024) -> DataFrame:
     """rows, each as often as its column times says, without that column; a row's repeats are made in chunks, so no long array is ever held."""
-    columns = [F.col(f"`{c}`") for c in rows.columns if c != times]
+    columns = [named(c) for c in rows.columns if c != times]
     held = rows.where(F.col(times) > 0).select(F.struct(*columns).alias("row"), F.col(times).cast("long").alias("n"))
     held = held.select("row", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / chunk))).alias("c"))
     held = held.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(chunk), F.col("n") - F.col("c") * chunk))))

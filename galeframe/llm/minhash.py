@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from galeframe.llm.common import Store, connected_components, scratch, stored, text_slices
+from galeframe.llm.common import Store, connected_components, named, scratch, stored, text_slices
 from galeframe.llm.textkit import U, mix, shingles, text_keys, word_hashes
 
 
@@ -363,7 +363,7 @@ def drop_near_duplicates(docs: DataFrame, cfg: MinHashConfig = MinHashConfig())
     others, are shuffled; the rest pass where they lie.
     """
     columns = docs.columns
-    row = F.struct(*[F.col(f"`{c}`") for c in columns])
+    row = F.struct(*[named(c) for c in columns])
     held = docs.select(F.col("doc_id").cast("long").alias("id"), row.alias("row"))
     classes = near_duplicates(docs, cfg).where("doc_id IS NOT NULL")
     odd = classes.groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("n"), F.bool_or("kept").alias("keep")).where("n > 1 OR NOT keep")

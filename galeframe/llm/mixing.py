@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from galeframe.llm.common import repeated, stored
+from galeframe.llm.common import named, repeated, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 MOST_BROADCAST = 1_000_000
@@ -205,7 +205,7 @@ def mixed(docs: DataFrame, seed: int = 0, weights: Sequence[float] = (5, 2, 1),
     """The mix itself: docs' rows, each as often as the mix takes it. Only rows at a cut through equal ids are shuffled."""
     plan, small = allotments(stored(sized(docs)), seed, weights, limit)
     times, tied = _times(seed)
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    row = F.struct(*[named(c) for c in docs.columns])
     rows = _met(docs.select("doc_id", "source", words_in(F.col("text")).alias("size"), row.alias("row")), plan, small)
     rows = rows.withColumns({"times": times, "tied": tied})
     equal = rows.where("tied").groupBy("doc_id", "source", "size", "times", "cut_take", F.to_json("row").alias("json")).agg(F.first("row").alias("row"), F.count("*").alias("copies"))

@@ -12,7 +12,7 @@ without a piece become their UTF-8 bytes' pieces. Only the vocabulary is read fr
 Edge cases: null and empty texts have no ids; space marks in a text come back as spaces, as with
 the library; very long cuts (no space for thousands of characters) use a heap over the same edges.
 A text of any length is indexed a megabyte
-of cuts at a time. Other columns pass through encode(); one named ids is replaced.
+of cuts at a time. Other columns, of any type and name, pass through encode(); one named ids is replaced.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from galeframe.llm.common import text_slices
+from galeframe.llm.common import added, text_slices, with_made
 from galeframe.llm.textkit import U, mix
 
 SPACE = 0x2581
@@ -292,38 +292,33 @@ def _with_ids(path: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for batch in batches:
-            for part in text_slices(batch, "text", _SLICE):
-                ids, at = own.encode([t or "" for t in part.column("text").to_pylist()])
-                lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))
-                kept = [k for k, c in enumerate(part.schema.names) if c != "ids"]
-                yield pa.RecordBatch.from_arrays([*(part.columns[k] for k in kept), lists], names=[*(part.schema.names[k] for k in kept), "ids"])
+            for part in text_slices(batch, "read", _SLICE):
+                ids, at = own.encode([t or "" for t in part.column("read").to_pylist()])
+                yield added(part, pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids)))
 
     return run
 
 
 def encode(docs: DataFrame, model: str | None = None) -> DataFrame:
-    """docs with ids array<int>, the pieces of the whole text; a column of docs by this name is replaced."""
-    schema = docs.drop("ids").limit(0).withColumn("ids", F.lit(None).cast("array<int>")).schema
-    return docs.mapInArrow(_with_ids(model), schema)
+    """docs with ids array<int>, the pieces of the whole text; a column of docs by this name, in any case of letters, is replaced."""
+    return with_made(docs, "text", "ids", "array<int>", _with_ids(model))
 
 
 def _with_text(path: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for batch in batches:
-            lists = batch.column("ids").to_pylist()
+            lists = batch.column("read").to_pylist()
             at = np.concatenate([[0], np.cumsum([len(x or ()) for x in lists])]).astype(np.int64)
             ids = np.array([i for x in lists for i in x or ()], np.int32)
-            kept = [k for k, c in enumerate(batch.schema.names) if c != "decoded"]
-            yield pa.RecordBatch.from_arrays([*(batch.columns[k] for k in kept), pa.array(own.decode(ids, at), pa.string())], names=[*(batch.schema.names[k] for k in kept), "decoded"])
+            yield added(batch, pa.array(own.decode(ids, at), pa.string()))
 
     return run
 
 
 def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
-    """encoded with decoded, the text of its ids, in place of a column by this name; null ids give an empty text."""
-    schema = encoded.drop("decoded").limit(0).withColumn("decoded", F.lit(None).cast("string")).schema
-    return encoded.mapInArrow(_with_text(model), schema)
+    """encoded with decoded, the text of its ids, in place of a column by this name in any case of letters; null ids give an empty text."""
+    return with_made(encoded, "ids", "decoded", "string", _with_text(model))
 
 
 def _both(path: str | None):

@@ -20,8 +20,9 @@ import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
-from galeframe.llm.common import counted_up, stored
+from galeframe.llm.common import counted_up, named, stored
 
 ROUNDS = 6
 
@@ -83,6 +84,33 @@ def numbered(df: DataFrame, bucket_rows: int = 100_000) -> DataFrame:
     return ranked.join(before, "bucket").withColumn("first", F.col("before") + F.col("within")).drop("bucket", "before", "within")
 
 
+def _has_map(kind: DataType) -> bool:
+    if isinstance(kind, StructType):
+        return any(_has_map(f.dataType) for f in kind.fields)
+    return isinstance(kind, MapType) or isinstance(kind, ArrayType) and _has_map(kind.elementType)
+
+
+def _without_maps(value: Column, kind: DataType) -> Column:
+    """value with its maps as arrays of entries, which can be hashed, ordered and grouped; _with_maps() undoes it."""
+    if not _has_map(kind):
+        return value
+    if isinstance(kind, MapType):
+        return F.transform(F.map_entries(value), lambda e: F.struct(e["key"].alias("key"), _without_maps(e["value"], kind.valueType).alias("value")))
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda e: _without_maps(e, kind.elementType))
+    return F.when(value.isNotNull(), F.struct(*(_without_maps(value.getField(f.name), f.dataType).alias(f.name) for f in kind.fields)))
+
+
+def _with_maps(value: Column, kind: DataType) -> Column:
+    if not _has_map(kind):
+        return value
+    if isinstance(kind, MapType):
+        return F.map_from_entries(F.transform(value, lambda e: F.struct(e["key"].alias("key"), _with_maps(e["value"], kind.valueType).alias("value"))))
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda e: _with_maps(e, kind.elementType))
+    return F.when(value.isNotNull(), F.struct(*(_with_maps(value.getField(f.name), f.dataType).alias(f.name) for f in kind.fields)))
+
+
 def shard_rows(df: DataFrame, shards: int, seed: int = 0) -> DataFrame:
     """df with `shard` and `slot`; these win over columns of df by the same names, which are dropped."""
     if shards < 1:
@@ -90,12 +118,14 @@ def shard_rows(df: DataFrame, shards: int, seed: int = 0) -> DataFrame:
     kept = [c for c in df.columns if c.lower() not in ("shard", "slot")]
     rows = df.count()
     if not rows:
-        return df.select(*[F.col(f"`{c}`") for c in kept], F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
+        return df.select(*[named(c) for c in kept], F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
     steps = walk_steps(df.sparkSession, rows, seed)
     plain = [f"c{k}" for k in range(len(df.columns))]
-    many = counted_up(numbered(df.toDF(*plain)), "first", "copies", "number")
+    kinds = [f.dataType for f in df.schema.fields]
+    flat = df.toDF(*plain).select(*(_without_maps(F.col(p), t).alias(p) for p, t in zip(plain, kinds, strict=True)))
+    many = counted_up(numbered(flat), "first", "copies", "number")
     placed = many.withColumn("place", place_of(F.col("number"), rows, seed, steps))
-    own = [F.col(p).alias(c) for p, c in zip(plain, df.columns, strict=True) if c in kept]
+    own = [_with_maps(F.col(p), t).alias(c) for p, c, t in zip(plain, df.columns, kinds, strict=True) if c in kept]
     return placed.select(*own, F.pmod("place", F.lit(shards)).cast("int").alias("shard"), F.floor(F.col("place") / F.lit(shards)).cast("long").alias("slot"))
 
 

@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from galeframe.llm.common import stored, text_slices
+from galeframe.llm.common import column_at, stored, text_slices
 from galeframe.llm.textkit import U, Words, mix, raw_bytes, windows, words
 
 PREFIXES = (4, 5, 6, 7, 8, 9, 10, 12)
@@ -349,12 +349,14 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, limit: float = 0.5) -> DataFrame:
-    """docs without the rows that score limit or more, all columns as they are, without any shuffle."""
+    """docs without the rows that score limit or more, all columns as they are, whatever their names, without any shuffle."""
+    at = column_at(docs, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch, "text"):
-                keep = [_probability(model, top, sum_) < limit for _, top, sum_, *_ in _texts(model, part.column("text"))]
+            for part in text_slices(batch, f"c{at}"):
+                keep = [_probability(model, top, sum_) < limit for _, top, sum_, *_ in _texts(model, part.column(f"c{at}"))]
                 yield part.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))  # names with dots do not pass through Arrow
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from galeframe.llm.common import column_at, scratch, with_made
+from galeframe.llm.common import added, column_at, scratch, with_made
 
 _PRIME = 1 << 20
 _ROWS = 1 << 15  # residues lie within 2**19 of zero: so many products of two stay below 2**53
@@ -240,7 +240,7 @@ KIND = "struct<deviation:long,values:array<double>>"
 def _whitened(models: dict[int, Whitening]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            read = batch.column(batch.num_columns - 1)
+            read = batch.column("read")
             deviation: list[int | None] = [None] * batch.num_rows
             values: list[np.ndarray | None] = [None if not v else np.zeros(0) for v in read.is_valid().to_pylist()]
             for at, x in _matrices(read):
@@ -249,7 +249,7 @@ def _whitened(models: dict[int, Whitening]):
                 for k, s, w in zip(at.tolist(), model.deviations(y), model.project(y), strict=True):
                     deviation[k], values[k] = s, w
             made = pa.StructArray.from_arrays([pa.array(deviation, pa.int64()), pa.array(values, pa.list_(pa.float64()))], names=["deviation", "values"], mask=read.is_null())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], made], names=batch.schema.names)
+            yield added(batch, made)
 
     return run
 
