@@ -1,24 +1,25 @@
 """The seeded cyclone tracker.
 
-What a track can reach is known before it is followed: by lead h it lies within h / 6 search radii of
-its seed. So the cells outside are left out before any shuffle, the pressure minima, vorticities and
-disks of what is left are relational work over all forecasts and leads at once (operators.grid), and
-only the choice among a case's minima runs in order: a small state per case, place or reason, carried
-over its leads.
+A track is followed lead by lead, all cases at once. The state is one place a case. A step joins the
+places with the cells of their own fields at that lead, by tiles, so that it reads a box of bounded
+size however late the lead, and a small numpy function picks the low where the track goes on. Each
+step's points are checkpointed: lost executors repeat one step, and the next starts from a table.
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from galeframe.functions import geo
 from galeframe.operators import grid as g
+from galeframe.operators.lineage import kept
 
 POINT = "lead_hours int, latitude double, longitude double, msl_hpa double, vmax10_ms double, cyclonic_vorticity_s double, status string, reason string"
 KEYS = ("model", "forecast_case_id")
@@ -51,91 +52,90 @@ def planned(cases: DataFrame) -> DataFrame:
 
 
 def fields(cells: DataFrame) -> DataFrame:
-    """One row a field: its latitudes and (unwrapped) longitudes in order, whether each pair of them has a cell, and the steps between them."""
-    step = lambda a, pick: F.coalesce(pick(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(a) - 1)), lambda k: F.get(a, k) - F.get(a, k - 1))), F.lit(0.0))
+    """One row a field: whether each pair of its latitudes and longitudes has one cell, and the largest steps between them, dy and dx."""
+    step = lambda a: F.coalesce(F.array_max(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(a) - 1)), lambda k: F.get(a, k) - F.get(a, k - 1))), F.lit(0.0))
     held = cells.groupBy(*FIELD).agg(F.count("*").alias("n"), F.array_sort(F.collect_set("latitude")).alias("ys"), F.array_sort(F.collect_set("longitude")).alias("xs"))
-    ring = F.abs(F.size("xs") * step(F.col("xs"), F.array_min) - 360.0) < 1e-6
-    return held.select(*FIELD, "ys", "xs", (F.col("n") == F.size("ys") * F.size("xs")).alias("whole"), step(F.col("ys"), F.array_max).alias("dy"), step(F.col("xs"), F.array_max).alias("dx"), ring.alias("ring"))
+    return held.select(*FIELD, (F.col("n") == F.size("ys") * F.size("xs")).alias("whole"), step(F.col("ys")).alias("dy"), step(F.col("xs")).alias("dx"))
 
 
-def _reachable(cfg: TrackerConfig) -> Column:
-    """Whether a cell can take part in a search at its lead, the disks around what is found there and two cells more included."""
-    angle = (F.col("lead_hours") / STEP_HOURS * cfg.search_radius_km + cfg.diagnostic_radius_km) / geo.LEAST_RADIUS_KM
-    tall = F.degrees(angle) + F.col("dy") * HALO_CELLS
-    wide = F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.least(F.lit(math.pi / 2), angle)) / F.cos(F.radians("seed_lat"))))) + F.col("dx") * HALO_CELLS
-    polar = F.abs("seed_lat") + F.degrees(angle) >= 89.0
-    return (F.abs(F.col("latitude") - F.col("seed_lat")) <= tall) & (polar | (F.abs(F.col("longitude") - F.col("seed_lon")) <= wide))
+@dataclass
+class Window:
+    """A part of a field: latitudes in the file's order, longitudes rising and unwrapped around the centre, fields by (latitude, longitude); missing is NaN."""
 
+    latitude: np.ndarray
+    longitude: np.ndarray
+    fields: dict[str, np.ndarray]
 
-def numbered_cells(cells: DataFrame, shapes: DataFrame, cfg: TrackerConfig) -> DataFrame:
-    """The reachable cells of whole fields with iy and ix; a field around the globe goes on for two columns past its seam at either side."""
-    near = cells.join(shapes.where("whole"), list(FIELD)).where(_reachable(cfg) | F.col("ring") & _reachable_over_seam(cfg))
-    place = lambda a, v: (F.array_position(a, F.col(v)) - 1).cast("int")
-    near = near.withColumns({"iy": place(F.col("ys"), "latitude"), "ix": place(F.col("xs"), "longitude"), "nx": F.size("xs")})
-    turns = F.concat(F.array(F.lit(0)), F.when(F.col("ring") & (F.col("ix") < HALO_CELLS), F.array(F.lit(1))).otherwise(F.array().cast("array<int>")), F.when(F.col("ring") & (F.col("ix") >= F.col("nx") - HALO_CELLS), F.array(F.lit(-1))).otherwise(F.array().cast("array<int>")))
-    near = near.withColumn("turn", F.explode(turns))
-    return near.select(*FIELD, "iy", (F.col("ix") + F.col("turn") * F.col("nx")).alias("ix"), "latitude", (F.col("longitude") + F.col("turn") * 360.0).alias("longitude"), (F.col("turn") == 0).alias("own"), "msl", "u850", "v850", "u10", "v10")
 
+def _vorticity(y: np.ndarray, x: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """(dv/dlon - d(u cos lat)/dlat) / (a cos lat), second order to the edges; NaN at poles."""
+    if min(len(y), len(x)) < 3:
+        raise ValueError("vorticity needs three latitudes and longitudes at least")
+    cosine = np.cos(np.radians(y))[:, None]
+    turn = np.gradient(v, np.radians(x), axis=1, edge_order=2) - np.gradient(u * cosine, np.radians(y), axis=0, edge_order=2)
+    return np.where(np.abs(cosine) > 1e-10, turn / (g.EARTH_M * np.where(np.abs(cosine) > 1e-10, cosine, 1.0)), np.nan)
 
-def _reachable_over_seam(cfg: TrackerConfig) -> Column:
-    """Whether a cell lies by the seam, half the globe from the seed, at a lead that may come near it."""
-    angle = (F.col("lead_hours") / STEP_HOURS * cfg.search_radius_km + cfg.diagnostic_radius_km) / geo.LEAST_RADIUS_KM
-    return (F.abs(F.col("longitude") - F.col("seed_lon")) >= 180.0 - F.col("dx") * (HALO_CELLS + 1)) & (angle >= math.pi - 0.2)
 
-
-def candidates(cells: DataFrame, cfg: TrackerConfig) -> DataFrame:
-    """Every pressure minimum of the numbered cells with its disk: largest wind, largest and least vorticity, and whether a value is missing."""
-    spun = g.vorticity(cells, FIELD)
-    low = g.local_minima(cells, FIELD).join(cells.where("own").select(*FIELD, "iy", "ix"), [*FIELD, "iy", "ix"], "left_semi")
-    low = low.withColumn("center_id", F.struct("iy", "ix"))
-    disks = g.disk_stats(low.select(*FIELD, "center_id", F.col("latitude").alias("c_lat"), F.col("longitude").alias("c_lon"), F.lit(1.0).alias("hemisphere")), spun, FIELD, cfg.diagnostic_radius_km)
-    return low.select(*FIELD, "center_id", F.col("latitude").alias("low_lat"), F.col("longitude").alias("low_lon"), "msl").join(disks, [*FIELD, "center_id"]).drop("center_id")
+def _lows(p: np.ndarray) -> np.ndarray:
+    """Where a cell is lowest of a complete, finite 3 x 3 neighbourhood that is not flat."""
+    out = np.zeros(p.shape, bool)
+    if min(p.shape) < 3:
+        return out
+    around = np.lib.stride_tricks.sliding_window_view(p, (3, 3))
+    with np.errstate(invalid="ignore"):
+        out[1:-1, 1:-1] = np.isfinite(around).all(axis=(2, 3)) & (p[1:-1, 1:-1] == around.min(axis=(2, 3))) & (around.min(axis=(2, 3)) < around.max(axis=(2, 3)))
+    return out
 
 
-def chosen(lows: pd.DataFrame, lat: float, lon: float, cfg: TrackerConfig) -> tuple[int | None, float, str]:
-    """(row of the low where the track goes on, its cyclonic vorticity, why there is none) from a place."""
-    y, x = lows["low_lat"].to_numpy(float), lows["low_lon"].to_numpy(float)
-    km = geo.inverse(lat, lon, y, x)[0]
+def next_center(w: Window, lat: float, lon: float, cfg: TrackerConfig) -> tuple[dict | None, str]:
+    """(the low where a track goes on from a place, why there is none): the first in order of pressure, distance, latitude and longitude within the search radius whose disk is complete and turns fast enough."""
+    p = w.fields["msl"]
+    iy, ix = np.nonzero(_lows(p))
+    km = geo.inverse(lat, lon, w.latitude[iy], w.longitude[ix])[0]
     inside = km <= cfg.search_radius_km
-    if not inside.any():
-        return None, math.nan, "no_pressure_minimum"
-    north = np.where(y != 0, y, lat) >= 0
-    turn = np.where(north, lows["cyclonic_vorticity_s"].to_numpy(float), -lows["least_vorticity_s"].to_numpy(float))
-    missing = lows["missing"].to_numpy(bool)
-    fit = np.flatnonzero(inside & ~missing & (turn > cfg.vorticity_threshold_s))
-    if not len(fit):
-        return None, math.nan, "missing_diagnostic_data" if (inside & missing).any() else "vorticity_below_threshold"
-    first = fit[np.lexsort((x[fit], y[fit], km[fit], lows["msl"].to_numpy(float)[fit]))[0]]
-    return int(first), float(turn[first]), ""
-
-
-def followed(rows: pd.DataFrame, cfg: TrackerConfig) -> pd.DataFrame:
-    """The points of one case from its leads' lows (one row each; a lead without any has one row of nulls)."""
-    place = (rows["seed_lat"].iloc[0], rows["seed_lon"].iloc[0])
-    over, points = "", []
-    for lead, lows in rows.groupby("lead_hours", sort=True):
-        h, at = int(lead), None
-        whole = lows["whole"].iloc[0]
-        if over:
-            status, reason = "terminated", over
-        elif pd.isna(whole) or not whole:
-            status, reason = "input_error", f"input_error_at_{h}h: " + ("no field" if pd.isna(whole) else "the grid has missing or repeated cells")
-            over = reason
-        else:
-            lows = lows[lows["msl"].notna()]
-            at, turn, reason = chosen(lows, *place, cfg)
-            status = "ok" if at is not None else "track_lost"
-            over = "" if at is not None else f"tracking_stopped_at_{h}h: {reason}"
-        if at is None:
-            points.append((h, None, None, None, None, None, status, reason))
-        else:
-            low = lows.iloc[at]
-            place = (float(low["low_lat"]), float(low["low_lon"]))
-            points.append((h, place[0], (place[1] + 180) % 360 - 180, float(low["msl"]) / 100, float(low["vmax10_ms"]), turn, status, reason))
-    out = pd.DataFrame(points, columns=[c.split()[0] for c in POINT.split(", ")])
-    for k, name in enumerate(KEYS):
-        out.insert(k, name, rows[name].iloc[0])
-    return out
+    iy, ix, km = iy[inside], ix[inside], km[inside]
+    if not len(iy):
+        return None, "no_pressure_minimum"
+    turn = _vorticity(w.latitude, w.longitude, w.fields["u850"], w.fields["v850"])
+    wind = np.hypot(w.fields["u10"], w.fields["v10"])
+    yy, xx = np.meshgrid(w.latitude, w.longitude, indexing="ij")
+    reason = "vorticity_below_threshold"
+    for k in np.lexsort((w.longitude[ix], w.latitude[iy], km, p[iy, ix])):
+        y, x = float(w.latitude[iy[k]]), float(w.longitude[ix[k]])
+        band = np.abs(yy - y) <= math.degrees(cfg.diagnostic_radius_km / geo.LEAST_RADIUS_KM)
+        disk = np.zeros(p.shape, bool)
+        disk[band] = geo.inverse(y, x, yy[band], xx[band])[0] <= cfg.diagnostic_radius_km
+        if not np.isfinite(turn[disk]).all() or not np.isfinite(wind[disk]).all():
+            reason = "missing_diagnostic_data"
+            continue
+        cyclonic = float((turn[disk] if (y or lat) >= 0 else -turn[disk]).max())
+        if cyclonic > cfg.vorticity_threshold_s:
+            return {"latitude": y, "longitude": (x + 180) % 360 - 180, "msl_hpa": float(p[iy[k], ix[k]]) / 100, "vmax10_ms": float(wind[disk].max()), "cyclonic_vorticity_s": cyclonic}, ""
+    return None, reason
+
+
+_CELL = ("msl", "u850", "v850", "u10", "v10")
+
+
+def _window_of(cells: pd.DataFrame) -> Window:
+    """A box of cells as arrays."""
+    cells = cells.sort_values(["latitude", "longitude"])
+    y, x = np.unique(cells["latitude"].to_numpy(float)), np.unique(cells["longitude"].to_numpy(float))
+    return Window(y, x, {f: cells[f].to_numpy(float).reshape(len(y), len(x)) for f in _CELL})
+
+
+def _step(cfg: TrackerConfig):
+    """For applyInPandas: the box of one case at one lead to its point."""
+
+    def run(cells: pd.DataFrame) -> pd.DataFrame:
+        first = cells.iloc[0]
+        w = _window_of(cells)
+        # boxes of two cells across show no minimum
+        found, reason = next_center(w, float(first["c_lat"]), float(first["c_lon"]), cfg) if min(w.fields["msl"].shape) > 2 else (None, "no_pressure_minimum")
+        row = {k: first[k] for k in FIELD} | {c.split()[0]: None for c in POINT.split(", ")[1:]} | (found or {}) | {"status": "ok" if found else "track_lost", "reason": reason}
+        return pd.DataFrame([row])
+
+    return run
 
 
 def track(cases: DataFrame, grid: DataFrame, cfg: TrackerConfig = TrackerConfig()) -> DataFrame:
@@ -146,20 +146,41 @@ def track(cases: DataFrame, grid: DataFrame, cfg: TrackerConfig = TrackerConfig(
     starts at its seed, moves to the first low in order of pressure, distance, latitude and longitude
     that lies within the search radius and turns fast enough, and is never found again once lost; a
     lead whose field is absent or incomplete ends it too. Cases without a seed never meet the grid.
+    The steps run at once, the last only when the points are asked for.
     """
     plan = planned(cases)
-    sown = plan.where("seed_lat IS NOT NULL")
-    empty = [F.lit(None).cast("double").alias(c) for c in ("latitude", "longitude", "msl_hpa", "vmax10_ms", "cyclonic_vorticity_s")]
-    bare = plan.where("seed_lat IS NULL").select(*FIELD, *empty, F.lit("no_seed").alias("status"), F.lit("no_exact_main_best_track_at_initialization").alias("reason"))
-    cells = grid.select(*FIELD, "latitude", "longitude", "msl", "u850", "v850", "u10", "v10").join(sown, list(FIELD))
-    cells = cells.withColumn("longitude", geo.unwrap_longitude("longitude", "seed_lon"))
-    shapes = fields(cells)
-    lows = candidates(numbered_cells(cells, shapes, cfg), cfg)
-    rows = sown.join(shapes.select(*FIELD, "whole"), list(FIELD), "left").join(lows, list(FIELD), "left")
-    # lows are few bytes but cost Python time: adaptive execution must not put them together in one task
-    dealt = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *KEYS)
-    followed_rows = dealt.groupBy(*KEYS).applyInPandas(lambda case: followed(case, cfg), f"model string, forecast_case_id string, {POINT}")
-    return followed_rows.unionByName(bare)
+    spark = plan.sparkSession
+    sown = kept(plan.where("seed_lat IS NOT NULL"))
+    nothing = [F.lit(None).cast("double").alias(c) for c in ("latitude", "longitude", "msl_hpa", "vmax10_ms", "cyclonic_vorticity_s")]
+    bare = plan.where("seed_lat IS NULL").select(*FIELD, *nothing, F.lit("no_seed").alias("status"), F.lit("no_exact_main_best_track_at_initialization").alias("reason"))
+    cells = grid.select(*FIELD, "latitude", "longitude", *_CELL).join(sown.select(*FIELD, "seed_lon"), list(FIELD))
+    shapes = kept(fields(cells.withColumn("longitude", geo.unwrap_longitude("longitude", "seed_lon"))))
+    last = sown.agg(F.max("lead_hours")).first()[0] or 0
+    shape = f"model string, forecast_case_id string, {POINT}"
+    places = sown.where(F.col("lead_hours") == STEP_HOURS).select(*KEYS, F.col("seed_lat").alias("c_lat"), F.col("seed_lon").alias("c_lon"))
+    steps = [spark.createDataFrame([], shape)]
+    for h in range(STEP_HOURS, last + 1, STEP_HOURS):
+        due = sown.where(F.col("lead_hours") == h).select(*FIELD).join(places, list(KEYS)).join(shapes, list(FIELD), "left")
+        boxes = g.windows(due.where("whole"), grid.where(F.col("lead_hours") == h).select(*FIELD, "latitude", "longitude", *_CELL), FIELD, cfg.search_radius_km + cfg.diagnostic_radius_km, F.col("dy") * HALO_CELLS, F.col("dx") * HALO_CELLS)
+        # boxes are few bytes but cost Python time: adaptive execution must not put them together in one task
+        dealt = boxes.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *KEYS)
+        met = dealt.groupBy(*KEYS).applyInPandas(_step(cfg), shape)
+        error = F.when(F.col("whole").isNull(), "no field").when(~F.col("whole"), "the grid has missing or repeated cells")
+        points = due.select(*FIELD, error.alias("_e")).join(met.withColumnRenamed("status", "_s").withColumnRenamed("reason", "_r"), list(FIELD), "left")
+        status = F.when(F.col("_e").isNotNull(), "input_error").otherwise(F.coalesce("_s", F.lit("track_lost")))
+        reason = F.when(F.col("_e").isNotNull(), F.concat(F.lit(f"input_error_at_{h}h: "), F.col("_e"))).otherwise(F.coalesce("_r", F.lit("no_pressure_minimum")))
+        points = points.withColumns({"status": status, "reason": reason}).drop("_e", "_s", "_r").select(*steps[0].columns)
+        points = points if h == last else kept(points)
+        steps.append(points)
+        if h == last:
+            break
+        places = points.where("status = 'ok'").select(*KEYS, F.col("latitude").alias("c_lat"), F.col("longitude").alias("c_lon"))
+        if places.limit(1).isEmpty():
+            break
+    followed = reduce(DataFrame.unionByName, steps)
+    ends = followed.where("status <> 'ok'").select(*KEYS, F.col("lead_hours").alias("_end"), F.when(F.col("status") == "input_error", F.col("reason")).otherwise(F.concat(F.lit("tracking_stopped_at_"), F.col("lead_hours"), F.lit("h: "), F.col("reason"))).alias("reason"))
+    over = sown.select(*FIELD).join(ends, list(KEYS)).where("lead_hours > _end").select(*FIELD, *nothing, F.lit("terminated").alias("status"), "reason")
+    return followed.unionByName(over).unionByName(bare)
 
 
 def outcomes(points: DataFrame) -> DataFrame:

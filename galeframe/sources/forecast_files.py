@@ -19,11 +19,10 @@ from pyspark.sql import functions as F
 
 from galeframe.functions import geo
 from galeframe.operators import tracking
-from galeframe.operators.grid import EARTH_M
 from galeframe.sources import netcdf
 
 LEVEL_HPA = 850.0
-HALO_CELLS = 2
+HALO_CELLS = tracking.HALO_CELLS
 FIELDS = ("msl", "u850", "v850", "u10", "v10")
 
 
@@ -118,15 +117,6 @@ def problems(f: netcdf.File, model: str, init_time: datetime, forecast_hours: fl
             yield "level", "850 hPa level is required"
 
 
-@dataclass
-class Window:
-    """A part of a field: latitudes in the file's order, longitudes rising and unwrapped around the centre, fields by (latitude, longitude); missing is NaN."""
-
-    latitude: np.ndarray
-    longitude: np.ndarray
-    fields: dict[str, np.ndarray]
-
-
 class Forecast:
     """The two open files of a case, checked; windows are read by byte ranges."""
 
@@ -169,7 +159,7 @@ class Forecast:
         columns = columns[np.argsort(x[columns], kind="stable")]
         return rows, columns, x[columns]
 
-    def window(self, index: int, lat: float, lon: float, radius_km: float) -> Window:
+    def window(self, index: int, lat: float, lon: float, radius_km: float) -> tracking.Window:
         """The five fields around a place at a lead; only their bytes are read, a run of columns at either side of the seam."""
         if index not in range(len(self.leads)):
             raise IndexError("forecast time index is outside the lead schedule")
@@ -182,54 +172,7 @@ class Forecast:
             outer = [np.array([index])] + ([np.array([self.level])] if len(v.dims) == 4 else [])
             held = netcdf.values(f.read, v, [*outer, rows, columns[order]]).filled(np.nan)
             out[name] = held.reshape(len(rows), len(columns))[:, back]
-        return Window(self.latitude[rows], x, out)
-
-
-def _vorticity(y: np.ndarray, x: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """(dv/dlon - d(u cos lat)/dlat) / (a cos lat), second order to the edges; NaN at poles."""
-    if min(len(y), len(x)) < 3:
-        raise ValueError("vorticity needs three latitudes and longitudes at least")
-    cosine = np.cos(np.radians(y))[:, None]
-    turn = np.gradient(v, np.radians(x), axis=1, edge_order=2) - np.gradient(u * cosine, np.radians(y), axis=0, edge_order=2)
-    return np.where(np.abs(cosine) > 1e-10, turn / (EARTH_M * np.where(np.abs(cosine) > 1e-10, cosine, 1.0)), np.nan)
-
-
-def _lows(p: np.ndarray) -> np.ndarray:
-    """Where a cell is lowest of a complete, finite 3 x 3 neighbourhood that is not flat."""
-    out = np.zeros(p.shape, bool)
-    if min(p.shape) < 3:
-        return out
-    around = np.lib.stride_tricks.sliding_window_view(p, (3, 3))
-    with np.errstate(invalid="ignore"):
-        out[1:-1, 1:-1] = np.isfinite(around).all(axis=(2, 3)) & (p[1:-1, 1:-1] == around.min(axis=(2, 3))) & (around.min(axis=(2, 3)) < around.max(axis=(2, 3)))
-    return out
-
-
-def next_center(w: Window, lat: float, lon: float, cfg: tracking.TrackerConfig) -> tuple[dict | None, str]:
-    """(the low where a track goes on from a place, why there is none): the first in order of pressure, distance, latitude and longitude within the search radius whose disk is complete and turns fast enough."""
-    p = w.fields["msl"]
-    iy, ix = np.nonzero(_lows(p))
-    km = geo.inverse(lat, lon, w.latitude[iy], w.longitude[ix])[0]
-    inside = km <= cfg.search_radius_km
-    iy, ix, km = iy[inside], ix[inside], km[inside]
-    if not len(iy):
-        return None, "no_pressure_minimum"
-    turn = _vorticity(w.latitude, w.longitude, w.fields["u850"], w.fields["v850"])
-    wind = np.hypot(w.fields["u10"], w.fields["v10"])
-    yy, xx = np.meshgrid(w.latitude, w.longitude, indexing="ij")
-    reason = "vorticity_below_threshold"
-    for k in np.lexsort((w.longitude[ix], w.latitude[iy], km, p[iy, ix])):
-        y, x = float(w.latitude[iy[k]]), float(w.longitude[ix[k]])
-        band = np.abs(yy - y) <= math.degrees(cfg.diagnostic_radius_km / geo.LEAST_RADIUS_KM)
-        disk = np.zeros(p.shape, bool)
-        disk[band] = geo.inverse(y, x, yy[band], xx[band])[0] <= cfg.diagnostic_radius_km
-        if not np.isfinite(turn[disk]).all() or not np.isfinite(wind[disk]).all():
-            reason = "missing_diagnostic_data"
-            continue
-        cyclonic = float((turn[disk] if (y or lat) >= 0 else -turn[disk]).max())
-        if cyclonic > cfg.vorticity_threshold_s:
-            return {"latitude": y, "longitude": (x + 180) % 360 - 180, "msl_hpa": float(p[iy[k], ix[k]]) / 100, "vmax10_ms": float(wind[disk].max()), "cyclonic_vorticity_s": cyclonic}, ""
-    return None, reason
+        return tracking.Window(self.latitude[rows], x, out)
 
 
 _NOWHERE = {"latitude": None, "longitude": None, "msl_hpa": None, "vmax10_ms": None, "cyclonic_vorticity_s": None}
@@ -251,7 +194,7 @@ def followed(path: str, model: str, init_time: datetime, forecast_hours: float,
                 continue
             try:
                 forecast = forecast or Forecast(path, model, init_time, forecast_hours)
-                found, reason = next_center(forecast.window(k, lat, lon, cfg.search_radius_km + cfg.diagnostic_radius_km), lat, lon, cfg)
+                found, reason = tracking.next_center(forecast.window(k, lat, lon, cfg.search_radius_km + cfg.diagnostic_radius_km), lat, lon, cfg)
             except (OSError, ValueError, IndexError) as e:
                 over = f"input_error_at_{h}h: {type(e).__name__}: {e}"
                 yield {"lead_hours": h, **_NOWHERE, "status": "input_error", "reason": over}

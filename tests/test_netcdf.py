@@ -273,6 +273,15 @@ def test_tracks_from_files_equal_tracks_from_cells(spark, tmp_path):
     assert [got["bare", h][5] for h in (6, 12)] == ["no_seed"] * 2 and [got["gone", h][5] for h in (6, 12)] == ["input_error", "terminated"]
 
 
+def test_queries_over_files_and_cells_agree(spark):
+    from galeframe.plans.all_queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    names = ["forecast_case_id", "lead_hours", "latitude", "longitude", "vmax10_ms", "status", "reason"]
+    a, b = (sorted(map(str, QUERIES[q](spark, sf).select(*names).collect())) for q in ("e05_tracks_from_files", "e05_j01_tracker"))
+    assert a == b and any("status='ok'" in r for r in a)
+
+
 def test_windows_of_many_centers_in_a_table(spark):
     """Centers at poles, at the date line and between, several a field, equal to a filter of every center with every cell of its field."""
     cells = [(f, float(y), float(x)) for f in (1, 2) for y in np.arange(-90, 91, 4.0) for x in np.arange(0, 360, 5.0)]
