@@ -33,6 +33,7 @@ def samples(segments: DataFrame, spacing_km: float = 5.0) -> DataFrame:
 
 _AXES = ("x", "y", "z")
 _SMALL = 6  # levels up to this go to every task
+_FEW = 1 << 17  # pairs of a cube and a segment that go with them
 _PER_CELL = 8  # samples of a cell, on average, at which no finer cells are made
 
 
@@ -65,8 +66,12 @@ def _narrowed(near: DataFrame, point_id: str, k: int) -> DataFrame:
     return near.where(F.col("_near") <= F.col("_bound") * (1 + 1e-9) + 1e-15).drop("_near", "_far", "_held", "n", *(f"{e}_{a}" for e in ("lo", "hi") for a in _AXES))
 
 
-def _descended(tables: list[pd.DataFrame], k: int):
-    """For mapInArrow: points id, x, y, z with the boxes of the last table that may hold one of their k nearest segments, found as by _narrowed from table to table."""
+def _descended(tables: list[pd.DataFrame], k: int, held_in: pd.DataFrame | None):
+    """For mapInArrow: points id, x, y, z with the boxes of the last table that may hold one of their k nearest segments, found as by _narrowed from table to table.
+
+    held_in: the cubes of the last table (ix, iy, iz) with the number of each segment that has a
+    sample there, where these are few; then a box vouches for all its segments and not only its own.
+    """
     levels = []
     for t, after in zip(tables, [*tables[1:], None], strict=True):
         own = t.reset_index(drop=True)
@@ -75,12 +80,21 @@ def _descended(tables: list[pd.DataFrame], k: int):
             levels[-1] = (*levels[-1][:5], np.searchsorted(own["_up"].to_numpy(int), np.arange(len(levels[-1][2]) + 1)))
         place = {key: j for j, key in enumerate(zip(own["ix"], own["iy"], own["iz"], strict=True))}
         levels.append((own[["lo_x", "lo_y", "lo_z"]].to_numpy(float), own[["hi_x", "hi_y", "hi_z"]].to_numpy(float), own["n"].to_numpy(int), own[["ix", "iy", "iz"]].to_numpy(np.int32), place, None))
+    segments: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(levels)
+    if held_in is not None and levels:
+        for j, (table, level) in enumerate(zip(tables, levels, strict=True)):
+            shift = int(table["down"].iloc[0]) if len(table) else 0
+            at = pd.DataFrame({a: held_in[a].to_numpy(int) >> shift for a in ("ix", "iy", "iz")} | {"segment": held_in["segment"].to_numpy(int)}).drop_duplicates()
+            box = np.array([level[4][key] for key in zip(at["ix"], at["iy"], at["iz"], strict=True)], int)
+            order = np.argsort(box, kind="stable")
+            segments[j] = (np.searchsorted(box[order], np.arange(len(level[2]) + 1)), at["segment"].to_numpy(int)[order])
+    most = 1 + (int(held_in["segment"].max()) if held_in is not None and len(held_in) else 0)
     levels = [(*e[:4], e[5]) for e in levels]
 
     def found(p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         row, box = np.repeat(np.arange(len(p)), len(levels[0][2]) if levels else 0), np.tile(np.arange(len(levels[0][2]) if levels else 0), len(p))
         bound = np.full(len(p), np.inf)
-        for lo, hi, n, _, children in levels:
+        for (lo, hi, n, _, children), seg in zip(levels, segments, strict=True):
             at = p[row]
             near, far = np.maximum(np.maximum(lo[box] - at, at - hi[box]), 0.0), np.maximum(np.abs(at - lo[box]), np.abs(at - hi[box]))
             near, far = (near * near).sum(axis=1), (far * far).sum(axis=1)
@@ -90,6 +104,16 @@ def _descended(tables: list[pd.DataFrame], k: int):
             held -= np.concatenate([[0], held])[starts][row[order]]
             enough = order[held >= k]
             np.minimum.at(bound, row[enough], far[enough])
+            if seg is not None:  # the k-th segment by the far sides of the boxes that hold it
+                many = seg[0][box + 1] - seg[0][box]
+                each = np.repeat(np.arange(len(box)), many)
+                name = seg[1][np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(seg[0][box], many)]
+                order = np.lexsort((far[each], row[each]))
+                first = np.sort(np.unique(row[each][order] * most + name[order], return_index=True)[1])
+                whose, how_far = row[each][order][first], far[each][order][first]
+                ends = np.searchsorted(whose, np.arange(len(p) + 1))
+                enough = np.flatnonzero(ends[:-1] + k <= ends[1:])
+                bound[enough] = np.minimum(bound[enough], how_far[ends[enough] + k - 1])
             keep = near <= bound[row] * (1 + 1e-9) + 1e-15
             row, box = row[keep], box[keep]
             if children is not None:
@@ -123,7 +147,7 @@ def nearest_segments(points: DataFrame, coast: DataFrame, k: int, point_id: str
     once; its smallest boxes are checkpointed.
     """
     s = coast.select("segment_id", geo.unit_xyz("s_lat", "s_lon").alias("_s")).where("_s.x IS NOT NULL AND _s.y IS NOT NULL AND NOT isnan(_s.x + _s.y + _s.z)")
-    counted = s.agg(F.count("*").alias("n"), F.approx_count_distinct("segment_id").alias("some"), *[F.approx_count_distinct(F.struct(*[_cube(F.col(f"_s.{a}"), e) for a in _AXES])).alias(f"c{e}") for e in levels]).first()
+    counted = s.agg(F.count("*").alias("n"), F.approx_count_distinct("segment_id").alias("some"), F.approx_count_distinct(F.struct("segment_id", *[_cube(F.col(f"_s.{a}"), min(_SMALL, levels[-1])) for a in _AXES])).alias("held"), *[F.approx_count_distinct(F.struct(*[_cube(F.col(f"_s.{a}"), e) for a in _AXES])).alias(f"c{e}") for e in levels]).first()
     used = list(levels[: 1 + next((i for i, e in enumerate(levels) if counted["n"] <= _PER_CELL * max(1, counted[f"c{e}"])), len(levels) - 1)])
     last = used[-1]
     if counted["some"] < 2 * k + 100:  # few segments: count them exactly
@@ -143,10 +167,14 @@ def nearest_segments(points: DataFrame, coast: DataFrame, k: int, point_id: str
 
     # the cubes of the first levels are few whatever the coast, 2**18 at the very most, and go with the task
     first = [e for e in used if e <= _SMALL]
-    tables = [boxes(e, above).toPandas() for above, e in zip([None, *first[:-1]], first, strict=True)]
+    tables = [boxes(e, above).toPandas().assign(down=first[-1] - e) for above, e in zip([None, *first[:-1]], first, strict=True)]
+    held_in = None
+    if counted["held"] <= _FEW:
+        held_in = s.select(*at(first[-1]), "segment_id").distinct().toPandas()
+        held_in = held_in.assign(segment=pd.factorize(held_in["segment_id"])[0])[["ix", "iy", "iz", "segment"]]
     near = p.select(F.col(point_id).alias("id"), *[F.col(f"_p.{a}").alias(a) for a in _AXES])
     kind = p.schema[point_id].dataType.simpleString()
-    front = near.mapInArrow(_descended(tables, k), f"id {kind}, x double, y double, z double, _bound double, ix int, iy int, iz int")
+    front = near.mapInArrow(_descended(tables, k, held_in), f"id {kind}, x double, y double, z double, _bound double, ix int, iy int, iz int")
     front = front.select(F.col("id").alias(point_id), F.struct(*_AXES).alias("_p"), "_bound", "ix", "iy", "iz")
     for above, level in zip(used[len(first) - 1 : -1], used[len(first) :], strict=True):
         up = front.select(point_id, "_p", "_bound", *[F.col(f"i{a}").alias(f"up_{a}") for a in _AXES])
