@@ -54,7 +54,7 @@ def scratch(spark: SparkSession) -> Iterator[Store]:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Eager reliable checkpoint; its files go when Spark's cleaner finds the frame unused."""
+    """Eager reliable checkpoint; its files go when the frame is unused if spark.cleaner.referenceTracking.cleanCheckpoints is set, else with the folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
