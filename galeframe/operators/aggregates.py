@@ -38,7 +38,8 @@ def episodes(contacts: DataFrame, dense: DataFrame, padding_hours: float = 6.0,
     r34_any. Times, closest approach and flags come from contact rows, peak wind and coverage from
     the span padded by padding_hours; only episodes whose padded peak reaches strong_kt stay, and
     these are numbered in time order. crossings (storm_id, crossing_time, crossing_type, wind_kt) add
-    landfalls within the padded span, of which the first is the reference time. With a period only
+    numbers of landfalls, exits and tangents within the padded span; the first landfall is the reference
+    time. With a period only
     episodes whose reference time lies in it are kept, and numbered.
     """
     flag = lambda c: F.bool_or(F.coalesce(F.col(c), F.lit(False)))
@@ -55,11 +56,16 @@ def episodes(contacts: DataFrame, dense: DataFrame, padding_hours: float = 6.0,
     )
     out = spans.join(window, key).where(F.col("episode_vmax_kt") >= strong_kt)
     if crossings is None:
-        out = out.withColumns({"landfall_time": F.lit(None).cast("timestamp_ntz"), "landfall_count": F.lit(0).cast("long"), "landfall_vmax_kt": F.lit(None).cast("double")})
+        none = F.lit(0).cast("long")
+        out = out.withColumns({"landfall_time": F.lit(None).cast("timestamp_ntz"), "landfall_count": none, "exit_count": none, "tangent_count": none, "landfall_vmax_kt": F.lit(None).cast("double")})
     else:
-        hit = in_interval(crossings.where("crossing_type = 'landfall'").select("storm_id", "crossing_time", "wind_kt"), near, "storm_id", "crossing_time", "episode_start", "episode_end", padding_hours)
-        hit = hit.groupBy(*key).agg(F.min("crossing_time").alias("landfall_time"), F.count("*").cast("long").alias("landfall_count"), F.max("wind_kt").alias("landfall_vmax_kt"))
-        out = out.join(hit, key, "left").withColumn("landfall_count", F.coalesce("landfall_count", F.lit(0).cast("long")))
+        hit = in_interval(crossings.select("storm_id", "crossing_time", "crossing_type", "wind_kt"), near, "storm_id", "crossing_time", "episode_start", "episode_end", padding_hours)
+        ashore = F.col("crossing_type") == "landfall"
+        hit = hit.groupBy(*key).agg(
+            F.min(F.when(ashore, F.col("crossing_time"))).alias("landfall_time"), F.max(F.when(ashore, F.col("wind_kt"))).alias("landfall_vmax_kt"),
+            *[F.count_if(F.col("crossing_type") == kind).cast("long").alias(f"{kind}_count") for kind in ("landfall", "exit", "tangent")],
+        )
+        out = out.join(hit, key, "left").withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("landfall_count", "exit_count", "tangent_count")})
     out = out.withColumn("reference_time", F.coalesce("landfall_time", "closest.iso_time"))
     if period:
         out = out.where(F.col("reference_time").between(*period))
@@ -70,7 +76,7 @@ def episodes(contacts: DataFrame, dense: DataFrame, padding_hours: float = 6.0,
         "storm_id", scalar.case_id("storm_id", ordinal).alias("case_id"), ordinal.alias("episode_index"), "episode_start", "episode_end", "contact_rows",
         F.col("closest.iso_time").alias("closest_time"), F.col("closest.distance_km").alias("closest_km"), F.col("closest.wind_kt").alias("closest_wind_kt"),
         "reference_time", F.col("closest.fix_id").alias("closest_id"), F.when(F.col("landfall_count") > 0, "landfall").otherwise("coastal_approach").alias("reference_event"),
-        "landfall_count", "landfall_vmax_kt", "episode_vmax_kt", "wind_coverage", "r34_coverage", "r34_contact", "r50_contact", "r64_contact",
+        "landfall_count", "exit_count", "tangent_count", "landfall_vmax_kt", "episode_vmax_kt", "wind_coverage", "r34_coverage", "r34_contact", "r50_contact", "r64_contact",
         scalar.hours_between("episode_start", "episode_end").alias("span_hours"), methods.alias("selection_method"),
         scalar.tier(F.col("r64_contact"), F.col("r50_contact"), F.col("r34_contact"), F.col("landfall_contact"), F.col("landfall_vmax_kt"), strong_kt).alias("tier"),
     )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from galeframe.functions import scalar
-from galeframe.operators import aggregates, duplicates, sequences
+from galeframe.operators import aggregates, duplicates, rollups, sequences
 from galeframe.plans import views
 from galeframe.plans.q_sequences import EPISODES, episode_table
 from galeframe.plans.registry import query
@@ -55,6 +55,49 @@ def d07_storm_rollup(spark: SparkSession, d: str) -> DataFrame:
     return aggregates.storm_rollup(episode_table(spark, d)).drop("landfalls")
 
 
+_FULL = _CASES + """, full_cases AS (SELECT *, 'N' || storm_id::VARCHAR AS name, CASE WHEN episode_index % 3 = 0 THEN 'NA' WHEN episode_index % 3 = 1 THEN 'EP' END AS basin, tier IN ('A', 'B') AS primary_sample, storm_id % 10 = 0 AS provisional_track,
+ (episode_index % 2)::BIGINT AS landfalls, (episode_index % 5 // 4)::BIGINT AS exits, closest_km AS km, CASE WHEN episode_index % 2 = 1 THEN 'landfall' ELSE 'coastal_approach' END AS event FROM cases)
+"""
+
+
+def full_cases(spark: SparkSession, d: str) -> DataFrame:
+    """Episodes with the columns of a catalog's cases; names, basins and crossings follow from storm and number."""
+    k = F.col("episode_index")
+    return episode_table(spark, d).withColumns({
+        "name": F.concat(F.lit("N"), F.col("storm_id").cast("string")), "basin": F.when(k % 3 == 0, "NA").when(k % 3 == 1, "EP"), "primary_sample": F.col("tier").isin("A", "B"), "provisional_track": F.col("storm_id") % 10 == 0,
+        "landfall_count": (k % 2).cast("long"), "exit_count": F.floor(k % 5 / 4).cast("long"), "minimum_coast_distance_km": F.col("closest_km"), "reference_event": F.when(k % 2 == 1, "landfall").otherwise("coastal_approach"), "lifetime_vmax_kt": F.col("episode_vmax_kt") + 1.0,
+    })
+
+
+_TEXT = "(SELECT string_agg(v || ':' || n, ',' ORDER BY v) FROM (SELECT coalesce({0}, 'nan') AS v, count(*) AS n FROM full_cases GROUP BY 1))"
+
+
+@query(_FULL + f"""SELECT count(*) AS case_count, count(*) FILTER (WHERE primary_sample) AS primary_case_count, count(DISTINCT storm_id) AS storm_count, count(DISTINCT storm_id) FILTER (WHERE primary_sample) AS primary_storm_count,
+ count(*) FILTER (WHERE provisional_track) AS provisional_case_count, count(*) FILTER (WHERE provisional_track AND primary_sample) AS provisional_primary_case_count, count(*) FILTER (WHERE NOT provisional_track) AS final_main_case_count, count(*) FILTER (WHERE NOT provisional_track AND primary_sample) AS final_main_primary_case_count,
+ count(*) FILTER (WHERE landfalls > 0) AS landfall_case_count, count(*) FILTER (WHERE landfalls = 0) AS sea_only_case_count, count(*) FILTER (WHERE exits > 0) AS exit_associated_case_count, count(*) FILTER (WHERE primary_sample AND landfalls > 0) AS primary_landfall_case_count, count(*) FILTER (WHERE primary_sample AND landfalls = 0) AS primary_sea_only_case_count,
+ {_TEXT.format("tier")} AS tier_counts, {_TEXT.format("event")} AS reference_event_counts, {_TEXT.format("basin")} AS basin_counts, {_TEXT.format("selection_method")} AS selection_method_counts,
+ (SELECT count(*) FROM contacts) AS dense_track_point_count, round(median(km), 6) AS median_minimum_coast_distance_km, round(median(r34_coverage), 6) AS median_r34_coverage_fraction FROM full_cases""", ("contacts",))
+def d06_catalog_measures(spark: SparkSession, d: str) -> DataFrame:
+    m = rollups.catalog_measures(full_cases(spark, d), views.contacts(spark, d))
+    return m.withColumns({**{f"{c}_counts": rollups.as_text(F.col(f"{c}_counts")) for c in rollups.COUNTED}, **{c: F.round(c, 6) for c in ("median_minimum_coast_distance_km", "median_r34_coverage_fraction")}})
+
+
+@query(_FULL + """SELECT storm_id, min(name) AS name, coalesce(string_agg(DISTINCT basin, '+' ORDER BY basin), '') AS basins, count(*) AS episode_count, count(*) FILTER (WHERE primary_sample) AS primary_episode_count, min(tier) AS highest_tier, bool_or(primary_sample) AS primary_sample,
+ min(episode_start) AS first_coastal_contact, max(episode_end) AS last_coastal_contact, min(km) AS minimum_coast_distance_km, max(episode_vmax_kt) + 1e0 AS lifetime_vmax_kt, max(episode_vmax_kt) AS maximum_coastal_episode_vmax_kt, bool_or(landfalls > 0) AS any_coastline_crossing,
+ bool_or(exits > 0) AS any_coastline_exit, bool_or(provisional_track) AS provisional_track, 'pending' AS qc_status FROM full_cases GROUP BY storm_id""", ("contacts",))
+def d07_storm_catalog(spark: SparkSession, d: str) -> DataFrame:
+    return rollups.storm_catalog(full_cases(spark, d))
+
+
+@query("""SELECT count(*) AS row_count, count(DISTINCT storm_id) AS storm_count, min(iso_time) AS time_start, max(iso_time) AS time_end, (SELECT string_agg(track_type || ':' || n, ',' ORDER BY track_type) FROM (SELECT track_type, count(*) AS n FROM fixes GROUP BY 1)) AS track_type_rows,
+ round(avg((w IS NULL)::INTEGER::DOUBLE), 6) AS wind_missing_fraction, round(avg((y IS NULL OR x IS NULL)::INTEGER::DOUBLE), 6) AS position_missing_fraction, round(avg((r34_ne IS NOT NULL)::INTEGER::DOUBLE), 6) AS any_wind_radius_fraction, (count(*) - count(DISTINCT (storm_id, iso_time)))::BIGINT AS duplicate_storm_time_count
+ FROM (SELECT *, CASE WHEN nature <> 'view' THEN wind_kt END AS w, CASE WHEN fix_id % 7 > 0 THEN lat END AS y, CASE WHEN fix_id % 11 > 0 THEN lon END AS x FROM fixes)""", ("fixes",))
+def d08_source_measures(spark: SparkSession, d: str) -> DataFrame:
+    f = views.fixes(spark, d).withColumns({"w": F.when(F.col("nature") != "view", F.col("wind_kt")), "y": F.when(F.col("fix_id") % 7 > 0, F.col("lat")), "x": F.when(F.col("fix_id") % 11 > 0, F.col("lon"))})
+    m = rollups.source_measures(f, "storm_id", "iso_time", "w", ("y", "x"), ["r34_ne", "r34_se", "r34_sw", "r34_nw"], "track_type")
+    return m.withColumns({"track_type_rows": rollups.as_text(F.col("track_type_rows")), **{c: F.round(c, 6) for c in ("wind_missing_fraction", "position_missing_fraction", "any_wind_radius_fraction")}})
+
+
 @query("""SELECT count(*) AS rows, count(DISTINCT storm_id) AS storms, min(iso_time) AS first_time, max(iso_time) AS last_time, round(avg((w IS NULL)::INTEGER::DOUBLE), 6) AS wind_missing, round(avg((r34_ne IS NOT NULL)::INTEGER::DOUBLE), 6) AS any_radius,
  (count(*) - count(DISTINCT (storm_id, iso_time)))::BIGINT AS duplicates FROM (SELECT *, CASE WHEN nature <> 'view' THEN wind_kt END AS w FROM fixes)""", ("fixes",))
 def d08_source_quality(spark: SparkSession, d: str) -> DataFrame:
