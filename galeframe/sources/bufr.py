@@ -6,12 +6,15 @@ messages and turning decoded arrays into rows, is here.
 
 from __future__ import annotations
 
+import hashlib
 import io
 import re
 import tarfile
 from collections.abc import Callable, Iterator
+from typing import BinaryIO
 
 import pandas as pd
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,9 +45,10 @@ def split(data: bytes) -> list[bytes]:
     return out
 
 
-def members(content: bytes, depth: int = 3) -> Iterator[tuple[str, bytes]]:
-    """(name, bytes) of the files of a tar archive, whose names must have depth plain parts."""
-    with tarfile.open(fileobj=io.BytesIO(content), mode="r:*") as tar:
+def members(archive: bytes | BinaryIO, depth: int = 3) -> Iterator[tuple[str, bytes]]:
+    """(name, bytes) of the files of a tar archive, one at a time in the archive's order; names must have depth plain parts. A stream is read forward only."""
+    stream = io.BytesIO(archive) if isinstance(archive, bytes) else archive
+    with tarfile.open(fileobj=stream, mode="r|*") as tar:
         for m in tar:
             if not m.isfile():
                 continue
@@ -54,42 +58,55 @@ def members(content: bytes, depth: int = 3) -> Iterator[tuple[str, bytes]]:
             yield m.name, tar.extractfile(m).read()
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
+def _archives(spark: SparkSession, path: str, stream_above: int) -> DataFrame:
+    """path and content of archives; those of more bytes than stream_above come without content."""
+    files = spark.read.format("binaryFile").load(path)
+    large = files.where(F.col("length") > stream_above).select("path", F.lit(None).cast("binary").alias("content"))
+    return files.where(F.col("length") <= stream_above).select("path", "content").unionByName(large)
+
+
+def _opened(path: str, content: bytes | None) -> bytes | BinaryIO:
+    if content is not None:
+        return bytes(content)
+    fs, at = pyarrow.fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
+    return fs.open_input_stream(at, compression=None, buffer_size=1 << 20)
+
+
+def read_archives(spark: SparkSession, path: str, stream_above: int = 1 << 28) -> DataFrame:
     """archive, member, message_index, content, error, message_id of all messages in the archives at path.
 
-    One archive is one row of the file source; its members are walked in a task. A member that does
-    not split gives one row with its error.
+    An archive is walked in one task, a member at a time. Those of up to stream_above bytes come
+    through Spark's file source; larger ones, of any size, are opened as streams by pyarrow's file
+    systems, so that no more than a member is held. A member that does not split gives one row with
+    its error.
     """
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = []
             for archive, content in zip(frame["path"], frame["content"], strict=True):
-                for name, data in members(content):
+                for name, data in members(_opened(archive, content)):
                     try:
-                        rows += [(archive, name, i, m, None) for i, m in enumerate(split(data))]
+                        rows = [(archive, name, i, m, None) for i, m in enumerate(split(data))]
                     except ValueError as e:
-                        rows.append((archive, name, -1, None, str(e)))
-            yield pd.DataFrame(rows, columns=["archive", "member", "message_index", "content", "error"])
+                        rows = [(archive, name, -1, None, str(e))]
+                    yield pd.DataFrame(rows, columns=["archive", "member", "message_index", "content", "error"])
 
-    found = files.mapInPandas(run, f"archive string, {MESSAGES}")
+    found = _archives(spark, path, stream_above).mapInPandas(run, f"archive string, {MESSAGES}")
     return found.withColumn("message_id", F.concat("member", F.lit("#"), F.col("message_index").cast("string")))
 
 
-def member_inventory(spark: SparkSession, path: str) -> DataFrame:
-    """archive, member, size_bytes, sha256, declared_init (the fourteen digits in the member's name) of every archive member."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+def member_inventory(spark: SparkSession, path: str, stream_above: int = 1 << 28) -> DataFrame:
+    """archive, member, size_bytes, sha256, declared_init (the fourteen digits in the member's name) of every archive member; contents stay in the task."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for archive, content in zip(frame["path"], frame["content"], strict=True):
-                for name, data in members(content):
-                    yield pd.DataFrame([(archive, name, data)], columns=["archive", "member", "content"])
+                for name, data in members(_opened(archive, content)):
+                    yield pd.DataFrame([(archive, name, len(data), hashlib.sha256(data).hexdigest())], columns=["archive", "member", "size_bytes", "sha256"])
 
-    found = files.mapInPandas(run, "archive string, member string, content binary")
+    found = _archives(spark, path, stream_above).mapInPandas(run, "archive string, member string, size_bytes long, sha256 string")
     stamp = F.nullif(F.regexp_extract("member", r"_(\d{14})_[^/]*$", 1), F.lit(""))
-    return found.select("archive", "member", F.octet_length("content").cast("long").alias("size_bytes"), F.sha2("content", 256).alias("sha256"), F.try_to_timestamp(stamp, F.lit("yyyyMMddHHmmss")).cast("timestamp_ntz").alias("declared_init"))
+    return found.withColumn("declared_init", F.try_to_timestamp(stamp, F.lit("yyyyMMddHHmmss")).cast("timestamp_ntz"))
 
 
 def changed_members(inventory: DataFrame, existing: DataFrame) -> DataFrame:

@@ -312,3 +312,29 @@ def test_frozen_sources_are_restored(tmp_path):
     for d in (digest, "0"):
         with pytest.raises(IntegrityError):
             frozen.restore_members(str(tmp_path / "c.zip"), str(tmp_path / "coast"), ["shp/l1.shp"], d)
+
+
+def test_large_archives_are_streamed(spark, tmp_path):
+    """The same members and messages whether an archive comes whole or as a stream; a truncated stream raises."""
+    import io
+    import tarfile
+
+    def message(n):
+        return b"BUFR" + (12 + n).to_bytes(3, "big") + b"\4" + b"x" * n + b"7777"
+
+    for k in range(2):
+        with tarfile.open(tmp_path / f"a{k}.tar.gz", "w:gz") as tar:
+            for j in range(30):
+                data = message(j) * (j % 3 + 1) if j % 7 else b"no message"
+                info = tarfile.TarInfo(f"top/2024/x_20240101{j:02d}0000_{k}.bin")
+                info.size = len(data)
+                tar.addfile(info, io.BytesIO(data))
+    glob = f"{tmp_path}/*.tar.gz"
+    shown = lambda df: sorted(map(str, df.collect()))
+    for read in (bufr.read_archives, bufr.member_inventory):
+        whole = shown(read(spark, glob))
+        assert len(whole) >= 60 and shown(read(spark, glob, stream_above=0)) == whole
+    cut = tmp_path / "cut.tar.gz"
+    cut.write_bytes((tmp_path / "a0.tar.gz").read_bytes()[:-200])
+    with pytest.raises(Exception, match="(?i)end-of-stream|EOF|unexpected end|truncated|ReadError"):
+        bufr.read_archives(spark, str(cut), stream_above=0).collect()
