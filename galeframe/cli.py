@@ -11,6 +11,7 @@ from pyspark.sql.utils import AnalysisException
 
 from galeframe.operators import aggregates, schedule, sequences, tracking
 from galeframe.operators.validation import IntegrityError, require_columns
+from galeframe.pipelines import catalog, catalog_tables
 from galeframe.sources import checkpoint, config, tables
 
 
@@ -24,8 +25,16 @@ def _config_check(a: argparse.Namespace) -> int:
 
 
 def _build(a: argparse.Namespace) -> int:
-    """Contact rows and dense rows (Parquet) to the catalog's tables."""
+    """Best tracks (CSV) and land (a polygon file), or contact rows and dense rows (Parquet), to the catalog's tables."""
     spark = _spark()
+    if a.tracks:
+        if not (a.coast and a.start and a.end):
+            raise config.ConfigError("--tracks needs --coast, --start and --end")
+        cfg = catalog.CatalogConfig(a.start, a.end, a.strong_kt, a.gap_hours, a.padding_hours, a.spacing_km, sample_km=a.sample_km)
+        catalog_tables.write(spark, a.tracks, catalog_tables.land_edges(spark, a.coast, a.min_area), cfg, a.out, a.track_types.split(","))
+        return 0
+    if not (a.contacts and a.dense):
+        raise config.ConfigError("give --tracks and --coast, or --contacts and --dense")
     contacts, dense = spark.read.parquet(a.contacts), spark.read.parquet(a.dense)
     grouped = sequences.sessions(contacts, "storm_id", "iso_time", "fix_id", a.gap_hours)
     tables.write_catalog(aggregates.episodes(grouped, dense, a.padding_hours, a.strong_kt), a.out)
@@ -78,14 +87,16 @@ def parser() -> argparse.ArgumentParser:
     c = top.add_parser("config").add_subparsers(required=True).add_parser("check")
     c.add_argument("path")
     c.set_defaults(run=_config_check)
-    catalog = top.add_parser("catalog").add_subparsers(required=True)
-    b = catalog.add_parser("build")
-    for name in ("--contacts", "--dense", "--out"):
-        b.add_argument(name, required=True)
-    for name, value in (("--gap-hours", 6.0), ("--padding-hours", 6.0), ("--strong-kt", 64.0)):
+    of_catalog = top.add_parser("catalog").add_subparsers(required=True)
+    b = of_catalog.add_parser("build")
+    b.add_argument("--out", required=True)
+    for name in ("--tracks", "--coast", "--start", "--end", "--contacts", "--dense"):
+        b.add_argument(name)
+    b.add_argument("--track-types", default="main,provisional")
+    for name, value in (("--gap-hours", 6.0), ("--padding-hours", 6.0), ("--strong-kt", 64.0), ("--spacing-km", 10.0), ("--sample-km", 5.0), ("--min-area", 0.0)):
         b.add_argument(name, type=float, default=value)
     b.set_defaults(run=_build)
-    s = catalog.add_parser("plan")
+    s = of_catalog.add_parser("plan")
     for name in ("--config", "--events", "--out"):
         s.add_argument(name, required=True)
     s.set_defaults(run=_plan)
