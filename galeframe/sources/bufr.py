@@ -1,6 +1,6 @@
 """Bulletins of BUFR messages: archives, splitting, and the reshaping of decoded arrays.
 
-Message bodies are decoded by an outside library where there is one; what surrounds it, finding the
+`bufr_bodies` decodes message bodies; what surrounds it, finding the
 messages and turning decoded arrays into rows, is here.
 """
 
