@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ from galeframe.operators import lineage, tracking
 from galeframe.plans import views
 from galeframe.plans.registry import query
 from galeframe.plans.views import lambert
-from galeframe.sources import forecast_files, netcdf
+from galeframe.sources import adapters, forecast_files, netcdf, zarr
 
 MINIMA = """SELECT a.field_id, a.iy, a.ix, any_value(a.msl) AS msl FROM grid a JOIN grid b ON a.field_id = b.field_id AND abs(a.iy - b.iy) <= 1 AND abs(a.ix - b.ix) <= 1
  GROUP BY 1, 2, 3 HAVING count(*) = 9 AND any_value(a.msl) = min(b.msl) AND min(b.msl) < max(b.msl)"""
@@ -103,6 +104,25 @@ def a09_netcdf_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return read.select(F.lit("pangu").alias("model"), case.alias("forecast_case_id"), "lead_time", "latitude", "longitude", "msl", "u10", "v10")
 
 
+@query("""SELECT field_id::DOUBLE AS init_time, 0e0 AS lead_time, latitude, longitude, msl / 100e0 AS msl, u10, v10, u10 AS z500, u850, v850, v10 AS u200, msl AS v200 FROM grid WHERE latitude > 10.5e0 AND latitude < 13e0""", ("grid",))
+def a11_j02_zarr_adapter(spark: SparkSession, d: str) -> DataFrame:
+    """All fields as a chunked store, opened and normalised by an adapter; the filter on latitude leaves chunks unopened."""
+    cells = views.grid(spark, d).withColumn("lead", F.lit(0))
+    n = cells.agg(F.max("field_id")).first()[0]
+    path = f"{lineage.shared_folder(spark)}/zarr/{uuid.uuid4().hex}"
+    names = {"MSLP": "msl", "U10": "u10", "V10": "v10", "U850": "u850", "V850": "v850"}
+    dims = ["case", "lead", "lat", "lon"]
+    of = lambda name, shape, chunks, own: zarr.Array(name, shape, chunks, np.dtype("<f8"), fill=float("nan"), compressor={"id": "zlib", "level": 1}, filters=({"id": "shuffle", "elementsize": 8},), attributes={"_ARRAY_DIMENSIONS": own})
+    fields = [of(k, ((n or 0) + 1, 1, 8, 8), (512, 1, 3, 8), dims) for k in names]
+    zarr.write(cells.select("field_id", "lead", "iy", "ix", *[F.col(v).alias(k) for k, v in names.items()]), path, fields, ["field_id", "lead", "iy", "ix"])
+    for axis, at, value in (("lat", "iy", "latitude"), ("lon", "ix", "longitude")):
+        zarr.write(cells.groupBy(at).agg(F.first(value).alias(axis)), path, [of(axis, (8,), (8,), [axis])], [at])
+    fields_of = {"msl": "MSLP", "u10": "U10", "v10": "V10", "u850": "U850", "v850": "V850"}
+    demo = adapters.Adapter("demo", "zarr", dict(zip(adapters.DIMENSIONS, dims, strict=True)), fields_of | {"z500": "U10", "u200": "V10", "v200": "MSLP"}, {"msl": lambda c: c / 100.0})
+    read = demo.normalize(demo.open_forecast(spark, path))
+    return read.where("latitude > 10.5D AND latitude < 13D AND msl IS NOT NULL")
+
+
 @query("SELECT model, forecast_case_id, count(*)::BIGINT AS problems FROM (SELECT DISTINCT 'pangu' AS model, 'F' || (field_id // 2)::VARCHAR AS forecast_case_id FROM grid) GROUP BY ALL", ("grid",))
 def k07_file_contract(spark: SparkSession, d: str) -> DataFrame:
     """All cases' files against a plan whose horizon is a step too long: a finding about lead_time and about valid_time in each of a case's two files, so four, over four."""

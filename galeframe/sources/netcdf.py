@@ -309,14 +309,11 @@ class _Index(InputPartition):
         self.index = index
 
 
-class _Reader(DataSourceReader):
-    def __init__(self, path: str, names: Sequence[str]):
-        self.path, self.names = path, list(names)
-        with File(path) as f:
-            dims, along, _ = _columns(f.header, names)
-            self.dims, self.axes = dims, _axes(f, dims)
-            self.of = {d: (d, self.axes[d]) for d in dims} | {v.name: (v.dims[0], values(f.read, v).filled(np.nan)) for v in along}
-        self.keep = {d: np.ones(len(a), bool) for d, a in self.axes.items()}
+class AxisFilters(DataSourceReader):
+    """Turns filters into chosen indices: of names (dimension, values along it) for each column that may be filtered, keep marks the indices left."""
+
+    of: dict[str, tuple[str, np.ndarray]]
+    keep: dict[str, np.ndarray]
 
     def pushFilters(self, filters: list) -> Iterator:
         tests = {EqualTo: np.equal, GreaterThan: np.greater, GreaterThanOrEqual: np.greater_equal, LessThan: np.less, LessThanOrEqual: np.less_equal}
@@ -332,6 +329,16 @@ class _Reader(DataSourceReader):
                 self.keep[d] |= np.isnan(column)
                 yield f
 
+
+class _Reader(AxisFilters):
+    def __init__(self, path: str, names: Sequence[str]):
+        self.path, self.names = path, list(names)
+        with File(path) as f:
+            dims, along, _ = _columns(f.header, names)
+            self.dims, self.axes = dims, _axes(f, dims)
+            self.of = {d: (d, self.axes[d]) for d in dims} | {v.name: (v.dims[0], values(f.read, v).filled(np.nan)) for v in along}
+        self.keep = {d: np.ones(len(a), bool) for d, a in self.axes.items()}
+
     def partitions(self) -> list[_Index]:
         index = {d: np.flatnonzero(k) for d, k in self.keep.items()}
         first = self.dims[0]
