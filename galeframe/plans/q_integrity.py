@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galeframe.operators import inventory, qc, validation
+from galeframe.functions import scalar
+from galeframe.operators import handoff, inventory, qc, validation
 from galeframe.plans import views
 from galeframe.plans.registry import query
 from galeframe.sources import checkpoint
@@ -90,3 +91,58 @@ def k06_run_problems(spark: SparkSession, d: str) -> DataFrame:
     due = views.table(spark, d, "part").select(p.cast("string").alias("path"), F.col("p_size").cast("long").alias("length"))
     files = views.table(spark, d, "part").where("p_partkey % 5 <> 0").select(p.cast("string").alias("path"), (F.col("p_size") + F.when(p % 7 == 0, 1).otherwise(0)).cast("long").alias("length"), (F.col("p_size") > 45).alias("partial"))
     return inventory.run_problems(e, {"cases": listed}, results, timings, due, files)
+
+
+HAND_OVER = """WITH ev AS (SELECT event_id AS k, 'E' || event_id::VARCHAR AS case_id, user_id AS storm_id, ts AS reference_time, CASE WHEN event_id % 3 = 0 THEN 'landfall' ELSE 'closest' END AS reference_event, CASE WHEN event_id % 50 = 0 THEN 'failed' ELSE 'passed' END AS qc_status FROM events WHERE event_type = 'purchase'),
+base AS (SELECT *, (k * 7 + h) % 40 AS m, epoch_us(reference_time) - h * 3600000000 AS target FROM ev, (SELECT unnest([24, 48]) AS h)),
+shifted AS (SELECT *, target // 21600000000 * 21600000000 + CASE WHEN target % 21600000000 >= 10800000000 THEN 21600000000 ELSE 0 END AS cycle FROM base WHERE m <> 9),
+p AS (SELECT CASE WHEN m = 7 THEN 'none' ELSE case_id END AS case_id, case_id || '-L0' || h::VARCHAR || CASE WHEN m = 2 THEN 'x' ELSE '' END AS forecast_case_id, storm_id AS e_storm, reference_event AS e_event, epoch_us(reference_time) AS ref, m,
+  storm_id + CASE WHEN m = 0 THEN 1 ELSE 0 END AS storm_id, CASE WHEN m = 1 THEN 'unmatched' ELSE 'matched' END AS status, CASE WHEN m = 12 THEN 30 ELSE h END AS h, cycle + CASE WHEN m = 3 THEN 3600000000 WHEN m = 8 THEN -43200000000 WHEN m = 13 THEN 432000000000 WHEN m = 14 THEN -864000000000 ELSE 0 END AS init,
+  target + CASE WHEN m = 4 THEN 3600000000 ELSE 0 END AS target, CASE WHEN m = 10 THEN 'other' ELSE reference_event END AS event, (epoch_us(reference_time) - cycle) / 3600000000e0 + CASE WHEN m = 5 THEN 1 ELSE 0 END AS actual, (cycle - target) / 3600000000e0 + CASE WHEN m = 6 THEN 0.5e0 ELSE 0 END AS away FROM shifted),
+plans AS (SELECT * FROM p UNION ALL SELECT * FROM p WHERE m = 11)"""
+
+
+@query(HAND_OVER + """, found AS (SELECT forecast_case_id AS key, unnest(list_filter([CASE WHEN case_id = 'none' THEN 'event_unknown' END, CASE WHEN status <> 'matched' THEN 'not_matched' END, CASE WHEN h NOT IN (24, 48) THEN 'lead_unexpected' END,
+  CASE WHEN forecast_case_id <> case_id || '-L0' || h::VARCHAR THEN 'case_id_differs' END, CASE WHEN case_id <> 'none' AND storm_id <> e_storm THEN 'storm_differs' END, CASE WHEN init % 21600000000 <> 0 THEN 'init_off_cycle' END,
+  CASE WHEN case_id <> 'none' AND event <> e_event THEN 'reference_differs' END, CASE WHEN target <> ref - h * 3600000000 THEN 'target_differs' END, CASE WHEN abs(actual - (ref - init) / 3600000000e0) > 1e-6 THEN 'actual_lead_differs' END,
+  CASE WHEN abs(away - (init - target) / 3600000000e0) > 1e-6 THEN 'offset_differs' END, CASE WHEN abs(init - target) > 10800000000 THEN 'offset_too_large' END, CASE WHEN init >= ref THEN 'starts_after_event' END, CASE WHEN ref - init > 864000000000 THEN 'horizon_too_long' END], lambda r: r IS NOT NULL)) AS rule FROM plans),
+g AS (SELECT case_id, h, count(*) AS n FROM plans WHERE h IN (24, 48) GROUP BY ALL)
+SELECT rule, key, '' AS detail FROM found
+UNION ALL SELECT 'event_not_passed', case_id, qc_status FROM ev WHERE qc_status <> 'passed'
+UNION ALL SELECT 'case_repeated', forecast_case_id, count(*)::VARCHAR FROM plans GROUP BY forecast_case_id HAVING count(*) > 1
+UNION ALL SELECT 'lead_repeated', case_id || '|' || h::VARCHAR, n::VARCHAR FROM g WHERE n > 1
+UNION ALL SELECT 'leads_missing', case_id, string_agg(h::VARCHAR, ',' ORDER BY h) FROM (SELECT case_id, h FROM ev, (SELECT unnest([24, 48]) AS h) EXCEPT SELECT case_id, h FROM g) GROUP BY case_id""")
+def c21_k04_handoff_findings(spark: SparkSession, d: str) -> DataFrame:
+    """Everything wrong with plans into which faults of each kind are put."""
+    return handoff.findings(*_hand_over(spark, d), leads=(24, 48))
+
+
+@query(HAND_OVER + """, ok AS (SELECT *, ((ref - init + 21599999999) // 21600000000 * 6)::INTEGER AS hours FROM plans WHERE case_id <> 'none' AND init < ref AND ref - init <= 864000000000),
+s AS (SELECT count(DISTINCT case_id) AS event_count, count(*) AS case_count, count(DISTINCT init) AS unique_init_time_count FROM ok), c AS (SELECT hours AS forecast_hours, count(*) AS n FROM ok GROUP BY hours) SELECT * FROM s, c""")
+def k04_handoff_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Counts of the tables of those plans whose event and horizon are known, a row a horizon."""
+    events, plans = _hand_over(spark, d)
+    ahead = scalar.micros("reference_time") - scalar.micros("init_time")
+    plans = plans.where((ahead > 0) & (ahead <= 240 * scalar.HOUR_US))
+    n = handoff.counts(handoff.tables(events, plans)[1])
+    return n.select("event_count", "case_count", "unique_init_time_count", F.explode("forecast_hours_counts").alias("forecast_hours", "n"))
+
+
+def _hand_over(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    e = views.table(spark, d, "events").where("event_type = 'purchase'")
+    k, kind = F.col("event_id"), F.when(F.col("event_id") % 3 == 0, "landfall").otherwise("closest")
+    events = e.select(k.alias("k"), F.concat(F.lit("E"), k.cast("string")).alias("case_id"), F.col("user_id").alias("storm_id"), F.col("ts").cast("timestamp_ntz").alias("reference_time"), kind.alias("reference_event"), F.when(k % 50 == 0, "failed").otherwise("passed").alias("qc_status"), F.lit("ONE").alias("name"), F.lit("NA").alias("basin"))
+    unit, hour, six = F.lit(scalar.HOUR_US), scalar.HOUR_US, 6 * scalar.HOUR_US
+    p = events.withColumn("h", F.explode(F.array(F.lit(24), F.lit(48)))).withColumn("m", (F.col("k") * 7 + F.col("h")) % 40).where("m <> 9")
+    p = p.withColumn("target", scalar.micros("reference_time") - F.col("h") * unit)
+    p = p.withColumn("cycle", F.col("target") - F.col("target") % six + F.when(F.col("target") % six >= 3 * hour, six).otherwise(0))
+    fault = lambda n, then, other: F.when(F.col("m") == n, then).otherwise(other)
+    at = lambda us: F.timestamp_micros(us).cast("timestamp_ntz")
+    init = F.col("cycle") + F.when(F.col("m") == 3, hour).when(F.col("m") == 8, -12 * hour).when(F.col("m") == 13, 120 * hour).when(F.col("m") == 14, -240 * hour).otherwise(0)
+    p = p.select(
+        "m", fault(7, F.lit("none"), F.col("case_id")).alias("case_id"), F.concat("case_id", F.lit("-L0"), F.col("h").cast("string"), fault(2, F.lit("x"), F.lit(""))).alias("forecast_case_id"), (F.col("storm_id") + fault(0, F.lit(1), F.lit(0))).alias("storm_id"),
+        fault(1, F.lit("unmatched"), F.lit("matched")).alias("schedule_status"), fault(12, F.lit(30), F.col("h")).alias("nominal_lead_hours"), at(init).alias("init_time"), "reference_time", fault(10, F.lit("other"), F.col("reference_event")).alias("reference_event"),
+        at(F.col("target") + fault(4, F.lit(hour), F.lit(0))).alias("target_init_time"), ((scalar.micros("reference_time") - F.col("cycle")) / unit + fault(5, F.lit(1), F.lit(0))).alias("actual_lead_hours"), ((F.col("cycle") - F.col("target")) / unit + fault(6, F.lit(0.5), F.lit(0.0))).alias("cycle_offset_hours"),
+    )
+    plans = p.withColumn("_", F.explode(F.when(F.col("m") == 11, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    return events.drop("k"), plans.drop("_", "m")
