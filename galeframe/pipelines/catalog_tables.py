@@ -11,7 +11,7 @@ from galeframe.operators import rollups
 from galeframe.operators.crossings import plane_edges
 from galeframe.operators.lineage import kept
 from galeframe.pipelines import catalog
-from galeframe.sources import best_track, shapefile
+from galeframe.sources import best_track, scans, shapefile
 
 #: The table of the catalog that each name stands for: which cases, or which storms' cases.
 VIEWS = {"cases": "true", "primary_cases": "primary_sample", "main_cases": "NOT provisional_track", "main_primary_cases": "primary_sample AND NOT provisional_track"}
@@ -26,8 +26,7 @@ def fixes_of(tracks: DataFrame) -> DataFrame:
 
 def land_edges(spark: SparkSession, path: str, min_area: float = 0.0) -> DataFrame:
     """The sides of the land rings of a polygon file, cut short."""
-    spark.dataSource.register(shapefile.ShapefileSource)
-    rings = spark.read.format("polygons").option("min_area", str(min_area)).load(path)
+    rings = scans.opened(spark, shapefile.ShapefileSource, path, min_area=str(min_area))
     return plane_edges(shapefile.ring_edges(rings))
 
 

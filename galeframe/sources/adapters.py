@@ -1,6 +1,7 @@
 """Forecasts of any model as one canonical table: readers by declared format, names by declared mappings.
 
-A reader is a function (spark, path, variables) that gives a lazy DataFrame of cells. Formats are
+A reader is a function (spark, path, variables, bounds) that gives a lazy DataFrame of cells, of
+variables under the files' names and within bounds of them (see `scans`). Formats are
 looked up by name when a forecast is opened; `register_format` adds one.
 """
 
@@ -11,29 +12,34 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource
 
-from galeframe.sources import netcdf, zarr
+from galeframe.sources import netcdf, scans, zarr
 
 # Canonical names of dimensions and fields.
 DIMENSIONS = ("init_time", "lead_time", "latitude", "longitude")
 FIELDS = ("msl", "u10", "v10", "z500", "u850", "v850", "u200", "v200")
 
-Reader = Callable[[SparkSession, str, Sequence[str]], DataFrame]
+Reader = Callable[[SparkSession, str, Sequence[str], scans.Bounds], DataFrame]
 
 
-def _by_source(module, name: str) -> Reader:
-    def read(spark: SparkSession, path: str, variables: Sequence[str]) -> DataFrame:
-        module.register(spark)
-        return spark.read.format(name).option("variables", ",".join(variables)).load(path)
+def _by_source(source: type[DataSource]) -> Reader:
+    return lambda spark, path, variables, bounds: scans.opened(spark, source, path, bounds, variables=",".join(variables))
 
-    return read
+
+def _parquet(spark: SparkSession, path: str, variables: Sequence[str], bounds: scans.Bounds) -> DataFrame:
+    df = spark.read.parquet(path)
+    for name, (lo, hi) in bounds.items():
+        c = F.col(_quoted(name))
+        df = df.where((F.lit(True) if lo is None else c >= lo) & (F.lit(True) if hi is None else c <= hi) & c.isNotNull())
+    return df
 
 
-def _parquet(spark: SparkSession, path: str, variables: Sequence[str]) -> DataFrame:
-    return spark.read.parquet(path)
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
-FORMATS: dict[str, Reader] = {"netcdf": _by_source(netcdf, "netcdf"), "zarr": _by_source(zarr, "zarr"), "parquet": _parquet}
+FORMATS: dict[str, Reader] = {"netcdf": _by_source(netcdf.NetcdfSource), "zarr": _by_source(zarr.ZarrSource), "parquet": _parquet}
 ADAPTERS: dict[str, Adapter] = {}
 
 
@@ -67,11 +73,12 @@ class Adapter:
             if lacking:
                 raise ValueError(f"missing mapping of {', '.join(lacking)}")
 
-    def open_forecast(self, spark: SparkSession, path: str) -> DataFrame:
-        """The cells of a forecast under the files' own names; nothing but metadata is read."""
+    def open_forecast(self, spark: SparkSession, path: str, bounds: scans.Bounds | None = None) -> DataFrame:
+        """The cells of a forecast under the files' own names, within bounds by canonical dimensions; nothing but metadata is read."""
         if self.file_format not in FORMATS:
             raise ValueError(f"unsupported forecast format: {self.file_format}")
-        return FORMATS[self.file_format](spark, path, list(dict.fromkeys(self.variables.values())))
+        within = {self.coordinates[name]: b for name, b in (bounds or {}).items()}
+        return FORMATS[self.file_format](spark, path, list(dict.fromkeys(self.variables.values())), within)
 
     def normalize(self, cells: DataFrame) -> DataFrame:
         """cells under canonical names, all renamed at once, so that names may swap; other columns follow as they are.
@@ -86,9 +93,8 @@ class Adapter:
         clash = sorted({c.lower() for c in rest} & {c.lower() for c in named})
         if clash:
             raise ValueError(f"columns under canonical names: {', '.join(clash)}")
-        quoted = lambda c: F.col(f"`{c.replace('`', '``')}`")
         same = lambda c: c
-        out = cells.select(*[self.convert.get(new, same)(quoted(old)).alias(new) for new, old in named.items()], *[quoted(c) for c in rest])
+        out = cells.select(*[self.convert.get(new, same)(F.col(_quoted(old))).alias(new) for new, old in named.items()], *[F.col(_quoted(c)) for c in rest])
         return check_canonical(out)
 
 
@@ -97,9 +103,9 @@ def register_adapter(adapter: Adapter) -> None:
     ADAPTERS[adapter.model.lower()] = adapter
 
 
-def forecast(spark: SparkSession, model: str, path: str) -> DataFrame:
-    """The canonical cells of a model's forecast."""
+def forecast(spark: SparkSession, model: str, path: str, bounds: scans.Bounds | None = None) -> DataFrame:
+    """The canonical cells of a model's forecast, within bounds by canonical dimensions."""
     if model.lower() not in ADAPTERS:
         raise ValueError(f"no adapter for {model}")
     a = ADAPTERS[model.lower()]
-    return a.normalize(a.open_forecast(spark, path))
+    return a.normalize(a.open_forecast(spark, path, bounds))

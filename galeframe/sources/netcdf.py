@@ -1,14 +1,14 @@
 """NetCDF classic files (CDF-1, CDF-2 and CDF-5): header, hyperslabs as byte ranges, a data source, a writer.
 
-    netcdf.register(spark)
-    spark.read.format("netcdf").option("variables", "msl,u10,v10").load("surface.nc").where("latitude < 10")
+    scans.opened(spark, netcdf.NetcdfSource, "surface.nc", {"latitude": (None, 10)}, variables="msl,u10,v10")
 
 The header is read once, by the driver. A row is a cell: a column for each dimension (the value of
 its coordinate variable, or the index where it has none), for each other variable along one of
 these dimensions (such as lead_time along valid_time), and for each chosen variable. An input
-partition is one index of the first dimension. Comparisons of dimension columns and of variables
-along a dimension with constants are turned into index ranges, and only their bytes are read. Paths
-are names or URIs that pyarrow.fs opens; every executor must reach them.
+partition is one index of the first dimension. Bounds of dimension columns and of variables along a
+dimension, and comparisons with constants that Spark pushes (see `scans`), are turned into index
+ranges, and only their bytes are read. Paths are names or URIs that pyarrow.fs opens; every executor
+must reach them.
 
 Values equal to _FillValue, missing_value or the type's default fill, or outside the valid range,
 are null; scale_factor and add_offset are applied. NaN stays NaN. `cells` reads many small files,
@@ -27,9 +27,11 @@ from itertools import product
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
+from galeframe.sources import scans
+
 # Fixed values of the format: types by number, tags of the header's lists, default fills by type.
 TYPES = {1: "i1", 2: "S1", 3: "i2", 4: "i4", 5: "f4", 6: "f8", 7: "u1", 8: "u2", 9: "u4", 10: "i8", 11: "u8"}
 DIMENSION, VARIABLE, ATTRIBUTE = 10, 11, 12
@@ -309,12 +311,24 @@ class _Index(InputPartition):
         self.index = index
 
 
-class AxisFilters(DataSourceReader):
-    """Turns filters into chosen indices: of names (dimension, values along it) for each column that may be filtered, keep marks the indices left."""
+class AxisBounds(DataSourceReader):
+    """Turns bounds into chosen indices: of names (dimension, values along it) for each column that may be filtered, keep marks the indices left."""
 
     of: dict[str, tuple[str, np.ndarray]]
     keep: dict[str, np.ndarray]
 
+    def bound(self, bounds: dict[str, tuple[float, float]]) -> None:
+        """Keep the indices within bounds; missing values are within none."""
+        for name, (lo, hi) in bounds.items():
+            if name not in self.of:
+                raise ValueError(f"no bounds of {name}: it is no column of a dimension")
+            d, column = self.of[name]
+            self.keep[d] &= (column >= lo) & (column <= hi)
+
+
+class AxisFilters(AxisBounds):
+    """Takes comparisons that Spark pushes as well."""
+
     def pushFilters(self, filters: list) -> Iterator:
         tests = {EqualTo: np.equal, GreaterThan: np.greater, GreaterThanOrEqual: np.greater_equal, LessThan: np.less, LessThanOrEqual: np.less_equal}
         for f in filters:
@@ -330,14 +344,15 @@ class AxisFilters(DataSourceReader):
                 yield f
 
 
-class _Reader(AxisFilters):
-    def __init__(self, path: str, names: Sequence[str]):
+class _Reader(AxisBounds):
+    def __init__(self, path: str, names: Sequence[str], bounds: dict[str, tuple[float, float]]):
         self.path, self.names = path, list(names)
         with File(path) as f:
             dims, along, _ = _columns(f.header, names)
             self.dims, self.axes = dims, _axes(f, dims)
             self.of = {d: (d, self.axes[d]) for d in dims} | {v.name: (v.dims[0], values(f.read, v).filled(np.nan)) for v in along}
         self.keep = {d: np.ones(len(a), bool) for d, a in self.axes.items()}
+        self.bound(bounds)
 
     def partitions(self) -> list[_Index]:
         index = {d: np.flatnonzero(k) for d, k in self.keep.items()}
@@ -350,6 +365,10 @@ class _Reader(AxisFilters):
                 yield _record_batch(columns)
 
 
+class _Pushing(AxisFilters, _Reader):
+    pass
+
+
 class NetcdfSource(DataSource):
     """Format name netcdf; option variables: names with commas, by default all variables with the most dimensions."""
 
@@ -371,13 +390,7 @@ class NetcdfSource(DataSource):
         return ", ".join(f"`{n}` double" for n in [*dims, *(v.name for v in along), *(v.name for v in chosen)])
 
     def reader(self, schema) -> _Reader:
-        return _Reader(self.options["path"], self._names())
-
-
-def register(spark: SparkSession) -> None:
-    """Make the format known to the session and let filters reach it."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    spark.dataSource.register(NetcdfSource)
+        return (_Pushing if scans.pushes(self.options) else _Reader)(self.options["path"], self._names(), scans.bounds_of(self.options))
 
 
 def cells(files: DataFrame, variables: Sequence[str], columns: Sequence[str], path: str = "path") -> DataFrame:

@@ -1,13 +1,12 @@
 """Chunked arrays (Zarr, version 2): metadata, codecs, a data source, a sink.
 
-    zarr.register(spark)
-    spark.read.format("zarr").option("variables", "msl,u10").load("forecast.zarr").where("latitude < 10")
+    scans.opened(spark, zarr.ZarrSource, "forecast.zarr", {"latitude": (None, 10)}, variables="msl,u10")
 
 A row is a cell: a column for each dimension (the value of its coordinate array, or the index where
 it has none), for each other one-dimensional array along one of these dimensions, and for each
 chosen array. The chosen arrays must have the same dimensions, named by _ARRAY_DIMENSIONS. An input
-partition is a chunk of the first chosen array; comparisons of dimension columns with constants
-choose indices, and chunks without a chosen index are never opened. Absent chunks, fill values,
+partition is a chunk of the first chosen array; bounds of dimension columns and pushed comparisons
+(see `scans`) choose indices, and chunks without a chosen index are never opened. Absent chunks, fill values,
 _FillValue and missing_value are null, scale_factor and add_offset are applied, NaN stays NaN unless
 it is the fill value.
 
@@ -31,11 +30,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, InputPartition
 
-from galeframe.sources import netcdf
+from galeframe.sources import netcdf, scans
 
 
 class Store:
@@ -209,8 +208,8 @@ class _Chunk(InputPartition):
         self.index = index
 
 
-class _Reader(netcdf.AxisFilters):
-    def __init__(self, path: str, names: Sequence[str]):
+class _Reader(netcdf.AxisBounds):
+    def __init__(self, path: str, names: Sequence[str], bounds: dict[str, tuple[float, float]]):
         self.path, store = path, Store(path)
         self.dims, self.along, self.chosen, axes = _columns(store, names)
         length = dict(zip(self.dims, self.chosen[0].shape, strict=True))
@@ -218,6 +217,7 @@ class _Reader(netcdf.AxisFilters):
         self.columns = {a.name: (a.dims[0], values(store, a)) for a in self.along}
         self.of |= {n: (d, x.filled(np.nan)) for n, (d, x) in self.columns.items()}
         self.keep = {d: np.ones(n, bool) for d, n in length.items()}
+        self.bound(bounds)
 
     def partitions(self) -> list[_Chunk]:
         index = [np.flatnonzero(self.keep[d]) for d in self.dims]
@@ -232,6 +232,10 @@ class _Reader(netcdf.AxisFilters):
         yield pa.RecordBatch.from_arrays([pa.array(np.ma.getdata(c), pa.float64(), mask=np.ma.getmaskarray(c)) for c in out.values()], names=list(out))
 
 
+class _Pushing(netcdf.AxisFilters, _Reader):
+    pass
+
+
 class ZarrSource(DataSource):
     """Format name zarr; option variables: names with commas, by default all arrays with the most dimensions."""
 
@@ -252,13 +256,7 @@ class ZarrSource(DataSource):
         return ", ".join(f"`{n}` double" for n in [*dims, *(a.name for a in along), *(a.name for a in chosen)])
 
     def reader(self, schema) -> _Reader:
-        return _Reader(self.options["path"], self._names())
-
-
-def register(spark: SparkSession) -> None:
-    """Make the format known to the session and let filters reach it."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    spark.dataSource.register(ZarrSource)
+        return (_Pushing if scans.pushes(self.options) else _Reader)(self.options["path"], self._names(), scans.bounds_of(self.options))
 
 
 # -- writing --------------------------------------------------------------------------------------

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from galeframe.functions import geo
 from galeframe.operators import grid, tracking
-from galeframe.sources import forecast_files, netcdf
+from galeframe.sources import forecast_files, netcdf, scans
 
 INIT = datetime(2023, 8, 1)
 
@@ -96,8 +96,8 @@ def test_source_reads_only_what_filters_ask_for(spark, tmp_path, monkeypatch):
     )
     path = f"{tmp_path}/upper.nc"
     netcdf.write(path, raw)
-    netcdf.register(spark)
-    df = spark.read.format("netcdf").load(path)
+    scans.register(spark, netcdf.NetcdfSource, pushdown=True)
+    df = spark.read.format("netcdf").option("pushdown", True).load(path)
     assert df.columns == ["valid_time", "level", "latitude", "longitude", "lead_time", "u", "v"]
     rows = df.collect()
     assert len(rows) == a.size and sum(r.u is None for r in rows) == 1 and {(r.lead_time, r.valid_time) for r in rows} == {(6.0, 0.0), (12.0, 1.0)}
@@ -105,8 +105,14 @@ def test_source_reads_only_what_filters_ask_for(spark, tmp_path, monkeypatch):
     want = {(float(p), float(q), float(a[1, 1, i, j])) for i, p in enumerate(y) for j, q in enumerate(x) if abs(p) <= 5 and 30 < q <= 60}
     assert {(r.latitude, r.longitude, r.u) for r in near.collect()} == want
     assert near.where("u > 1e9").count() == 0 and df.where("level = 700").count() == 0 and df.where("longitude IN (0, 6, 7)").count() == 2 * 2 * 40 * 2
+    spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+    bounds = {"lead_time": (12, 12), "level": (850, None), "latitude": (-5, 5), "longitude": (31, 60)}
+    again = scans.opened(spark, netcdf.NetcdfSource, path, bounds)
+    assert again.rdd.getNumPartitions() == 1 and {(r.latitude, r.longitude, r.u) for r in again.collect()} == want
+    whole = scans.opened(spark, netcdf.NetcdfSource, path)
+    assert whole.where("level = 850").unionByName(whole).count() == a.size * 3 // 2 and whole.count() == a.size
     # bytes: the filters as the reader gets them
-    r = netcdf._Reader(path, ["u"])
+    r = netcdf._Pushing(path, ["u"], {})
     left = list(r.pushFilters([netcdf.EqualTo(("lead_time",), 12), netcdf.EqualTo(("level",), 850.0), netcdf.GreaterThan(("longitude",), 30), netcdf.LessThanOrEqual(("longitude",), 60), netcdf.GreaterThanOrEqual(("latitude",), -5), netcdf.LessThanOrEqual(("latitude",), 5), netcdf.GreaterThan(("u",), 0)]))
     assert [f.attribute for f in left] == [("u",)]
     parts = r.partitions()

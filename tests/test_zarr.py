@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from galeframe.sources import adapters, netcdf, zarr
+from galeframe.sources import adapters, netcdf, scans, zarr
 
 
 def array(name, shape, chunks, dtype="<f4", dims="xyz", **other):
@@ -107,8 +107,8 @@ def a_store(root):
 
 def test_source(spark, tmp_path):
     x = a_store(tmp_path)
-    zarr.register(spark)
-    df = spark.read.format("zarr").load(str(tmp_path))
+    scans.register(spark, zarr.ZarrSource, pushdown=True)
+    df = spark.read.format("zarr").option("pushdown", True).load(str(tmp_path))
     assert df.columns == ["lat", "lon", "hour", "v", "w"] and df.rdd.getNumPartitions() == 9
     want = {(10.0 - i, float(j), 6.0 * i, x[i, j], -x[i, j]) for i in range(6) for j in range(7)}
     assert {tuple(r) for r in df.collect()} == want
@@ -121,6 +121,18 @@ def test_source(spark, tmp_path):
     for bad in ("v,nothing", "v,lat"):
         with pytest.raises(Exception, match="no array|same named"):
             spark.read.format("zarr").option("variables", bad).load(str(tmp_path)).collect()
+    spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
+def test_uses_of_one_table_do_not_disturb_each_other(spark, tmp_path):
+    a_store(tmp_path)
+    df = scans.opened(spark, zarr.ZarrSource, str(tmp_path))
+    few = df.where("lat <= 7 AND lat > 5")
+    assert (df.count(), few.count(), df.count(), few.unionByName(df).count()) == (42, 14, 42, 56)
+    near = scans.opened(spark, zarr.ZarrSource, str(tmp_path), {"lat": (5.5, 7), "lon": (5, None), "hour": (None, 24)}, variables="v")
+    assert near.rdd.getNumPartitions() == 4 and sorted((r.lat, r.lon) for r in near.collect()) == [(6.0, 5.0), (6.0, 6.0), (7.0, 5.0), (7.0, 6.0)]
+    with pytest.raises(Exception, match="no bounds of v"):
+        scans.opened(spark, zarr.ZarrSource, str(tmp_path), {"v": (0, 1)}).count()
 
 
 def test_only_touched_chunks_are_opened(tmp_path):
@@ -171,6 +183,8 @@ def test_adapters(spark, tmp_path):
         df = adapters.forecast(spark, "demo", str(path))
         assert df.columns == [*adapters.DIMENSIONS, *adapters.FIELDS]
         got.append(sorted(map(tuple, df.where("latitude = 0.5").collect())))
+        near = adapters.forecast(spark, "demo", str(path), {"latitude": (None, 1), "longitude": (0, 2)})
+        assert sorted(map(tuple, near.collect())) == got[-1]
     assert got[0] == got[1] and len(got[0]) == 6 and got[0][0] == (0.0, 0.0, 0.5, 0.0, 0.03, *(3.0 + 100 * k for k in range(1, 8)))
 
 
@@ -186,7 +200,7 @@ def test_contracts_of_adapters(spark):
     df = spark.range(1).select(*[F.lit(float(k)).alias(n) for k, n in enumerate([*NAMES.values(), *FIELDS.values()])])
     swap = NAMES | {"latitude": "lon", "longitude": "lat"}
     a = adapters.Adapter("m", "mine", swap, FIELDS)
-    adapters.register_format("mine", lambda spark, path, variables: df.withColumn("a.b", F.lit(path)))
+    adapters.register_format("mine", lambda spark, path, variables, bounds: df.withColumn("a.b", F.lit(path)))
     out = a.normalize(a.open_forecast(spark, "p")).first()
     assert (out.latitude, out.longitude, out["a.b"]) == (3.0, 2.0, "p")
     with pytest.raises(ValueError, match="MSL"):
