@@ -46,6 +46,14 @@ def cycles_between(spark, start: str, end: str, step_hours: int = 6) -> DataFram
     return spark.range(1).select(F.explode(times).alias("init_time"))
 
 
+def cycles_of(times: DataFrame, column: str, step_hours: int = 6) -> DataFrame:
+    """init_time: every cycle of the days from the first to the last time of a table; no rows where it has none."""
+    day = lambda f: F.date_trunc("day", f(F.col(column).cast("timestamp_ntz"))).cast("timestamp_ntz")
+    span = times.agg(day(F.min).alias("a"), day(F.max).alias("b")).where("a IS NOT NULL")
+    end = F.timestamp_add("HOUR", F.lit(24 - step_hours), "b")
+    return span.select(F.explode(F.sequence("a", end, F.expr(f"INTERVAL {int(step_hours)} HOURS"))).alias("init_time"))
+
+
 def integral_leads(points: DataFrame, init: str = "init_time", valid: str = "valid_time", lead: str | None = None) -> DataFrame:
     """points with lead_hours from its times; raises where it is no whole hour or disagrees with the column lead."""
     us = scalar.micros(valid) - scalar.micros(init)

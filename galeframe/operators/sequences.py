@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from galeframe.functions import geo, scalar
+from galeframe.operators import lineage
 
 
 def sessions(df: DataFrame, key: str, time: str, tie: str, gap_hours: float = 6.0, name: str = "episode_group") -> DataFrame:
@@ -132,3 +133,16 @@ def line_segments(df: DataFrame, key: str, order: Sequence[str], tie: str, value
     end = F.when(jump > 180, F.col("_lon") - 360.0).when(jump < -180, F.col("_lon") + 360.0).otherwise(F.col("_lon"))
     mean = (F.coalesce("_a", "_b") + F.coalesce("_b", "_a")) / 2.0
     return p.where(F.col("to_id").isNotNull() & there).withColumns({"end_lon": end, "value": mean}).where(F.col("value").isNotNull()).drop("_lon", "_a", "_b")
+
+
+def placed(df: DataFrame, order: list[str], name: str = "place") -> DataFrame:
+    """df with its rows' places from 1 in the given order, nulls first; order must tell all rows apart, else equal rows take their places in any order.
+
+    One sort by range, kept by a checkpoint so that counts and rows come from the same sort. A row's place
+    is its place in its partition after the rows of all partitions before, of which there is one number each.
+    """
+    rows = lineage.kept(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))
+    rows = rows.withColumns({"_part": F.shiftright("_at", 33), "_row": F.col("_at").bitwiseAND((1 << 33) - 1)})
+    parts = rows.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = parts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    return rows.join(before, "_part").withColumn(name, F.col("_before") + F.col("_row") + 1).drop("_at", "_part", "_row", "_before")

@@ -156,11 +156,12 @@ def h23_json_fields(spark: SparkSession, d: str) -> DataFrame:
     return views.table(spark, d, "events").select("event_id", F.try_to_number(F.get_json_object("props", "$.k"), F.lit("999999999")).cast("long").alias("k"))
 
 
-@query("SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-03 12:00:00', INTERVAL 6 HOUR)) AS init_time")
+@query("SELECT unnest(generate_series(date_trunc('day', min(ts))::TIMESTAMP, date_trunc('day', max(ts))::TIMESTAMP + INTERVAL 18 HOUR, INTERVAL 6 HOUR)) AS init_time FROM events")
 def h24_cycles(spark: SparkSession, d: str) -> DataFrame:
-    from galeframe.operators.schedule import cycles_between
+    """All cycles of the days that events cover."""
+    from galeframe.operators.schedule import cycles_of
 
-    return cycles_between(spark, "2024-01-01 00:00:00", "2024-01-03 12:00:00")
+    return cycles_of(views.table(spark, d, "events"), "ts")
 
 
 @query("""SELECT vec_id, 18 + 8 * ((i - 1) // 4) AS threshold_ms, CASE (i - 1) % 4 WHEN 0 THEN 'ne' WHEN 1 THEN 'se' WHEN 2 THEN 'sw' ELSE 'nw' END AS quadrant, embedding[i]::DOUBLE AS radius
@@ -184,12 +185,12 @@ def f05_c16_schedule(spark: SparkSession, d: str) -> DataFrame:
     return s.select("case_id", "nominal_lead_hours", "target_time", "init_time", "status", F.round("actual_lead_hours", 6).alias("actual_lead_hours"), "forecast_case_id")
 
 
-@query("""SELECT fix_id, storm_id, row_number() OVER (ORDER BY iso_time, fix_id) AS place FROM fixes WHERE wind_kt > 150 ORDER BY iso_time, fix_id""", ("fixes",))
+@query("""SELECT fix_id, storm_id, row_number() OVER (ORDER BY iso_time, fix_id) AS place FROM fixes""", ("fixes",))
 def f01_f02_stable_sort(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
+    """Places of all fixes in time."""
+    from galeframe.operators.sequences import placed
 
-    f = views.fixes(spark, d).where("wind_kt > 150")
-    return f.select("fix_id", "storm_id", F.row_number().over(Window.orderBy("iso_time", "fix_id")).cast("long").alias("place")).orderBy("place")
+    return placed(views.fixes(spark, d).select("fix_id", "storm_id", "iso_time"), ["iso_time", "fix_id"], "place").select("fix_id", "storm_id", "place")
 
 
 @query("""SELECT storm_id, fix_id, wind_kt FROM (SELECT *, row_number() OVER (PARTITION BY basin, lat >= 0 ORDER BY iso_time, fix_id) AS n FROM fixes WHERE lat <> 0) WHERE n = 1""", ("fixes",))
