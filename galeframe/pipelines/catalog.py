@@ -39,8 +39,8 @@ class CatalogConfig:
 
 def coast_distance(points: DataFrame, segments: DataFrame, samples: DataFrame, k: int, point_id: str = "point_id", lat: str = "lat", lon: str = "lon") -> DataFrame:
     """point_id, distance_km, coast_lat, coast_lon of the nearest place on the coast, among the k segments whose samples are nearest."""
-    near = kept(spatial.nearest_segments(points, samples, k, point_id, lat, lon).select(point_id, "segment_id"))
-    found = spatial.distance_to_segments(near.join(points.select(point_id, lat, lon), point_id), segments, point_id, lat, lon)
+    near = spatial.nearest_segments(points, samples, k, point_id, lat, lon, carry=[lat, lon]).drop("rank", "chord2")
+    found = spatial.distance_to_segments(near, segments, point_id, lat, lon)
     at = found.join(segments.select("segment_id", "lat_a", "lon_a", "lat_b", geo.unwrap_longitude("lon_b", "lon_a").alias("lon_b")), "segment_id")
     along = lambda a, b: F.col(a) + F.col("fraction") * (F.col(b) - F.col(a))
     return at.select(point_id, "distance_km", along("lat_a", "lat_b").alias("coast_lat"), geo.wrap_longitude(along("lon_a", "lon_b")).alias("coast_lon"))

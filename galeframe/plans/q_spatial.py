@@ -27,14 +27,14 @@ p AS (SELECT fix_id AS point_id, cos(radians(lat)) * cos(radians(lon)) AS x, cos
 c AS (SELECT point_id, segment_id, round(min((p.x - u.x) * (p.x - u.x) + (p.y - u.y) * (p.y - u.y) + (p.z - u.z) * (p.z - u.z)), 9) AS chord2 FROM p, u GROUP BY 1, 2)
 SELECT point_id, rank::INTEGER AS rank, segment_id, chord2 FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY chord2, segment_id) AS rank FROM c) WHERE rank <= 3""", ("fixes",))
 def c05_nearest_segments(spark: SparkSession, d: str) -> DataFrame:
-    found = spatial.nearest_segments(_points(spark, d), _coast_samples(spark, d), 3)
+    found = spatial.nearest_segments(_points(spark, d), _coast_samples(spark, d), 3, digits=9)
     return found.select("point_id", "rank", "segment_id", F.round("chord2", 9).alias("chord2"))
 
 
 @query()
 def c05_h05_distance_to_segments(spark: SparkSession, d: str) -> DataFrame:
     p = _points(spark, d)
-    near = spatial.nearest_segments(p, _coast_samples(spark, d), 3).join(p, "point_id")
+    near = spatial.nearest_segments(p, _coast_samples(spark, d), 3, carry=["lat", "lon"])
     out = spatial.distance_to_segments(near, views.coast(spark, d))
     return out.select("point_id", "segment_id", F.round("distance_km", 6).alias("distance_km"), F.round("fraction", 6).alias("fraction"))
 
