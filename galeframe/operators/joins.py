@@ -44,11 +44,24 @@ def within_km(left: DataFrame, right: DataFrame, on: str, limit_km: float) -> Da
     return near.where(F.col("distance_km") <= limit_km).drop("_cell")
 
 
-def nearest_two(near: DataFrame, key: str, other: str) -> DataFrame:
-    """key, candidates (their number), first and second (structs of distance_km and other) in order of distance and other."""
-    rank = F.row_number().over(Window.partitionBy(key).orderBy("distance_km", other))
-    ranked = near.select(key, F.struct("distance_km", other).alias("_c"), rank.alias("_n"))
-    return ranked.groupBy(key).agg(F.max("_n").cast("long").alias("candidates"), *[F.max(F.when(F.col("_n") == n, F.col("_c"))).alias(name) for n, name in ((1, "first"), (2, "second"))])
+def nearest_two(left: DataFrame, right: DataFrame, on: str, other: str, limit_km: float) -> DataFrame:
+    """on, lat, lon, candidates (the number of right's rows within limit_km), first and second (structs of distance_km and other) in order of distance and other, for each place of left that has any.
+
+    left: on, lat, lon; right: on, t_lat, t_lon, other. Rows of one place are as far from all others,
+    so places meet and not rows: a place of right stands for its rows by their number and its two
+    smallest others, which are all of them that can be first or second.
+    """
+    w = Window.partitionBy(on, "t_lat", "t_lon").orderBy(other)
+    ranked = right.select(on, "t_lat", "t_lon", other, F.row_number().over(w).alias("_n"))
+    at = lambda n: F.max(F.when(F.col("_n") == n, F.col(other)))
+    held = ranked.groupBy(on, "t_lat", "t_lon").agg(F.max("_n").cast("long").alias("_rows"), at(1).alias("_a"), at(2).alias("_b"))
+    near = within_km(left.select(on, "lat", "lon").distinct(), held, on, limit_km)
+    one = lambda c: F.when(F.col(c).isNotNull(), F.struct("distance_km", F.col(c).alias(other)))
+    rank = F.row_number().over(Window.partitionBy(on, "lat", "lon").orderBy("distance_km", "_a"))
+    ranked = near.select(on, "lat", "lon", "_rows", one("_a").alias("_c"), one("_b").alias("_d"), rank.alias("_n"))
+    of = lambda n, c: F.max(F.when(F.col("_n") == n, F.col(c)))
+    # behind the first comes the next row of its own place or the first of the next place
+    return ranked.groupBy(on, "lat", "lon").agg(F.sum("_rows").cast("long").alias("candidates"), of(1, "_c").alias("first"), F.least(of(1, "_d"), of(2, "_c")).alias("second"))
 
 
 def identify(messages: DataFrame, truth: DataFrame, cohort: DataFrame, limit_km: float = 150.0, apart_km: float = 75.0) -> DataFrame:
@@ -60,9 +73,9 @@ def identify(messages: DataFrame, truth: DataFrame, cohort: DataFrame, limit_km:
     """
     t = truth.select(F.col("storm_id").alias("candidate"), F.col("iso_time").alias("init_time"), F.col("lat").alias("t_lat"), F.col("lon").alias("t_lon"))
     m = messages.withColumn("positioned", geo.valid_position("lat", "lon"))
-    two = nearest_two(within_km(m.where("positioned").select("message_id", "init_time", "lat", "lon"), t, "init_time", limit_km), "message_id", "candidate")
+    two = nearest_two(m.where("positioned"), t, "init_time", "candidate", limit_km)
     times = t.select("init_time").distinct().withColumn("seen", F.lit(True))
-    out = m.join(two, "message_id", "left").join(times, "init_time", "left")
+    out = m.join(two, ["init_time", "lat", "lon"], "left").join(times, "init_time", "left")
     out = out.withColumns({"nearest": F.col("first.candidate"), "nearest_km": F.col("first.distance_km"), "second_km": F.col("second.distance_km"), "candidates": F.coalesce("candidates", F.lit(0)).cast("long")})
     out = out.join(cohort.select(F.col("storm_id").alias("nearest"), F.lit(True).alias("in_cohort")).distinct(), "nearest", "left")
     status = (
@@ -81,12 +94,12 @@ def link_at_start(means: DataFrame, truth: DataFrame, limit_km: float = 150.0, a
     ids, position_suffix where number and year agree (basins and seasons are named differently), else
     position_only. A storm claimed by two tracks of one time raises.
     """
-    m = means.where(geo.valid_position("lat", "lon")).select(F.struct("init_time", "track_id").alias("key"), "init_time", "lat", "lon")
+    m = means.where(geo.valid_position("lat", "lon")).select("init_time", "track_id", "lat", "lon")
     t = truth.select("truth_id", F.col("iso_time").alias("init_time"), F.col("lat").alias("t_lat"), F.col("lon").alias("t_lon"))
-    two = nearest_two(within_km(m, t, "init_time", limit_km), "key", "truth_id")
+    two = m.join(nearest_two(m, t, "init_time", "truth_id", limit_km), ["init_time", "lat", "lon"])
     lone = two.where(F.coalesce(F.col("second.distance_km") - F.col("first.distance_km") >= apart_km, F.lit(True)))
     same, tail = F.col("track_id") == F.col("truth_id"), F.substring("track_id", -6, 6) == F.substring("truth_id", -6, 6)
-    found = lone.select("key.init_time", "key.track_id", F.col("first.truth_id").alias("truth_id"), F.col("first.distance_km").alias("init_match_distance_km"))
+    found = lone.select("init_time", "track_id", F.col("first.truth_id").alias("truth_id"), F.col("first.distance_km").alias("init_match_distance_km"))
     found = found.withColumn("method", F.when(same, "exact").when(tail, "position_suffix").otherwise("position_only"))
     return one_to_one(found, ["init_time", "truth_id"], "track_id")
 
