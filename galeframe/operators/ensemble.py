@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from galeframe.functions import geo, scalar
+from galeframe.operators.lineage import merged
 
 
 def crps(members: DataFrame, keys: Sequence[str], value: str = "value", truth: str = "truth", member: str = "member") -> DataFrame:
@@ -44,10 +45,10 @@ def energy_score(members: DataFrame, keys: Sequence[str], lat: str = "lat", lon:
     """
     one = members.select(*keys, F.col(member).alias("_i"), F.col(lat).alias("_a"), F.col(lon).alias("_o"))
     two = members.select(*keys, F.col(member).alias("_j"), F.col(lat).alias("_b"), F.col(lon).alias("_p"))
-    pairs = one.join(two, list(keys)).where("_i < _j").withColumn("_d", geo.distance_km("_a", "_o", "_b", "_p"))
+    pairs = one.join(merged(two), list(keys)).where("_i < _j").withColumn("_d", geo.distance_km("_a", "_o", "_b", "_p"))
     between = pairs.groupBy(*keys).agg(F.sum("_d").alias("_pairs"))
     own = members.groupBy(*keys).agg(F.avg(geo.distance_km(lat, lon, truth_lat, truth_lon)).alias("_own"), F.count("*").alias("_m"))
-    out = own.join(between, list(keys), "left")
+    out = own.join(merged(between), list(keys), "left")
     return out.select(*keys, (F.col("_own") - F.coalesce("_pairs", F.lit(0.0)) / (F.col("_m") * F.col("_m"))).alias("energy"))
 
 
@@ -85,8 +86,9 @@ def bootstrap_by_formula(cases: DataFrame, keys: Sequence[str], cluster: str, va
     sums = cases.where(F.col(value).isNotNull()).groupBy(*keys, cluster).agg(F.sum(F.abs(value)).alias("s"), F.count("*").alias("n"))
     w = Window.partitionBy(*keys)
     storms = sums.withColumns({"at": F.row_number().over(w.orderBy(cluster)) - 1, "m": F.count("*").over(w)})
-    slots = storms.select(*keys, "m", F.col("at").alias("slot")).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    # the windows leave a group's storms in one task: they are dealt out before their draws are made
+    slots = storms.select(*keys, "m", F.col("at").alias("slot")).repartition(int(cases.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "slot").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
     mixed = (F.col("draw").cast("long") * 7919 + F.col("slot").cast("long") * 104_729 + seed) * 48_271 % 2_147_483_647
     slots = slots.withColumn("at", (mixed * 48_271 % 2_147_483_647 % F.col("m")).cast("int"))
-    drawn = slots.join(storms.select(*keys, "at", "s", "n"), [*keys, "at"]).groupBy(*keys, "draw").agg((F.sum("s") / F.sum("n")).alias("mae"))
+    drawn = slots.join(merged(storms.select(*keys, "at", "s", "n")), [*keys, "at"]).groupBy(*keys, "draw").agg((F.sum("s") / F.sum("n")).alias("mae"))
     return drawn.groupBy(*keys).agg(F.percentile("mae", F.lit(0.025)).alias("low"), F.percentile("mae", F.lit(0.975)).alias("high"))

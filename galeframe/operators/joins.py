@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from galeframe.functions import geo, scalar
+from galeframe.operators.lineage import merged
 
 
 def with_seed(cases: DataFrame, fixes: DataFrame) -> DataFrame:
@@ -21,7 +22,7 @@ def lead_opportunities(truth: DataFrame, leads: Sequence[int], key: str = "storm
     """key, init_time, lead_hours, valid_time where the storm is active at both times: one equi-join over exploded leads."""
     starts = truth.select(key, F.col(time).alias("init_time"), F.explode(F.array(*[F.lit(h) for h in leads])).alias("lead_hours"))
     starts = starts.withColumn("valid_time", F.timestamp_add("HOUR", "lead_hours", "init_time"))
-    return starts.join(truth.select(key, F.col(time).alias("valid_time")), [key, "valid_time"]).select(key, "init_time", "lead_hours", "valid_time")
+    return starts.join(merged(truth.select(key, F.col(time).alias("valid_time"))), [key, "valid_time"]).select(key, "init_time", "lead_hours", "valid_time")
 
 
 def _band_deg(limit_km: float) -> float:
@@ -96,7 +97,7 @@ def link_at_start(means: DataFrame, truth: DataFrame, limit_km: float = 150.0, a
     """
     m = means.where(geo.valid_position("lat", "lon")).select("init_time", "track_id", "lat", "lon")
     t = truth.select("truth_id", F.col("iso_time").alias("init_time"), F.col("lat").alias("t_lat"), F.col("lon").alias("t_lon"))
-    two = m.join(nearest_two(m, t, "init_time", "truth_id", limit_km), ["init_time", "lat", "lon"])
+    two = m.join(merged(nearest_two(m, t, "init_time", "truth_id", limit_km)), ["init_time", "lat", "lon"])
     lone = two.where(F.coalesce(F.col("second.distance_km") - F.col("first.distance_km") >= apart_km, F.lit(True)))
     same, tail = F.col("track_id") == F.col("truth_id"), F.substring("track_id", -6, 6) == F.substring("truth_id", -6, 6)
     found = lone.select("init_time", "track_id", F.col("first.truth_id").alias("truth_id"), F.col("first.distance_km").alias("init_match_distance_km"))

@@ -14,6 +14,11 @@ def shared_folder(spark: SparkSession) -> str:
     return folder if "://" in folder else folder.replace("file:", "", 1)
 
 
+def merged(df: DataFrame) -> DataFrame:
+    """df as a side of a join that sorts and merges. Spark takes rows behind an explode for as few as before it, so that it would send millions of them through the driver to every task."""
+    return df.hint("merge")
+
+
 def kept(df: DataFrame) -> DataFrame:
     """df by a reliable checkpoint in the shared folder. Its files go with it only where spark.cleaner.referenceTracking.cleanCheckpoints is set, else with the folder."""
     shared_folder(df.sparkSession)
