@@ -30,6 +30,12 @@ def wrap_longitude(lon: Column | str) -> Column:
     return F.pmod(_c(lon) + 180.0, F.lit(360.0)) - 180.0
 
 
+def round_longitude(lon: Column | str, digits: int) -> Column:
+    """A longitude in [-180, 180) rounded, still below 180: just west of the date line it becomes -180."""
+    at = F.round(_c(lon), digits)
+    return F.when(at >= 180.0, at - 360.0).otherwise(at)
+
+
 def unwrap_longitude(lon: Column | str, center: Column | str) -> Column:
     """Longitude within 180 degrees of center."""
     return _c(center) + F.pmod(_c(lon) - _c(center) + 180.0, F.lit(360.0)) - 180.0

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from galeframe.functions import geo
 from galeframe.operators import crossings, sequences, spatial
 from galeframe.plans import views
 from galeframe.plans.registry import query
@@ -71,7 +72,7 @@ def c07_e06_e07_crossings(spark: SparkSession, d: str) -> DataFrame:
     pairs = _pairs(spark, d)
     found = crossings.merge_close(crossings.crossings(pairs, edges))
     kinds = crossings.classify(found, pairs, edges)
-    return kinds.select("pair_id", F.round("fraction", 6).alias("fraction"), F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "crossing_type")
+    return kinds.select("pair_id", F.round("fraction", 6).alias("fraction"), F.round("lat", 6).alias("lat"), geo.round_longitude("lon", 6).alias("lon"), "crossing_type")
 
 
 def _unit_sql(lat: str, lon: str) -> str:
@@ -108,7 +109,7 @@ def c07_sphere_crossings(spark: SparkSession, d: str) -> DataFrame:
     side = lambda k, x0, y0, x1, y1: F.struct((F.col("n_nationkey") * 4 + k).cast("long").alias("segment_id"), x0.alias("lon_a"), y0.alias("lat_a"), x1.alias("lon_b"), y1.alias("lat_b"))
     sides = n.select(F.inline(F.array(side(0, a, b, a + 6.0, b), side(1, a + 6.0, b, a + 6.0, b + 25.0), side(2, a + 6.0, b + 25.0, a, b + 25.0), side(3, a, b + 25.0, a, b))))
     found = crossings.crossings(_pairs(spark, d), sides, flattening=0.0).where(F.col("fraction").between(INSIDE, 1 - INSIDE))
-    return found.select("pair_id", "segment_id", F.round("fraction", 6).alias("fraction"), F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
+    return found.select("pair_id", "segment_id", F.round("fraction", 6).alias("fraction"), F.round("lat", 6).alias("lat"), geo.round_longitude("lon", 6).alias("lon"))
 
 
 @query("SELECT segment_id, lon_a, lat_a, lon_b, lat_b FROM coast", ("coast",))
