@@ -9,21 +9,22 @@ from pyspark.sql import functions as F
 
 from galeframe.functions import geo, scalar
 from galeframe.operators import ensemble, joins, validation
+from galeframe.operators.lineage import merged
 
 KEY = ("init_time", "track_id", "lead_hours")
 
 
 def _scores(cases: DataFrame, members: DataFrame, size: int) -> DataFrame:
     """KEY with member_count, and CRPS, Brier score and energy score where the ensemble is complete and all its values are there."""
-    m = members.join(cases.where("track_id IS NOT NULL").select(*KEY, "truth_lat", "truth_lon", "truth_wind_kt"), list(KEY)).withColumnRenamed("sample", "member")
+    m = members.join(merged(cases.where("track_id IS NOT NULL").select(*KEY, "truth_lat", "truth_lon", "truth_wind_kt")), list(KEY)).withColumnRenamed("sample", "member")
     count = m.groupBy(*KEY).agg(F.count("*").alias("member_count"))
-    whole = lambda values: m.join(ensemble.complete(m, KEY, size, values).where("complete").select(*KEY), list(KEY), "left_semi")
+    whole = lambda values: m.join(merged(ensemble.complete(m, KEY, size, values).where("complete").select(*KEY)), list(KEY), "left_semi")
     wind = whole(["wind_kt"]).where(scalar.finite("truth_wind_kt").isNotNull())
     crps = ensemble.crps(wind, KEY, "wind_kt", "truth_wind_kt").withColumnRenamed("crps", "vmax_crps_kt")
     brier = ensemble.brier(wind, KEY, 64.0, "wind_kt", "truth_wind_kt").withColumnRenamed("brier", "vmax_brier_64")
     energy = ensemble.energy_score(whole(["lat", "lon"]), KEY).withColumnRenamed("energy", "track_energy_score_km")
     for one in (crps, brier, energy):
-        count = count.join(one, list(KEY), "left")
+        count = count.join(merged(one), list(KEY), "left")
     return count
 
 
@@ -38,9 +39,9 @@ def verification_cases(means: DataFrame, members: DataFrame, truth: DataFrame, l
     due = joins.lead_opportunities(truth, leads, "truth_id", "iso_time")
     at = truth.select("truth_id", F.col("iso_time").alias("valid_time"), "storm_id", "basin", F.col("lat").alias("truth_lat"), F.col("lon").alias("truth_lon"), F.col("wind_kt").alias("truth_wind_kt"), F.col("pressure_hpa").alias("truth_pressure_hpa"))
     linked = joins.link_at_start(means.where("lead_hours = 0").select("init_time", "track_id", "lat", "lon"), truth.select("truth_id", "iso_time", "lat", "lon"))
-    rows = due.join(at, ["truth_id", "valid_time"]).join(linked, ["init_time", "truth_id"], "left").withColumn("id_mapping_method", F.coalesce("method", F.lit("unlinked"))).drop("method")
-    rows = rows.join(means.select(*KEY, "lat", "lon", "wind_kt", "pressure_hpa", F.lit(True).alias("forecast_present")), list(KEY), "left").withColumn("forecast_present", F.coalesce("forecast_present", F.lit(False)))
-    rows = rows.join(_scores(rows, members, size), list(KEY), "left").withColumn("member_count", F.coalesce("member_count", F.lit(0).cast("long")))
+    rows = due.join(merged(at), ["truth_id", "valid_time"]).join(merged(linked), ["init_time", "truth_id"], "left").withColumn("id_mapping_method", F.coalesce("method", F.lit("unlinked"))).drop("method")
+    rows = rows.join(merged(means.select(*KEY, "lat", "lon", "wind_kt", "pressure_hpa", F.lit(True).alias("forecast_present"))), list(KEY), "left").withColumn("forecast_present", F.coalesce("forecast_present", F.lit(False)))
+    rows = rows.join(merged(_scores(rows, members, size)), list(KEY), "left").withColumn("member_count", F.coalesce("member_count", F.lit(0).cast("long")))
     shown = F.col("forecast_present")
     off = lambda a, b: F.when(shown, scalar.finite(a) - scalar.finite(b))
     rows = rows.withColumns({"track_error_km": F.when(shown & geo.valid_position("lat", "lon"), geo.distance_km("lat", "lon", "truth_lat", "truth_lon")), "vmax_error_kt": off("wind_kt", "truth_wind_kt"), "pressure_error_hpa": off("pressure_hpa", "truth_pressure_hpa")})
