@@ -103,6 +103,20 @@ def local_xy(lat: Column | str, lon: Column | str, lat0: Column | str, lon0: Col
     return let(polar, lambda v: F.struct((v["d"] * F.sin(v["b"])).alias("x"), (v["d"] * F.cos(v["b"])).alias("y")))
 
 
+def plane_xy(lat, lon, lat0, lon0):
+    """local_xy() element by element, as (x, y)."""
+    a, b = (np.arctan((1 - FLAT) * np.tan(np.radians(np.asarray(v, float)))) for v in (lat0, lat))
+    turn = np.radians(np.asarray(lon, float) - lon0)
+    p, q = (a + b) / 2.0, (b - a) / 2.0
+    h = np.minimum(1.0, np.sin(q) ** 2 + np.cos(a) * np.cos(b) * np.sin(turn / 2.0) ** 2)
+    s = np.arcsin(np.sqrt(h)) * 2.0
+    x = (s - np.sin(s)) * (np.sin(p) * np.cos(q)) ** 2 / np.maximum(1e-12, 1.0 - h)
+    y = (s + np.sin(s)) * (np.cos(p) * np.sin(q)) ** 2 / np.where(h > 0, h, 1.0)
+    d = np.where(h <= 0, 0.0, A_KM * (s - FLAT / 2 * (x + y)))
+    w = np.arctan2(np.cos(b) * np.sin(turn), np.cos(a) * np.sin(b) - np.sin(a) * np.cos(b) * np.cos(turn))
+    return d * np.sin(w), d * np.cos(w)
+
+
 def quadrant(bearing: Column | str) -> Column:
     """NE, SE, SW or NW: half-open quarters of the circle from north."""
     at = F.floor(F.pmod(_c(bearing), F.lit(360.0)) / 90.0).cast("int")

@@ -39,11 +39,7 @@ class CatalogConfig:
 
 def coast_distance(points: DataFrame, segments: DataFrame, samples: DataFrame, k: int, point_id: str = "point_id", lat: str = "lat", lon: str = "lon") -> DataFrame:
     """point_id, distance_km, coast_lat, coast_lon of the nearest place on the coast, among the k segments whose samples are nearest."""
-    near = spatial.nearest_segments(points, samples, k, point_id, lat, lon, carry=[lat, lon]).drop("rank", "chord2")
-    found = spatial.distance_to_segments(near, segments, point_id, lat, lon)
-    at = found.join(segments.select("segment_id", "lat_a", "lon_a", "lat_b", geo.unwrap_longitude("lon_b", "lon_a").alias("lon_b")), "segment_id")
-    along = lambda a, b: F.col(a) + F.col("fraction") * (F.col(b) - F.col(a))
-    return at.select(point_id, "distance_km", along("lat_a", "lat_b").alias("coast_lat"), geo.wrap_longitude(along("lon_a", "lon_b")).alias("coast_lon"))
+    return spatial.nearest_place(points, samples, segments, k, point_id, lat, lon).select(point_id, "distance_km", "coast_lat", "coast_lon")
 
 
 def strong_fixes(fixes: DataFrame, cfg: CatalogConfig) -> DataFrame:
@@ -67,9 +63,11 @@ def dense_points(fixes: DataFrame, edges: DataFrame, found: DataFrame, cfg: Cata
     dense = sequences.densify(fixes, ["wind_kt", *RADII], ["name", "basin", "nature", "track_type"], spacing_km=cfg.spacing_km, step_hours=cfg.step_hours, gap_hours=cfg.track_gap_hours)
     dense = kept(dense.withColumn("point_id", F.struct("storm_id", "source_segment", "fraction")))
     place = dense.select("point_id", "lat", "lon")
-    coast = coast_distance(place, edges, spatial.samples(edges, cfg.sample_km), cfg.candidates)
+    # both the flags and the landfalls below ask which points have a coast: the search is run once
+    coast = kept(coast_distance(place, edges, spatial.samples(edges, cfg.sample_km), cfg.candidates))
+    at = dense.join(coast, "point_id", "left_semi").select("storm_id", "iso_time", "point_id")
+    hit = joins.nearest_in_time(found.where("crossing_type = 'landfall'").select("storm_id", "crossing_time"), at, "storm_id", "crossing_time", "iso_time", "point_id")
     dense = dense.join(spatial.covered_by(place, edges), "point_id").join(coast, "point_id").withColumn("bearing", geo.bearing_deg("lat", "lon", "coast_lat", "coast_lon"))
-    hit = joins.nearest_in_time(found.where("crossing_type = 'landfall'").select("storm_id", "crossing_time"), dense.select("storm_id", "iso_time", "point_id"), "storm_id", "crossing_time", "iso_time", "point_id")
     dense = dense.join(hit.select(F.col("nearest").alias("point_id"), F.lit(True).alias("landfall")).distinct(), "point_id", "left").withColumn("landfall", F.coalesce("landfall", F.lit(False)))
     for kt in KNOTS:
         radius = geo.quadrant_radius_km("bearing", *[f"r{kt}_{q}" for q in QUADRANTS])

@@ -34,9 +34,7 @@ def c05_nearest_segments(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def c05_h05_distance_to_segments(spark: SparkSession, d: str) -> DataFrame:
-    p = _points(spark, d)
-    near = spatial.nearest_segments(p, _coast_samples(spark, d), 3, carry=["lat", "lon"])
-    out = spatial.distance_to_segments(near, views.coast(spark, d))
+    out = spatial.nearest_place(_points(spark, d), _coast_samples(spark, d), views.coast(spark, d), 3)
     return out.select("point_id", "segment_id", F.round("distance_km", 6).alias("distance_km"), F.round("fraction", 6).alias("fraction"))
 
 
