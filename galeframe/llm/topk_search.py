@@ -6,7 +6,9 @@ dimension: its postings, sorted by value, are cut into segments of equal quantis
 can give in the block, and segments are processed in descending impact, adding exact products to
 accumulators. What the dimensions' next segments could still add bounds every candidate's score
 from above, so the search may stop only when the bound proves that few candidates can still be
-among the best k; these possible members are then scored exactly from their vectors.
+among the best k; these possible members are then scored exactly from their vectors. Queries go in
+groups: a segment comes in its turn by its largest impact for any of them, and its postings are
+read once and added to all their accumulators.
 
 Codes are int64 where a component stays below 2**28. A row beyond that is wide: its code is text of
 whole numbers of any length, made exactly from the doubles, and its products are added as Python
@@ -33,6 +35,8 @@ from galeframe.llm.common import stored
 
 _HITS = "query_id long, vec_id long, score long"
 WIDE = 2**28
+_TOGETHER = 64  # queries that share a pass over the postings
+_LOOKS = (7 / 8,)  # shares of the postings after which bounds are looked at
 _UNFIT = "a score among a query's best does not fit a long"
 
 
@@ -53,46 +57,50 @@ class ImpactIndex:
                 low.append(ranked[s])
                 high.append(ranked[e - 1])
         self.dim = np.array([d for d, _, _ in self.segments])
+        self.sizes = np.array([e - s for _, s, e in self.segments])
         self.low, self.high = np.array(low, np.int64), np.array(high, np.int64)
 
     def search(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(rows, scores) of the best k, ties to smaller ids."""
+        return self.search_all(np.array([query_id]), query[None, :], k)[0]
+
+    def search_all(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """search() for some queries at once: a segment's postings are read once and added to the accumulators of all of them."""
         n, dims = self.values.shape
-        q = query[self.dim]
-        top = np.maximum(q * self.low, q * self.high)
-        least = np.full(dims, np.iinfo(np.int64).max)
-        np.minimum.at(least, self.dim, np.minimum(q * self.low, q * self.high))
-        impact = top - least[self.dim]
-        turn = np.argsort(-impact, kind="stable")
-        # what the dimensions can still add after a number of segments: a dimension's next one in place of the one done
-        ahead = np.zeros(len(turn), np.int64)
-        by_dim = np.lexsort((np.arange(len(turn)), self.dim[turn]))
-        same = self.dim[turn][by_dim[1:]] == self.dim[turn][by_dim[:-1]]
-        ahead[by_dim[:-1][same]] = impact[turn][by_dim[1:][same]]
-        first = np.zeros(dims, np.int64)
-        np.maximum.at(first, self.dim, impact)
-        rest = int(first.sum()) + np.cumsum(ahead - impact[turn])
-        gained = np.zeros(n, np.int64)
-        goal = max(8 * k, n // 16)  # so few are cheaper to score than to narrow down further
-        every = max(1, len(turn) // 32)
-        possible = np.flatnonzero(self.ids != query_id)
-        for at in range(0, len(turn), every):
-            for t in turn[at : at + every].tolist():
+        q = queries[:, self.dim]
+        first = np.searchsorted(self.dim, np.arange(dims))  # segments lie in the order of their dimensions
+        least = np.minimum.reduceat(np.minimum(q * self.low, q * self.high), first, axis=1)
+        impact = np.maximum(q * self.low, q * self.high) - least[:, self.dim]
+        turn = np.argsort(-impact.max(axis=0), kind="stable")
+        ends = np.cumsum(self.sizes[turn])
+        # little is ruled out before most postings are added
+        stops = [*np.unique(np.searchsorted(ends, [int(ends[-1] * f) for f in _LOOKS])), len(turn)]
+        span = int(np.maximum.reduceat(impact, first, axis=1).sum(axis=1).max())
+        kind = np.int32 if max(span, int(np.abs(least).max()), int(np.abs(self.values).max()) * int(np.abs(queries).max())) < 2**30 else np.int64
+        gained = np.zeros((n, len(queries)), kind)
+        by_dim, lowest, ranked = queries.T.astype(kind), least.T.astype(kind), self.sorted.astype(kind)
+        at, possible, goal = 0, [np.flatnonzero(self.ids != i) for i in query_ids.tolist()], max(8 * k, n // 16)  # so few are cheaper to score than to narrow down further
+        for stop in stops:
+            for t in turn[at:stop].tolist():
                 d, s, e = self.segments[t]
-                gained[self.order[d, s:e]] += query[d] * self.sorted[d, s:e] - least[d]
-            if len(possible) <= k:
-                break
-            left = int(rest[min(at + every, len(turn)) - 1])
-            held = gained[possible]
-            if left >= held.max() - held.min():
-                continue  # nothing can be ruled out yet
-            kth = np.partition(held, len(held) - k)[len(held) - k]
-            possible = possible[held + left >= kth]  # proof: all others end below the kth
-            if len(possible) <= goal:
+                gained[self.order[d, s:e]] += ranked[d, s:e, None] * by_dim[d] - lowest[d]
+            at = int(stop)
+            ahead = impact.copy()
+            ahead[:, turn[:at]] = 0
+            rest = np.maximum.reduceat(ahead, first, axis=1).sum(axis=1)  # what the dimensions can still add
+            for j, left in enumerate(rest.tolist()):
+                if len(possible[j]) > k:
+                    held = gained[possible[j], j].astype(np.int64)
+                    kth = np.partition(held, len(held) - k)[len(held) - k]
+                    possible[j] = possible[j][held + left >= kth]  # proof: all others end below the kth
+            if max(map(len, possible)) <= goal:
                 break
-        score = self.values[possible] @ query
-        best = np.lexsort((self.ids[possible], -score))[:k]
-        return possible[best], score[best]
+        out = []
+        for j, rows in enumerate(possible):
+            score = self.values[rows] @ queries[j]
+            best = np.lexsort((self.ids[rows], -score))[:k]
+            out.append((rows[best], score[best]))
+        return out
 
 
 def _ints(code: bytes) -> list[int]:
@@ -123,15 +131,19 @@ class Block:
         scored = zip((self.ints[which] @ np.array(query, object)).tolist(), self.ids[rows].tolist(), strict=True)
         return sorted((x for x in scored if x[1] != query_id), key=lambda x: (-x[0], x[1]))[:k]
 
-    def search(self, query_id: int, code: bytes, k: int) -> list[tuple[int, int]]:
-        """(score, id) of the best k; the index is asked only where longs are proved to hold."""
-        query = _ints(code)
+    def search(self, query_ids: list[int], codes: list[bytes], k: int) -> list[list[tuple[int, int]]]:
+        """(score, id) of each query's best k; the index is asked only where longs are proved to hold."""
+        queries = [_ints(c) for c in codes]
         # sums of products, of their spreads and of what is left stay below 2**63 then
-        if self.index is None or code[:1] == b"w" or sum(map(abs, query)) * self.limit >= 2**61:
-            return self.exact("all", query_id, query, k)
-        at, score = self.index.search(query_id, np.array(query, np.int64), k)
-        found = [*zip(score.tolist(), self.index.ids[at].tolist(), strict=True), *self.exact("wide", query_id, query, k)]
-        return sorted(found, key=lambda x: (-x[0], x[1]))[:k]
+        fit = [j for j, c in enumerate(codes) if self.index is not None and c[:1] != b"w" and sum(map(abs, queries[j])) * self.limit < 2**61]
+        out = {j: self.exact("all", query_ids[j], queries[j], k) for j in set(range(len(codes))) - set(fit)}
+        for lo in range(0, len(fit), _TOGETHER):
+            some = fit[lo : lo + _TOGETHER]
+            met = self.index.search_all(np.array([query_ids[j] for j in some]), np.array([queries[j] for j in some], np.int64), k)
+            for j, (at, score) in zip(some, met, strict=True):
+                found = [*zip(score.tolist(), self.index.ids[at].tolist(), strict=True), *self.exact("wide", query_ids[j], queries[j], k)]
+                out[j] = sorted(found, key=lambda x: (-x[0], x[1]))[:k]
+        return [out[j] for j in range(len(codes))]
 
 
 def _long(score: int) -> int | None:
@@ -149,8 +161,9 @@ def _tile(k: int, step: int):
         out: list[tuple[int, int, int | None]] = []
         if is_query.any() and not is_query.all():
             block = Block(ids[~is_query], [codes[r] for r in np.flatnonzero(~is_query)], step)
-            for i in np.flatnonzero(is_query):
-                out += [(int(ids[i]), j, _long(score)) for score, j in block.search(int(ids[i]), codes[i], k)]
+            asked = ids[is_query].tolist()
+            for i, found in zip(asked, block.search(asked, [codes[r] for r in np.flatnonzero(is_query)], k), strict=True):
+                out += [(i, j, _long(score)) for score, j in found]
         return pa.table({n: pa.array([x[c] for x in out], pa.int64()) for c, n in enumerate(("query_id", "vec_id", "score"))})
 
     return run

@@ -137,3 +137,24 @@ def test_top_k_raises_where_a_score_does_not_fit(spark):
     for a, b in ((1e12, 1e12), (1e12, -1e12)):
         with pytest.raises(Exception, match="does not fit a long"):
             top_k(vectors(spark, [(0, [a], 0), (1, [b], 0)], "double"), F.col("vec_id") == 0).collect()
+
+
+@pytest.mark.parametrize("large", [1, 2**20])
+def test_queries_share_passes_over_postings(large):
+    rng = np.random.default_rng(6)
+    values = rng.integers(-150, 150, (3000, 24)).astype(np.int64) * large
+    ids = rng.permutation(3000) * 2
+    index = ImpactIndex(ids, values, step=16 * large)
+    read, plain = [], index.segments
+
+    class Counted(list):
+        def __getitem__(self, t):
+            read.append(t)
+            return plain[t]
+
+    index.segments = Counted(plain)
+    found = index.search_all(ids[:60], values[:60], 5)
+    assert len(read) <= len(plain)  # one pass over the postings for all queries together
+    for i, (rows, score) in enumerate(found):
+        want = sorted(((-int(x), int(j)) for x, j in zip(values @ values[i], ids, strict=True) if j != ids[i]))[:5]
+        assert [(-int(s), int(ids[r])) for r, s in zip(rows, score, strict=True)] == want
