@@ -16,12 +16,14 @@ def duplicated(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 def signatures(points: DataFrame, message_id: str, order: Sequence[str], values: Sequence[str]) -> DataFrame:
     """message_id, signature, conflict, points: a digest of a message's distinct rows in any order, and whether two of them share order columns but differ.
 
-    Each row is hashed first, so that what is gathered for a message is one short hash a row.
+    Each row is hashed first, so that what is gathered for a message is one short hash a row. Keys are
+    counted by groups of a message and its order columns: where points lie by message_id already
+    (repartition), no step shuffles them again.
     """
     rows = points.select(message_id, *order, *values).distinct()
     row = F.sha2(F.to_json(F.struct(*order, *values), {"ignoreNullFields": "false"}), 256)
-    keyed = rows.select(message_id, row.alias("h"), F.struct(*order).alias("k"))
-    out = keyed.groupBy(message_id).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("signature"), F.count("*").alias("points"), F.countDistinct("k").alias("keys"))
+    keyed = rows.withColumn("_h", row).groupBy(message_id, *order).agg(F.collect_list("_h").alias("_h"), F.count("*").alias("_n"))
+    out = keyed.groupBy(message_id).agg(F.sha2(F.array_join(F.array_sort(F.flatten(F.collect_list("_h"))), ""), 256).alias("signature"), F.sum("_n").alias("points"), F.count("*").alias("keys"))
     return out.select(message_id, "signature", (F.col("points") > F.col("keys")).alias("conflict"), F.col("points").cast("long").alias("points"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from galeframe.functions import geo, scalar
 from galeframe.operators import aggregates, duplicates, joins, validation
+from galeframe.operators.lineage import kept
 
 VALUES = ("valid_time", "latitude", "longitude", "pressure_hpa", "max_wind_ms")
 
@@ -32,7 +33,8 @@ def _main(truth: DataFrame) -> DataFrame:
 
 def links(messages: DataFrame, points: DataFrame, truth: DataFrame, events: DataFrame) -> DataFrame:
     """messages with storm, how it was found, duplicate status, canonical message and whether that is usable (any position after the start)."""
-    main, own = _main(truth), points.distinct()
+    # dealt by message once: distinct rows, counts and signatures of messages then need no shuffle of their own
+    main, own = _main(truth), points.repartition("message_id").distinct()
     m = messages.withColumns({"lat": F.col("observed_latitude"), "lon": F.col("observed_longitude")})
     found = joins.identify(m, main, events.select("storm_id").distinct()).drop("lat", "lon")
     names = main.select("storm_id", F.col("iso_time").alias("init_time"), F.col("atcf_id").alias("truth_atcf_id"), F.col("name").alias("truth_name"))
@@ -50,8 +52,8 @@ def links(messages: DataFrame, points: DataFrame, truth: DataFrame, events: Data
 
 
 def _covered(rows: DataFrame, points: DataFrame) -> DataFrame:
-    """rows (matched_message_id, reference_time) with coverage of the reference time by the message's positions."""
-    placed = points.distinct().where(geo.valid_position("latitude", "longitude")).select(F.col("message_id").alias("matched_message_id"), "valid_time", "max_wind_ms", "pressure_hpa")
+    """rows (matched_message_id, reference_time) with coverage of the reference time by the message's positions; repeated positions change nothing."""
+    placed = points.where(geo.valid_position("latitude", "longitude")).select(F.col("message_id").alias("matched_message_id"), "valid_time", "max_wind_ms", "pressure_hpa")
     return joins.coverage_flags(joins.bracket(rows, placed, "matched_message_id", "reference_time", "valid_time", ["max_wind_ms", "pressure_hpa"]), "max_wind_ms", "pressure_hpa")
 
 
@@ -92,7 +94,7 @@ def event_overlap(linked: DataFrame, points: DataFrame, events: DataFrame, overl
 
 def match(messages: DataFrame, points: DataFrame, truth: DataFrame, events: DataFrame, cases: DataFrame) -> dict[str, DataFrame]:
     """storm_links, case_overlap, event_overlap, coverage_by_year and coverage_by_lead. Every input event and case stays in its table."""
-    linked = links(messages, points, truth, events)
+    linked = kept(links(messages, points, truth, events))
     overlap = case_overlap(linked, points, cases)
     covered = event_overlap(linked, points, events, overlap)
     return {"storm_links": linked, "case_overlap": overlap, "event_overlap": covered, "coverage_by_year": aggregates.coverage_by_year(covered, overlap), "coverage_by_lead": aggregates.coverage_by_lead(overlap)}
