@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -10,6 +11,15 @@ from pyspark.sql import functions as F
 from galeframe.operators import validation
 
 DONE = ("complete", "reused")
+#: About as many rows of a table go to a task, so that a task's memory does not grow with a run.
+ROWS_A_TASK = 500_000
+
+
+def spread(key: str, *tables: DataFrame) -> list[DataFrame]:
+    """Tables that will meet by a key, dealt by it into as many parts as the largest needs; they are counted for that. Joins and groups by the key follow without a further shuffle."""
+    least = int(tables[0].sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(least, math.ceil(max(t.count() for t in tables) / ROWS_A_TASK))
+    return [t.repartition(parts, key) for t in tables]
 
 
 def same_ids(expected: DataFrame, listed: DataFrame, source: str, key: str = "case_id") -> DataFrame:
@@ -48,5 +58,6 @@ def wrong_files(listed: DataFrame, found: DataFrame) -> DataFrame:
 
 def run_problems(expected: DataFrame, listed: dict[str, DataFrame], results: DataFrame, timings: DataFrame, listed_files: DataFrame, files: DataFrame, fields: Sequence[str] = ("forecast_hours",)) -> DataFrame:
     """All findings of a run. expected: case_id, forecast_hours and fields; listed: the case tables that must equal it, by name."""
-    tables = [f for name, df in listed.items() for f in (same_ids(expected, df, name), same_fields(expected, df, name, fields))]
-    return validation.violations(*tables, same_ids(expected, results, "results"), unfinished(results), wrong_leads(expected, timings), wrong_files(listed_files, files))
+    e, r, t, *dealt = spread("case_id", expected, results.select("case_id"), timings, *listed.values())
+    tables = [f for name, df in zip(listed, dealt, strict=True) for f in (same_ids(e, df, name), same_fields(e, df, name, fields))]
+    return validation.violations(*tables, same_ids(e, r, "results"), unfinished(results), wrong_leads(e, t), wrong_files(*spread("path", listed_files, files)))
