@@ -2,7 +2,13 @@
 
 import re
 
-from galeframe.operators import inventory
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from galeframe.functions import geo
+from galeframe.operators import inventory, runs, tracking
+from galeframe.plans.all_queries import QUERIES
 
 
 def test_f10_rows_of_a_task_do_not_grow_with_a_run(spark, monkeypatch):
@@ -15,3 +21,57 @@ def test_f10_rows_of_a_task_do_not_grow_with_a_run(spark, monkeypatch):
     parts = {int(n) for n in re.findall(r"Exchange hashpartitioning\(case_id\S*, (\d+)\)", found._jdf.queryExecution().executedPlan().toString())}
     assert parts == {20}
     assert sorted(tuple(r) for r in found.collect()) == [("bad_seconds", "7", ""), ("cases:missing", "3", ""), ("leads_differ", "4", ""), ("partial_file", "5", "")]
+
+
+def boxes(n):
+    """Boxes of two shapes with many lows, some with gaps, and the places in their middle."""
+    rng = np.random.default_rng(4)
+    out = []
+    for k in range(n):
+        y, x = 10 - 30.0 * (k % 2) + np.arange(8) * 0.5, 179 + np.arange(8 + k % 3) * 0.5
+        fields = {f: rng.normal(0, 500 if f == "msl" else 1, (len(y), len(x))) for f in tracking._CELL}
+        if k % 5 == 0:
+            fields["u10"][3:5, 3:5] = np.nan
+        out.append(tracking.Window(y, x, fields))
+    return out, [(float(w.latitude[4]), float(w.longitude[4])) for w in out]
+
+
+def test_f11_f14_f15_boxes_are_looked_at_together(monkeypatch):
+    windows, places = boxes(300)
+    cfg = tracking.TrackerConfig(300.0, 100.0, 4e-5)
+    alone = [tracking.next_centers([w], [p], cfg)[0] for w, p in zip(windows, places, strict=True)]
+    calls, plain = [], geo.inverse
+    monkeypatch.setattr(geo, "inverse", lambda *a: calls.append(1) or plain(*a))
+    assert tracking.next_centers(windows, places, cfg) == alone
+    assert len(calls) < 15 and {why for _, why in alone} >= {"", "missing_diagnostic_data", "vorticity_below_threshold"}
+
+
+def test_f11_f14_runs_hold_whole_keys():
+    keys = np.sort(np.random.default_rng(1).integers(0, 9, 200))
+    rows = pa.RecordBatch.from_pydict({"k": keys.astype(str), "v": np.arange(200)})
+    for size in (1, 7, 60, 200):
+        got = [(c["k"].to_pylist()[a], c["v"].to_pylist()[a:b]) for c, ends in runs.whole((rows.slice(i, size) for i in range(0, 200, size)), ["k"]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        assert got == [(str(k), np.flatnonzero(keys == k).tolist()) for k in np.unique(keys)]
+
+
+@pytest.mark.parametrize("name", ["e05_j01_tracker", "e08_d12_outcomes"])
+def test_f11_f14_a_box_is_looked_at_once(spark, monkeypatch, name):
+    met, plain = spark.sparkContext.accumulator(0), tracking._step
+
+    def counting(*args):
+        inner = plain(*args)
+
+        def run(batches):
+            def counted():
+                for b in batches:
+                    met.add(b.num_rows)
+                    yield b
+
+            yield from inner(counted())
+
+        return run
+
+    monkeypatch.setattr(tracking, "_step", counting)
+    cells = 64 * spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").count()
+    assert QUERIES[name](spark, "/root/testdata/sf0.001").collect()
+    assert 0 < met.value <= cells
