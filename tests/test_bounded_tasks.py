@@ -1,14 +1,17 @@
 """Work and memory of a task do not grow with the tables."""
 
 import re
+from datetime import datetime
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from galeframe.functions import geo
 from galeframe.operators import inventory, runs, tracking
 from galeframe.plans.all_queries import QUERIES
+from galeframe.sources import forecast_files, netcdf
 
 
 def test_f10_rows_of_a_task_do_not_grow_with_a_run(spark, monkeypatch):
@@ -75,3 +78,43 @@ def test_f11_f14_a_box_is_looked_at_once(spark, monkeypatch, name):
     cells = 64 * spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").count()
     assert QUERIES[name](spark, "/root/testdata/sf0.001").collect()
     assert 0 < met.value <= cells
+
+
+def written(spark, folder, n):
+    """Files of n cases of two leads, and their rows."""
+    cells = spark.range(n * 128).selectExpr(f"CONCAT('c', id % {n}) AS forecast_case_id", f"id DIV {n} AS k", "id").selectExpr(
+        "'pangu' AS model", "forecast_case_id", "CAST(6 + 6 * (k DIV 64) AS int) AS lead_hours", "10 + k DIV 8 % 8 / 2D AS latitude", "130 + k % 8 / 2D AS longitude",
+        "100000D + id * 7919 % 1009 AS msl", "id % 13 / 1D AS u850", "id % 17 / 1D AS v850", "3D AS u10", "4D AS v10",
+    )
+    inits = cells.select("model", "forecast_case_id").distinct().selectExpr("*", "TIMESTAMP_NTZ '2024-01-01 00:00:00' AS init_time")
+    files = forecast_files.write_cases(cells, inits, str(folder))
+    return files, inits
+
+
+def test_f13_f15_cases_are_written_from_arrow_batches_and_dealt(spark, tmp_path):
+    files, inits = written(spark, tmp_path, 20)
+    assert "Pandas" not in files._jdf.queryExecution().executedPlan().toString()
+    one = files.join(inits, ["model", "forecast_case_id"]).selectExpr("*", "18 AS forecast_hours", "11.5D AS seed_lat", "131.5D AS seed_lon").coalesce(1)
+    found = forecast_files.violations(one)
+    assert found.rdd.getNumPartitions() == 8
+    assert {r.rule: r.n for r in found.groupBy("rule").agg(F.count("*").alias("n")).collect()} == {"lead_time": 40, "valid_time": 40}
+
+
+def test_f13_f15_an_axis_is_read_once(spark, tmp_path, monkeypatch):
+    path = written(spark, tmp_path, 1)[0].first().path
+    read, plain = [], netcdf.values
+    monkeypatch.setattr(netcdf, "values", lambda f, v, *a: read.append(v.name) or plain(f, v, *a))
+    with forecast_files.Forecast(path, "pangu", datetime(2024, 1, 1), 12) as f:
+        assert f.window(1, 11.5, 131.5, 400.0).fields["msl"].shape == (8, 8)
+    assert read.count("latitude") == read.count("longitude") == 2 and read.count("level") == 1  # two files
+
+
+def test_f15_cases_are_followed_side_by_side(spark, tmp_path, monkeypatch):
+    rows = written(spark, tmp_path, 40)[0].collect()
+    cases = [(r.path, r.model, datetime(2024, 1, 1), 12, 11.5, 131.5) for r in rows] + [(str(tmp_path), "pangu", datetime(2024, 1, 1), 6, None, None), (f"{tmp_path}/gone", "pangu", datetime(2024, 1, 1), 12, 11.5, 131.5)]
+    cfg = tracking.TrackerConfig(300.0, 100.0, 1e-6)
+    alone = [forecast_files.followed([c], cfg)[0] for c in cases]
+    calls, plain = [], geo.inverse
+    monkeypatch.setattr(geo, "inverse", lambda *a: calls.append(1) or plain(*a))
+    assert forecast_files.followed(cases, cfg) == alone and len(calls) < 20
+    assert [[p["status"] for p in c] for c in alone[-2:]] == [["no_seed"], ["input_error", "terminated"]] and any(p["status"] == "ok" for c in alone for p in c)
