@@ -2,6 +2,8 @@
 
 import re
 from datetime import datetime
+from itertools import product
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -118,3 +120,52 @@ def test_f15_cases_are_followed_side_by_side(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(geo, "inverse", lambda *a: calls.append(1) or plain(*a))
     assert forecast_files.followed(cases, cfg) == alone and len(calls) < 20
     assert [[p["status"] for p in c] for c in alone[-2:]] == [["no_seed"], ["input_error", "terminated"]] and any(p["status"] == "ok" for c in alone for p in c)
+
+
+def test_f15_files_that_begin_alike_are_parsed_once(spark, tmp_path, monkeypatch):
+    rows = written(spark, tmp_path, 30)[0].collect()
+    other = f"{tmp_path}/other.nc"
+    held = Path(f"{rows[0].path}/surface.nc").read_bytes()
+    Path(other).write_bytes(held.replace(b"complete", b"partials"))
+    parsed, plain = [], netcdf.parse_header
+    monkeypatch.setattr(netcdf, "parse_header", lambda *a: parsed.append(1) or plain(*a))
+    cases = [(r.path, r.model, datetime(2024, 1, 1), 12, 11.5, 131.5) for r in rows]
+    assert any(p["status"] == "ok" for c in forecast_files.followed(cases, tracking.TrackerConfig(300.0, 100.0, 1e-6)) for p in c)
+    assert len(parsed) <= 2  # a surface file, an upper one
+    with netcdf.File(other) as f:  # as long, but with another header
+        assert f.header.attributes["status"] == "partials"
+        assert f.header == plain(lambda at, n: held.replace(b"complete", b"partials")[at : at + n], len(held))
+
+
+def test_f15_a_small_file_is_read_once(spark, tmp_path):
+    path = written(spark, tmp_path, 1)[0].first().path
+    with netcdf.File(f"{path}/surface.nc") as f:
+        f.file.close()
+        assert f.column("latitude").tolist() == [10 + k / 2 for k in range(8)] and f.bytes_read == 64
+
+
+def test_f15_stretches_of_a_file_are_worked_out_once_a_window(spark, tmp_path, monkeypatch):
+    path = written(spark, tmp_path, 1)[0].first().path
+    found, plain = [], netcdf.byte_ranges
+    with forecast_files.Forecast(path, "pangu", datetime(2024, 1, 1), 12) as f:
+        monkeypatch.setattr(netcdf, "byte_ranges", lambda v, c: found.append(v.name) or plain(v, c))
+        w = f.window(1, 11.5, 131.5, 60.0)
+        assert len(found) == 2  # two files
+        for name, (own, v) in f.names.items():
+            box = [np.array([1])] + [np.array([0])] * (own is f.upper) + [np.flatnonzero(np.isin(f.latitude, w.latitude)), np.flatnonzero(np.isin(f.longitude, w.longitude))]
+            np.testing.assert_array_equal(w.fields[name], netcdf.values(own.read, own.header.variables[v], box).filled(np.nan).reshape(w.fields[name].shape))
+
+
+@pytest.mark.parametrize("stride", [0, 5000])
+def test_f15_byte_ranges_hold_the_chosen_cells(stride):
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        shape = tuple(int(n) for n in rng.integers(1, 6, rng.integers(1, 5)))
+        v = netcdf.Variable("a", tuple("abcd"[: len(shape)]), shape, "f4", 100, stride)
+        chosen = [np.flatnonzero(rng.random(n) < 0.7) for n in shape]
+        steps = [4 * int(np.prod(shape[k + 1 :])) for k in range(len(shape))]
+        steps[0] = stride or steps[0]
+        want = [100 + sum(i * s for i, s in zip(at, steps, strict=True)) for at in product(*(c.tolist() for c in chosen))]
+        ranges = list(netcdf.byte_ranges(v, chosen))
+        assert [at + k for at, n in ranges for k in range(0, n, 4)] == want
+        assert all(a + n != b for (a, n), (b, _) in zip(ranges, ranges[1:], strict=False))
