@@ -19,7 +19,24 @@ def merged(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def kept(df: DataFrame) -> DataFrame:
-    """df by a reliable checkpoint in the shared folder. Its files go with it only where spark.cleaner.referenceTracking.cleanCheckpoints is set, else with the folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df by a reliable checkpoint in the shared folder. Its files go with it only where spark.cleaner.referenceTracking.cleanCheckpoints is set, else with the folder.
+
+    The shuffle files behind it are not needed once it is written, and are removed then: else they stay until
+    the driver's garbage is collected, so that those of all steps of a long query lie on the disk together.
+    """
+    spark = df.sparkSession
+    shared_folder(spark)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        # a DataFrame of its own, since one knows from when it is made what becomes of its shuffle files
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)

@@ -44,26 +44,29 @@ def densify(df: DataFrame, numeric: Sequence[str], nearest: Sequence[str], key:
     are there (the ends keep their own); nearest columns come from the earlier fix below the middle.
     After a gap only the later fix itself is kept, with segment_break_before.
     """
-    pairs = consecutive_pairs(df, key, time, tie, ["lat", "lon", *numeric, *nearest], gap_hours)
     w = Window.partitionBy(key).orderBy(time, tie)
-    first = df.withColumn("_n", F.row_number().over(w)).where("_n = 1")
-    end = lambda src, name: src.select(
-        key, F.col(f"{name}{time}").alias(time), F.col(f"{name}lat").alias("lat"), F.col(f"{name}lon").alias("lon"), *[F.col(f"{name}{c}").alias(c) for c in (*numeric, *nearest)],
-        F.col(f"{name}{tie}").alias("source_row"), (F.col("segment") + 1 if name else F.lit(0)).cast("int").alias("source_segment"), F.lit(0.0).alias("fraction"), F.lit(True).alias("is_original"), F.lit(bool(name)).alias("segment_break_before"),
-    )
-    exact = geo.exact_distance_km("a_lat", "a_lon", "b_lat", "b_lon")
+    names = [time, tie, "lat", "lon", *numeric, *nearest]
+    # one pass over the sorted fixes: each gives itself if it is the first, and what leads to the next one
+    rows = df.select(key, *[F.col(c).alias(f"a_{c}") for c in names], *[F.lead(c).over(w).alias(f"b_{c}") for c in names], F.row_number().over(w).alias("segment"))
+    rows = rows.withColumn("hours", scalar.hours_between(f"a_{time}", f"b_{time}"))
+    ahead, gap = F.coalesce(F.col("hours") > 0, F.lit(False)), F.coalesce(F.col("hours") > gap_hours, F.lit(False))
+    end = [F.when(ahead & ~gap, F.col(f"b_{c}")).otherwise(F.col(f"a_{c}")) for c in ("lat", "lon")]
     # a pair's length and bearing once, then its steps
-    each = steps_between(pairs, spacing_km, step_hours, length=exact)
-    at = geo.destination("a_lat", "a_lon", geo.exact_bearing_deg("a_lat", "a_lon", "b_lat", "b_lon"), F.col("length_km") * F.col("fraction"))
-    each = each.withColumn("_at", at)
-    last = F.col("step") == F.col("steps")
+    rows = rows.withColumns({"length_km": geo.exact_distance_km("a_lat", "a_lon", *end), "way": geo.exact_bearing_deg("a_lat", "a_lon", *end)})
+    n = F.greatest(F.lit(1), F.ceil(F.col("length_km") / spacing_km).cast("int"), F.ceil(F.col("hours") / step_hours).cast("int"))
+    own, none = F.col("segment") == 1, F.expr("CAST(array() AS array<int>)")
+    steps = F.concat(F.when(own, F.array(F.lit(0))).otherwise(none), F.when(gap, F.array(F.lit(-1))).when(ahead, F.sequence(F.lit(1), n)).otherwise(none))
+    each = rows.withColumn("steps", n).withColumn("step", F.explode(steps)).withColumn("fraction", F.when(F.col("step") > 0, F.col("step") / F.col("steps")).otherwise(0.0))
+    each = each.withColumn("_at", geo.destination("a_lat", "a_lon", "way", F.col("length_km") * F.col("fraction")))
+    first, break_, last = F.col("step") == 0, F.col("step") == -1, F.col("step") == F.col("steps")
+    pick = lambda c, between: F.when(first, F.col(f"a_{c}")).when(break_, F.col(f"b_{c}")).otherwise(between)
     time_at = F.timestamp_micros((scalar.micros(f"a_{time}") + F.round((scalar.micros(f"b_{time}") - scalar.micros(f"a_{time}")) * F.col("fraction")).cast("long"))).cast("timestamp_ntz")
-    dense = each.select(
-        key, F.when(last, F.col(f"b_{time}").cast("timestamp_ntz")).otherwise(time_at).alias(time), F.col("_at.latitude").alias("lat"), F.col("_at.longitude").alias("lon"),
-        *[scalar.interpolate(f"a_{c}", f"b_{c}", "fraction").alias(c) for c in numeric], *[F.when(F.col("fraction") < 0.5, F.col(f"a_{c}")).otherwise(F.col(f"b_{c}")).alias(c) for c in nearest],
-        F.when(last, F.col(f"b_{tie}")).otherwise(F.lit(-1)).alias("source_row"), F.col("segment").cast("int").alias("source_segment"), "fraction", last.alias("is_original"), F.lit(False).alias("segment_break_before"),
+    return each.select(
+        key, pick(time, F.when(last, F.col(f"b_{time}").cast("timestamp_ntz")).otherwise(time_at)).alias(time), pick("lat", F.col("_at.latitude")).alias("lat"), pick("lon", F.col("_at.longitude")).alias("lon"),
+        *[pick(c, scalar.interpolate(f"a_{c}", f"b_{c}", "fraction")).alias(c) for c in numeric], *[pick(c, F.when(F.col("fraction") < 0.5, F.col(f"a_{c}")).otherwise(F.col(f"b_{c}"))).alias(c) for c in nearest],
+        pick(tie, F.when(last, F.col(f"b_{tie}")).otherwise(F.lit(-1))).alias("source_row"), F.when(first, 0).when(break_, F.col("segment")).otherwise(F.col("segment") - 1).cast("int").alias("source_segment"),
+        "fraction", (first | break_ | last).alias("is_original"), break_.alias("segment_break_before"),
     )
-    return end(first, "").unionByName(end(pairs.where("gap"), "b_")).unionByName(dense)
 
 
 def flag_hours(df: DataFrame, keys: Sequence[str], time: str, tie: str, flag: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from galeframe.operators import schedule
+from galeframe.operators.lineage import kept
 from galeframe.pipelines import catalog, matching, quality, verification
 from galeframe.plans import views
 from galeframe.plans.registry import query
@@ -27,7 +28,7 @@ def catalog_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 @query()
 def p1_catalog(spark: SparkSession, d: str) -> DataFrame:
     """Episodes of coastal contact from tracks and land."""
-    cases = catalog.build(*catalog_inputs(spark, d), PERIOD)["cases"]
+    cases = catalog.build(*catalog_inputs(spark, d), PERIOD, radii=False)["cases"]
     r = lambda c: F.round(c, 4).alias(c)
     return cases.select("case_id", "storm_id", "name", "basin", "episode_start", "episode_end", "reference_time", "reference_event", r("latitude"), r("longitude"), r("minimum_coast_distance_km"), r("episode_vmax_kt"), "landfall_count", "tier", "selection_method", "provisional_track")
 
@@ -36,8 +37,8 @@ def p1_catalog(spark: SparkSession, d: str) -> DataFrame:
 def p3_event_qc(spark: SparkSession, d: str) -> DataFrame:
     """All named checks of the catalog's primary cases on main tracks."""
     fixes, edges = catalog_inputs(spark, d)
-    made = catalog.build(fixes, edges, PERIOD)
-    cases = made["cases"].where("primary_sample AND NOT provisional_track")
+    made = catalog.build(fixes, edges, PERIOD, radii=False)
+    cases = kept(made["cases"].where("primary_sample AND NOT provisional_track"))  # the plan and the checks read them
     plan = schedule.schedule(cases.select("case_id", "storm_id", "reference_time"))
     checks = quality.event_qc(cases, fixes, made["points"], plan, edges, PERIOD)
     return checks.select("case_id", F.round("coast_distance_km_at_anchor", 4).alias("coast_distance_km_at_anchor"), "qc_status", "failures", "review_notes")
