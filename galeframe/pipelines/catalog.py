@@ -62,7 +62,7 @@ def crossings(fixes: DataFrame, edges: DataFrame, cfg: CatalogConfig) -> DataFra
 
 
 _POINT = ["source_segment", "fraction"]
-_CONTACT = ["distance_km", "lat", "lon", "coast_lat", "coast_lon", "surface", "r34", "r50", "r64", "proxy"]
+_CONTACT = ["distance_km", "lat", "lon", "coast_lat", "coast_lon", "surface", "r34", "r50", "r64", "proxy", "landfall"]
 
 
 def dense_points(fixes: DataFrame, edges: DataFrame, cfg: CatalogConfig) -> DataFrame:
@@ -86,22 +86,23 @@ def build(fixes: DataFrame, edges: DataFrame, cfg: CatalogConfig, radii: bool =
     first landfall or else its closest approach, lies in the period. radii: whether points come with
     their radii and the bearing of the coast, which make up half of what is kept of them.
 
-    Points are kept once. What later steps need of them comes with the time they are met by, so that
-    none looks them up again by their ids.
+    Points are kept once. What later steps need of them comes with the time they are met by or with
+    the contacts, which are few, so that points are looked up by their ids for landfall only.
     """
     storms = kept(strong_storms(fixes, cfg))
     strong = fixes.join(storms.select("storm_id", "lifetime_vmax"), "storm_id")
     found = kept(crossings(strong, edges, cfg))
     dense = dense_points(strong, edges, cfg)
     dense = kept(dense if radii else dense.drop("bearing", *RADII, *[f"r{kt}_km" for kt in KNOTS])).withColumn("surface", scalar.surface("is_land"))
-    at = dense.select("storm_id", "iso_time", F.struct(*_POINT, "iso_time", "wind_kt", *_CONTACT).alias("point"))
-    met = kept(joins.nearest_in_time(found, at, "storm_id", "crossing_time", "iso_time", "point").drop("off_us"))
-    with_wind = met.where("nearest IS NOT NULL").select(*found.columns, "nearest.wind_kt")
-    hit = met.where("crossing_type = 'landfall' AND nearest IS NOT NULL").select("storm_id", "nearest.*").distinct().withColumn("landfall", F.lit(True))
-    near_coast = dense.where("r34 OR proxy").select("storm_id", *_POINT, "iso_time", "wind_kt", *_CONTACT, F.lit(False).alias("landfall"))
     same = ["storm_id", *_POINT]
-    contacts = near_coast.unionByName(hit).groupBy(*same).agg(F.bool_or("landfall").alias("landfall"), *[F.first(c).alias(c) for c in ("iso_time", "wind_kt", *_CONTACT)])
-    contacts = kept(contacts.withColumn("fix_id", F.struct(*same)))
+    at = dense.select("storm_id", "iso_time", F.struct(*_POINT, "wind_kt").alias("point"))
+    met = kept(joins.nearest_in_time(found, at, "storm_id", "crossing_time", "iso_time", "point").where("nearest IS NOT NULL"))
+    with_wind = met.select(*found.columns, "nearest.wind_kt")
+    hit = met.where("crossing_type = 'landfall'").select("storm_id", *[f"nearest.{c}" for c in _POINT]).distinct().withColumn("_hit", F.lit(True))
+    # hit has one row an id at most, so that whoever does not ask for landfall does not pay for this join
+    points = dense.withColumn("point_id", F.struct(*same)).join(hit, same, "left")
+    points = points.select("point_id", *[c for c in dense.columns if c != "surface"], F.coalesce("_hit", F.lit(False)).alias("landfall"), "surface")
+    contacts = kept(points.where("r34 OR proxy OR landfall").select("storm_id", "iso_time", F.col("point_id").alias("fix_id"), "wind_kt", *_CONTACT))
     contacts = sequences.sessions(contacts, "storm_id", "iso_time", "fix_id", cfg.episode_gap_hours)
     cases = kept(aggregates.episodes(contacts, dense, cfg.padding_hours, cfg.threshold_kt, with_wind, cfg.period()))
     place = contacts.select(F.col("fix_id").alias("closest_id"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), F.col("coast_lat").alias("_clat"), F.col("coast_lon").alias("_clon"), F.col("surface").alias("surface_at_closest"))
@@ -114,7 +115,4 @@ def build(fixes: DataFrame, edges: DataFrame, cfg: CatalogConfig, radii: bool =
     land = F.col("reference_event") == "landfall"
     pick = lambda a, b: F.when(land, F.col(a)).otherwise(F.col(b))
     out = out.withColumns({"latitude": pick("_xlat", "_lat"), "longitude": pick("_xlon", "_lon"), "nearest_coast_latitude": pick("_xlat", "_clat"), "nearest_coast_longitude": pick("_xlon", "_clon"), "minimum_coast_distance_km": F.when(land, 0.0).otherwise(F.col("closest_km")), "primary_sample": F.col("tier").isin("A", "B"), "qc_status": F.lit("pending")})
-    # one row an id at most, so that whoever does not ask for landfall does not pay for this join
-    points = dense.withColumn("point_id", F.struct(*same)).join(hit.select(*same).distinct().withColumn("_hit", F.lit(True)), same, "left")
-    points = points.select("point_id", *[c for c in dense.columns if c != "surface"], F.coalesce("_hit", F.lit(False)).alias("landfall"), "surface")
     return {"cases": out.drop("closest_id", "_lat", "_lon", "_clat", "_clon", "_xlat", "_xlon"), "points": points, "crossings": found}
